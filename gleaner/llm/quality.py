@@ -132,8 +132,12 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = 4000, unlabelled: i
         return Model(np.zeros((BINS, len(NAMES))), np.zeros((BINS + 1) * len(NAMES)), 0.0, 0.5)
     edges = np.quantile(np.concatenate([p, u]), np.linspace(0, 1, BINS + 2)[1:-1], axis=0)
     model = Model(edges, np.zeros((BINS + 1) * len(NAMES)), 0.0, 0.5)
-    _descend(model, p, u, 0.5, None)
-    model.prior = _prior(model.scores(p), model.scores(u))
+    priors = []
+    for k in (0, 1):  # the prior is read off rows that the scorer wasn't fitted on
+        model.weights[:], model.bias = 0, 0.0
+        _descend(model, p[k::2], u[k::2], 0.5, None, steps=150, l2=3e-3)
+        priors.append(_prior(model.scores(p[1 - k :: 2]), model.scores(u[1 - k :: 2])))
+    model.prior = float(np.mean(priors))
     model.weights[:], model.bias = 0, 0.0
     _descend(model, p, u, model.prior, True)
     return model
@@ -141,7 +145,7 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = 4000, unlabelled: i
 
 def _prior(p: np.ndarray, u: np.ndarray) -> float:
     """Share of positives among the unlabelled: least upper bound of the mass ratio above a threshold."""
-    t = np.quantile(p, np.linspace(0.02, 0.9, 60))
+    t = np.quantile(p, np.linspace(0.02, 0.75, 60))
     qp, qu = (p[None] >= t[:, None]).mean(1), (u[None] >= t[:, None]).mean(1)
     width = np.sqrt(np.log(100) / (2 * len(u))) + np.sqrt(np.log(100) / (2 * len(p)))
     best = ((qu + width) / np.maximum(qp, 1e-9)).argmin()
