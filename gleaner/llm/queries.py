@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.llm import bpe, langid, quality
+from gleaner.llm import bpe, decontaminate, langid, quality, toxicity
 from gleaner.llm.textops import table
 
 #: Files of the installed tokenizers; a parameter of the operators.
@@ -26,9 +26,19 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
     "op5_byte_bpe": op5_byte_bpe,
+    "op6_decontaminate": op6_decontaminate,
     "op7_language_id": op7_language_id,
+    "op10_toxicity": op10_toxicity,
 }
 ORACLES: dict[str, str] = {}

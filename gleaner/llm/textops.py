@@ -117,6 +117,29 @@ def runs(inside: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return s, e, np.searchsorted(s, offsets)
 
 
+ALNUM = np.zeros(256, bool)
+ALNUM[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
+
+
+def folded(data: np.ndarray) -> np.ndarray:
+    """Lower-cases A-Z and the two-byte letters from U+00C0 to U+00DE."""
+    out = LOWER[data]
+    at = np.flatnonzero(data[:-1] == 0xC3) + 1 if len(data) else np.zeros(0, np.int64)
+    at = at[(data[at] >= 0x80) & (data[at] <= 0x9E) & (data[at] != 0x97)]
+    out[at] += 32
+    return out
+
+
+def plain_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of letters and digits whatever their case and punctuation: hashes, starts, ends, each document's first."""
+    s, e, at = runs(ALNUM[data], offsets)
+    return span_hashes(folded(data), s, e), s, e, at
+
+
+def string_array(texts: list[str]) -> pa.Array:
+    return pa.array(texts, pa.large_string())
+
+
 def doc_of(counts_offsets: np.ndarray) -> np.ndarray:
     """Index of the document that each item belongs to, from offsets of items."""
     return np.repeat(np.arange(len(counts_offsets) - 1), np.diff(counts_offsets))
