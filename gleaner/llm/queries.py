@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.llm import bpe, decontaminate, langid, licenses, neighbours, quality, toxicity
+from gleaner.llm import bpe, decontaminate, jaccard, langid, licenses, neighbours, quality, toxicity
 from gleaner.llm.textops import table
 
 #: Files of the installed tokenizers; a parameter of the operators.
@@ -42,6 +42,10 @@ def op3_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.report(table(spark, sf_dir, "embeddings"))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.clusters(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_quality": op2_quality,
@@ -49,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_byte_bpe": op5_byte_bpe,
     "op6_decontaminate": op6_decontaminate,
     "op7_language_id": op7_language_id,
+    "op8_jaccard_join": op8_jaccard_join,
     "op10_toxicity": op10_toxicity,
 }
 ORACLES: dict[str, str] = {}
