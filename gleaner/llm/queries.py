@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.llm import bpe, decontaminate, jaccard, langid, licenses, neighbours, quality, toxicity
+from gleaner.llm import bpe, decontaminate, jaccard, langid, licenses, neighbours, quality, suffix_dedup, toxicity
 from gleaner.llm.textops import table
 
 #: Files of the installed tokenizers; a parameter of the operators.
@@ -46,10 +46,15 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.clusters(table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_quality": op2_quality,
     "op3_nearest": op3_nearest,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_decontaminate": op6_decontaminate,
     "op7_language_id": op7_language_id,

@@ -257,26 +257,31 @@ def _equal_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 class CoverSample:
-    """Ranks of the suffixes at sample places by their first 64, 128, 256 and 512 bytes."""
+    """Ranks of the suffixes at sample places: by their first 64, 128, 256, ... bytes, until all differ."""
 
     def __init__(self, text: np.ndarray):
         self.text = np.append(text, np.zeros(2 * LENGTH + 1024, np.uint8))
         blocks = len(self.text) // COVER - 10
         self.places = (np.arange(blocks)[:, None] * COVER + SAMPLE[None]).reshape(-1)
         words = [self.word(self.places + 8 * k) for k in range(COVER // 8)]
+        # places in the last block of the padding have nothing behind them that could tell them apart
+        words.append(np.maximum(np.arange(len(self.places)) - (len(self.places) - len(SAMPLE)), 0).astype(X.U64))
         order = np.lexsort(words[::-1])
         new = np.logical_or.reduce([w[order][1:] != w[order][:-1] for w in words])
         rank = self._ranks(order, new)
         self.names = {COVER: rank}
         size = COVER
-        while size < 512:
+        while size < 256 or (rank.max(initial=0) + 1 < len(rank) and size < len(self.text)):
             # the place ``size`` bytes on is a sample place too, so many slots on
-            then = np.append(rank, np.full(size // COVER * len(SAMPLE), -1))[size // COVER * len(SAMPLE) :][: len(rank)]
+            on = min(size // COVER * len(SAMPLE), len(rank))
+            then = np.append(rank[on:], np.full(on, -1))
             order = np.lexsort((then, rank))
             new = (rank[order][1:] != rank[order][:-1]) | (then[order][1:] != then[order][:-1])
             rank = self._ranks(order, new)
             size *= 2
-            self.names[size] = rank
+            if size <= 256:
+                self.names[size] = rank
+        self.rank = rank
 
     @staticmethod
     def _ranks(order: np.ndarray, new: np.ndarray) -> np.ndarray:
@@ -297,8 +302,7 @@ class CoverSample:
     def less(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """Whether suffix i sorts before suffix j, given that their first COVER bytes agree."""
         delta = DELTA[i % COVER, j % COVER]
-        rank = self.names[512]
-        return rank[self.slot(i + delta)] < rank[self.slot(j + delta)]
+        return self.rank[self.slot(i + delta)] < self.rank[self.slot(j + delta)]
 
     def equal(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """Whether LENGTH bytes agree, given that the first COVER bytes do."""
