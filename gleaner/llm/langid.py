@@ -230,6 +230,17 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep_text: bool =
     return docs.mapInArrow(run, schema)
 
 
+def accept(docs: DataFrame, model: Model, least: float, text: str = "text") -> DataFrame:
+    """The documents whose language is known with a probability of ``least`` or more, unchanged."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in X.slices(batches, text):
+            keep = [bool(len(w)) and bool(model.languages) and float(model.probabilities(w, c).max()) >= least for w, c in features(*X.string_bytes(batch.column(text)))]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def learning_rows(docs: DataFrame) -> DataFrame:
     return docs.where(X.remainder(F.col("doc_id"), 4) != 2).select("doc_id", "text", "lang")
 

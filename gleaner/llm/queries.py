@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gleaner.llm import bpe, decontaminate, jaccard, langid, licenses, neighbours, quality, suffix_dedup, toxicity
+from gleaner.llm import bpe, decontaminate, jaccard, langid, language_model, licenses, neighbours, quality, suffix_dedup, toxicity
 from gleaner.llm.textops import table
 
 #: Files of the installed tokenizers; a parameter of the operators.
@@ -50,6 +50,10 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.report(table(spark, sf_dir, "documents"))
 
 
+def op9_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_license_scan": op1_license_scan,
     "op2_quality": op2_quality,
@@ -59,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_decontaminate": op6_decontaminate,
     "op7_language_id": op7_language_id,
     "op8_jaccard_join": op8_jaccard_join,
+    "op9_language_model": op9_language_model,
     "op10_toxicity": op10_toxicity,
 }
 ORACLES: dict[str, str] = {}
