@@ -6,7 +6,8 @@ Exact, in steps that each cut what the next one has to move:
 2. Prefixes: a fixed-size counting sketch orders shingles, frequent ones last.  The first entries of a set in that order are
    shuffled (packed, by shingle).  Two linked sets must share a known number of prefix entries; a class that
    shares too few with all others together is done.
-3. Classes left over that share a prefix entry form candidate groups (stars, contracted to components).
+3. Classes left over form candidate groups: pairs that share enough entries, and stars of shingles in a crowd of classes
+   (for those classes that have enough such entries to link by them), contracted to components.
 4. Signature trees verify inside a group: documents are ordered by size, every node holds the OR of its documents' token
    bitmaps and its size range, and a dual traversal drops node pairs whose largest possible overlap is too small.
    Pairs already in one component are skipped, others are compared in full.
@@ -36,6 +37,11 @@ from gleaner.operators.components import components
 WORDS = 5
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 75
+#: Prefixes hold this percentage of a set beyond what any link must share one entry of; a link must share as many more.
+EXTRA = 35
+PEELS = 2
+#: Shingles with more classes than this link candidates as a star, others pair by pair.
+CROWD = 48
 SKETCH_BITS = 20
 BLOOM_BITS = 23
 BLOCK, LEADERS = 128, 12
@@ -107,7 +113,7 @@ def _prefixes(level: np.ndarray, bits: int):
 
     def pick(own: np.ndarray) -> np.ndarray:
         n = len(own)
-        most = n - -(-PERCENT * n // 100) + 1 + n // 10
+        most = n - -(-PERCENT * n // 100) + 1 + EXTRA * n // 100
         lv = level[(own & X.U64(len(level) - 1)).astype(np.int64)]
         return own[np.lexsort((own, lv))[:most]] if lv.any() else own[:most]
 
@@ -145,21 +151,38 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     size = np.diff(np.append(heads, len(h)))
     df = np.repeat(size, size)
     keep = df > 1
-    h, c, df = h[keep], c[keep], df[keep].astype(np.uint32)
+    h, c = h[keep], c[keep]
     # rows end at shingle bounds
     a = 0
     while a < len(h):
         b = min(len(h), a + 400_000)
         if b < len(h):
             b = int(np.searchsorted(h, h[b - 1], side="right"))
-        yield pa.RecordBatch.from_arrays([pa.array([exchange.planes(x[a:b])], pa.binary()) for x in (h, c, df)], ["h", "c", "df"])
+        yield pa.RecordBatch.from_arrays([pa.array([exchange.planes(x[a:b])], pa.binary()) for x in (h, c)], ["h", "c"])
         a = b
 
 
-def _tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    got = exchange.gather(batches, {"c": X.U64, "df": np.uint32})
-    c, back = np.unique(got["c"], return_inverse=True)
-    yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)), pa.array(np.bincount(back, minlength=len(c))), pa.array(np.bincount(back, np.log2(got["df"] + 1.0), minlength=len(c)).astype(float))], ["c1", "shared", "fame"])
+def _tally(bits: np.ndarray | None):
+    """By class, how many of its entries another class that is still in play (by the filter ``bits``) shares."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = []
+        for batch in batches:
+            for i in range(batch.num_rows):
+                h, c = (exchange.unplane(batch.column(n)[i].as_buffer(), X.U64) for n in ("h", "c"))
+                if bits is not None:
+                    on = in_bloom(bits, c)
+                    h, c = h[on], c[on]
+                at = np.flatnonzero(np.append(True, h[1:] != h[:-1])[: len(h)])
+                size = np.diff(np.append(at, len(h)))
+                df = np.repeat(size, size)
+                found.append((c[df > 1], df[df > 1]))
+        if found:
+            c, back = np.unique(np.concatenate([x for x, _ in found]), return_inverse=True)
+            df = np.concatenate([x for _, x in found])
+            yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)), pa.array(np.bincount(back, minlength=len(c))), pa.array(np.bincount(back, np.log2(df + 1.0), minlength=len(c)).astype(float))], ["c1", "shared", "fame"])
+
+    return run
 
 
 def bloom(rows: DataFrame, key) -> np.ndarray:
@@ -180,20 +203,63 @@ def in_bloom(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
     return ok
 
 
-def _stars(bits: np.ndarray):
+def _groups(batches: Iterator[pa.RecordBatch], bits: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """Entries (shingle, class, number of classes) of the classes in play, by row of ``shared``."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            h, c = (exchange.unplane(batch.column(n)[i].as_buffer(), X.U64) for n in ("h", "c"))
+            on = in_bloom(bits, c)
+            h, c = h[on], c[on].view(np.int64)
+            at = np.flatnonzero(np.append(True, h[1:] != h[:-1])[: len(h)])
+            size = np.diff(np.append(at, len(h)))
+            df = np.repeat(size, size)
+            yield h[df > 1], c[df > 1], df[df > 1]
+
+
+def _pairs(bits: np.ndarray):
+    """How many entries two classes share of the shingles with at most ``CROWD`` classes."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                h, c = (exchange.unplane(batch.column(n)[i].as_buffer(), X.U64) for n in ("h", "c"))
-                on = in_bloom(bits, c)
-                h, c = h[on], c[on].view(np.int64)
-                head = np.append(True, h[1:] != h[:-1])[: len(h)]
-                at = np.flatnonzero(head)
+        for h, c, df in _groups(batches, bits):
+            h, c = h[df <= CROWD], c[df <= CROWD]
+            left, right = [], []
+            for k in range(1, CROWD):
+                at = np.flatnonzero(h[k:] == h[:-k])
                 if not len(at):
-                    continue
-                center = np.repeat(c[at], np.diff(np.append(at, len(h))))
-                pairs = np.unique(np.column_stack([center, c])[~head], axis=0) if len(h) else np.zeros((0, 2), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+                    break
+                left.append(c[at])
+                right.append(c[at + k])
+            if left:
+                a, b = np.concatenate(left), np.concatenate(right)
+                pairs, n = np.unique(np.column_stack([np.minimum(a, b), np.maximum(a, b)]), axis=0, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(n)], ["a", "b", "n"])
+
+    return run
+
+
+def _crowds(bits: np.ndarray):
+    """By class, its entries of shingles with more classes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, c, df in _groups(batches, bits):
+            keys, n = np.unique(c[df > CROWD], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], ["c1", "crowded"])
+
+    return run
+
+
+def _stars(bits: np.ndarray, crowded: np.ndarray):
+    """Links from the first class of each crowded shingle to its others, among classes with enough such entries."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for h, c, df in _groups(batches, bits):
+            on = (df > CROWD) & in_bloom(crowded, c.view(X.U64))
+            h, c = h[on], c[on]
+            head = np.append(True, h[1:] != h[:-1])[: len(h)]
+            at = np.flatnonzero(head)
+            center = np.repeat(c[at], np.diff(np.append(at, len(h))))
+            pairs = np.unique(np.column_stack([center, c])[~head], axis=0) if len(h) else np.zeros((0, 2), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
     return run
 
@@ -329,12 +395,23 @@ def classes_and_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     level = frequency_levels(docs)
     bits = exchange.part_bits(spark)
     entries = exchange.deal(docs.select("text").mapInArrow(_prefixes(level, bits), "part int, h binary, c binary"))
-    shared = entries.mapInArrow(_shared, "h binary, c binary, df binary").checkpoint()
-    tally = shared.mapInArrow(_tally, "c1 long, shared long, fame double").groupBy("c1").agg(F.sum("shared").alias("shared"), (F.sum("fame") / F.sum("shared")).alias("fame"))
-    # the smaller set of a link has at least PERCENT of the larger one's size, hence at least that share of its tenth
-    least = 1 + F.floor(F.floor(F.col("n") * PERCENT / 100) / 10)
-    left = tally.join(classes, "c1").where(F.col("shared") >= least).select("c1", F.coalesce("doc", F.lit(-1)).alias("doc"), "n", "fame").checkpoint()
-    edges = shared.mapInArrow(_stars(bloom(left, F.col("c1"))), "a long, b long").distinct()
+    shared = entries.mapInArrow(_shared, "h binary, c binary").checkpoint()
+    # a link's smaller set has at least PERCENT of the size of its larger one, which bounds the extra entries that both share
+    least = 1 + F.floor(F.floor(F.col("n") * PERCENT / 100) * EXTRA / 100)
+    left = None
+    for _ in range(PEELS):  # entries shared with classes that are done count no more
+        tally = shared.mapInArrow(_tally(None if left is None else bloom(left, F.col("c1"))), "c1 long, shared long, fame double").groupBy("c1").agg(F.sum("shared").alias("shared"), (F.sum("fame") / F.sum("shared")).alias("fame"))
+        left = tally.join(classes, "c1").where(F.col("shared") >= least).select("c1", F.coalesce("doc", F.lit(-1)).alias("doc"), "n", "fame").checkpoint()
+    # of a link's shared entries at least half are crowded or at least half are not
+    in_play = bloom(left, F.col("c1"))
+    half = lambda n: F.ceil((1 + F.floor(n * EXTRA / 100)) / 2)
+    pairs = shared.mapInArrow(_pairs(in_play), "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("k"))
+    n_a, n_b = (left.select(F.col("c1").alias(x), F.col("n").alias(f"n_{x}")) for x in "ab")
+    edges = pairs.join(n_a, "a").join(n_b, "b").where(F.col("k") >= half(F.least("n_a", "n_b"))).select("a", "b")
+    crowds = shared.mapInArrow(_crowds(in_play), "c1 long, crowded long").groupBy("c1").agg(F.sum("crowded").alias("crowded")).join(left, "c1")
+    crowded = bloom(crowds.where(F.col("crowded") >= half(F.floor(F.col("n") * PERCENT / 100))), F.col("c1"))
+    if crowded.any():
+        edges = edges.unionAll(shared.mapInArrow(_stars(in_play, crowded), "a long, b long"))
     groups = components(edges).select(F.col("id").alias("c1"), F.col("label").alias("comp"))
     members = left.join(groups, "c1")
     sizes = members.groupBy("comp").agg(F.count("*").alias("size")).where("size > 1")
