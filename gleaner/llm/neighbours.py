@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from gleaner.llm import textops as X
 
-PROJECTIONS = 60
+PROJECTIONS = 48
 #: Window width for radius 1; a vector within the radius falls into a window with probability 0.84.
 WIDTH = 2.8
 #: Share of the windows that a vector must fall into to be verified.
@@ -43,8 +43,8 @@ class Shard:
         rng = np.random.default_rng(2024)
         self.axes = rng.standard_normal((vectors.shape[1], PROJECTIONS))
         values = (self.vectors / self.norms[:, None]) @ self.axes
-        self.order = np.argsort(values, axis=0, kind="stable").T.astype(np.int32)
-        self.sorted = np.take_along_axis(values.T, self.order.astype(np.int64), axis=1)
+        self.order = np.argsort(np.ascontiguousarray(values.T), axis=1, kind="stable")
+        self.sorted = np.ascontiguousarray(np.take_along_axis(values.T, self.order, axis=1))
 
     def search(self, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Positions and cosines of verified vectors; the best ``k`` are among them."""
@@ -52,7 +52,7 @@ class Shard:
         q = query.astype(np.float64)
         length = np.sqrt((q**2).sum())
         at = (q / length) @ self.axes
-        count = np.zeros(n, np.uint8)
+        count = np.zeros(n, np.int64)
         need = int(np.ceil(THRESHOLD * PROJECTIONS))
         checked = np.zeros(n, bool)
         found, cosines = [], []
@@ -62,11 +62,14 @@ class Shard:
         high = np.array([np.searchsorted(self.sorted[j], at[j] + WIDTH / 2 * radii) for j in range(PROJECTIONS)])
         for r in range(1, ROUNDS + 1):
             radius = radii[r]
+            new = []
             for order, (b, a), (c, d) in zip(self.order, low[:, r - 1 : r + 1].tolist(), high[:, r - 1 : r + 1].tolist()):
                 if a < b:
-                    count[order[a:b]] += 1
+                    new.append(order[a:b])
                 if c < d:
-                    count[order[c:d]] += 1
+                    new.append(order[c:d])
+            if new:
+                count += np.bincount(np.concatenate(new), minlength=n)
             everything = r == ROUNDS
             new = np.flatnonzero(~checked if everything else (count >= need) & ~checked)
             if len(new):
