@@ -2,5 +2,642 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from gleaner.functions import geometry as G
+from gleaner.functions import hashing as H
+from gleaner.functions import text as X
+from gleaner.operators import collect as C
+from gleaner.operators import corpus as O
+from gleaner.operators import layout as L
+from gleaner.sources import html, labelstudio
+from gleaner.sources.tables import table
+from gleaner.streaming import streams
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+#: Text functions in DuckDB's dialect.
+S_STRIP = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
+S_PREP = "regexp_replace(regexp_replace(regexp_replace(lower({}), '\\s+', ' ', 'g'), '[^\\p{{L}}\\p{{N}}_\\s]', '', 'g'), '^\\s+|\\s+$', '', 'g')"
+S_WORDS = "list_filter(string_split_regex({}, '\\s+'), lambda w: w <> '')"
+S_WORD3 = f"""CASE WHEN len({{w}}) = 0 THEN CAST([] AS VARCHAR[]) WHEN len({{w}}) < 3 THEN [array_to_string({{w}}, ' ')]
+  ELSE list_distinct(list_transform(range(1, len({{w}}) - 1), lambda i: array_to_string(list_slice({{w}}, i, i + 2), ' '))) END"""
+
+PERM, BANDS, SIMILAR = 128, 16, 0.7
+
+
+def docs(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents")
+
+
+# --- exact duplicates, text preparation -------------------------------------------------------------------------------
+
+@query("exact_dedup", "SELECT doc_id, kept AS kept_id, doc_id > kept AS dropped FROM (SELECT doc_id, min(doc_id) OVER (PARTITION BY md5(text)) AS kept FROM documents)")
+def exact_dedup(spark, d):
+    rows = O.first_of_equal(docs(spark, d), O.content_key(F.col("text")), "doc_id")
+    return rows.select("doc_id", F.col("kept").alias("kept_id"), (F.col("doc_id") > F.col("kept")).alias("dropped"))
+
+
+@query("dedup_metrics", "SELECT count(*) AS processed, count(*) - count(DISTINCT md5(text)) AS duplicates, round((count(*) - count(DISTINCT md5(text))) / count(*), 6) AS dedup_ratio FROM documents")
+def dedup_metrics(spark, d):
+    rows = exact_dedup(spark, d)
+    gone = F.count_if("dropped")
+    return rows.agg(F.count("*").alias("processed"), gone.alias("duplicates"), F.round(F.coalesce(F.try_divide(gone, F.count("*")), F.lit(0.0)), 6).alias("dedup_ratio"))
+
+
+@query("fingerprint_dedup", "SELECT min(doc_id) AS first_id, sha256(text) AS fingerprint, count(*) AS copies FROM documents GROUP BY 2")
+def fingerprint_dedup(spark, d):
+    return docs(spark, d).groupBy(F.sha2("text", 256).alias("fingerprint")).agg(F.min("doc_id").alias("first_id"), F.count("*").alias("copies"))
+
+
+@query("preprocess_text", f"SELECT doc_id, md5({S_PREP.format('text')}) AS prepared FROM documents")
+def preprocess_text(spark, d):
+    return docs(spark, d).select("doc_id", F.md5(X.preprocess(F.col("text"))).alias("prepared"))
+
+
+@query("char_shingle_count", f"""WITH t AS (SELECT doc_id, {S_STRIP.format('lower(text)')} AS s FROM documents)
+SELECT doc_id, CAST(CASE WHEN length(s) = 0 THEN 0 WHEN length(s) < 5 THEN 1 ELSE (SELECT count(DISTINCT substring(s, i, 5)) FROM range(1, length(s) - 3) r(i)) END AS BIGINT) AS n FROM t""")
+def char_shingle_count(spark, d):
+    return docs(spark, d).select("doc_id", F.size(X.char_shingles(F.col("text"), 5)).cast("long").alias("n"))
+
+
+@query("word_shingle_count", f"WITH t AS (SELECT doc_id, {S_WORDS.format('lower(text)')} AS w FROM documents) SELECT doc_id, len({S_WORD3.format(w='w')}) AS n FROM t")
+def word_shingle_count(spark, d):
+    return docs(spark, d).select("doc_id", F.size(X.word_shingles(F.col("text"), 3)).cast("long").alias("n"))
+
+
+@query("jaccard_pairs", f"""WITH t AS (SELECT doc_id, {S_WORDS.format('lower(text)')} AS w FROM documents), s AS (SELECT doc_id, {S_WORD3.format(w='w')} AS g FROM t)
+SELECT a.doc_id AS a, b.doc_id AS b, round(CASE WHEN len(a.g) = 0 AND len(b.g) = 0 THEN 1.0 WHEN len(a.g) = 0 OR len(b.g) = 0 THEN 0.0 ELSE len(list_intersect(a.g, b.g)) / len(list_distinct(list_concat(a.g, b.g))) END, 6) AS jaccard
+FROM s a JOIN s b ON b.doc_id = a.doc_id + 1""")
+def jaccard_pairs(spark, d):
+    s = docs(spark, d).select("doc_id", X.word_shingles(F.col("text"), 3).alias("g"))
+    a, b = s.select(F.col("doc_id").alias("a"), F.col("g").alias("ga")), s.select(F.col("doc_id").alias("b"), F.col("g").alias("gb"))
+    return a.join(b, F.col("b") == F.col("a") + 1).select("a", "b", F.round(X.jaccard(F.col("ga"), F.col("gb")), 6).alias("jaccard"))
+
+
+# --- MinHash ----------------------------------------------------------------------------------------------------------
+
+def _perm_values() -> str:
+    a, b = H.permutations(PERM)
+    return ", ".join(f"({i}, {x}, {y})" for i, (x, y) in enumerate(zip(a, b)))
+
+
+def _sig_sql(source: str, id: str) -> str:
+    return f"""perms(p, a, b) AS (VALUES {_perm_values()}),
+w AS (SELECT {id} AS id, {S_WORDS.format(S_PREP.format('text'))} AS w FROM {source}),
+g AS (SELECT id, unnest({S_WORD3.format(w='w')}) AS s FROM w),
+v AS (SELECT DISTINCT id, CAST(CAST('0x' || substr(sha1(s), 1, 16) AS UBIGINT) AS HUGEINT) AS v FROM g),
+sig AS (SELECT id, p, CAST(min(((CAST(a AS HUGEINT) * v + b) % 2305843009213693951) % 4294967296) AS BIGINT) AS m FROM v, perms GROUP BY id, p),
+full_sig AS (SELECT w.id, perms.p, coalesce(sig.m, 4294967295) AS m FROM w CROSS JOIN perms LEFT JOIN sig ON sig.id = w.id AND sig.p = perms.p)"""
+
+
+_BAND_SQL = """bands AS (SELECT id, p // 8 AS band, string_agg(m::VARCHAR, ',' ORDER BY p) AS k FROM full_sig GROUP BY id, p // 8)"""
+_PAIR_SQL = """cand AS (SELECT DISTINCT l.id AS a, r.id AS b FROM bands l JOIN bands r USING (band, k) WHERE l.id < r.id),
+pairs AS (SELECT a, b, count(*) FILTER (WHERE x.m = y.m) / 128 AS sim FROM cand JOIN full_sig x ON x.id = a JOIN full_sig y ON y.id = b AND y.p = x.p GROUP BY a, b HAVING count(*) FILTER (WHERE x.m = y.m) / 128 >= 0.7)"""
+_CLUSTER_SQL = """reach(id, r) AS (SELECT id, id FROM w UNION SELECT e.y, reach.r FROM reach JOIN (SELECT a AS x, b AS y FROM pairs UNION ALL SELECT b, a FROM pairs) e ON e.x = reach.id),
+clusters AS (SELECT id, min(r) AS label FROM reach GROUP BY id)"""
+
+
+def _shingles() -> Column:
+    return X.word_shingles(X.preprocess(F.col("text")), 3)
+
+
+def _sigs(spark, d) -> DataFrame:
+    return O.signatures(docs(spark, d), _shingles(), "doc_id", PERM)
+
+
+@query("minhash_signature", f"WITH {_sig_sql('documents', 'doc_id')} SELECT id AS doc_id, md5(string_agg(m::VARCHAR, ',' ORDER BY p)) AS signature FROM full_sig GROUP BY id")
+def minhash_signature(spark, d):
+    return _sigs(spark, d).select(F.col("id").alias("doc_id"), F.md5(F.array_join(F.col("sig").cast("array<string>"), ",")).alias("signature"))
+
+
+@query("lsh_bands", f"WITH {_sig_sql('documents', 'doc_id')}, {_BAND_SQL} SELECT band, md5(k) AS bucket, count(*) AS members FROM bands GROUP BY band, k")
+def lsh_bands(spark, d):
+    keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.md5(F.array_join(F.slice(F.col("sig"), i * 8 + 1, 8).cast("array<string>"), ",")))
+    return _sigs(spark, d).select(F.posexplode(keys).alias("band", "bucket")).groupBy(F.col("band").cast("long").alias("band"), "bucket").agg(F.count("*").alias("members"))
+
+
+@query("lsh_index_stats", f"WITH {_sig_sql('documents', 'doc_id')}, {_BAND_SQL} SELECT (SELECT count(*) FROM w) AS documents, (SELECT count(*) FROM (SELECT DISTINCT band, k FROM bands)) AS total_buckets, round((SELECT count(*) FROM w) / (SELECT count(*) FROM (SELECT DISTINCT band, k FROM bands)), 6) AS avg_bucket_size")
+def lsh_index_stats(spark, d):
+    b = O.bands(_sigs(spark, d), PERM, BANDS).groupBy("band", "bucket").agg(F.count("*").alias("n"))
+    t = b.agg((F.sum("n") / BANDS).cast("long").alias("documents"), F.count("*").alias("total_buckets"))
+    return t.withColumn("avg_bucket_size", F.round(F.try_divide("documents", "total_buckets"), 6))
+
+
+@query("lsh_similar_pairs", f"WITH {_sig_sql('documents', 'doc_id')}, {_BAND_SQL}, {_PAIR_SQL} SELECT a, b, sim FROM pairs")
+def lsh_similar_pairs(spark, d):
+    return O.similar_pairs(_sigs(spark, d), SIMILAR, PERM, BANDS)
+
+
+@query("near_dup_clusters", f"WITH RECURSIVE {_sig_sql('documents', 'doc_id')}, {_BAND_SQL}, {_PAIR_SQL}, {_CLUSTER_SQL} SELECT id AS doc_id, label AS cluster_id FROM clusters")
+def near_dup_clusters(spark, d):
+    out = O.near_duplicate_clusters(docs(spark, d), _shingles(), "doc_id", SIMILAR, PERM, BANDS)
+    return out.select(F.col("id").alias("doc_id"), F.col("label").alias("cluster_id"))
+
+
+@query("near_dup_keep_first", f"WITH RECURSIVE {_sig_sql('documents', 'doc_id')}, {_BAND_SQL}, {_PAIR_SQL}, {_CLUSTER_SQL} SELECT label AS doc_id, count(*) AS cluster_size FROM clusters GROUP BY label")
+def near_dup_keep_first(spark, d):
+    return near_dup_clusters(spark, d).groupBy(F.col("cluster_id").alias("doc_id")).agg(F.count("*").alias("cluster_size"))
+
+
+@query("greedy_near_dup")
+def greedy_near_dup(spark, d):
+    O.use_checkpoints(spark)
+    sigs = _sigs(spark, d).checkpoint()
+    return O.greedy_near_duplicates(O.similar_pairs(sigs, SIMILAR, PERM, BANDS), sigs.select("id")).select(F.col("id").alias("doc_id"), "kept")
+
+
+@query("lsh_topk_query", f"""WITH bench AS (SELECT -1 - item_id AS id, text FROM benchmark), both_ AS (SELECT doc_id AS id, text FROM documents UNION ALL SELECT id, text FROM bench), {_sig_sql('both_', 'id')}, {_BAND_SQL},
+hits AS (SELECT DISTINCT q.id AS q, r.id AS id FROM bands q JOIN bands r USING (band, k) WHERE q.id < 0 AND r.id >= 0),
+scored AS (SELECT q, hits.id, count(*) FILTER (WHERE x.m = y.m) / 128 AS sim FROM hits JOIN full_sig x ON x.id = q JOIN full_sig y ON y.id = hits.id AND y.p = x.p GROUP BY q, hits.id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY sim DESC, id) AS rank FROM scored)
+SELECT -1 - q AS item_id, id AS doc_id, sim, rank FROM ranked WHERE rank <= 3""")
+def lsh_topk_query(spark, d):
+    items = O.signatures(table(spark, d, "benchmark"), _shingles(), "item_id", PERM)
+    got = O.query_index(items, _sigs(spark, d), 3, PERM, BANDS)
+    return got.select(F.col("query_id").alias("item_id"), F.col("id").alias("doc_id"), "sim", F.col("rank").cast("long").alias("rank"))
+
+
+@query("lsh_probability", "SELECT s / 20.0 AS similarity, round(1 - pow(1 - pow(s / 20.0, 8), 16), 9) AS probability FROM range(1, 21) r(s)")
+def lsh_probability(spark, d):
+    s = F.col("id") / 20.0
+    return spark.range(1, 21).select(s.cast("double").alias("similarity"), F.round(1 - F.pow(1 - F.pow(s, F.lit(8)), F.lit(16)), 9).alias("probability"))
+
+
+# --- Bloom ------------------------------------------------------------------------------------------------------------
+
+BLOOM_M, BLOOM_K = H.bloom_size(20_000, 0.01)
+
+
+def _md5_sql(item: str, m: int) -> str:
+    h = f"md5(i::VARCHAR || ':' || {item})"
+    value = "0"
+    for k in range(4):
+        value = f"(({value}) * 4294967296 % {m} + CAST('0x' || substr({h}, {8 * k + 1}, 8) AS BIGINT)) % {m}"
+    return value
+
+
+_BITS_SQL = f"SELECT DISTINCT {_md5_sql('url', BLOOM_M)} AS p FROM pages, range(0, {BLOOM_K}) r(i)"
+
+
+@query("bloom_positions", f"SELECT page_id, i AS hash, {_md5_sql('url', BLOOM_M)} AS pos FROM pages, range(0, {BLOOM_K}) r(i)")
+def bloom_positions(spark, d):
+    return table(spark, d, "pages").select("page_id", F.posexplode(H.bloom_positions(F.col("url"), BLOOM_M, BLOOM_K)).alias("hash", "pos")).withColumn("hash", F.col("hash").cast("long"))
+
+
+@query("bloom_contains", f"""WITH bits AS ({_BITS_SQL}), probes AS (SELECT DISTINCT url AS item FROM pages UNION SELECT DISTINCT lower(url) || '/' FROM pages)
+SELECT item, bool_and(bits.p IS NOT NULL) AS maybe FROM (SELECT item, {_md5_sql('item', BLOOM_M)} AS q FROM probes, range(0, {BLOOM_K}) r(i)) LEFT JOIN bits ON bits.p = q GROUP BY item""")
+def bloom_contains(spark, d):
+    pages = table(spark, d, "pages")
+    bloom = O.bloom_build(pages, "url", BLOOM_M, BLOOM_K)
+    probes = pages.select(F.col("url").alias("item")).union(pages.select(F.concat(F.lower("url"), F.lit("/")))).distinct()
+    return O.bloom_contains(probes, "item", bloom, BLOOM_M, BLOOM_K)
+
+
+@query("bloom_stats", f"""WITH bits AS ({_BITS_SQL}), n AS (SELECT count(*) AS n FROM pages)
+SELECT {BLOOM_M} AS bits, {BLOOM_K} AS hashes, n AS inserted, (SELECT count(*) FROM bits) AS ones, round((SELECT count(*) FROM bits) / {BLOOM_M}, 6) AS fill_ratio, round(pow(1 - exp(-{BLOOM_K} * n / {BLOOM_M}), {BLOOM_K}), 6) AS estimated_fpr, {(BLOOM_M + 7) // 8} AS memory_bytes FROM n""")
+def bloom_stats(spark, d):
+    pages = table(spark, d, "pages")
+    return O.bloom_stats(O.bloom_build(pages, "url", BLOOM_M, BLOOM_K), pages.count(), BLOOM_M, BLOOM_K)
+
+
+@query("counting_bloom_remove", f"""WITH up AS (SELECT {_md5_sql('url', BLOOM_M)} AS pos, count(*) AS c FROM pages, range(0, {BLOOM_K}) r(i) GROUP BY 1),
+down AS (SELECT {_md5_sql('url', BLOOM_M)} AS pos, count(*) AS c FROM (SELECT DISTINCT url FROM pages WHERE url LIKE 'https%'), range(0, {BLOOM_K}) r(i) GROUP BY 1)
+SELECT up.pos, greatest(0, up.c - coalesce(down.c, 0)) AS cnt FROM up LEFT JOIN down USING (pos) WHERE up.c - coalesce(down.c, 0) > 0""")
+def counting_bloom_remove(spark, d):
+    pages = table(spark, d, "pages")
+    return O.counting_bloom(pages, pages.where("url LIKE 'https%'").select("url").distinct(), "url", BLOOM_M, BLOOM_K)
+
+
+@query("url_dedup", "WITH u AS (SELECT page_id AS ord, url FROM pages UNION ALL SELECT page_id + 1000000000, upper(url) || '/' FROM pages) SELECT regexp_replace(lower(url), '/+$', '') AS url, min(ord) AS first_ord, count(*) AS seen FROM u GROUP BY 1")
+def url_dedup(spark, d):
+    p = table(spark, d, "pages")
+    u = p.select(F.col("page_id").alias("ord"), "url").union(p.select(F.col("page_id") + 1000000000, F.concat(F.upper("url"), F.lit("/"))))
+    return u.groupBy(X.normalize_url(F.col("url")).alias("url")).agg(F.min("ord").alias("first_ord"), F.count("*").alias("seen"))
+
+
+# --- substrings, words, vocabularies ----------------------------------------------------------------------------------
+
+@query("word_freq_topk", f"SELECT w AS word, count(*) AS cnt FROM (SELECT unnest({S_WORDS.format('lower(text)')}) AS w FROM documents) GROUP BY w ORDER BY cnt DESC, w LIMIT 50")
+def word_freq_topk(spark, d):
+    return docs(spark, d).select(F.explode(X.words(F.lower("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("cnt")).orderBy(F.desc("cnt"), "word").limit(50)
+
+
+@query("bigram_top", """WITH b AS (SELECT doc_id, i, substring(text, i, 2) AS bigram FROM documents, range(1, 200000) r(i) WHERE i < length(text)),
+c AS (SELECT doc_id, bigram, count(*) AS cnt, min(i) AS f FROM b WHERE NOT contains(bigram, ' ') GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY cnt DESC, f) AS n FROM c)
+SELECT d.doc_id, bigram, cnt FROM documents d LEFT JOIN r ON r.doc_id = d.doc_id AND n = 1""")
+def bigram_top(spark, d):
+    return O.frequent_bigram(docs(spark, d), "doc_id")
+
+
+@query("repeated_substrings", """SELECT item_id, substring(text, i, k) AS substring, count(*) AS cnt FROM benchmark, range(1, 2000) r(i), range(2, 13) q(k)
+WHERE i + k - 1 <= length(text) AND k < length(text) GROUP BY 1, 2 HAVING count(*) >= 2""")
+def repeated_substrings(spark, d):
+    return O.repeated_substrings(table(spark, d, "benchmark"), "item_id", "text", 2, 12)
+
+
+_SA_SQL = """s AS (SELECT item_id, i AS pos, substring(text, i + 1) AS s FROM benchmark, range(0, 2000) r(i) WHERE i < length(text)),
+o AS (SELECT item_id, pos, s, row_number() OVER w - 1 AS sa_rank, lag(s) OVER w AS b FROM s WINDOW w AS (PARTITION BY item_id ORDER BY s)),
+sa AS (SELECT item_id, pos, s, sa_rank, CASE WHEN b IS NULL THEN 0 ELSE len(list_filter(range(1, least(length(s), length(b)) + 1), lambda k: substring(s, 1, k) = substring(b, 1, k))) END AS lcp FROM o)"""
+
+
+@query("suffix_array_lcp", f"WITH {_SA_SQL} SELECT item_id, sa_rank, pos, lcp FROM sa")
+def suffix_array_lcp(spark, d):
+    return O.suffix_array(table(spark, d, "benchmark"), "item_id").select("item_id", *(F.col(c).cast("long").alias(c) for c in ("sa_rank", "pos", "lcp")))
+
+
+@query("longest_repeated_substring", f"WITH {_SA_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY lcp DESC, sa_rank) AS n FROM sa) SELECT item_id, substring(s, 1, lcp) AS lrs FROM r WHERE n = 1")
+def longest_repeated_substring(spark, d):
+    return O.longest_repeated_substring(table(spark, d, "benchmark"), "item_id")
+
+
+_GRAM8 = "list_distinct(list_transform(range(1, greatest(len(w) - 6, 1)), lambda i: array_to_string(list_slice(w, i, i + 7), ' ')))"
+
+
+@query("ngram_containment", f"""WITH g AS (SELECT item_id, unnest({_GRAM8}) AS g FROM (SELECT item_id, {S_WORDS.format('lower(text)')} AS w FROM benchmark) WHERE len(w) >= 8),
+t AS (SELECT doc_id, unnest({_GRAM8}) AS g FROM (SELECT doc_id, {S_WORDS.format('lower(text)')} AS w FROM documents) WHERE len(w) >= 8)
+SELECT item_id, doc_id, count(*) AS shared FROM g JOIN t USING (g) GROUP BY 1, 2""")
+def ngram_containment(spark, d):
+    grams = lambda df, k: df.select(k, X.words(F.lower("text")).alias("w")).where(F.size("w") >= 8).select(k, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 7), lambda i: F.array_join(F.slice(F.col("w"), i, 8), " ")))).alias("g"))
+    return grams(table(spark, d, "benchmark"), "item_id").join(grams(docs(spark, d), "doc_id"), "g").groupBy("item_id", "doc_id").agg(F.count("*").alias("shared"))
+
+
+@query("common_substrings")
+def common_substrings(spark, d):
+    b = table(spark, d, "benchmark")
+    pairs = b.select(F.col("item_id").alias("i"), F.col("text").alias("a")).join(b.select((F.col("item_id") - 1).alias("i"), F.col("text").alias("b")), "i")
+    return O.common_substrings("a", "b", pairs, 6)
+
+
+@query("bpe_pair_counts", f"""WITH w AS (SELECT w, count(*) AS freq FROM (SELECT unnest({S_WORDS.format('text')}) AS w FROM documents) GROUP BY w),
+s AS (SELECT freq, list_concat(list_transform(range(1, length(w) + 1), lambda i: substring(w, i, 1)), ['</w>']) AS s FROM w),
+p AS (SELECT freq, s[i] AS l, s[i + 1] AS r FROM s, range(1, 200) q(i) WHERE i < len(s))
+SELECT l, r, CAST(sum(freq) AS BIGINT) AS cnt FROM p GROUP BY l, r""")
+def bpe_pair_counts(spark, d):
+    return O.pair_counts(O.word_table(docs(spark, d), "doc_id")).select("l", "r", "cnt")
+
+
+@query("bpe_train")
+def bpe_train(spark, d):
+    merges, _ = O.train_bpe(O.word_table(table(spark, d, "benchmark"), "item_id"), 10)
+    return spark.createDataFrame([(i, *m) for i, m in enumerate(merges)], "step long, l string, r string, cnt long")
+
+
+_VOCAB_SQL = "vocab AS (SELECT DISTINCT split_part(p_name, ' ', 1) AS token FROM part UNION SELECT DISTINCT p_name FROM part WHERE p_name LIKE 'b%')"
+
+
+def _vocab(spark, d) -> DataFrame:
+    p = table(spark, d, "part")
+    return p.select(F.split("p_name", " ")[0].alias("token")).union(p.where("p_name LIKE 'b%'").select("p_name")).distinct()
+
+
+@query("vocab_search", f"WITH {_VOCAB_SQL} SELECT p_partkey, p_name IN (SELECT token FROM vocab) AS known FROM part")
+def vocab_search(spark, d):
+    v = _vocab(spark, d).withColumn("hit", F.lit(True))
+    p = table(spark, d, "part")
+    return p.join(v, p["p_name"] == v["token"], "left").select("p_partkey", F.coalesce("hit", F.lit(False)).alias("known"))
+
+
+@query("vocab_starts_with", f"WITH {_VOCAB_SQL} SELECT DISTINCT substring(p_name, 1, k) AS prefix, EXISTS (SELECT 1 FROM vocab WHERE starts_with(token, substring(p_name, 1, k))) AS known FROM part, range(0, 12) r(k)")
+def vocab_starts_with(spark, d):
+    p = table(spark, d, "part").select(F.explode(F.transform(F.sequence(F.lit(0), F.lit(11)), lambda k: F.substring("p_name", 1, k))).alias("prefix")).distinct()
+    return O.starts_with(p, "prefix", _vocab(spark, d))
+
+
+@query("vocab_prefixes", f"""WITH {_VOCAB_SQL} SELECT p_partkey, coalesce((SELECT string_agg(token, '|' ORDER BY length(token)) FROM vocab WHERE starts_with(p_name, token)), '') AS all_prefixes,
+(SELECT token FROM vocab WHERE starts_with(p_name, token) ORDER BY length(token) DESC LIMIT 1) AS longest_prefix FROM part""")
+def vocab_prefixes(spark, d):
+    out = O.vocabulary_prefixes(table(spark, d, "part").select("p_partkey", "p_name"), "p_name", _vocab(spark, d))
+    return out.select("p_partkey", F.array_join("all_prefixes", "|").alias("all_prefixes"), "longest_prefix")
+
+
+@query("vocab_words", f"WITH {_VOCAB_SQL} SELECT token FROM vocab")
+def vocab_words(spark, d):
+    return _vocab(spark, d)
+
+
+@query("wordpiece_tokens")
+def wordpiece_tokens(spark, d):
+    vocab = ["un", "##able", "play", "##ing", "##er", "th", "##e", "##at", "##in", "##re", "##th", "##on", "o", "##f", "an", "##d", "##s", "a", "##n", "i"]
+    words = table(spark, d, "conversations").select(F.explode(X.words(F.lower("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("cnt"))
+    return words.select("word", "cnt", F.array_join(O.wordpiece(F.col("word"), vocab), " ").alias("pieces"))
+
+
+@query("longest_palindrome")
+def longest_palindrome(spark, d):
+    return table(spark, d, "benchmark").select("item_id", X.longest_palindrome("text").alias("palindrome"))
+
+
+# --- statistics and collection ----------------------------------------------------------------------------------------
+
+@query("lang_distribution", "SELECT lang, count(*) AS cnt, round(100.0 * count(*) / sum(count(*)) OVER (), 4) AS percent FROM documents GROUP BY lang")
+def lang_distribution(spark, d):
+    return C.distribution(docs(spark, d), "lang")
+
+
+@query("label_distribution", "SELECT toxic, count(*) AS cnt, round(100.0 * count(*) / sum(count(*)) OVER (), 4) AS percent FROM labels GROUP BY toxic")
+def label_distribution(spark, d):
+    return C.distribution(table(spark, d, "labels"), "toxic")
+
+
+@query("source_length_stats", "SELECT source, count(*) AS docs, min(n_chars) AS least, max(n_chars) AS largest, round(avg(n_chars), 6) AS mean, median(n_chars) AS median FROM documents GROUP BY source")
+def source_length_stats(spark, d):
+    return docs(spark, d).groupBy("source").agg(F.count("*").alias("docs"), F.min("n_chars").alias("least"), F.max("n_chars").alias("largest"), F.round(F.avg("n_chars"), 6).alias("mean"), F.median("n_chars").alias("median"))
+
+
+@query("element_counts", f"SELECT lang, source, grouping(source) = 1 AS total, count(*) AS docs, CAST(sum(length(text)) AS BIGINT) AS chars, CAST(sum(len({S_WORDS.format('text')})) AS BIGINT) AS words FROM documents GROUP BY GROUPING SETS ((lang, source), (lang))")
+def element_counts(spark, d):
+    t = docs(spark, d).select("lang", "source", F.length("text").alias("c"), F.size(X.words(F.col("text"))).alias("w"))
+    return t.groupingSets([["lang", "source"], ["lang"]], "lang", "source").agg((F.grouping("source") == 1).alias("total"), F.count("*").alias("docs"), F.sum("c").alias("chars"), F.sum("w").alias("words"))
+
+
+@query("distinct_sources", "SELECT count(*) AS total, count(DISTINCT source) AS sources, string_agg(DISTINCT source, ',' ORDER BY source) AS names FROM documents")
+def distinct_sources(spark, d):
+    return docs(spark, d).groupBy("source").agg(F.count("*").alias("n")).agg(F.sum("n").alias("total"), F.count("*").alias("sources"), F.array_join(F.array_sort(F.collect_list("source")), ",").alias("names"))
+
+
+@query("collection_stats", """WITH f AS (SELECT l_suppkey AS f, avg(l_quantity) AS q, avg(l_discount) AS s FROM lineitem GROUP BY 1)
+SELECT 'l_quantity' AS measure, count(*) AS files, round(min(q), 6) AS least, round(max(q), 6) AS largest, round(avg(q), 6) AS mean, round(median(q), 6) AS median FROM f
+UNION ALL SELECT 'l_discount', count(*), round(min(s), 6), round(max(s), 6), round(avg(s), 6), round(median(s), 6) FROM f""")
+def collection_stats(spark, d):
+    return C.collection_statistics(table(spark, d, "lineitem"), "l_suppkey", ["l_quantity", "l_discount"])
+
+
+@query("role_counts", "SELECT role, count(*) AS turns, count(DISTINCT conv_id) AS conversations, CAST(sum(length(text)) AS BIGINT) AS chars FROM conversations GROUP BY role")
+def role_counts(spark, d):
+    return table(spark, d, "conversations").groupBy("role").agg(F.count("*").alias("turns"), F.count_distinct("conv_id").alias("conversations"), F.sum(F.length("text")).alias("chars"))
+
+
+@query("quota_sample", """WITH r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r, min(doc_id) OVER (PARTITION BY source) AS g FROM documents)
+SELECT doc_id, source FROM (SELECT *, row_number() OVER (ORDER BY CASE WHEN r <= 3 THEN 0 ELSE 1 END, CASE WHEN r <= 3 THEN g ELSE r END, CASE WHEN r <= 3 THEN r ELSE g END) AS n FROM r) WHERE n <= 200""")
+def quota_sample(spark, d):
+    return C.quota_sample(docs(spark, d).select("doc_id", "source"), "source", "doc_id", 3, 200)
+
+
+@query("sequence_names", """WITH r AS (SELECT doc_id, lang, source, row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) + CASE WHEN source = 'src1' THEN 98 ELSE 0 END AS n FROM documents)
+SELECT doc_id, source || '_' || CASE WHEN n < 10 THEN '0' ELSE '' END || n::VARCHAR || '.pdf' AS file_name FROM r""")
+def sequence_names(spark, d):
+    t = docs(spark, d).select("doc_id", "lang", "source")
+    taken = t.where("source = 'src1'").select("lang", "source").distinct().withColumn("seq", F.lit(98))
+    return C.sequence_names(t, ["lang", "source"], "doc_id", taken).select("doc_id", "file_name")
+
+
+@query("early_stop", "WITH p AS (SELECT l_suppkey AS page, count(*) AS n FROM lineitem GROUP BY 1) SELECT page, n FROM (SELECT *, coalesce(sum(n) OVER (ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM p) WHERE s < 7500")
+def early_stop(spark, d):
+    pages = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("page")).agg(F.count("*").alias("n"))
+    return C.early_stop(pages, "page", "n", 5000)
+
+
+@query("new_reports", "WITH p AS (SELECT page_id AS ord, lower(url) AS pdf_url FROM pages UNION ALL SELECT page_id + 1000000000, lower(url) FROM pages), k AS (SELECT lower(url) AS pdf_url FROM pages WHERE url LIKE 'http://%') SELECT pdf_url, min(ord) AS ord FROM p WHERE pdf_url NOT IN (SELECT pdf_url FROM k) GROUP BY 1")
+def new_reports(spark, d):
+    p = table(spark, d, "pages").select("page_id", "url")
+    rows = p.select(F.col("page_id").alias("ord"), F.lower("url").alias("pdf_url")).union(p.select(F.col("page_id") + 1000000000, F.lower("url")))
+    return C.new_reports(rows, p.where("url LIKE 'http://%'").select(F.lower("url").alias("pdf_url")))
+
+
+@query("content_status", """WITH k AS (SELECT 'md5:' || md5(text) AS h, max('store/' || doc_id::VARCHAR) AS p FROM documents WHERE source = 'src2' GROUP BY 1),
+f AS (SELECT 'md5:' || md5(text) AS h, min(doc_id) AS f FROM documents WHERE source <> 'src2' GROUP BY 1)
+SELECT doc_id, CASE WHEN k.p IS NOT NULL THEN 'duplicate_content:' || k.p WHEN doc_id > f THEN 'duplicate_content:new/' || f::VARCHAR ELSE 'new' END AS status
+FROM documents JOIN f ON f.h = 'md5:' || md5(text) LEFT JOIN k ON k.h = f.h WHERE source <> 'src2'""")
+def content_status(spark, d):
+    t = docs(spark, d).select("doc_id", "source", O.content_key(F.col("text")).alias("file_hash"))
+    path = lambda at: F.concat(F.lit(at), F.col("doc_id").cast("string")).alias("local_path")
+    got = C.content_status(t.where("source <> 'src2'").select("doc_id", "file_hash", path("new/")), t.where("source = 'src2'").select("file_hash", path("store/")), "doc_id")
+    return got.select("doc_id", "status")
+
+
+@query("collector_counters", """WITH s AS (SELECT source, doc_id > min(doc_id) OVER (PARTITION BY md5(text)) AS dup FROM documents)
+SELECT source, count(*) FILTER (WHERE NOT dup) AS downloaded, count(*) FILTER (WHERE dup) AS skipped FROM s GROUP BY source""")
+def collector_counters(spark, d):
+    return exact_dedup(spark, d).join(docs(spark, d).select("doc_id", "source"), "doc_id").groupBy("source").agg(F.count_if(~F.col("dropped")).alias("downloaded"), F.count_if("dropped").alias("skipped"))
+
+
+@query("metadata_upsert", "SELECT user_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events) WHERE r = 1")
+def metadata_upsert(spark, d):
+    return C.upsert(table(spark, d, "events").select("event_id", "user_id", "event_type", "value"), "user_id", "event_id").drop("event_id")
+
+
+@query("running_count", "SELECT event_id, row_number() OVER (ORDER BY ts, event_id) AS ordinal FROM events")
+def running_count(spark, d):
+    return C.running_count(table(spark, d, "events").select("event_id", "ts"), [F.col("ts"), F.col("event_id")]).select("event_id", "ordinal")
+
+
+@query("report_dates", "SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 0 THEN 'undated' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS report_date FROM orders")
+def report_dates(spark, d):
+    raw = F.when(F.col("o_orderkey") % 10 == 0, "undated").otherwise(F.date_format("o_orderdate", "yyyy.M.d"))
+    return table(spark, d, "orders").select("o_orderkey", X.report_date(raw).alias("report_date"))
+
+
+@query("readable_sizes", """SELECT o_orderkey, CASE WHEN v < 1024 THEN printf('%.1f', round_even(v, 1)) || ' B' WHEN v < 1048576 THEN printf('%.1f', round_even(v / 1024, 1)) || ' KB' ELSE printf('%.1f', round_even(v / 1048576, 1)) || ' MB' END AS size FROM (SELECT o_orderkey, o_orderkey * 64.0::DOUBLE AS v FROM orders)""")
+def readable_sizes(spark, d):
+    return table(spark, d, "orders").select("o_orderkey", X.readable_size(F.col("o_orderkey") * F.lit(64.0)).alias("size"))
+
+
+@query("cell_preview", f"WITH t AS (SELECT conv_id, turn, regexp_replace(regexp_replace(text, '\\s+', ' ', 'g'), '^\\s+|\\s+$', '', 'g') AS f, text FROM conversations) SELECT conv_id, turn, CASE WHEN length(f) > 20 THEN substring(f, 1, 18) || '..' ELSE f END AS cell, CASE WHEN length(text) > 50 THEN substring(text, 1, 50) || '...' ELSE text END AS preview FROM t")
+def cell_preview(spark, d):
+    return table(spark, d, "conversations").select("conv_id", "turn", X.truncate_cell(F.col("text"), 20).alias("cell"), X.preview(F.col("text")).alias("preview"))
+
+
+# --- HTML -------------------------------------------------------------------------------------------------------------
+
+@query("html_links", "SELECT page_id, len(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)) AS n, coalesce(regexp_extract_all(html, '<a href=\"([^\"]*)\"', 1)[1], '') AS first_link FROM pages")
+def html_links(spark, d):
+    l = html.links(F.col("html"))
+    return table(spark, d, "pages").select("page_id", F.size(l).cast("long").alias("n"), F.coalesce(F.get(l, F.lit(0)), F.lit("")).alias("first_link"))
+
+
+@query("pagination", "SELECT page_id, 1 + page_id % 90 AS pages FROM pages")
+def pagination(spark, d):
+    made = F.concat(F.col("html"), F.lit('<td class="pgRR"><a href="/list?x=1&page='), (1 + F.col("page_id") % 90).cast("string"), F.lit('">last</a></td>'))
+    return table(spark, d, "pages").select("page_id", html.total_pages(made).cast("long").alias("pages"))
+
+
+@query("report_list", "SELECT page_id, 0::BIGINT AS ord, 'T' || page_id AS title, 'broker' AS broker, 'S' || page_id AS stock_name, '25.01.15' AS date, 'http://x/' || page_id || '.pdf' AS pdf_url FROM pages")
+def report_list(spark, d):
+    i = F.col("page_id").cast("string")
+    row = F.concat(F.lit('<table class="type_1"><tr><th>h</th></tr><tr><td class="blank_07"></td></tr><tr><td><a class="stock_item"> S'), i, F.lit('</a></td><td><a href="r">T'), i, F.lit('</a></td><td>broker</td><td class="file"><a href="http://x/'), i, F.lit('.pdf">p</a></td><td class="date">25.01.15</td></tr></table>'))
+    got = html.report_list(table(spark, d, "pages").select("page_id", F.concat("html", row).alias("html")))
+    return got.withColumn("ord", F.col("ord").cast("long"))
+
+
+# --- boxes ------------------------------------------------------------------------------------------------------------
+
+_KEYS = "l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice"
+_BOX_SQL = f"boxes AS (SELECT l_orderkey AS page, (l_partkey % 100)::DOUBLE AS x0, (l_suppkey % 100)::DOUBLE AS y0, (l_partkey % 100) + 20 + l_quantity AS x1, (l_suppkey % 100) + 10 + l_quantity AS y1, row_number() OVER (PARTITION BY l_orderkey ORDER BY {_KEYS}) AS ord, l_returnflag AS label FROM lineitem)"
+_IOU_SQL = """pairs AS (SELECT page, i, j, w * h / (a1 + a2 - w * h) AS iou FROM (SELECT a.page, a.ord AS i, b.ord AS j, least(a.x1, b.x1) - greatest(a.x0, b.x0) AS w, least(a.y1, b.y1) - greatest(a.y0, b.y0) AS h, (a.x1 - a.x0) * (a.y1 - a.y0) AS a1, (b.x1 - b.x0) * (b.y1 - b.y0) AS a2
+FROM boxes a JOIN boxes b ON a.page = b.page AND a.ord < b.ord) WHERE w > 0 AND h > 0)"""
+
+
+def boxes(spark, d) -> DataFrame:
+    t = table(spark, d, "lineitem")
+    w = W.partitionBy("l_orderkey").orderBy(*_KEYS.split(", "))
+    x, y = (F.col("l_partkey") % 100).cast("double"), (F.col("l_suppkey") % 100).cast("double")
+    return t.select(F.col("l_orderkey").alias("page"), x.alias("x0"), y.alias("y0"), (x + 20 + F.col("l_quantity")).alias("x1"), (y + 10 + F.col("l_quantity")).alias("y1"), F.row_number().over(w).cast("long").alias("ord"), F.col("l_returnflag").alias("label"))
+
+
+@query("box_geometry", f"WITH {_BOX_SQL} SELECT page, ord, x1 - x0 AS width, y1 - y0 AS height, (x1 - x0) * (y1 - y0) AS area, round(x0 / 612 * 100, 6) AS px, round((y1 - y0) / 792 * 100, 6) AS ph, 792 - y1 AS flipped FROM boxes")
+def box_geometry(spark, d):
+    b = G.corners()
+    p = G.to_percent(b, F.lit(612.0), F.lit(792.0))
+    return boxes(spark, d).select("page", "ord", (b[2] - b[0]).alias("width"), (b[3] - b[1]).alias("height"), G.area(b).alias("area"), F.round(p[0], 6).alias("px"), F.round(p[3], 6).alias("ph"), G.flip_y(b, F.lit(792.0))[1].alias("flipped"))
+
+
+@query("iou_pairs", f"WITH {_BOX_SQL}, {_IOU_SQL} SELECT page, i, j, round(iou, 9) AS iou FROM pairs WHERE iou > 0.3")
+def iou_pairs(spark, d):
+    return L.overlapping(boxes(spark, d), ["page"], "ord", 0.3).withColumn("iou", F.round("iou", 9))
+
+
+@query("box_merge", f"""WITH RECURSIVE {_BOX_SQL}, {_IOU_SQL}, e AS (SELECT page, i AS x, j AS y FROM pairs WHERE iou > 0.3 UNION ALL SELECT page, j, i FROM pairs WHERE iou > 0.3),
+reach(page, ord, r) AS (SELECT page, ord, ord FROM boxes UNION SELECT e.page, e.y, reach.r FROM reach JOIN e ON e.page = reach.page AND e.x = reach.ord),
+lab AS (SELECT page, ord, min(r) AS label FROM reach GROUP BY 1, 2),
+k AS (SELECT b.page, b.ord, row_number() OVER (PARTITION BY b.page, l.label ORDER BY (x1 - x0) * (y1 - y0) DESC, b.ord) AS n FROM boxes b JOIN lab l ON l.page = b.page AND l.ord = b.ord)
+SELECT page, ord FROM k WHERE n = 1""")
+def box_merge(spark, d):
+    return L.merge_boxes(boxes(spark, d), ["page"], "ord", 0.3).select("page", "ord")
+
+
+@query("containment_flag", f"""WITH {_BOX_SQL}, t AS (SELECT * FROM boxes WHERE ord % 3 = 0) SELECT b.page, b.ord, EXISTS (SELECT 1 FROM t WHERE t.page = b.page AND least(b.x1, t.x1) > greatest(b.x0, t.x0) AND least(b.y1, t.y1) > greatest(b.y0, t.y0)
+AND (least(b.x1, t.x1) - greatest(b.x0, t.x0)) * (least(b.y1, t.y1) - greatest(b.y0, t.y0)) / ((b.x1 - b.x0) * (b.y1 - b.y0)) > 0.5) AS in_table FROM boxes b WHERE b.ord % 3 <> 0""")
+def containment_flag(spark, d):
+    b = boxes(spark, d)
+    return L.inside_table(b.where("ord % 3 <> 0"), b.where("ord % 3 = 0"), ["page"], "ord").select("page", "ord", "in_table")
+
+
+@query("page_counts", f"WITH {_BOX_SQL} SELECT page, count(*) AS tables, max(ord) - 1 AS last_index FROM boxes GROUP BY page")
+def page_counts(spark, d):
+    return boxes(spark, d).groupBy("page").agg(F.count("*").alias("tables"), (F.max("ord") - 1).alias("last_index"))
+
+
+@query("page_sizes", """SELECT kind, count(*) AS cnt FROM (SELECT CASE WHEN abs(w - 595) < 10 AND abs(h - 842) < 10 THEN 'A4 Portrait' WHEN abs(w - 842) < 10 AND abs(h - 595) < 10 THEN 'A4 Landscape' WHEN abs(w - 612) < 10 AND abs(h - 792) < 10 THEN 'Letter Portrait' WHEN abs(w - 792) < 10 AND abs(h - 612) < 10 THEN 'Letter Landscape'
+ELSE 'Other (' || round_even(w, 0)::BIGINT || 'x' || round_even(h, 0)::BIGINT || ')' END AS kind FROM (SELECT 590 + p_partkey % 220 / 2.0 AS w, 838 - p_partkey % 110 / 2.0 AS h FROM part)) GROUP BY kind""")
+def page_sizes(spark, d):
+    p = table(spark, d, "part").select((590 + F.col("p_partkey") % 220 / 2.0).alias("w"), (838 - F.col("p_partkey") % 110 / 2.0).alias("h"))
+    return p.groupBy(G.page_size_class(F.col("w"), F.col("h")).alias("kind")).agg(F.count("*").alias("cnt"))
+
+
+def _sides(spark, d) -> tuple[DataFrame, DataFrame]:
+    b = boxes(spark, d).select(F.col("page").alias("image_id"), F.col("ord").alias("det_idx"), "label", F.col("x0").alias("x"), F.col("y0").alias("y"), (F.col("x1") - F.col("x0")).alias("width"), (F.col("y1") - F.col("y0")).alias("height"))
+    return b.where("det_idx % 2 = 1"), b.where("det_idx % 2 = 0")
+
+
+_MATCH_SQL = """mp AS (SELECT a.page, a.ord AS p, b.ord AS g, a.label = b.label AS same, (least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0)) AS o, (a.x1 - a.x0) * (a.y1 - a.y0) + (b.x1 - b.x0) * (b.y1 - b.y0) AS s
+FROM boxes a JOIN boxes b ON a.page = b.page AND a.ord % 2 = 1 AND b.ord % 2 = 0 WHERE least(a.x1, b.x1) > greatest(a.x0, b.x0) AND least(a.y1, b.y1) > greatest(a.y0, b.y0)),
+ms AS (SELECT page, list([{'p': p, 'g': g, 'iou': o / (s - o), 'same': same}] ORDER BY o / (s - o) DESC, p, g) AS l FROM mp WHERE o / (s - o) >= 0.3 GROUP BY page),
+mm AS (SELECT page, unnest(list_reduce(l, lambda acc, x: CASE WHEN len(list_filter(acc, lambda y: y.p = x[1].p OR y.g = x[1].g)) > 0 THEN acc ELSE list_concat(acc, x) END)) AS m FROM ms),
+matches AS (SELECT page, m.p AS p, m.g AS g, m.iou AS iou, m.same AS same FROM mm)"""
+
+
+@query("greedy_match", f"WITH {_BOX_SQL}, {_MATCH_SQL} SELECT page AS image_id, p, g, round(iou, 9) AS iou, same AS same_label FROM matches")
+def greedy_match(spark, d):
+    return L.match_detections(*_sides(spark, d), threshold=0.3).withColumn("iou", F.round("iou", 9))
+
+
+@query("detection_metrics", f"""WITH {_BOX_SQL}, {_MATCH_SQL}, t AS (SELECT (SELECT count(*) FROM matches) AS tp, (SELECT count(*) FROM boxes WHERE ord % 2 = 1) AS np, (SELECT count(*) FROM boxes WHERE ord % 2 = 0) AS ng, (SELECT count(*) FROM matches WHERE same) AS same)
+SELECT tp, np - tp AS fp, ng - tp AS fn, round(tp / np, 9) AS precision, round(tp / ng, 9) AS recall, round(2 * tp / (np + ng), 9) AS f1, round(same / tp, 9) AS category_accuracy FROM t""")
+def detection_metrics(spark, d):
+    p, g = _sides(spark, d)
+    m = L.metrics(L.detection_counts(p, g, L.match_detections(p, g, threshold=0.3)))
+    return m.select("tp", "fp", "fn", *(F.round(c, 9).alias(c) for c in ("precision", "recall", "f1", "category_accuracy")))
+
+
+@query("label_studio_round_trip", f"WITH {_BOX_SQL} SELECT '/data/local-files/?d=set/' || page || '.png' AS image_id, ord - 1 AS det_idx, label, x0 AS x, y0 AS y, x1 - x0 AS width, y1 - y0 AS height FROM boxes")
+def label_studio_round_trip(spark, d):
+    b = boxes(spark, d).select(F.concat(F.lit("pages/"), F.col("page").cast("string"), F.lit(".png")).alias("image"), "ord", "label", F.col("x0").alias("x"), F.col("y0").alias("y"), (F.col("x1") - F.col("x0")).alias("width"), (F.col("y1") - F.col("y0")).alias("height"))
+    tasks = labelstudio.export_tasks(b.select("image").distinct(), b, "set")
+    files = tasks.select(F.concat(F.lit("["), "task", F.lit("]")).alias("value"))
+    return labelstudio.detections(labelstudio.read_tasks(files), "predictions").select("image_id", F.col("det_idx").cast("long").alias("det_idx"), "label", "x", "y", "width", "height")
+
+
+# --- classification ---------------------------------------------------------------------------------------------------
+
+RULES = [("articles", 1.0, 2, ["the ", "and ", " der ", " la "]), ("connectives", 0.8, 2, [" of ", " que ", " und ", " et "]), ("marks", 0.5, 1, ["###", "$$$", "!!"])]
+
+
+def _rules_sql() -> str:
+    cases = []
+    for at, (name, weight, least, words) in enumerate(RULES):
+        hits = "len(list_filter([" + ", ".join(f"'{w}'" for w in words) + "], lambda k: contains(text, k)))"
+        cases.append(f"SELECT doc_id, '{name}' AS category, {at} AS place, {hits} * {weight}::DOUBLE AS score FROM documents WHERE {hits} >= {least}")
+    return " UNION ALL ".join(cases)
+
+
+@query("keyword_score", f"WITH s AS ({_rules_sql()}), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, place) AS n FROM s) SELECT doc_id, category, round(least(score / 6, 1), 9) AS confidence FROM r WHERE n = 1")
+def keyword_score(spark, d):
+    k = docs(spark, d).select("doc_id", L.keyword_score(F.col("text"), RULES).alias("k")).where("k IS NOT NULL")
+    return k.select("doc_id", F.col("k.category").alias("category"), F.round("k.confidence", 9).alias("confidence"))
+
+
+@query("numeric_density", f"WITH t AS (SELECT doc_id, {S_WORDS.format('text')} AS w FROM documents) SELECT doc_id, round(CASE WHEN len(w) > 0 THEN len(list_filter(w, lambda t: regexp_full_match(t, '[0-9,.\\-+()%]+'))) / len(w) ELSE 0 END, 9) AS density FROM t")
+def numeric_density(spark, d):
+    return docs(spark, d).select("doc_id", F.round(X.numeric_density(F.col("text")), 9).alias("density"))
+
+
+@query("temporal_evidence", "SELECT doc_id, " + " + ".join(f"len(list_distinct(regexp_extract_all(text, '{p}')))" for p in L.TEMPORAL) + " AS evidence FROM documents")
+def temporal_evidence(spark, d):
+    return docs(spark, d).select("doc_id", L.temporal_evidence(F.col("text")).cast("long").alias("evidence"))
+
+
+@query("classify_tables")
+def classify_tables(spark, d):
+    c = docs(spark, d).select("doc_id", F.concat(F.col("text"), F.lit(" 매출액 1,234 영업이익 567 당기순이익 890 2024 2025E")).alias("text_content"))
+    return L.classify_tables(c, density=0.001).drop("text_content")
+
+
+# --- sequences --------------------------------------------------------------------------------------------------------
+
+_RUN_SQL = """p AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS pos FROM events),
+r AS (SELECT *, pos - row_number() OVER (PARTITION BY user_id ORDER BY pos) AS island FROM p WHERE value > 120 * 0.8)"""
+
+
+@query("anomaly_windows", f"WITH {_RUN_SQL} SELECT user_id, min(pos) AS first_pos, max(pos) AS last_pos, max(value) AS peak FROM r GROUP BY user_id, island HAVING max(value) > 120")
+def anomaly_windows(spark, d):
+    e = table(spark, d, "events").select("user_id", "event_id", "value")
+    out = L.anomaly_windows(e, "user_id", ["event_id"], "value", 120.0)
+    return out.select("user_id", F.col("first_pos").cast("long").alias("first_pos"), F.col("last_pos").cast("long").alias("last_pos"), "peak")
+
+
+@query("seed_windows", f"WITH {_RUN_SQL}, b AS (SELECT user_id, island, min(pos) AS first_pos, max(pos) AS last_pos FROM r GROUP BY 1, 2) SELECT r.user_id, r.pos AS seed_pos, first_pos, last_pos FROM r JOIN b USING (user_id, island) WHERE value > 120")
+def seed_windows(spark, d):
+    e = table(spark, d, "events").select("user_id", "event_id", "value")
+    out = L.seed_windows(e, "user_id", ["event_id"], "value", 120.0)
+    return out.select("user_id", *(F.col(c).cast("long").alias(c) for c in ("seed_pos", "first_pos", "last_pos")))
+
+
+@query("first_seen_events", "SELECT user_id, event_type, min(event_id) AS first_event FROM events GROUP BY 1, 2")
+def first_seen_events(spark, d):
+    return table(spark, d, "events").groupBy("user_id", "event_type").agg(F.min("event_id").alias("first_event"))
+
+
+@query("streaming_first_seen", "SELECT DISTINCT user_id, event_type FROM events")
+def streaming_first_seen(spark, d):
+    s = streams.first_seen(streams.read_table(spark, d, "events").select("user_id", "event_type"), ["user_id", "event_type"])
+    return streams.drain(s, "streaming_first_seen")
+
+
+@query("streaming_windowed_counts", "SELECT event_type, count(*) AS cnt FROM events GROUP BY 1")
+def streaming_windowed_counts(spark, d):
+    s = streams.windowed_counts(streams.read_table(spark, d, "events"), "ts", "event_type")
+    return streams.drain(s, "streaming_windowed_counts", "complete").groupBy("event_type").agg(F.sum("cnt").alias("cnt"))
+
+
+@query("semantic_chunks", """WITH l AS (SELECT vec_id, label, embedding, lag(embedding) OVER (PARTITION BY label ORDER BY vec_id) AS b FROM embeddings),
+c AS (SELECT vec_id, label, b IS NOT NULL AND list_cosine_similarity(embedding::DOUBLE[], b::DOUBLE[]) < 0.1 AS cut FROM l)
+SELECT vec_id, label, CAST(sum(cut::INT) OVER (PARTITION BY label ORDER BY vec_id) AS BIGINT) AS chunk FROM c""")
+def semantic_chunks(spark, d):
+    return L.semantic_chunks(table(spark, d, "embeddings"), "vec_id", "embedding", "label", 0.1).select("vec_id", "label", F.col("chunk").cast("long").alias("chunk"))
