@@ -267,12 +267,13 @@ def longest_repeated_substring(spark, d):
     return O.longest_repeated_substring(table(spark, d, "benchmark"), "item_id")
 
 
-_GRAM8 = "list_distinct(list_transform(range(1, greatest(len(w) - 6, 1)), lambda i: array_to_string(list_slice(w, i, i + 7), ' ')))"
+def _grams_sql(source: str, id: str) -> str:
+    later = ", ".join(f"lead(x, {k}) OVER v" for k in range(1, 8))
+    return f"""SELECT DISTINCT {id}, g FROM (SELECT {id}, concat_ws(' ', x, {later}) AS g, lead(x, 7) OVER v IS NOT NULL AS whole
+FROM (SELECT {id}, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM (SELECT {id}, {S_WORDS.format('lower(text)')} AS w FROM {source})) WINDOW v AS (PARTITION BY {id} ORDER BY i)) WHERE whole"""
 
 
-@query("ngram_containment", f"""WITH g AS (SELECT item_id, unnest({_GRAM8}) AS g FROM (SELECT item_id, {S_WORDS.format('lower(text)')} AS w FROM benchmark) WHERE len(w) >= 8),
-t AS (SELECT doc_id, unnest({_GRAM8}) AS g FROM (SELECT doc_id, {S_WORDS.format('lower(text)')} AS w FROM documents) WHERE len(w) >= 8)
-SELECT item_id, doc_id, count(*) AS shared FROM g JOIN t USING (g) GROUP BY 1, 2""")
+@query("ngram_containment", f"WITH g AS ({_grams_sql('benchmark', 'item_id')}), t AS ({_grams_sql('documents', 'doc_id')}) SELECT item_id, doc_id, count(*) AS shared FROM g JOIN t USING (g) GROUP BY 1, 2")
 def ngram_containment(spark, d):
     grams = lambda df, k: df.select(k, X.words(F.lower("text")).alias("w")).where(F.size("w") >= 8).select(k, F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - 7), lambda i: F.array_join(F.slice(F.col("w"), i, 8), " ")))).alias("g"))
     return grams(table(spark, d, "benchmark"), "item_id").join(grams(docs(spark, d), "doc_id"), "g").groupBy("item_id", "doc_id").agg(F.count("*").alias("shared"))
