@@ -66,4 +66,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language_model": op9_language_model,
     "op10_toxicity": op10_toxicity,
 }
-ORACLES: dict[str, str] = {}
+#: Shingle sets, links and components of op8 in DuckDB's SQL.
+JACCARD_SQL = """WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(list_slice(w, i, i + 4), ' '))) END AS s FROM w),
+n AS (SELECT doc_id, CAST(len(s) AS BIGINT) AS n FROM s), e AS (SELECT doc_id, hash(unnest(s)) AS g FROM s),
+l AS (SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id JOIN n x ON x.doc_id = a.doc_id JOIN n y ON y.doc_id = b.doc_id WHERE 100 * x.n >= 75 * y.n AND 100 * y.n >= 75 * x.n GROUP BY a.doc_id, b.doc_id, x.n, y.n HAVING 100 * count(*) >= 75 * (x.n + y.n - count(*))),
+both_ AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+reach(id, r) AS (SELECT doc_id, doc_id FROM n UNION SELECT both_.b, reach.r FROM reach JOIN both_ ON both_.a = reach.id)
+SELECT n.doc_id, n.n AS n_shingles, min(reach.r) AS component_id FROM n JOIN reach ON reach.id = n.doc_id GROUP BY n.doc_id, n.n"""
+
+ORACLES: dict[str, str] = {"op8_jaccard_join": JACCARD_SQL}
