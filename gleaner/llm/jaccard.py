@@ -216,8 +216,8 @@ def _groups(batches: Iterator[pa.RecordBatch], bits: np.ndarray) -> Iterator[tup
             yield h[df > 1], c[df > 1], df[df > 1]
 
 
-def _pairs(bits: np.ndarray):
-    """How many entries two classes share of the shingles with at most ``CROWD`` classes."""
+def _pairs(bits: np.ndarray, parts: int):
+    """How many entries two classes share of the shingles with at most ``CROWD`` classes, packed by pair."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for h, c, df in _groups(batches, bits):
@@ -232,11 +232,19 @@ def _pairs(bits: np.ndarray):
             if left:
                 a, b = np.concatenate(left), np.concatenate(right)
                 pairs, n = np.unique(np.column_stack([np.minimum(a, b), np.maximum(a, b)]), axis=0, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(n)], ["a", "b", "n"])
+                a, b = pairs[:, 0].copy(), pairs[:, 1].copy()
+                yield from exchange.cut(X.mix(a.view(X.U64) * X.U64(3) + b.view(X.U64)), {"a": a, "b": b, "n": n.astype(np.int32)}, parts)
 
     return run
 
 
+def _add_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    got = exchange.gather(batches, {"a": np.int64, "b": np.int64, "n": np.int32})
+    pairs, back = np.unique(np.column_stack([got["a"], got["b"]]), axis=0, return_inverse=True)
+    k = np.bincount(back.reshape(-1), got["n"], minlength=len(pairs)).astype(np.int64)
+    yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(k)], ["a", "b", "k"])
+
+
 def _crowds(bits: np.ndarray):
     """By class, its entries of shingles with more classes."""
 
@@ -405,7 +413,7 @@ def classes_and_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     # of a link's shared entries at least half are crowded or at least half are not
     in_play = bloom(left, F.col("c1"))
     half = lambda n: F.ceil((1 + F.floor(n * EXTRA / 100)) / 2)
-    pairs = shared.mapInArrow(_pairs(in_play), "a long, b long, n long").groupBy("a", "b").agg(F.sum("n").alias("k"))
+    pairs = exchange.deal(shared.mapInArrow(_pairs(in_play, bits), "part int, a binary, b binary, n binary")).mapInArrow(_add_pairs, "a long, b long, k long")
     n_a, n_b = (left.select(F.col("c1").alias(x), F.col("n").alias(f"n_{x}")) for x in "ab")
     edges = pairs.join(n_a, "a").join(n_b, "b").where(F.col("k") >= half(F.least("n_a", "n_b"))).select("a", "b")
     crowds = shared.mapInArrow(_crowds(in_play), "c1 long, crowded long").groupBy("c1").agg(F.sum("crowded").alias("crowded")).join(left, "c1")
