@@ -26,7 +26,7 @@ def quota_sample(rows: DataFrame, group: str, order: str, minimum: int, target:
     ranked = rows.withColumn("_r", F.row_number().over(W.partitionBy(group).orderBy(order))).where(F.col("_r") <= target).join(first, group)
     early = F.col("_r") <= minimum
     key = [F.when(early, 0).otherwise(1), F.when(early, F.col("_g")).otherwise(F.col("_r")), F.when(early, F.col("_r")).otherwise(F.col("_g"))]
-    return ranked.orderBy(*key).limit(target).drop("_r", "_g")
+    return ranked.orderBy(*key).limit(target).select(*rows.columns)
 
 
 def new_reports(reports: DataFrame, known: DataFrame, url: str = "pdf_url", order: str = "ord") -> DataFrame:
