@@ -30,12 +30,19 @@ def unplane(raw: bytes, dtype) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, -1).T).reshape(-1).view(dtype)
 
 
-def cut(keys: np.ndarray, columns: dict[str, np.ndarray], bits: int) -> Iterator[pa.RecordBatch]:
-    """Rows (part, one binary for each column) of entries dealt out by ``keys``."""
+def cut(keys: np.ndarray, columns: dict[str, np.ndarray], bits: int, ids: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Rows (part, one binary for each column) of entries dealt out by ``keys``.
+
+    With ``ids``, the parts are folded onto that many partitions for ``send``: a task makes one row for each of them at most.
+    """
     if not len(keys):
         return
     order = np.argsort(keys)
     part = (keys[order] >> X.U64(64 - bits)).astype(np.int64)
+    if ids:
+        part %= ids
+        again = np.argsort(part, kind="stable")
+        order, part = order[again], part[again]
     heads = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
     stops = np.append(heads[1:], len(part))
     sorted_columns = {n: c[order] for n, c in columns.items()}
@@ -54,3 +61,8 @@ def gather(batches: Iterator[pa.RecordBatch], dtypes: dict[str, object]) -> dict
 
 def deal(rows: DataFrame) -> DataFrame:
     return rows.repartition(X.shuffle_parts(rows.sparkSession), "part")
+
+
+def send(rows: DataFrame, ids: int) -> DataFrame:
+    """Rows of ``cut`` with ``ids``, each in the partition that its part names."""
+    return rows.repartitionById(ids, "part")

@@ -108,7 +108,7 @@ def frequency_levels(docs: DataFrame) -> np.ndarray:
     return level
 
 
-def _prefixes(level: np.ndarray, bits: int):
+def _prefixes(level: np.ndarray, bits: int, ids: int):
     """Entries (shingle, class) of the sets' prefixes."""
 
     def pick(own: np.ndarray) -> np.ndarray:
@@ -130,11 +130,11 @@ def _prefixes(level: np.ndarray, bits: int):
                     held += len(some)
             if held > FLUSH:
                 keys = np.concatenate(entries)
-                yield from exchange.cut(keys, {"h": keys, "c": np.concatenate(owners)}, bits)
+                yield from exchange.cut(keys, {"h": keys, "c": np.concatenate(owners)}, bits, ids)
                 entries, owners, held, seen = [], [], 0, set()
         if entries:
             keys = np.concatenate(entries)
-            yield from exchange.cut(keys, {"h": keys, "c": np.concatenate(owners)}, bits)
+            yield from exchange.cut(keys, {"h": keys, "c": np.concatenate(owners)}, bits, ids)
 
     return run
 
@@ -162,8 +162,8 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a = b
 
 
-def _tally(bits: np.ndarray | None):
-    """By class, how many of its entries another class that is still in play (by the filter ``bits``) shares."""
+def _tally(bits: np.ndarray | None, parts: int, ids: int):
+    """By class, how many of its entries another class that is still in play (by the filter ``bits``) shares, packed by class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = []
@@ -180,11 +180,20 @@ def _tally(bits: np.ndarray | None):
         if found:
             c, back = np.unique(np.concatenate([x for x, _ in found]), return_inverse=True)
             df = np.concatenate([x for _, x in found])
-            yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)), pa.array(np.bincount(back, minlength=len(c))), pa.array(np.bincount(back, np.log2(df + 1.0), minlength=len(c)).astype(float))], ["c1", "shared", "fame"])
+            fame = np.bincount(back, np.log2(df + 1.0), minlength=len(c)).astype(float)
+            yield from exchange.cut(X.mix(c), {"c": c, "shared": np.bincount(back, minlength=len(c)).astype(np.int32), "fame": fame}, parts, ids)
 
     return run
 
 
+def _add_tallies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    got = exchange.gather(batches, {"c": X.U64, "shared": np.int32, "fame": np.float64})
+    c, back = np.unique(got["c"], return_inverse=True)
+    shared = np.bincount(back, got["shared"], minlength=len(c))
+    fame = np.bincount(back, got["fame"], minlength=len(c)) / np.maximum(shared, 1)
+    yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)), pa.array(shared.astype(np.int64)), pa.array(fame)], ["c1", "shared", "fame"])
+
+
 def bloom(rows: DataFrame, key) -> np.ndarray:
     """Packed bits of a fixed-size Bloom filter with two positions a key."""
     size = 1 << BLOOM_BITS
@@ -216,7 +225,7 @@ def _groups(batches: Iterator[pa.RecordBatch], bits: np.ndarray) -> Iterator[tup
             yield h[df > 1], c[df > 1], df[df > 1]
 
 
-def _pairs(bits: np.ndarray, parts: int):
+def _pairs(bits: np.ndarray, parts: int, ids: int):
     """How many entries two classes share of the shingles with at most ``CROWD`` classes, packed by pair."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,7 +242,7 @@ def _pairs(bits: np.ndarray, parts: int):
                 a, b = np.concatenate(left), np.concatenate(right)
                 pairs, n = np.unique(np.column_stack([np.minimum(a, b), np.maximum(a, b)]), axis=0, return_counts=True)
                 a, b = pairs[:, 0].copy(), pairs[:, 1].copy()
-                yield from exchange.cut(X.mix(a.view(X.U64) * X.U64(3) + b.view(X.U64)), {"a": a, "b": b, "n": n.astype(np.int32)}, parts)
+                yield from exchange.cut(X.mix(a.view(X.U64) * X.U64(3) + b.view(X.U64)), {"a": a, "b": b, "n": n.astype(np.int32)}, parts, ids)
 
     return run
 
@@ -401,19 +410,20 @@ def classes_and_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     ids = docs.mapInArrow(_identify, "doc_id long, c1 long, c2 long, n long").checkpoint()
     classes = ids.where("n > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"))
     level = frequency_levels(docs)
-    bits = exchange.part_bits(spark)
-    entries = exchange.deal(docs.select("text").mapInArrow(_prefixes(level, bits), "part int, h binary, c binary"))
+    bits, slots = exchange.part_bits(spark), X.shuffle_parts(spark)
+    entries = exchange.send(docs.select("text").mapInArrow(_prefixes(level, bits, slots), "part int, h binary, c binary"), slots)
     shared = entries.mapInArrow(_shared, "h binary, c binary").checkpoint()
     # a link's smaller set has at least PERCENT of the size of its larger one, which bounds the extra entries that both share
     least = 1 + F.floor(F.floor(F.col("n") * PERCENT / 100) * EXTRA / 100)
     left = None
     for _ in range(PEELS):  # entries shared with classes that are done count no more
-        tally = shared.mapInArrow(_tally(None if left is None else bloom(left, F.col("c1"))), "c1 long, shared long, fame double").groupBy("c1").agg(F.sum("shared").alias("shared"), (F.sum("fame") / F.sum("shared")).alias("fame"))
+        partial = shared.mapInArrow(_tally(None if left is None else bloom(left, F.col("c1")), bits, slots), "part int, c binary, shared binary, fame binary")
+        tally = exchange.send(partial, slots).mapInArrow(_add_tallies, "c1 long, shared long, fame double")
         left = tally.join(classes, "c1").where(F.col("shared") >= least).select("c1", F.coalesce("doc", F.lit(-1)).alias("doc"), "n", "fame").checkpoint()
     # of a link's shared entries at least half are crowded or at least half are not
     in_play = bloom(left, F.col("c1"))
     half = lambda n: F.ceil((1 + F.floor(n * EXTRA / 100)) / 2)
-    pairs = exchange.deal(shared.mapInArrow(_pairs(in_play, bits), "part int, a binary, b binary, n binary")).mapInArrow(_add_pairs, "a long, b long, k long")
+    pairs = exchange.send(shared.mapInArrow(_pairs(in_play, bits, slots), "part int, a binary, b binary, n binary"), slots).mapInArrow(_add_pairs, "a long, b long, k long")
     n_a, n_b = (left.select(F.col("c1").alias(x), F.col("n").alias(f"n_{x}")) for x in "ab")
     edges = pairs.join(n_a, "a").join(n_b, "b").where(F.col("k") >= half(F.least("n_a", "n_b"))).select("a", "b")
     crowds = shared.mapInArrow(_crowds(in_play), "c1 long, crowded long").groupBy("c1").agg(F.sum("crowded").alias("crowded")).join(left, "c1")
