@@ -6,10 +6,12 @@ customer to the parent.  Seatings are sampled by Gibbs sweeps over dish types: g
 the contexts' table counts of the sweep before, each (context, word) type seats its customers anew.  Predictive probabilities
 are averaged over the last sweeps.
 
-The vocabulary is open-ended: words are dealt out by hash and no table of them is ever broadcast.  Contexts are the
-``CONTEXTS`` most frequent words; rarer preceding words share one restaurant and texts start in another, so the contexts' table counts
-are vectors of fixed size.  Each document's distinct (context, word) pairs travel once, packed, to where their counts are; partial
-sums come back.  That one shuffle serves all sweeps and the scoring (an RDD keeps its shuffle files between jobs).
+The vocabulary is open-ended: every preceding word has its own restaurant, texts start in one more, and words are dealt out by hash.
+What is known of the ``CONTEXTS`` most frequent words (as contexts and as words) are vectors of fixed size on the driver.  Entries with
+a rarer word lie in that word's partition, those of a rarer context and a frequent word in the context's; the table counts of
+rarer contexts go to the context's partition in every sweep, are added up there and come back as totals, packed.  Each document's
+distinct (context, word) pairs travel once, packed, to where their counts are; partial sums come back.  That one shuffle serves all sweeps
+and the scoring (an RDD keeps its shuffle files between jobs), and messages between partitions are dealt like it.
 
 Defined results: null and empty texts are one end token; without learning rows all tokens are unknown (N = V = 0, each has
 probability 1); repeated rows are learned from and scored as often as they occur.
@@ -22,15 +24,17 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.llm import exchange
 from gleaner.llm import textops as X
 
+#: So many words have their counts on the driver; those of all others are dealt out.
 CONTEXTS = 65_000
+#: Words and contexts under SLOTS are places of frequent words, others hashes.
 SLOTS = 1 << 16
-RARE, BEGIN = SLOTS - 2, SLOTS - 1
+BEGIN = SLOTS - 1
 END = X.U64(0x0E0D0F7E47)
 #: Discount and strength of the context restaurants and of their parent.
 D1, S1, D0, S0 = 0.75, 2.0, 0.4, 5.0
@@ -118,7 +122,7 @@ def _deal_parts(h: np.ndarray, parts: int) -> np.ndarray:
 
 
 def _emit(vocab: Vocabulary, parts: int):
-    """Packed entries of all documents: hot words by (context, word), others by word, and headers."""
+    """Packed entries of all documents: frequent words after frequent ones by (context, word), others by their rarer word, and headers."""
 
     def close(held: list) -> Iterator[pa.RecordBatch]:
         h = np.concatenate([x[0] for x in held])
@@ -129,13 +133,15 @@ def _emit(vocab: Vocabulary, parts: int):
         at = np.append(0, np.cumsum(sizes))
         doc = np.repeat(np.arange(len(sizes)), sizes)
         word = vocab.find(h)
-        context = np.append(0, np.where(word < 0, RARE, word)[:-1])
-        context[at[:-1]] = BEGIN
-        hot = word >= 0
+        frequent = np.flatnonzero(word >= 0)
         # what is known of frequent words already
-        base = np.bincount(doc[hot], np.log10(vocab.counts[word[hot]] + 0.5), minlength=len(sizes))
-        known = np.bincount(doc[hot], minlength=len(sizes))
-        pair = (context[hot] << 16 | word[hot]).astype(X.U64)
+        base = np.bincount(doc[frequent], np.log10(vocab.counts[word[frequent]] + 0.5), minlength=len(sizes))
+        known = np.bincount(doc[frequent], minlength=len(sizes))
+        word = np.where(word >= 0, word.astype(X.U64), np.where(h < X.U64(SLOTS), h + X.U64(SLOTS), h))
+        context = np.append(X.U64(BEGIN), word[:-1])
+        context[at[:-1]] = X.U64(BEGIN)
+        hot = (word < X.U64(SLOTS)) & (context < X.U64(SLOTS))
+        pair = context[hot] << X.U64(16) | word[hot]
         key = (_deal_parts(X.mix(pair), parts) << X.U64(48)) | (pair << X.U64(16)) | doc[hot].astype(X.U64)
         key = np.sort(key)
         first = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
@@ -143,12 +149,14 @@ def _emit(vocab: Vocabulary, parts: int):
         key = key[first]
         hot_at = np.searchsorted(key >> X.U64(48), np.arange(parts + 1).astype(X.U64))
         cold = np.flatnonzero(~hot)
-        cold = cold[np.lexsort((doc[cold], context[cold], h[cold]))]
-        ch, cc, cd = h[cold], context[cold], doc[cold]
+        to = _deal_parts(np.where(word[cold] < X.U64(SLOTS), context[cold], word[cold]), parts)
+        order = np.lexsort((doc[cold], context[cold], word[cold], to))
+        cold, to = cold[order], to[order]
+        ch, cc, cd = word[cold], context[cold], doc[cold]
         first = np.flatnonzero(np.append(True, (ch[1:] != ch[:-1]) | (cc[1:] != cc[:-1]) | (cd[1:] != cd[:-1]))[: len(ch)])
         ct = np.diff(np.append(first, len(ch))).astype(np.int32)
         ch, cc, cd = ch[first], cc[first], cd[first]
-        cold_at = np.searchsorted(_deal_parts(ch, parts), np.arange(parts + 1).astype(X.U64))
+        cold_at = np.searchsorted(to[first], np.arange(parts + 1).astype(X.U64))
         home = _deal_parts(X.mix(rid.view(X.U64)), parts).astype(np.int64)
         for p in range(parts):
             a, b, c, d = int(hot_at[p]), int(hot_at[p + 1]), int(cold_at[p]), int(cold_at[p + 1])
@@ -159,7 +167,7 @@ def _emit(vocab: Vocabulary, parts: int):
             local = local.astype(np.uint16)
             head = np.column_stack([rid[mine], doc_id[mine], train[mine], sizes[mine], known[mine]]).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), *(pa.array([v], pa.binary()) for v in (
-                exchange.planes(((key[a:b] >> X.U64(16)) & X.U64(0xFFFFFFFF)).astype(np.uint32)), exchange.planes(ch[c:d]), exchange.planes(cc[c:d].astype(np.uint16)),
+                exchange.planes(((key[a:b] >> X.U64(16)) & X.U64(0xFFFFFFFF)).astype(np.uint32)), exchange.planes(ch[c:d]), exchange.planes(cc[c:d]),
                 exchange.planes(local), exchange.planes(np.concatenate([times[a:b], ct[c:d]])), exchange.planes(np.column_stack([rid[docs], train[docs]]).astype(np.int64).reshape(-1)), exchange.planes(head.reshape(-1)), exchange.planes(base[mine])))], _COLUMNS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,7 +199,6 @@ class Seats:
     parent_tables: np.ndarray
     cold_customers: float = 0.0
     cold_tables: float = 0.0
-    cold_words: int = 0
 
     def totals(self) -> tuple[float, float]:
         return self.parent.sum() + self.cold_customers, self.parent_tables.sum() + self.cold_tables
@@ -199,7 +206,7 @@ class Seats:
 
 @dataclass
 class State:
-    customers: np.ndarray  # by context
+    customers: np.ndarray  # by frequent context
     sweeps: list[Seats] = field(default_factory=list)
 
 
@@ -235,14 +242,25 @@ def seat(count: np.ndarray, pull: np.ndarray, discount: float, rng: np.random.Ge
 
 
 class Shard:
-    """The entries of one partition, sorted by type."""
+    """The entries of one partition, sorted by type, and what other partitions told it of earlier sweeps."""
 
-    def __init__(self, rows: Iterator[Row]):
+    def __init__(self, number: int, rows: Iterator[tuple[int, tuple]]):
         parts: dict[str, list] = {k: [] for k in ("hot", "cold", "context", "rid", "train", "times", "kind", "head", "base")}
-        self.number = -1
-        for r in rows:
-            self.number = r["part"]
-            pair, word, context = (exchange.unplane(bytes(r[n]), t) for n, t in (("pair", np.uint32), ("word", X.U64), ("context", np.uint16)))
+        self.number = number
+        #: Customers and tables of the partition's words in the parent, by sweep.
+        self.own: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        replies: dict[int, dict[int, tuple[bytes, bytes]]] = {}
+        for _, (kind, *values) in rows:
+            if kind == "own":
+                sweep, customers, tables, _ = values
+                self.own[sweep] = exchange.unplane(customers, np.int64).astype(float), exchange.unplane(tables, np.int64).astype(float)
+            elif kind == "totals":
+                sweep, home, tables, customers = values
+                replies.setdefault(sweep, {})[home] = tables, customers
+            if kind != "entries":
+                continue
+            r = dict(zip(_COLUMNS[1:], values))
+            pair, word, context = (exchange.unplane(bytes(r[n]), t) for n, t in (("pair", np.uint32), ("word", X.U64), ("context", X.U64)))
             local = exchange.unplane(bytes(r["doc"]), np.uint16)
             docs = exchange.unplane(bytes(r["docs"]), np.int64).reshape(-1, 2)
             parts["hot"].append(pair)
@@ -262,41 +280,79 @@ class Shard:
         self.hot, self.hot_of = np.unique(got["hot"].astype(np.int64), return_inverse=True)
         self.hot_count = np.bincount(self.hot_of, learn[~kind], minlength=len(self.hot)).astype(np.int64)
         self.hot_rid, self.hot_times = got["rid"][~kind], got["times"][~kind].astype(np.int64)
-        # other words: all contexts of a word are here
-        word, context = got["cold"].astype(X.U64), got["context"].astype(np.int64)
-        self.words, of_word = np.unique(word, return_inverse=True)
-        types, self.cold_of = np.unique(of_word.astype(np.int64) << 16 | context, return_inverse=True)
-        self.cold_context, self.cold_word = types & 0xFFFF, types >> 16
+        # others: all contexts of a rarer word are here, and all frequent words of a rarer context
+        self.words, of_word = np.unique(got["cold"].astype(X.U64), return_inverse=True)
+        self.contexts, of_context = np.unique(got["context"].astype(X.U64), return_inverse=True)
+        self.frequent, self.near = (int(np.searchsorted(x, X.U64(SLOTS))) for x in (self.words, self.contexts))
+        width = max(1, len(self.contexts))
+        types, self.cold_of = np.unique(of_word.astype(np.int64) * width + of_context, return_inverse=True)
+        self.cold_context, self.cold_word = types % width, types // width
         self.cold_count = np.bincount(self.cold_of, learn[kind], minlength=len(types)).astype(np.int64)
         self.cold_rid, self.cold_times = got["rid"][kind], got["times"][kind].astype(np.int64)
         self.word_count = np.bincount(self.cold_word, self.cold_count, minlength=len(self.words))
-
-    def customers(self) -> np.ndarray:
-        return np.bincount(self.hot >> 16, self.hot_count, minlength=SLOTS) + np.bincount(self.cold_context, self.cold_count, minlength=SLOTS)
+        #: Tables and customers of the rarer contexts as all partitions have them; contexts are sorted, so are their homes.
+        self.tables, self.far_customers = {}, np.zeros(len(self.contexts) - self.near)
+        for sweep, found in replies.items():
+            tables, customers = (np.concatenate([exchange.unplane(found[home][k], np.int64) for home in sorted(found)]).astype(float) for k in (0, 1))
+            self.tables[sweep] = tables
+            if sweep == 0:
+                self.far_customers = customers
+
+    def of_contexts(self, near: np.ndarray, far: np.ndarray) -> np.ndarray:
+        """Values of the partition's contexts, from the frequent contexts' vector and those of the others."""
+        return np.concatenate([near[self.contexts[: self.near].astype(np.int64)], far])
+
+    def of_words(self, customers: np.ndarray, tables: np.ndarray, seats: Seats, distinct: int) -> tuple[np.ndarray, np.ndarray]:
+        """Probabilities in the parent: of all frequent words, and of the partition's words."""
+        parent = parent_probability(seats.parent, seats.parent_tables, seats, distinct)
+        own = parent_probability(customers, tables, seats, distinct)
+        own[: self.frequent] = parent[self.words[: self.frequent].astype(np.int64)]
+        return parent, own
 
     def seating(self, state: State, sweep: int, distinct: int) -> tuple[np.ndarray, ...]:
-        """Tables of the hot and cold types, and customers and tables of the cold words in the parent."""
+        """Tables of the hot and cold types, and customers and tables of the rarer words in the parent."""
         rng = np.random.default_rng([sweep, self.number + 1])
         if sweep == 0:
             hot, cold = (self.hot_count > 0).astype(float), (self.cold_count > 0).astype(float)
         else:
             last = state.sweeps[sweep - 1]
             word, context = self.hot & 0xFFFF, self.hot >> 16
-            p = parent_probability(last.parent, last.parent_tables, last, distinct)
+            p, own = self.of_words(*self.own.get(sweep - 1, (np.zeros(0), np.zeros(0))), last, distinct)
             hot = seat(self.hot_count, (S1 + D1 * last.tables[context]) * p[word], D1, rng)
-            # rare words: their mean probability in the parent
-            mean = parent_probability(np.array([last.cold_customers]), np.array([last.cold_tables]), last, distinct)[0] / max(1, last.cold_words)
-            cold = seat(self.cold_count, (S1 + D1 * last.tables[self.cold_context]) * mean, D1, rng)
+            tables = self.of_contexts(last.tables, self.tables.get(sweep - 1, self.far_customers))
+            cold = seat(self.cold_count, (S1 + D1 * tables[self.cold_context]) * own[self.cold_word], D1, rng)
         customers = np.bincount(self.cold_word, cold, minlength=len(self.words))
+        customers[: self.frequent] = 0
         c = max(1.0, float(customers.sum()))
         tables = seat(customers.astype(np.int64), np.full(len(self.words), (S0 + D0 * c) / (distinct + 1)), D0, rng)
         return hot, cold, customers, tables
 
-    def statistics(self, state: State, sweep: int, distinct: int) -> np.ndarray:
+    def sums(self, hot: np.ndarray, cold: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of values of the types: by frequent context, by frequent word, and by the partition's other contexts."""
+        of_context = np.bincount(self.cold_context, cold, minlength=len(self.contexts))
+        of_word = np.bincount(self.cold_word, cold, minlength=len(self.words))
+        by_context, by_word = (np.bincount(x, hot, minlength=SLOTS).astype(float) for x in (self.hot >> 16, self.hot & 0xFFFF))
+        by_context[self.contexts[: self.near].astype(np.int64)] += of_context[: self.near]
+        by_word[self.words[: self.frequent].astype(np.int64)] += of_word[: self.frequent]
+        return by_context, by_word, of_context[self.near :]
+
+    def messages(self, state: State, sweep: int, parts: int, distinct: int) -> Iterator[tuple[int, tuple]]:
+        """What a sweep gives to each partition: sums by its share of the slots and by the contexts that have their home there."""
         hot, cold, customers, tables = self.seating(state, sweep, distinct)
-        by_context = np.bincount(self.hot >> 16, hot, minlength=SLOTS) + np.bincount(self.cold_context, cold, minlength=SLOTS)
-        by_word = np.bincount(self.hot & 0xFFFF, hot, minlength=SLOTS)
-        return np.concatenate([by_context, by_word, [customers.sum(), tables.sum(), float((customers > 0).sum())]])
+        by_context, by_word, far = self.sums(hot, cold)
+        slots, far_customers = [by_context, by_word], np.zeros(len(far))
+        if sweep == 0:
+            by_customer, _, far_customers = self.sums(self.hot_count.astype(float), self.cold_count.astype(float))
+            slots.append(by_customer)
+        slots = np.stack(slots).astype(np.int64)
+        contexts = self.contexts[self.near :]
+        at = np.searchsorted(_deal_parts(contexts, parts), np.arange(parts + 1).astype(X.U64))
+        for p in range(parts):
+            mine, i = slots[:, _share(p, parts)], slice(int(at[p]), int(at[p + 1]))
+            if mine.any() or i.stop > i.start:
+                names = exchange.planes(contexts[i]) if sweep == 0 else b""
+                yield p, ("sums", sweep, self.number, exchange.planes(mine.reshape(-1)), names, exchange.planes(far[i].astype(np.int64)), exchange.planes(far_customers[i].astype(np.int64)) if sweep == 0 else b"")
+        yield self.number, ("own", sweep, exchange.planes(customers.astype(np.int64)), exchange.planes(tables.astype(np.int64)), (float(customers.sum()), float(tables.sum())))
 
     def score(self, state: State, parts: int, distinct: int) -> Iterator[tuple]:
         hot_p, cold_p = np.zeros(len(self.hot)), np.zeros(len(self.cold_count))
@@ -304,17 +360,22 @@ class Shard:
         for sweep in kept:
             seats = state.sweeps[sweep]
             hot, cold, customers, tables = self.seating(state, sweep, distinct)
-            parent = parent_probability(seats.parent, seats.parent_tables, seats, distinct)
-            own = parent_probability(customers, tables, seats, distinct)
-            for count, t, context, p, out in ((self.hot_count, hot, self.hot >> 16, parent[self.hot & 0xFFFF], hot_p), (self.cold_count, cold, self.cold_context, own[self.cold_word], cold_p)):
-                c, k = state.customers[context], seats.tables[context]
+            parent, own = self.of_words(customers, tables, seats, distinct)
+            all_customers = self.of_contexts(state.customers, self.far_customers)
+            all_tables = self.of_contexts(seats.tables, self.tables.get(sweep, self.far_customers))
+            for count, t, c, k, p, out in (
+                (self.hot_count, hot, state.customers[self.hot >> 16], seats.tables[self.hot >> 16], parent[self.hot & 0xFFFF], hot_p),
+                (self.cold_count, cold, all_customers[self.cold_context], all_tables[self.cold_context], own[self.cold_word], cold_p),
+            ):
                 out += np.where(c > 0, (count - D1 * t + (S1 + D1 * k) * p) / (S1 + c), p) / len(kept)
         rid = np.concatenate([self.hot_rid, self.cold_rid])
         score = np.concatenate([np.log10(np.maximum(hot_p, 1e-300))[self.hot_of] * self.hot_times, np.log10(np.maximum(cold_p, 1e-300))[self.cold_of] * self.cold_times])
+        # the base of frequent words is known already
+        rare = (self.cold_word >= self.frequent)[self.cold_of] * self.cold_times
         count = self.word_count[self.cold_word][self.cold_of]
         none = np.zeros(len(self.hot_rid))
-        base = np.concatenate([none, np.log10(count + 0.5) * self.cold_times])
-        known = np.concatenate([none, (count > 0) * self.cold_times])
+        base = np.concatenate([none, np.log10(count + 0.5) * rare])
+        known = np.concatenate([none, (count > 0) * rare])
         keys, back = np.unique(rid, return_inverse=True)
         sums = [np.bincount(back, x, minlength=len(keys)) for x in (score, base, known)]
         part = _deal_parts(X.mix(keys.view(X.U64)), parts)
@@ -329,6 +390,52 @@ class Shard:
                 yield p, keys[i].tobytes(), *(x[i].tobytes() for x in sums), np.ascontiguousarray(heads[:, [0, 3, 1, 4]]).astype(np.int64).tobytes(), (self.base if mine else self.base[:0]).tobytes()
 
 
+def _same(part: int) -> int:
+    return part
+
+
+def _share(part: int, parts: int) -> slice:
+    """The slots that a partition adds up."""
+    return slice(SLOTS * part // parts, SLOTS * (part + 1) // parts)
+
+
+def _slots(number: int, rows: Iterator[tuple[int, tuple]]) -> Iterator[tuple[int, np.ndarray | None, tuple[float, float]]]:
+    """Sums over all partitions of this one's share of the slots, and its rarer words' customers and tables."""
+    total, rare = None, (0.0, 0.0)
+    for _, (kind, _, *values) in rows:
+        if kind == "sums":
+            got = exchange.unplane(values[1], np.int64)
+            total = got if total is None else total + got
+        elif kind == "own":
+            rare = values[-1]
+    yield number, total, rare
+
+
+def _totals(sweep: int):
+    """Of the contexts that have their home here: tables in a sweep, and customers, added up and sent back to who asked."""
+
+    def run(number: int, rows: Iterator[tuple[int, tuple]]) -> Iterator[tuple[int, tuple]]:
+        names, tables, customers = {}, {}, {}
+        for _, (kind, at, *values) in rows:
+            if kind == "sums":
+                source, _, named, t, c = values
+                if at == 0:
+                    names[source], customers[source] = exchange.unplane(named, X.U64), exchange.unplane(c, np.int64)
+                if at == sweep:
+                    tables[source] = exchange.unplane(t, np.int64)
+        sources = [k for k in sorted(names) if len(names[k])]
+        if not sources:
+            return
+        _, back = np.unique(np.concatenate([names[k] for k in sources]), return_inverse=True)
+        sums = [np.bincount(back, np.concatenate([x[k] for k in sources])).astype(np.int64)[back] for x in (tables, customers)]
+        stops = np.cumsum([len(names[k]) for k in sources])
+        for k, stop in zip(sources, stops):
+            i = slice(int(stop) - len(names[k]), int(stop))
+            yield k, ("totals", sweep, number, exchange.planes(sums[0][i]), exchange.planes(sums[1][i]) if sweep == 0 else b"")
+
+    return run
+
+
 def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One row for each document of a partition, from the partial sums and its header."""
     found: list[list[np.ndarray]] = [[] for _ in range(6)]
@@ -355,28 +462,39 @@ def score(docs: DataFrame, train, key: str = "doc_id", text: str = "text") -> Da
     parts = min(X.shuffle_parts(spark), 1 << 15)
     marked = rows.withColumn("rid", F.monotonically_increasing_id()).select("rid", F.coalesce("id", F.lit(_NO_ID + 1)).alias("doc"), "train", "text")
     packed = marked.mapInArrow(_emit(vocab, parts), ", ".join(["part int", *(f"{c} binary" for c in _COLUMNS[1:])]))
-    shards = packed.repartitionById(parts, F.col("part")).rdd
+    deal = lambda rdd: rdd.partitionBy(parts, _same)
+    shards = deal(packed.rdd.map(lambda r: (r[0], ("entries", *r[1:]))))
 
-    def over(f):
-        def run(it):
-            shard = Shard(it)
-            yield f(shard)
-
-        return shards.mapPartitions(run).treeReduce(lambda a, b: a + b)
+    def together(*rdds):
+        """Partition by partition: all are dealt alike, so nothing is moved."""
+        out = spark.sparkContext.union(list(rdds))
+        assert out.getNumPartitions() == shards.getNumPartitions()
+        return out
 
     distinct, total = vocab.distinct, vocab.total
-    state = State(over(lambda s: s.customers()))
+    state = State(np.zeros(SLOTS))
+    told, totals = [], []
     for sweep in range(SWEEPS + 1):
-        got = over(lambda s, state=state, sweep=sweep: s.statistics(state, sweep, distinct))
-        by_word = got[SLOTS : 2 * SLOTS]
+        known = together(shards, told[-1], totals[-1]) if sweep else shards
+        told.append(deal(known.mapPartitionsWithIndex(lambda i, it, state=state, sweep=sweep: Shard(i, it).messages(state, sweep, parts, distinct))))
+        slots, rare = np.zeros((2 if sweep else 3, SLOTS)), np.zeros(2)
+        for part, got, (customers, tables) in told[-1].mapPartitionsWithIndex(_slots).collect():
+            rare += customers, tables
+            if got is not None:
+                slots[:, _share(part, parts)] = got.reshape(len(slots), -1)
+        if not sweep:
+            state.customers = slots[2]
+        totals.append(deal((together(told[0], told[-1]) if sweep else told[0]).mapPartitionsWithIndex(_totals(sweep))))
+        by_word = slots[1]
         mass = max(1.0, float(by_word.sum()))
         at_root = seat(by_word.astype(np.int64), np.full(SLOTS, (S0 + D0 * mass) / (distinct + 1)), D0, np.random.default_rng([sweep, 0]))
-        state.sweeps.append(Seats(got[:SLOTS], by_word, at_root, float(got[-3]), float(got[-2]), int(got[-1])))
-
-    def final(it):
-        yield from Shard(it).score(state, parts, distinct)
+        state.sweeps.append(Seats(slots[0], by_word, at_root, *rare.tolist()))
 
-    sums = spark.createDataFrame(shards.mapPartitions(final), "part int, rid binary, score binary, base binary, known binary, head binary, head_base binary")
+    # the sweeps that are averaged, and what they were drawn from
+    first = max(0, SWEEPS - AVERAGED)
+    known = together(shards, *told[first:-1], *totals[:1], *totals[max(1, first) :])
+    final = known.mapPartitionsWithIndex(lambda i, it: Shard(i, it).score(state, parts, distinct))
+    sums = spark.createDataFrame(final, "part int, rid binary, score binary, base binary, known binary, head binary, head_base binary")
     out = sums.repartitionById(parts, F.col("part")).mapInArrow(_add_up, "doc long, n_tokens long, n_known long, base double, score double")
     norm = float(np.log10(total + 0.5 * (distinct + 1)))
     return out.select(F.when(F.col("doc") == _NO_ID + 1, None).otherwise(F.col("doc")).alias(key), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * norm).alias("base_score"), "score")

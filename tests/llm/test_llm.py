@@ -247,3 +247,17 @@ def test_slices_keep_every_row():
     batch = pa.RecordBatch.from_pydict({"text": ["a" * k for k in range(200)] + [None]})
     assert sum(b.num_rows for b in X.slices(iter([batch]), "text", 500)) == 201
     assert F is not None
+
+
+def test_rare_contexts_have_their_own_restaurants(spark, monkeypatch):
+    pairs = [f"before{k} after{k}" for k in range(40)]
+    learn = [f"{p} . {p} . {p}" for p in pairs for _ in range(3)]
+    asked = [*pairs, *(f"before{k} after{(k + 7) % 40}" for k in range(40))]
+    docs = documents(spark, learn + asked).withColumn("learn", F.col("doc_id") < len(learn))
+    scores = []
+    for most in (1, 65_000):
+        monkeypatch.setattr(language_model, "CONTEXTS", most)
+        got = language_model.score(docs, F.col("learn")).toPandas().sort_values("doc_id")
+        scores.append(got.score.to_numpy()[len(learn) :])
+        assert (scores[-1][:40] > scores[-1][40:] + 1).all()  # seen pairs against others of the same words
+    assert np.abs(scores[0] - scores[1]).max() < 0.5  # where the counts lie doesn't matter
