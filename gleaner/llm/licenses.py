@@ -2,8 +2,9 @@
 
 Templates and documents are sequences of words (letters and digits, lower-cased).  Of every ``WINDOW`` neighbouring hashes of
 ``GRAM`` words the least is kept (winnowing), so any shared run of ``GRAM + WINDOW - 1`` words shares a fingerprint.  An
-inverted index from fingerprints to places in templates gives candidate diagonals; close ones are merged, and a local
-alignment within a band around them reports the matched words, their share of the template and the span in the text.
+inverted index from fingerprints to places in templates gives candidate diagonals, and a local alignment within a band
+around them reports the matched words, their share of the template and the span in the text.  Hits inside a reported span are
+done; around all others what is left of the band is aligned again.
 
 The index is sent to every task: its size is that of the template set, of which at most ``MOST_WORDS`` words are allowed.
 
@@ -13,6 +14,7 @@ templates with the same words each report.
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import numpy as np
@@ -126,6 +128,16 @@ class Index:
         self.keys, self.pos = g[ok][order], ok[order]
         self.owner = doc[self.pos]
 
+    @staticmethod
+    def _free(spans: list[tuple[int, int]], place: int, lo: int, hi: int) -> tuple[int, int]:
+        """The words from ``lo`` to ``hi`` around a hit that aren't in a span; none if the whole hit is in spans."""
+        for word in range(place, place + GRAM):
+            k = bisect.bisect_right(spans, word, key=lambda x: x[0])
+            before = spans[k - 1][1] if k else lo
+            if before <= word:
+                return max(lo, before), min(hi, spans[k][0] if k < len(spans) else hi)
+        return place, place
+
     def scan(self, h: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """(document, template, matched words, first word, last word + 1), words counted over all documents."""
         keys, pos = winnow(h, at)
@@ -135,17 +147,30 @@ class Index:
         place = np.repeat(pos[on], (b - a)[on])
         doc = np.searchsorted(at, place, side="right") - 1
         shift = place - (self.pos[j] - self.at[self.owner[j]])
-        rows = np.unique(np.column_stack([doc, self.owner[j], shift]), axis=0)
-        out, done = [], None
-        for d, t, s in rows.tolist():
-            if done and done[:2] == (d, t) and s - done[2] <= BAND:
-                continue  # within the band of the diagonal before
-            done = (d, t, s)
+        rows = np.unique(np.column_stack([doc, self.owner[j], shift, place]), axis=0)
+        out: list[tuple[int, int, int, int, int]] = []
+        begins = np.flatnonzero(np.append(True, (rows[1:, :3] != rows[:-1, :3]).any(axis=1))[: len(rows)])
+        group, spans = None, []
+        for a, b in zip(begins, [*begins[1:], len(rows)]):
+            d, t, s = rows[a, :3].tolist()
+            if group != (d, t):
+                group, spans = (d, t), []  # the reported spans of this template in this document, in order
             template = self.words[self.at[t] : self.at[t + 1]]
             lo, hi = max(int(at[d]), s - BAND), min(int(at[d + 1]), s + len(template) + BAND)
-            matched, first, last, _ = align(template.tolist(), h[lo:hi].tolist(), s - lo)
-            if matched >= max(LEAST_WORDS, LEAST_COVERAGE * len(template)) or matched >= LONG_MATCH:
-                out.append((d, t, matched, lo + first, lo + last))
+            # what is left of the band around hits that no span has
+            ahead = rows[a:b, 3].tolist()
+            while ahead:
+                place = ahead[-1]
+                first, last = self._free(spans, place, lo, hi)
+                if last - first < LEAST_WORDS:
+                    ahead.pop()
+                    continue
+                matched, begin, end, _ = align(template.tolist(), h[first:last].tolist(), s - first)
+                if matched >= max(LEAST_WORDS, LEAST_COVERAGE * len(template)) or matched >= LONG_MATCH:
+                    out.append((d, t, matched, first + begin, first + end))
+                    bisect.insort(spans, (first + begin, first + end))
+                else:  # nor has any other hit in the same place of the text
+                    ahead = [x for x in ahead if x != place and self._free(spans, x, lo, hi) != (first, last)]
         return sorted(set(out))
 
 

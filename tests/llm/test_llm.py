@@ -261,3 +261,13 @@ def test_rare_contexts_have_their_own_restaurants(spark, monkeypatch):
         scores.append(got.score.to_numpy()[len(learn) :])
         assert (scores[-1][:40] > scores[-1][40:] + 1).all()  # seen pairs against others of the same words
     assert np.abs(scores[0] - scores[1]).max() < 0.5  # where the counts lie doesn't matter
+
+
+def test_repeated_notices_are_all_found(spark):
+    line = "Licensed under CC BY-NC 4.0.\n"
+    texts = [line * 9, f"one {line}" * 5 + "Released under the MIT License. " * 4, f"{line} a b c d e f g h i j k l m n {line}"]
+    got = licenses.scan(documents(spark, texts)).collect()
+    for i, t in enumerate(texts):
+        for name, notice in (("CC-BY-NC-4.0-notice", "Licensed under CC BY-NC 4.0"), ("MIT-notice", "Released under the MIT License")):
+            want = [(m.start(), m.end()) for m in re.finditer(re.escape(notice), t)]
+            assert sorted((r["start"], r["end"]) for r in got if (r["doc_id"], r["license"]) == (i, name)) == want
