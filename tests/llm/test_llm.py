@@ -271,3 +271,17 @@ def test_repeated_notices_are_all_found(spark):
         for name, notice in (("CC-BY-NC-4.0-notice", "Licensed under CC BY-NC 4.0"), ("MIT-notice", "Released under the MIT License")):
             want = [(m.start(), m.end()) for m in re.finditer(re.escape(notice), t)]
             assert sorted((r["start"], r["end"]) for r in got if (r["doc_id"], r["license"]) == (i, name)) == want
+
+
+def test_pipeline_keeps_one_row_of_repeated_ids_and_missing_ids(spark):
+    import corpus_pipeline
+
+    rng = random.Random(3)
+    texts = [" ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(150)) for _ in range(5)]
+    rows = [(1, texts[0])] * 3 + [(None, texts[1])] * 3 + [(7, texts[2]), (5, texts[2]), (None, texts[2]), (5, texts[3]), (9, texts[3])] + [(None, texts[4])]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t), "clash", 1) for i, t in rows], SCHEMA).withColumnRenamed("score", "Row")
+    kept = corpus_pipeline.drop_near_duplicates(spark, docs.repartition(3), "")
+    assert kept.columns == docs.columns
+    want = {(1, texts[0]), (None, texts[1]), (5, texts[2]), (5, texts[3]), (None, texts[4])}
+    assert kept.count() == 5 and {(r["doc_id"], r["text"]) for r in kept.collect()} == want
+    assert {(r["doc_id"], r["text"]) for r in corpus_pipeline.cut_repeats(spark, kept.withColumnRenamed("Row", "score"), "").collect()} == want
