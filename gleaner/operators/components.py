@@ -2,37 +2,83 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gleaner.operators.storage import remove, written
+
+#: Edges that a task contracts at once; bounds its memory.
+CHUNK = 1_000_000
+
+
+def least_labels(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """For vertices 0 .. n - 1 the least vertex that the edges connect them with."""
+    label = np.arange(n)
+    while True:
+        x, y = label[a], label[b]
+        apart = x != y
+        if not apart.any():
+            return label
+        np.minimum.at(label, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
+        while not np.array_equal(label, up := label[label]):
+            label = up
+
+
+def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Replaces a task's edges, a chunk at a time, by stars around the least vertex of each of their components."""
 
-def use_checkpoints(spark: SparkSession) -> None:
-    """Keeps the cluster's spark.checkpoint.dir; sets an own folder only where none is configured, as in tests."""
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        import tempfile
+    def close(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(held)
+        ends = pa.chunked_array([*rows["a"].chunks, *rows["b"].chunks])
+        values = ends.unique()
+        values = values.take(pc.sort_indices(values))
+        at = pc.index_in(ends, values).to_numpy().astype(np.int64)
+        label = least_labels(at[: len(rows)], at[len(rows) :], len(values))
+        out = np.flatnonzero(label != np.arange(len(values)))
+        return pa.RecordBatch.from_arrays([values.take(pa.array(label[out])), values.take(pa.array(out))], ["a", "b"])
 
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n > CHUNK:
+            yield close(held)
+            held, n = [], 0
+    if n:
+        yield close(held)
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """``id``, ``label`` for every end of an edge; the label is the least id of the component.
 
-    Each round sends every vertex to its least neighbour, relabels the edges and drops loops and repeats, so that stars and
-    cliques vanish in one round and long chains shrink by a constant factor.  Null ends are ignored.
+    In each round every task first contracts its own edges to stars.  Then every vertex goes to its least neighbour, one jump further
+    along these pointers, and edges are relabelled; loops and repeats drop out.  Stars, cliques and whatever lies in one task vanish
+    in one round, long chains shrink by a constant factor.  Rounds are written below the shared checkpoint folder and read again, so
+    neither lineage nor size estimates grow.  Null ends are ignored.
     """
-    use_checkpoints(edges.sparkSession)
-    e = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a IS NOT NULL AND b IS NOT NULL").distinct().checkpoint()
-    labels = e.select(F.col("a").alias("id")).union(e.select("b")).distinct().withColumn("label", F.col("id"))
-    e = e.where("a <> b")
+    spark = edges.sparkSession
+    e = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a IS NOT NULL AND b IS NOT NULL").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    e, e_path = written(e.distinct(), "edges")
+    labels = e.select(F.col("a").alias("id")).union(e.select("b")).distinct().select("id", F.col("id").alias("label"))
+    schema, paths = e.schema, [e_path]
+    e, e_path = written(e.where("a <> b").mapInArrow(_stars, schema).distinct(), "edges")
     while not e.isEmpty():
         both = e.union(e.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("label"), F.least("a", "m").alias("to"))
         # one jump along the pointers
         far = least.select(F.col("label").alias("to"), F.col("to").alias("far"))
-        least = least.join(far, "to", "left").select("label", F.coalesce("far", "to").alias("to")).checkpoint()
-        labels = labels.join(least, "label", "left").select("id", F.coalesce("to", "label").alias("label")).checkpoint()
+        least, least_path = written(least.join(far, "to", "left").select("label", F.coalesce("far", "to").alias("to")), "pointers")
+        labels, labels_path = written(labels.join(least, "label", "left").select("id", F.coalesce("to", "label").alias("label")), "labels")
         to_a, to_b = (least.select(F.col("label").alias(x), F.col("to").alias(f"to_{x}")) for x in "ab")
-        e = e.join(to_a, "a").join(to_b, "b").select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).where("a <> b").distinct().checkpoint()
+        moved = e.join(to_a, "a").join(to_b, "b").select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).where("a <> b")
+        e, next_path = written(moved.mapInArrow(_stars, schema).distinct(), "edges")
+        remove(spark, *paths, e_path, least_path)
+        paths, e_path = [labels_path], next_path
     return labels
 
 

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import hashing as H
 from gleaner.functions import text as X
-from gleaner.operators.components import components, groups, use_checkpoints
+from gleaner.operators.components import components, groups
+from gleaner.operators.storage import use_checkpoints, written
 
 
 # --- exact duplicates -------------------------------------------------------------------------------------------------
