@@ -319,7 +319,7 @@ def encode(docs: DataFrame, vocabulary_path: str, text: str = "text", offsets: b
                 columns.append(_binary(ends.astype("<u4"), at, 4))
             yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, *added])
 
-    return docs.mapInArrow(run, schema)
+    return docs.transform(X.arrow, run, schema)
 
 
 def decode(tokens: DataFrame, vocabulary_path: str, ids: str = "ids", into: str = "decoded") -> DataFrame:
@@ -335,7 +335,7 @@ def decode(tokens: DataFrame, vocabulary_path: str, ids: str = "ids", into: str
             size = np.append(0, np.cumsum(vocab.lengths[flat]))
             yield pa.RecordBatch.from_arrays([*batch.columns, _binary(vocab.decode(flat), size[off // 4], 1)], [*batch.schema.names, into])
 
-    return tokens.mapInArrow(run, schema)
+    return tokens.transform(X.arrow, run, schema)
 
 
 def digests(docs: DataFrame, vocabulary_path: str) -> DataFrame:

@@ -146,7 +146,7 @@ def find(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
 
         return run
 
-    found = [docs.select(key, text).mapInArrow(run_with(items), schema) for items in blocks(benchmark)]
+    found = [docs.select(key, text).transform(X.arrow, run_with(items), schema) for items in blocks(benchmark)]
     return reduce(DataFrame.unionAll, found) if found else docs.sparkSession.createDataFrame([], schema)
 
 
@@ -163,4 +163,4 @@ def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFram
 
         return run
 
-    return reduce(lambda d, items: d.mapInArrow(run_with(items), d.schema), blocks(benchmark), docs)
+    return reduce(lambda d, items: d.transform(X.arrow, run_with(items), d.schema), blocks(benchmark), docs)

@@ -33,6 +33,7 @@ from pyspark.sql import types as T
 from gleaner.llm import exchange
 from gleaner.llm import textops as X
 from gleaner.operators.components import components
+from gleaner.operators.storage import use_checkpoints
 
 WORDS = 5
 #: Links need 100 * intersection >= PERCENT * union.
@@ -45,7 +46,7 @@ CROWD = 48
 SKETCH_BITS = 20
 BLOOM_BITS = 23
 BLOCK, LEADERS = 128, 12
-FLUSH = 3_000_000
+FLUSH = 1_000_000
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -99,7 +100,7 @@ def _count_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def frequency_levels(docs: DataFrame) -> np.ndarray:
     """For each cell of the sketch how many times (as a power of 2) it exceeds what is usual; a fixed-size table."""
-    rows = docs.select("text").mapInArrow(_count_cells, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    rows = docs.select("text").transform(X.arrow, _count_cells, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
     total = (rows.where("cell < 0").first() or [0, 0])[1]
     usual = max(16, 4 * total >> SKETCH_BITS)
     level = np.zeros(1 << SKETCH_BITS, np.uint8)
@@ -399,44 +400,44 @@ def _links(rows: DataFrame) -> DataFrame:
     """Verified links of rows (comp, x, y, c1, set), group by group."""
     parts = X.shuffle_parts(rows.sparkSession)
     dealt = rows.select("comp", "x", "y", "c1", "set").repartition(parts, "comp", "x", "y").sortWithinPartitions("comp", "x", "y")
-    return dealt.mapInArrow(_verify, "a long, b long")
+    return dealt.transform(X.arrow, _verify, "a long, b long")
 
 
 def classes_and_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, c1, c2, n) of every document, and (c1, label) of the classes that link with another one."""
     spark: SparkSession = docs.sparkSession
-    X.checkpoint_dir(spark)
+    use_checkpoints(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ids = docs.mapInArrow(_identify, "doc_id long, c1 long, c2 long, n long").checkpoint()
+    ids = docs.transform(X.arrow, _identify, "doc_id long, c1 long, c2 long, n long").checkpoint()
     classes = ids.where("n > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"))
     level = frequency_levels(docs)
     bits, slots = exchange.part_bits(spark), X.shuffle_parts(spark)
-    entries = exchange.send(docs.select("text").mapInArrow(_prefixes(level, bits, slots), "part int, h binary, c binary"), slots)
-    shared = entries.mapInArrow(_shared, "h binary, c binary").checkpoint()
+    entries = exchange.send(docs.select("text").transform(X.arrow, _prefixes(level, bits, slots), "part int, h binary, c binary"), slots)
+    shared = entries.transform(X.arrow, _shared, "h binary, c binary").checkpoint()
     # a link's smaller set has at least PERCENT of the size of its larger one, which bounds the extra entries that both share
     least = 1 + F.floor(F.floor(F.col("n") * PERCENT / 100) * EXTRA / 100)
     left = None
     for _ in range(PEELS):  # entries shared with classes that are done count no more
-        partial = shared.mapInArrow(_tally(None if left is None else bloom(left, F.col("c1")), bits, slots), "part int, c binary, shared binary, fame binary")
-        tally = exchange.send(partial, slots).mapInArrow(_add_tallies, "c1 long, shared long, fame double")
+        partial = shared.transform(X.arrow, _tally(None if left is None else bloom(left, F.col("c1")), bits, slots), "part int, c binary, shared binary, fame binary")
+        tally = exchange.send(partial, slots).transform(X.arrow, _add_tallies, "c1 long, shared long, fame double")
         left = tally.join(classes, "c1").where(F.col("shared") >= least).select("c1", F.coalesce("doc", F.lit(-1)).alias("doc"), "n", "fame").checkpoint()
     # of a link's shared entries at least half are crowded or at least half are not
     in_play = bloom(left, F.col("c1"))
     half = lambda n: F.ceil((1 + F.floor(n * EXTRA / 100)) / 2)
-    pairs = exchange.send(shared.mapInArrow(_pairs(in_play, bits, slots), "part int, a binary, b binary, n binary"), slots).mapInArrow(_add_pairs, "a long, b long, k long")
+    pairs = exchange.send(shared.transform(X.arrow, _pairs(in_play, bits, slots), "part int, a binary, b binary, n binary"), slots).transform(X.arrow, _add_pairs, "a long, b long, k long")
     n_a, n_b = (left.select(F.col("c1").alias(x), F.col("n").alias(f"n_{x}")) for x in "ab")
     edges = pairs.join(n_a, "a").join(n_b, "b").where(F.col("k") >= half(F.least("n_a", "n_b"))).select("a", "b")
-    crowds = shared.mapInArrow(_crowds(in_play), "c1 long, crowded long").groupBy("c1").agg(F.sum("crowded").alias("crowded")).join(left, "c1")
+    crowds = shared.transform(X.arrow, _crowds(in_play), "c1 long, crowded long").groupBy("c1").agg(F.sum("crowded").alias("crowded")).join(left, "c1")
     crowded = bloom(crowds.where(F.col("crowded") >= half(F.floor(F.col("n") * PERCENT / 100))), F.col("c1"))
     if crowded.any():
-        edges = edges.unionAll(shared.mapInArrow(_stars(in_play, crowded), "a long, b long"))
+        edges = edges.unionAll(shared.transform(X.arrow, _stars(in_play, crowded), "a long, b long"))
     groups = components(edges).select(F.col("id").alias("c1"), F.col("label").alias("comp"))
     members = left.join(groups, "c1")
     sizes = members.groupBy("comp").agg(F.count("*").alias("size")).where("size > 1")
     big = members.join(sizes.where(F.col("size") > BLOCK), "comp", "left_semi")
     famous = big.select("c1", F.row_number().over(W.partitionBy("comp").orderBy(F.desc("fame"), "c1")).alias("r")).where(F.col("r") <= LEADERS).select("c1", F.lit(True).alias("leads"))
     members = members.join(sizes, "comp").join(famous, "c1", "left").checkpoint()
-    chosen = docs.mapInArrow(_chosen_sets(bloom(members.withColumn("k", _mixed("c1", "doc")), F.col("k"))), "c1 long, doc long, set binary")
+    chosen = docs.transform(X.arrow, _chosen_sets(bloom(members.withColumn("k", _mixed("c1", "doc")), F.col("k"))), "c1 long, doc long, set binary")
     sets = chosen.join(members, ["c1", "doc"]).checkpoint()
     blocks = F.ceil(F.col("size") / BLOCK)
     own = F.pmod(F.xxhash64("c1"), blocks)

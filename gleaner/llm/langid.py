@@ -152,12 +152,12 @@ def fit(learn: DataFrame, rows: int = 4000, epochs: int = 4, alpha: float = 0.5,
     share = F.create_map(*[F.lit(x) for k in languages for x in (k, int(min(1.0, each / sizes[k]) * (1 << 62)))])
     rank = sampling.rank(F.col("doc_id"), 7)
     sample = learn.where(rank <= share[F.col("lang")]).select("lang", "text", rank.alias("rank"))
-    counts = learn.select("text").mapInArrow(_frequencies, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
+    counts = learn.select("text").transform(X.arrow, _frequencies, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
     df = np.zeros(BUCKETS + 1)
     for b, n in counts:
         df[b] = n
     idf = np.log((1 + df[BUCKETS]) / (1 + df[:BUCKETS])) + 1
-    got = sorted((r["rank"], r["lang"], bytes(r["buckets"]), bytes(r["counts"])) for r in sample.mapInArrow(_examples, "lang string, rank long, buckets binary, counts binary").collect())
+    got = sorted((r["rank"], r["lang"], bytes(r["buckets"]), bytes(r["counts"])) for r in sample.transform(X.arrow, _examples, "lang string, rank long, buckets binary, counts binary").collect())
     model = Model(languages, idf, np.zeros((BUCKETS, len(languages))), np.zeros(len(languages)), 1.0)
     data = [(model.vector(w, c), w, languages.index(k)) for _, k, w, c in ((r, k, np.frombuffer(w, "<u2").astype(np.int64), np.frombuffer(c, "<i4").astype(float)) for r, k, w, c in got) if len(w)]
     aside, train = data[::5], [x for i, x in enumerate(data) if i % 5] or data
@@ -227,7 +227,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep_text: bool =
             columns = [batch.column(f.name) for f in kept]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], [f.name for f in schema.fields])
 
-    return docs.mapInArrow(run, schema)
+    return docs.transform(X.arrow, run, schema)
 
 
 def accept(docs: DataFrame, model: Model, least: float, text: str = "text") -> DataFrame:
@@ -238,7 +238,7 @@ def accept(docs: DataFrame, model: Model, least: float, text: str = "text") -> D
             keep = [bool(len(w)) and bool(model.languages) and float(model.probabilities(w, c).max()) >= least for w, c in features(*X.string_bytes(batch.column(text)))]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.transform(X.arrow, run, docs.schema)
 
 
 def learning_rows(docs: DataFrame) -> DataFrame:

@@ -4,7 +4,8 @@ Three levels: a restaurant for every context (the preceding word), the restauran
 uniform base over the known words and one unknown.  A context's customers are the tokens seen after it; every table of it sends a
 customer to the parent.  Seatings are sampled by Gibbs sweeps over dish types: given the parent's probabilities and
 the contexts' table counts of the sweep before, each (context, word) type seats its customers anew.  Predictive probabilities
-are averaged over the last sweeps.
+are averaged over the last sweeps.  Random numbers come from a hash of the type, the sweep and the customer, so neither the number
+of partitions nor the choice of frequent words changes a score by more than rounding.
 
 The vocabulary is open-ended: every preceding word has its own restaurant, texts start in one more, and words are dealt out by hash.
 What is known of the ``CONTEXTS`` most frequent words (as contexts and as words) are vectors of fixed size on the driver.  Entries with
@@ -39,7 +40,7 @@ END = X.U64(0x0E0D0F7E47)
 #: Discount and strength of the context restaurants and of their parent.
 D1, S1, D0, S0 = 0.75, 2.0, 0.4, 5.0
 SWEEPS, AVERAGED = 3, 2
-FLUSH = 2_500_000
+FLUSH = 1_000_000
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -107,8 +108,8 @@ class Vocabulary:
 
 def vocabulary(learn: DataFrame) -> Vocabulary:
     parts, bits = X.shuffle_parts(learn.sparkSession), exchange.part_bits(learn.sparkSession)
-    packed = learn.select("text").mapInArrow(lambda b: _counts(b, bits), "part int, h binary, n binary")
-    rows = exchange.deal(packed).mapInArrow(_frequent(max(64, 2 * CONTEXTS // parts)), "kind int, h long, n long")
+    packed = learn.select("text").transform(X.arrow, lambda b: _counts(b, bits), "part int, h binary, n binary")
+    rows = exchange.deal(packed).transform(X.arrow, _frequent(max(64, 2 * CONTEXTS // parts)), "kind int, h long, n long")
     got = rows.collect()
     totals = [(r["h"], r["n"]) for r in got if r["kind"] == 1]
     top = sorted(((r["n"], r["h"]) for r in got if r["kind"] == 0), reverse=True)[:CONTEXTS]
@@ -129,6 +130,7 @@ def _emit(vocab: Vocabulary, parts: int):
         sizes = np.concatenate([np.diff(x[1]) for x in held])
         rid = np.concatenate([x[2] for x in held])
         train = np.concatenate([x[3] for x in held])
+        no_id = np.concatenate([x[5] for x in held])
         doc_id = np.concatenate([x[4] for x in held])
         at = np.append(0, np.cumsum(sizes))
         doc = np.repeat(np.arange(len(sizes)), sizes)
@@ -165,7 +167,7 @@ def _emit(vocab: Vocabulary, parts: int):
                 continue
             docs, local = np.unique(np.concatenate([(key[a:b] & X.U64(0xFFFF)).astype(np.int64), cd[c:d]]), return_inverse=True)
             local = local.astype(np.uint16)
-            head = np.column_stack([rid[mine], doc_id[mine], train[mine], sizes[mine], known[mine]]).astype(np.int64)
+            head = np.column_stack([rid[mine], doc_id[mine], train[mine] + 2 * no_id[mine], sizes[mine], known[mine]]).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), *(pa.array([v], pa.binary()) for v in (
                 exchange.planes(((key[a:b] >> X.U64(16)) & X.U64(0xFFFFFFFF)).astype(np.uint32)), exchange.planes(ch[c:d]), exchange.planes(cc[c:d]),
                 exchange.planes(local), exchange.planes(np.concatenate([times[a:b], ct[c:d]])), exchange.planes(np.column_stack([rid[docs], train[docs]]).astype(np.int64).reshape(-1)), exchange.planes(head.reshape(-1)), exchange.planes(base[mine])))], _COLUMNS)
@@ -175,7 +177,7 @@ def _emit(vocab: Vocabulary, parts: int):
         for batch in X.slices(batches, "text"):
             for small in (batch.slice(k, 30_000) for k in range(0, batch.num_rows, 30_000)):
                 h, at = tokens(*X.string_bytes(small.column("text")))
-                held.append((h, at, small.column("rid").to_numpy(), small.column("train").to_numpy(zero_copy_only=False).astype(np.int64), small.column("doc").to_numpy()))
+                held.append((h, at, small.column("rid").to_numpy(), small.column("train").to_numpy(zero_copy_only=False).astype(np.int64), small.column("doc").fill_null(0).to_numpy(), np.asarray(small.column("doc").is_null()).astype(np.int64)))
                 n, docs = n + len(h), docs + small.num_rows
                 if n > FLUSH or docs > 30_000:
                     yield from close(held)
@@ -187,7 +189,6 @@ def _emit(vocab: Vocabulary, parts: int):
 
 
 _COLUMNS = ["part", "pair", "word", "context", "doc", "times", "docs", "head", "base"]
-_NO_ID = -(1 << 63)
 
 
 @dataclass
@@ -207,16 +208,51 @@ class Seats:
 @dataclass
 class State:
     customers: np.ndarray  # by frequent context
+    hashes: np.ndarray  # of the frequent words
+    distinct: int
     sweeps: list[Seats] = field(default_factory=list)
 
+    def names(self, places: np.ndarray) -> np.ndarray:
+        """Hashes of words or contexts that are given as places of frequent ones or as hashes."""
+        near = places < X.U64(SLOTS)
+        return np.where(near, self.hashes[np.where(near, places, X.U64(0)).astype(np.int64)], places)
+
+    def parent_tables(self, sweep: int) -> float:
+        """Tables of the parent before a sweep: one for each word at first."""
+        return self.sweeps[sweep - 1].totals()[1] if sweep else float(self.distinct)
+
 
 def parent_probability(customers: np.ndarray, tables: np.ndarray, seats: Seats, distinct: int) -> np.ndarray:
     c, t = seats.totals()
     return (customers - D0 * tables + (S0 + D0 * t) / (distinct + 1)) / (S0 + c)
 
 
-def seat(count: np.ndarray, pull: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
-    """Numbers of tables after ``count`` customers of one dish sat down; ``pull`` is the weight of a new table.
+def _uniform(key: np.ndarray, draw: int) -> np.ndarray:
+    """A number in (0, 1) for each key, another one for each draw."""
+    return ((X.mix(key + X.U64(draw * 0x9E3779B97F4A7C15 % 2**64)) >> X.U64(11)).astype(float) + 0.5) * 2.0**-53
+
+
+def _poisson(mean: np.ndarray, key: np.ndarray, draw: int) -> np.ndarray:
+    """Poisson numbers: by inversion where the mean is small, from a rounded normal one elsewhere."""
+    u = _uniform(key, draw)
+    large = mean > 30
+    normal = np.sqrt(-2 * np.log(u)) * np.cos(2 * np.pi * _uniform(key, draw + 1))
+    out = np.where(large, np.maximum(np.rint(mean + np.sqrt(mean) * normal), 0), 0)
+    live = np.flatnonzero(~large)
+    term = np.exp(-mean[live])
+    below = term.copy()
+    for k in range(1, 200):
+        live, term, below = (x[u[live] > below] for x in (live, term, below)) if len(live) else (live, term, below)
+        if not len(live):
+            break
+        out[live] = k
+        term = term * mean[live] / k
+        below = below + term
+    return out
+
+
+def seat(count: np.ndarray, pull: np.ndarray, discount: float, key: np.ndarray) -> np.ndarray:
+    """Numbers of tables after ``count`` customers of one dish sat down; ``pull`` is the weight of a new table, ``key`` seeds the draws.
 
     The first 48 customers are seated one by one; further ones in blocks of doubling size, with the expected number of new
     tables of a block as the mean of a Poisson draw.
@@ -228,28 +264,38 @@ def seat(count: np.ndarray, pull: np.ndarray, discount: float, rng: np.random.Ge
             return tables
         t = tables[live]
         new = pull[live] / np.maximum(i - discount * t + pull[live], 1e-12)
-        tables[live] = t + (rng.random(len(live)) < new)
+        tables[live] = t + (_uniform(key[live], i) < new)
         live = live[count[live] > i + 1]
-    start = 48
+    start, draw = 48, 48
     while len(live):
         stop = np.minimum(count[live], 2 * start)
         t, a = tables[live], pull[live]
         mean = a * np.log(np.maximum(stop - discount * t + a, 1e-9) / np.maximum(start - discount * t + a, 1e-9))
-        tables[live] = t + np.minimum(rng.poisson(np.maximum(mean, 0)), stop - start)
-        start *= 2
+        tables[live] = t + np.minimum(_poisson(np.maximum(mean, 0), key[live], draw), stop - start)
+        start, draw = 2 * start, draw + 2
         live = live[count[live] > start]
     return tables
 
 
+def seats_of_words(customers: np.ndarray, tables: float, distinct: int, word: np.ndarray, sweep: int) -> np.ndarray:
+    """Tables of words in the parent; ``tables`` is how many it had in the sweep before."""
+    return seat(customers.astype(np.int64), np.full(len(customers), (S0 + D0 * tables) / (distinct + 1)), D0, _key(word, word, sweep))
+
+
+def _key(context: np.ndarray, word: np.ndarray, sweep: int) -> np.ndarray:
+    return X.mix(context * X.U64(0x2545F4914F6CDD1D) + word + X.U64(sweep * 0xD1342543DE82EF95 % 2**64))
+
+
 class Shard:
     """The entries of one partition, sorted by type, and what other partitions told it of earlier sweeps."""
 
     def __init__(self, number: int, rows: Iterator[tuple[int, tuple]]):
-        parts: dict[str, list] = {k: [] for k in ("hot", "cold", "context", "rid", "train", "times", "kind", "head", "base")}
+        parts: dict[str, list] = {k: [] for k in ("hot", "cold", "context", "hot_doc", "cold_doc", "hot_times", "cold_times", "rid", "train", "head", "base")}
         self.number = number
         #: Customers and tables of the partition's words in the parent, by sweep.
         self.own: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         replies: dict[int, dict[int, tuple[bytes, bytes]]] = {}
+        docs = 0
         for _, (kind, *values) in rows:
             if kind == "own":
                 sweep, customers, tables, _ = values
@@ -261,34 +307,38 @@ class Shard:
                 continue
             r = dict(zip(_COLUMNS[1:], values))
             pair, word, context = (exchange.unplane(bytes(r[n]), t) for n, t in (("pair", np.uint32), ("word", X.U64), ("context", X.U64)))
-            local = exchange.unplane(bytes(r["doc"]), np.uint16)
-            docs = exchange.unplane(bytes(r["docs"]), np.int64).reshape(-1, 2)
-            parts["hot"].append(pair)
-            parts["cold"].append(word)
-            parts["context"].append(context)
-            parts["kind"].append(np.repeat([0, 1], [len(pair), len(word)]))
-            parts["rid"].append(docs[local, 0])
-            parts["train"].append(docs[local, 1])
-            parts["times"].append(exchange.unplane(bytes(r["times"]), np.int32))
-            parts["head"].append(exchange.unplane(bytes(r["head"]), np.int64).reshape(-1, 5))
-            parts["base"].append(exchange.unplane(bytes(r["base"]), np.float64))
-        got = {k: np.concatenate(v) if v else np.zeros((0, 5) if k == "head" else 0, np.int64) for k, v in parts.items()}
-        self.head, self.base = got["head"], got["base"].astype(float)
-        kind = got["kind"].astype(bool)
-        learn = got["times"] * got["train"]
+            of_row = exchange.unplane(bytes(r["docs"]), np.int64).reshape(-1, 2)
+            local = exchange.unplane(bytes(r["doc"]), np.uint16).astype(np.int32) + np.int32(docs)
+            times = exchange.unplane(bytes(r["times"]), np.int32)
+            docs += len(of_row)
+            n = len(pair)
+            found = {"hot": pair, "cold": word, "context": context, "hot_doc": local[:n], "cold_doc": local[n:], "hot_times": times[:n], "cold_times": times[n:], "rid": of_row[:, 0].copy(), "train": of_row[:, 1] > 0}
+            found |= {"head": exchange.unplane(bytes(r["head"]), np.int64).reshape(-1, 5), "base": exchange.unplane(bytes(r["base"]), np.float64)}
+            for k, v in found.items():
+                parts[k].append(v)
+        types = {"hot": np.uint32, "cold": X.U64, "context": X.U64, "train": bool, "base": float, "hot_doc": np.int32, "cold_doc": np.int32, "hot_times": np.int32, "cold_times": np.int32}
+        got = {}
+        for k in list(parts):
+            v = parts.pop(k)
+            got[k] = np.concatenate(v) if v else np.zeros((0, 5) if k == "head" else 0, types.get(k, np.int64))
+        self.head, self.base, self.rid = got["head"], got["base"], got["rid"]
+        self.hot_doc, self.cold_doc, self.hot_times, self.cold_times = (got[k] for k in ("hot_doc", "cold_doc", "hot_times", "cold_times"))
+        train = got["train"]
         # frequent words: types are (context, word) pairs
-        self.hot, self.hot_of = np.unique(got["hot"].astype(np.int64), return_inverse=True)
-        self.hot_count = np.bincount(self.hot_of, learn[~kind], minlength=len(self.hot)).astype(np.int64)
-        self.hot_rid, self.hot_times = got["rid"][~kind], got["times"][~kind].astype(np.int64)
+        self.hot, hot_of = np.unique(got.pop("hot"), return_inverse=True)
+        self.hot, self.hot_of = self.hot.astype(np.int64), hot_of.astype(np.int32)
+        del hot_of
+        self.hot_count = np.bincount(self.hot_of, self.hot_times * train[self.hot_doc], minlength=len(self.hot)).astype(np.int64)
         # others: all contexts of a rarer word are here, and all frequent words of a rarer context
-        self.words, of_word = np.unique(got["cold"].astype(X.U64), return_inverse=True)
-        self.contexts, of_context = np.unique(got["context"].astype(X.U64), return_inverse=True)
+        self.words, of_word = np.unique(got.pop("cold"), return_inverse=True)
+        self.contexts, of_context = np.unique(got.pop("context"), return_inverse=True)
         self.frequent, self.near = (int(np.searchsorted(x, X.U64(SLOTS))) for x in (self.words, self.contexts))
         width = max(1, len(self.contexts))
-        types, self.cold_of = np.unique(of_word.astype(np.int64) * width + of_context, return_inverse=True)
+        types, cold_of = np.unique(of_word.astype(np.int64) * width + of_context, return_inverse=True)
+        self.cold_of = cold_of.astype(np.int32)
+        del of_word, of_context, cold_of
         self.cold_context, self.cold_word = types % width, types // width
-        self.cold_count = np.bincount(self.cold_of, learn[kind], minlength=len(types)).astype(np.int64)
-        self.cold_rid, self.cold_times = got["rid"][kind], got["times"][kind].astype(np.int64)
+        self.cold_count = np.bincount(self.cold_of, self.cold_times * train[self.cold_doc], minlength=len(types)).astype(np.int64)
         self.word_count = np.bincount(self.cold_word, self.cold_count, minlength=len(self.words))
         #: Tables and customers of the rarer contexts as all partitions have them; contexts are sorted, so are their homes.
         self.tables, self.far_customers = {}, np.zeros(len(self.contexts) - self.near)
@@ -311,20 +361,19 @@ class Shard:
 
     def seating(self, state: State, sweep: int, distinct: int) -> tuple[np.ndarray, ...]:
         """Tables of the hot and cold types, and customers and tables of the rarer words in the parent."""
-        rng = np.random.default_rng([sweep, self.number + 1])
         if sweep == 0:
             hot, cold = (self.hot_count > 0).astype(float), (self.cold_count > 0).astype(float)
         else:
             last = state.sweeps[sweep - 1]
             word, context = self.hot & 0xFFFF, self.hot >> 16
             p, own = self.of_words(*self.own.get(sweep - 1, (np.zeros(0), np.zeros(0))), last, distinct)
-            hot = seat(self.hot_count, (S1 + D1 * last.tables[context]) * p[word], D1, rng)
+            hot = seat(self.hot_count, (S1 + D1 * last.tables[context]) * p[word], D1, _key(state.hashes[context], state.hashes[word], sweep))
             tables = self.of_contexts(last.tables, self.tables.get(sweep - 1, self.far_customers))
-            cold = seat(self.cold_count, (S1 + D1 * tables[self.cold_context]) * own[self.cold_word], D1, rng)
+            key = _key(state.names(self.contexts)[self.cold_context], state.names(self.words)[self.cold_word], sweep)
+            cold = seat(self.cold_count, (S1 + D1 * tables[self.cold_context]) * own[self.cold_word], D1, key)
         customers = np.bincount(self.cold_word, cold, minlength=len(self.words))
         customers[: self.frequent] = 0
-        c = max(1.0, float(customers.sum()))
-        tables = seat(customers.astype(np.int64), np.full(len(self.words), (S0 + D0 * c) / (distinct + 1)), D0, rng)
+        tables = seats_of_words(customers, state.parent_tables(sweep), distinct, state.names(self.words), sweep)
         return hot, cold, customers, tables
 
     def sums(self, hot: np.ndarray, cold: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -368,16 +417,14 @@ class Shard:
                 (self.cold_count, cold, all_customers[self.cold_context], all_tables[self.cold_context], own[self.cold_word], cold_p),
             ):
                 out += np.where(c > 0, (count - D1 * t + (S1 + D1 * k) * p) / (S1 + c), p) / len(kept)
-        rid = np.concatenate([self.hot_rid, self.cold_rid])
-        score = np.concatenate([np.log10(np.maximum(hot_p, 1e-300))[self.hot_of] * self.hot_times, np.log10(np.maximum(cold_p, 1e-300))[self.cold_of] * self.cold_times])
+        docs = len(self.rid)
         # the base of frequent words is known already
-        rare = (self.cold_word >= self.frequent)[self.cold_of] * self.cold_times
-        count = self.word_count[self.cold_word][self.cold_of]
-        none = np.zeros(len(self.hot_rid))
-        base = np.concatenate([none, np.log10(count + 0.5) * rare])
-        known = np.concatenate([none, (count > 0) * rare])
-        keys, back = np.unique(rid, return_inverse=True)
-        sums = [np.bincount(back, x, minlength=len(keys)) for x in (score, base, known)]
+        rare = self.cold_word >= self.frequent
+        count = self.word_count[self.cold_word]
+        of_doc = lambda values: np.bincount(self.cold_doc, values[self.cold_of] * self.cold_times, minlength=docs).astype(float)
+        sums = [of_doc(np.log10(np.maximum(cold_p, 1e-300))), of_doc(np.log10(count + 0.5) * rare), of_doc((count > 0) * rare)]
+        sums[0] += np.bincount(self.hot_doc, np.log10(np.maximum(hot_p, 1e-300))[self.hot_of] * self.hot_times, minlength=docs)
+        keys = self.rid
         part = _deal_parts(X.mix(keys.view(X.U64)), parts)
         order = np.argsort(part, kind="stable")
         bounds = np.searchsorted(part[order], np.arange(parts + 1).astype(X.U64))
@@ -387,7 +434,7 @@ class Shard:
             mine = p == self.number  # headers were dealt by the same rule
             if len(i) or (mine and len(h)):
                 heads = h if mine else h[:0]
-                yield p, keys[i].tobytes(), *(x[i].tobytes() for x in sums), np.ascontiguousarray(heads[:, [0, 3, 1, 4]]).astype(np.int64).tobytes(), (self.base if mine else self.base[:0]).tobytes()
+                yield p, keys[i].tobytes(), *(x[i].tobytes() for x in sums), np.ascontiguousarray(heads[:, [0, 3, 1, 4, 2]]).astype(np.int64).tobytes(), (self.base if mine else self.base[:0]).tobytes()
 
 
 def _same(part: int) -> int:
@@ -446,12 +493,12 @@ def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     if not found[0]:
         return
     rid, score, base, known, head, head_base = (np.concatenate(f) for f in found)
-    head = head.reshape(-1, 4)
+    head = head.reshape(-1, 5)
     order = np.argsort(head[:, 0])
     head, head_base = head[order], head_base[order]
     at = np.searchsorted(head[:, 0], rid)
     sums = [np.bincount(at, x, minlength=len(head)) for x in (score, base, known)]
-    yield pa.RecordBatch.from_arrays([pa.array(head[:, 2]), pa.array(head[:, 1]), pa.array((sums[2] + head[:, 3]).astype(np.int64)), pa.array(sums[1] + head_base), pa.array(sums[0])], ["doc", "n_tokens", "n_known", "base", "score"])
+    yield pa.RecordBatch.from_arrays([pa.array(head[:, 2], mask=head[:, 4] > 1), pa.array(head[:, 1]), pa.array((sums[2] + head[:, 3]).astype(np.int64)), pa.array(sums[1] + head_base), pa.array(sums[0])], ["doc", "n_tokens", "n_known", "base", "score"])
 
 
 def score(docs: DataFrame, train, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -460,11 +507,22 @@ def score(docs: DataFrame, train, key: str = "doc_id", text: str = "text") -> Da
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text"), F.coalesce(train, F.lit(False)).alias("train"))
     vocab = vocabulary(rows.where("train"))
     parts = min(X.shuffle_parts(spark), 1 << 15)
-    marked = rows.withColumn("rid", F.monotonically_increasing_id()).select("rid", F.coalesce("id", F.lit(_NO_ID + 1)).alias("doc"), "train", "text")
-    packed = marked.mapInArrow(_emit(vocab, parts), ", ".join(["part int", *(f"{c} binary" for c in _COLUMNS[1:])]))
+    marked = rows.withColumn("rid", F.monotonically_increasing_id()).select("rid", F.col("id").alias("doc"), "train", "text")
+    packed = marked.transform(X.arrow, _emit(vocab, parts), ", ".join(["part int", *(f"{c} binary" for c in _COLUMNS[1:])]))
     deal = lambda rdd: rdd.partitionBy(parts, _same)
     shards = deal(packed.rdd.map(lambda r: (r[0], ("entries", *r[1:]))))
 
+    def tidy(run):
+        """As in ``X.arrow``: the worker gives its memory back at the end of a task."""
+
+        def inner(i, rows):
+            try:
+                yield from run(i, rows)
+            finally:
+                X.give_back()
+
+        return inner
+
     def together(*rdds):
         """Partition by partition: all are dealt alike, so nothing is moved."""
         out = spark.sparkContext.union(list(rdds))
@@ -472,11 +530,13 @@ def score(docs: DataFrame, train, key: str = "doc_id", text: str = "text") -> Da
         return out
 
     distinct, total = vocab.distinct, vocab.total
-    state = State(np.zeros(SLOTS))
+    hashes = np.full(SLOTS, X.mix(np.array([BEGIN], X.U64))[0])
+    hashes[: len(vocab.hashes)] = vocab.hashes
+    state = State(np.zeros(SLOTS), hashes, distinct)
     told, totals = [], []
     for sweep in range(SWEEPS + 1):
         known = together(shards, told[-1], totals[-1]) if sweep else shards
-        told.append(deal(known.mapPartitionsWithIndex(lambda i, it, state=state, sweep=sweep: Shard(i, it).messages(state, sweep, parts, distinct))))
+        told.append(deal(known.mapPartitionsWithIndex(tidy(lambda i, it, state=state, sweep=sweep: Shard(i, it).messages(state, sweep, parts, distinct)))))
         slots, rare = np.zeros((2 if sweep else 3, SLOTS)), np.zeros(2)
         for part, got, (customers, tables) in told[-1].mapPartitionsWithIndex(_slots).collect():
             rare += customers, tables
@@ -484,20 +544,19 @@ def score(docs: DataFrame, train, key: str = "doc_id", text: str = "text") -> Da
                 slots[:, _share(part, parts)] = got.reshape(len(slots), -1)
         if not sweep:
             state.customers = slots[2]
-        totals.append(deal((together(told[0], told[-1]) if sweep else told[0]).mapPartitionsWithIndex(_totals(sweep))))
+        totals.append(deal((together(told[0], told[-1]) if sweep else told[0]).mapPartitionsWithIndex(tidy(_totals(sweep)))))
         by_word = slots[1]
-        mass = max(1.0, float(by_word.sum()))
-        at_root = seat(by_word.astype(np.int64), np.full(SLOTS, (S0 + D0 * mass) / (distinct + 1)), D0, np.random.default_rng([sweep, 0]))
+        at_root = seats_of_words(by_word, state.parent_tables(sweep), distinct, hashes, sweep)
         state.sweeps.append(Seats(slots[0], by_word, at_root, *rare.tolist()))
 
     # the sweeps that are averaged, and what they were drawn from
     first = max(0, SWEEPS - AVERAGED)
     known = together(shards, *told[first:-1], *totals[:1], *totals[max(1, first) :])
-    final = known.mapPartitionsWithIndex(lambda i, it: Shard(i, it).score(state, parts, distinct))
+    final = known.mapPartitionsWithIndex(tidy(lambda i, it: Shard(i, it).score(state, parts, distinct)))
     sums = spark.createDataFrame(final, "part int, rid binary, score binary, base binary, known binary, head binary, head_base binary")
-    out = sums.repartitionById(parts, F.col("part")).mapInArrow(_add_up, "doc long, n_tokens long, n_known long, base double, score double")
+    out = sums.repartitionById(parts, F.col("part")).transform(X.arrow, _add_up, "doc long, n_tokens long, n_known long, base double, score double")
     norm = float(np.log10(total + 0.5 * (distinct + 1)))
-    return out.select(F.when(F.col("doc") == _NO_ID + 1, None).otherwise(F.col("doc")).alias(key), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * norm).alias("base_score"), "score")
+    return out.select(F.col("doc").alias(key), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), (F.col("base") - F.col("n_tokens") * norm).alias("base_score"), "score")
 
 
 def report(docs: DataFrame) -> DataFrame:

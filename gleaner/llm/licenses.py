@@ -188,4 +188,4 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, key: str = "d
                 columns = [batch.column(key).take(pa.array([d for d, *_ in found])), pa.array([index.names[t] for _, t, *_ in found]), pa.array([m for _, _, m, *_ in found]), pa.array([m / int(index.at[t + 1] - index.at[t]) for _, t, m, *_ in found]), pa.array([int(s[f] - off[d]) for d, _, _, f, _ in found]), pa.array([int(e[l - 1] - off[d]) for d, _, _, _, l in found])]
                 yield pa.RecordBatch.from_arrays(columns, [f.name for f in schema.fields])
 
-    return docs.select(key, text).mapInArrow(run, schema)
+    return docs.select(key, text).transform(X.arrow, run, schema)

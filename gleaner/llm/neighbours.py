@@ -150,7 +150,7 @@ def nearest(rows: DataFrame, queries: DataFrame, k: int = 5, key: str = "vec_id"
     blocks = searched.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1)).cast("array<long>")).alias("shard"), F.lit(1).alias("kind"), "k1", "k2", F.lit(0).cast("long").alias("least_id"), "vector")
     parts = max(1, min(shards, X.shuffle_parts(spark)))
     stream = data.unionByName(blocks).repartition(parts, "shard").sortWithinPartitions("shard", "kind")
-    found = stream.mapInArrow(_search(k + 1), "q1 long, q2 long, k1 long, k2 long, least_id long, score double")
+    found = stream.transform(X.arrow, _search(k + 1), "q1 long, q2 long, k1 long, k2 long, least_id long, score double")
     best = found.withColumn("n", F.row_number().over(W.partitionBy("q1", "q2").orderBy(F.desc("score"), "least_id"))).where(F.col("n") <= k + 1)
     lists = best.join(groups.select("k1", "k2", "ids"), ["k1", "k2"]).select("q1", "q2", F.explode(F.transform("ids", lambda i: F.struct((-F.col("score")).alias("s"), i.alias("id")))).alias("c"))
     lists = lists.groupBy("q1", "q2").agg(F.slice(F.array_sort(F.collect_list("c")), 1, k + 1).alias("c"))

@@ -116,7 +116,7 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _statistics_of(docs: DataFrame, ids: DataFrame) -> np.ndarray:
     """Statistics of the documents with these (few, bounded) ids, in order of the ids."""
     few = docs.select("doc_id", "text").join(F.broadcast(ids.select("doc_id").distinct()), "doc_id", "left_semi")
-    got = sorted((r[0], tuple(r[1])) for r in few.mapInArrow(_rows, "doc_id long, x array<double>").collect())
+    got = sorted((r[0], tuple(r[1])) for r in few.transform(X.arrow, _rows, "doc_id long, x array<double>").collect())
     return np.array([x for _, x in got]).reshape(-1, len(NAMES))
 
 
@@ -188,7 +188,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", keep_text: bool = T
             got = model.scores(statistics(*X.string_bytes(batch.column(text))))
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), pa.array(got)], [f.name for f in schema.fields])
 
-    return docs.mapInArrow(run, schema)
+    return docs.transform(X.arrow, run, schema)
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:

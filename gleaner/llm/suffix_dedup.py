@@ -29,6 +29,7 @@ from pyspark.sql import types as T
 from gleaner.llm import exchange
 from gleaner.llm import textops as X
 from gleaner.llm.jaccard import BLOOM_BITS, bloom, in_bloom
+from gleaner.operators.storage import use_checkpoints
 
 LENGTH, GRAM = 400, 32
 GRAMS = LENGTH - GRAM + 1
@@ -406,11 +407,11 @@ def _sort_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeats(docs: DataFrame) -> DataFrame:
     """(d, a, b): byte ranges that repeat, by the hash ``d`` of the text; ``docs`` has doc_id, text, d."""
     spark = docs.sparkSession
-    X.checkpoint_dir(spark)
+    use_checkpoints(spark)
     bits = exchange.part_bits(spark)
     fields = ", ".join(f"{n} binary" for n in _FIELDS)
-    entries = docs.mapInArrow(_anchors(bits), f"part int, {fields}").checkpoint()
-    judged = exchange.deal(entries.where("part >= 0")).mapInArrow(_judge, "kind int, d long, doc long, first long, pos long, count long").checkpoint()
+    entries = docs.transform(X.arrow, _anchors(bits), f"part int, {fields}").checkpoint()
+    judged = exchange.deal(entries.where("part >= 0")).transform(X.arrow, _judge, "kind int, d long, doc long, first long, pos long, count long").checkpoint()
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -418,14 +419,14 @@ def repeats(docs: DataFrame) -> DataFrame:
                 d, first, count = (exchange.unplane(batch.column(n)[i].as_buffer(), _FIELDS[n]) for n in ("d", "first", "count"))
                 yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(first), pa.array(first + count - 1 + LENGTH)], ["d", "a", "b"])
 
-    marks = entries.where("part < 0").mapInArrow(local, "d long, a long, b long")
+    marks = entries.where("part < 0").transform(X.arrow, local, "d long, a long, b long")
     marks = marks.unionAll(judged.where("kind = 0").select("d", F.col("first").alias("a"), (F.col("first") + F.col("count") - 1 + LENGTH).alias("b")))
-    chosen = {k: bloom(judged.where(F.col("kind") == k).select("doc", "pos").mapInArrow(_keys, "k long"), F.col("k")) for k in (1, 2)}
-    raw = exchange.deal(docs.mapInArrow(_bytes_of(chosen[1], bits), "part int, h binary, d binary, first binary, count binary, raw binary"))
-    marks = marks.unionAll(raw.mapInArrow(_sort_bucket, "d long, a long, b long"))
+    chosen = {k: bloom(judged.where(F.col("kind") == k).select("doc", "pos").transform(X.arrow, _keys, "k long"), F.col("k")) for k in (1, 2)}
+    raw = exchange.deal(docs.transform(X.arrow, _bytes_of(chosen[1], bits), "part int, h binary, d binary, first binary, count binary, raw binary"))
+    marks = marks.unionAll(raw.transform(X.arrow, _sort_bucket, "d long, a long, b long"))
     if chosen[2].any():
-        hashes = exchange.deal(docs.mapInArrow(_window_hashes(chosen[2], bits), "part int, h binary, d binary, start binary"))
-        marks = marks.unionAll(hashes.mapInArrow(_equal_hashes, "d long, a long, b long"))
+        hashes = exchange.deal(docs.transform(X.arrow, _window_hashes(chosen[2], bits), "part int, h binary, d binary, start binary"))
+        marks = marks.unionAll(hashes.transform(X.arrow, _equal_hashes, "d long, a long, b long"))
     return marks
 
 
@@ -462,7 +463,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     joined = keyed.join(found, "d", "left").withColumn("whole", F.coalesce("copied", F.lit(False))).drop("copied")
     kept = [f for f in docs.schema.fields if f.name != "text"]
     schema = T.StructType([*kept, *(T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept", T.BinaryType())])
-    return joined.select(*(f.name for f in kept), "text", "d", "marks", "whole").mapInArrow(_apply, schema)
+    return joined.select(*(f.name for f in kept), "text", "d", "marks", "whole").transform(X.arrow, _apply, schema)
 
 
 def report(docs: DataFrame) -> DataFrame:

@@ -161,7 +161,7 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = 3000, clean_rows:
     known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("y"))
     ids = sampling.bounded(known.where("y = 1"), "doc_id", toxic_rows, 21).unionByName(sampling.bounded(known.where("y = 0"), "doc_id", clean_rows, 22))
     texts = docs.where("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(ids), "doc_id")
-    evidence = texts.mapInArrow(_contexts, "word long, context long, toxic long").groupBy("word", "context").agg(F.max("toxic").alias("toxic"))
+    evidence = texts.transform(X.arrow, _contexts, "word long, context long, toxic long").groupBy("word", "context").agg(F.max("toxic").alias("toxic"))
     # words with enough distinct contexts; their number is at most the sample's contexts over ``least_contexts``
     counts = evidence.groupBy("word").agg(F.sum("toxic").alias("bad"), F.count("*").alias("all"))
     totals = counts.agg(F.sum("bad"), F.sum("all")).first()
@@ -177,7 +177,7 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = 3000, clean_rows:
     if not len(lexicon):
         return model
     lexicon = np.sort(lexicon)
-    got = sorted((r[0], r[1], bytes(r[2])) for r in texts.mapInArrow(_windows(lexicon), "doc_id long, y int, words binary").collect())
+    got = sorted((r[0], r[1], bytes(r[2])) for r in texts.transform(X.arrow, _windows(lexicon), "doc_id long, y int, words binary").collect())
     _likelihood(model, [np.frombuffer(w, X.U64) for _, _, w in got], lexicon)
     _layer(model, texts)
     return model
@@ -264,7 +264,7 @@ def _layer(model: Model, texts: DataFrame) -> None:
             x = model.document_features(model.marginals(h, at), at)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "y", "x"])
 
-    got = sorted((r[0], r[1], tuple(r[2])) for r in texts.mapInArrow(run, "doc_id long, y int, x array<double>").collect())
+    got = sorted((r[0], r[1], tuple(r[2])) for r in texts.transform(X.arrow, run, "doc_id long, y int, x array<double>").collect())
     x, y = np.array([r[2] for r in got]), np.array([r[1] for r in got], float)
     w = np.zeros(4)
     for _ in range(50):  # Newton steps with a small ridge
@@ -298,7 +298,7 @@ def tag(docs: DataFrame, model: Model, text: str = "text", keep_text: bool = Tru
             lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(own, np.arange(len(off))), pa.int32()), flat)
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in kept), pa.array(model.scores(p, at)), lists], [f.name for f in schema.fields])
 
-    return docs.mapInArrow(run, schema)
+    return docs.transform(X.arrow, run, schema)
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:

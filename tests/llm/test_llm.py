@@ -151,7 +151,7 @@ def test_language_model(spark):
 def test_seats_lie_between_one_and_all():
     rng = np.random.default_rng(0)
     n = rng.integers(0, 5000, 2000)
-    t = language_model.seat(n, np.full(2000, 3.0), 0.75, rng)
+    t = language_model.seat(n, np.full(2000, 3.0), 0.75, rng.integers(0, 2**63, 2000).astype(np.uint64))
     assert ((t >= np.minimum(n, 1)) & (t <= n)).all()
 
 
@@ -260,7 +260,28 @@ def test_rare_contexts_have_their_own_restaurants(spark, monkeypatch):
         got = language_model.score(docs, F.col("learn")).toPandas().sort_values("doc_id")
         scores.append(got.score.to_numpy()[len(learn) :])
         assert (scores[-1][:40] > scores[-1][40:] + 1).all()  # seen pairs against others of the same words
-    assert np.abs(scores[0] - scores[1]).max() < 0.5  # where the counts lie doesn't matter
+    assert np.allclose(scores[0], scores[1], rtol=1e-9)  # where the counts lie doesn't matter
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:  # nor does the number of partitions
+        spark.conf.set("spark.sql.shuffle.partitions", "7")
+        other = language_model.score(docs.repartition(3), F.col("learn")).toPandas().sort_values("doc_id")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert np.allclose(other.score.to_numpy()[len(learn) :], scores[1], rtol=1e-9)
+
+
+def test_language_model_keeps_extreme_and_missing_ids(spark):
+    rows = [(-(2**63) + 1, "a b"), (-(2**63), "a"), (2**63 - 1, None), (None, "a b c")]
+    got = language_model.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_tokens"]) for r in got) == sorted((i is None, i or 0, len((t or "").split()) + 1) for i, t in rows)
+    assert language_model.report(documents(spark, [])).count() == 0
+
+
+def test_poisson_draws_have_the_right_mean_and_variance():
+    key = np.random.default_rng(5).integers(0, 2**63, 40_000).astype(np.uint64)
+    for mean in (0.3, 4.0, 100.0):
+        got = language_model._poisson(np.full(len(key), mean), key, 50)
+        assert abs(got.mean() - mean) < 0.05 * mean and abs(got.var() - mean) < 0.07 * mean
 
 
 def test_repeated_notices_are_all_found(spark):
