@@ -37,11 +37,9 @@ def bloom_positions(item: Column, m: int, k: int) -> Column:
     return F.array(*[md5_mod(item, seed, m) for seed in range(k)])
 
 
-def sha1_word(c: Column) -> Column:
-    """First 64 bits of SHA-1, as the bits of a long."""
-    h = F.sha1(c)
-    high, low = (F.conv(F.substring(h, p, 8), 16, 10).cast("long") for p in (1, 9))
-    return F.shiftleft(high, 32).bitwiseOR(low)
+def sha1_words(items: Column) -> Column:
+    """The first 64 bits of each item's SHA-1, as 16 hexadecimal digits, all in one string."""
+    return F.array_join(F.transform(items, lambda s: F.substring(F.sha1(s), 1, 16)), "")
 
 
 @lru_cache(8)
@@ -52,31 +50,55 @@ def permutations(num_perm: int = 128, seed: int = 42) -> tuple[tuple[int, ...],
     return a, tuple(rng.randint(0, PRIME - 1) for _ in range(num_perm))
 
 
-def multiply_mod(a: np.ndarray, v: np.ndarray) -> np.ndarray:
-    """a * v modulo 2**61 - 1 for numbers below it, exact in 64-bit arithmetic."""
+#: Words that are hashed at once by all permutations; the work arrays stay in a core's cache.
+_BLOCK = 512
+
+
+def _low_words(a: np.ndarray, b: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """(a * v + b) modulo 2**61 - 1, of that the lower 32 bits; exact in 64-bit arithmetic.  One row for each a."""
     u = np.uint64
-    a1, a0, v1, v0 = a >> u(32), a & u(0xFFFFFFFF), v >> u(32), v & u(0xFFFFFFFF)
-    middle = a1 * v0 + a0 * v1
+    p, m32, m29 = u(PRIME), u(0xFFFFFFFF), u((1 << 29) - 1)
+    a1, a0, v1, v0 = (a >> u(32))[:, None], (a & m32)[:, None], (v >> u(32))[None], (v & m32)[None]
+    middle = a1 * v0
+    middle += a0 * v1
     low = a0 * v0
-    p = u(PRIME)
-    out = ((a1 * v1) << u(3)) + (middle >> u(29)) + ((middle & u((1 << 29) - 1)) << u(32)) + (low & p) + (low >> u(61))
-    out = (out & p) + (out >> u(61))
-    return np.where(out >= p, out - p, out)
+    out = a1 * v1
+    out <<= u(3)
+    out += b[:, None]
+    out += low & p
+    low >>= u(61)
+    out += low
+    out += middle >> u(29)
+    middle &= m29
+    middle <<= u(32)
+    out += middle
+    # the sum is below 2**64; folded once it is below 2 * p
+    low = out >> u(61)
+    out &= p
+    out += low
+    out -= (out >= p) * p
+    out &= m32
+    return out
+
+
+def minhash_sets(words: np.ndarray, offsets: np.ndarray, num_perm: int, seed: int) -> np.ndarray:
+    """Signatures (sets x num_perm) of many sets of 64-bit words, one after the other; an empty set has all values 2**32 - 1."""
+    a, b = (np.array(x, np.uint64) for x in permutations(num_perm, seed))
+    v = words.astype(np.int64).view(np.uint64) % np.uint64(PRIME)
+    owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    best = np.full((num_perm, len(offsets) - 1), 0xFFFFFFFF, np.uint64)
+    for at in range(0, len(v), _BLOCK):
+        own = owner[at : at + _BLOCK]
+        heads = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+        least = np.minimum.reduceat(_low_words(a, b, v[at : at + _BLOCK]), heads, axis=1)
+        sets = own[heads]
+        best[:, sets] = np.minimum(best[:, sets], least)
+    return best.T.astype(np.int64)
 
 
 def minhash_kernel(words: np.ndarray, num_perm: int, seed: int) -> np.ndarray:
-    """Signature of a set given by its SHA-1 words; an empty set has all values 2**32 - 1."""
-    if not len(words):
-        return np.full(num_perm, 0xFFFFFFFF, np.int64)
-    a, b = (np.array(x, np.uint64) for x in permutations(num_perm, seed))
-    p = np.uint64(PRIME)
-    v = np.unique(words.astype(np.int64).view(np.uint64) % p)
-    best = np.full(num_perm, 0xFFFFFFFF, np.uint64)
-    for at in range(0, len(v), 4096):
-        h = multiply_mod(a[:, None], v[None, at : at + 4096]) + b[:, None]
-        h = np.where(h >= p, h - p, h)
-        best = np.minimum(best, (h & np.uint64(0xFFFFFFFF)).min(1))
-    return best.astype(np.int64)
+    """Signature of one set given by its SHA-1 words."""
+    return minhash_sets(words, np.array([0, len(words)]), num_perm, seed)[0]
 
 
 def similarity(a: Column, b: Column, num_perm: int = 128) -> Column:

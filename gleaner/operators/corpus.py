@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -31,14 +33,27 @@ def content_key(text: Column) -> Column:
 
 # --- MinHash and LSH --------------------------------------------------------------------------------------------------
 
-def signatures(docs: DataFrame, shingles: Column, id: str = "doc_id", num_perm: int = 128, seed: int = 42) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def spread(rows: DataFrame) -> DataFrame:
+    """The rows over all cores if their scan has fewer partitions (a single file is one); else as they are, without a shuffle."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
+def signatures(docs: DataFrame, text: str, shingles: Callable[[Column], Column], id: str = "doc_id", num_perm: int = 128, seed: int = 42) -> DataFrame:
+    """(id, sig) of every document.  Shingling and SHA-1 stay in the JVM; of a set only 16 hexadecimal digits an item cross to the kernel."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pd.DataFrame({"id": batch["id"], "sig": [H.minhash_kernel(np.asarray(s, np.int64), num_perm, seed) for s in batch["words"]]})
+            digits = batch.column("digits")
+            words = np.frombuffer(bytes.fromhex("".join(digits.to_pylist())), ">u8").astype(np.uint64)
+            ends = np.cumsum(pc.binary_length(digits).to_numpy(zero_copy_only=False).astype(np.int64) // 16)
+            sigs = H.minhash_sets(words.view(np.int64), np.append(0, ends), num_perm, seed)
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(len(sigs) + 1, dtype=np.int32) * num_perm), pa.array(sigs.reshape(-1)))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), flat], ["id", "sig"])
 
-    # hashing stays in the JVM; only the 64-bit words of a set cross to the kernel
-    words = docs.select(F.col(id).cast("long").alias("id"), F.transform(F.coalesce(shingles, F.array().cast("array<string>")), H.sha1_word).alias("words"))
-    return words.mapInPandas(run, "id long, sig array<long>")
+    rows = spread(docs.select(F.col(id).cast("long").alias("id"), F.col(text).alias("text")))
+    words = rows.select("id", H.sha1_words(F.coalesce(shingles(F.col("text")), F.array().cast("array<string>"))).alias("digits"))
+    return words.mapInArrow(run, "id long, sig array<long>")
 
 
 def bands(sigs: DataFrame, num_perm: int = 128, num_bands: int = 16) -> DataFrame:
@@ -48,76 +63,89 @@ def bands(sigs: DataFrame, num_perm: int = 128, num_bands: int = 16) -> DataFram
     return sigs.select("id", "sig", F.posexplode(keys).alias("band", "bucket"))
 
 
-def similar_pairs(sigs: DataFrame, threshold: float | None = None, num_perm: int = 128, num_bands: int = 16) -> DataFrame:
-    """(a, b, sim) with a < b for all pairs that share a bucket and reach the threshold.
+def signature_classes(sigs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, sig) of one document for each distinct signature, its least id; and (a, b) for every other document b of that signature.
 
-    Equal signatures collapse first: only one of them meets the others, then pairs are put back for its members.
+    Aggregated before any join, so a signature that a third of all documents share costs one row a task.
     """
+    keyed = sigs.withColumns({"k1": F.xxhash64("sig"), "k2": F.xxhash64(F.reverse("sig"))})
+    reps = keyed.groupBy("k1", "k2").agg(F.min("id").alias("a"), F.first("sig").alias("sig"))
+    copies = keyed.join(reps.select("k1", "k2", "a"), ["k1", "k2"]).where(F.col("id") != F.col("a")).select("a", F.col("id").alias("b"))
+    return reps.select(F.col("a").alias("id"), "sig"), copies
+
+
+def class_pairs(reps: DataFrame, threshold: float | None = None, num_perm: int = 128, num_bands: int = 16) -> DataFrame:
+    """(a, b, sim), a < b, of all distinct signatures that share a bucket and reach the threshold."""
     threshold = H.band_threshold(num_perm, num_bands) if threshold is None else threshold
-    keyed = sigs.withColumn("k", F.xxhash64("sig"))
-    reps = keyed.groupBy("k").agg(F.min("id").alias("id"), F.first("sig").alias("sig"))
-    b = bands(reps, num_perm, num_bands)
-    left, right = (b.select("band", "bucket", F.col("id").alias(x)) for x in ("r1", "r2"))
-    candidates = left.join(right, ["band", "bucket"]).where("r1 < r2").select("r1", "r2").distinct()
-    s1, s2 = (reps.select(F.col("id").alias(r), F.col("sig").alias(s)) for r, s in (("r1", "s1"), ("r2", "s2")))
-    scored = candidates.join(s1, "r1").join(s2, "r2").select("r1", "r2", H.similarity(F.col("s1"), F.col("s2"), num_perm).alias("sim")).where(F.col("sim") >= threshold)
-    members = keyed.join(reps.select("k", F.col("id").alias("rep")), "k").select("rep", "id")
-    m1, m2 = (members.select(F.col("rep").alias(r), F.col("id").alias(i)) for r, i in (("r1", "i1"), ("r2", "i2")))
-    across = scored.join(m1, "r1").join(m2, "r2").select(F.least("i1", "i2").alias("a"), F.greatest("i1", "i2").alias("b"), "sim")
-    within = m1.join(m2, F.col("r1") == F.col("r2")).where("i1 < i2").select(F.col("i1").alias("a"), F.col("i2").alias("b"), F.lit(1.0).alias("sim"))
-    return across.unionByName(within)
-
-
-def similar_links(sigs: DataFrame, threshold: float | None = None, num_perm: int = 128, num_bands: int = 16) -> DataFrame:
-    """Links that have the same components as ``similar_pairs``: copies link to one of them only."""
-    threshold = H.band_threshold(num_perm, num_bands) if threshold is None else threshold
-    keyed = sigs.withColumn("k", F.xxhash64("sig"))
-    reps = keyed.groupBy("k").agg(F.min("id").alias("id"), F.first("sig").alias("sig"))
-    copies = keyed.join(reps.select("k", F.col("id").alias("a")), "k").where(F.col("id") != F.col("a")).select("a", F.col("id").alias("b"))
-    b = bands(reps, num_perm, num_bands)
+    b = bands(reps, num_perm, num_bands).select("id", "band", "bucket")
     left, right = (b.select("band", "bucket", F.col("id").alias(x)) for x in "ab")
     candidates = left.join(right, ["band", "bucket"]).where("a < b").select("a", "b").distinct()
     s1, s2 = (reps.select(F.col("id").alias(r), F.col("sig").alias(f"s{r}")) for r in "ab")
-    near = candidates.join(s1, "a").join(s2, "b").where(H.similarity(F.col("sa"), F.col("sb"), num_perm) >= threshold).select("a", "b")
-    return near.unionByName(copies)
+    return candidates.join(s1, "a").join(s2, "b").select("a", "b", H.similarity(F.col("sa"), F.col("sb"), num_perm).alias("sim")).where(F.col("sim") >= threshold)
 
 
-def near_duplicate_clusters(docs: DataFrame, shingles: Column, id: str = "doc_id", threshold: float | None = None, num_perm: int = 128, num_bands: int = 16) -> DataFrame:
+def similar_pairs(sigs: DataFrame, threshold: float | None = None, num_perm: int = 128, num_bands: int = 16) -> DataFrame:
+    """(a, b, sim), a < b: all similar pairs of different signatures, each by its first document, and one row (first document, copy, 1)
+    for each further document of a signature.  The copies' other pairs follow from these rows and aren't written out.
+
+    ``sigs`` is read several times: give it as a table.
+    """
+    reps, copies = signature_classes(sigs)
+    return class_pairs(reps, threshold, num_perm, num_bands).unionByName(copies.withColumn("sim", F.lit(1.0)))
+
+
+def near_duplicate_clusters(docs: DataFrame, text: str, shingles: Callable[[Column], Column], id: str = "doc_id", threshold: float | None = None, num_perm: int = 128, num_bands: int = 16) -> DataFrame:
     """``id`` and ``label``: the least id of the cluster, for every document."""
-    sigs = signatures(docs, shingles, id, num_perm)
-    use_checkpoints(docs.sparkSession)
-    sigs = sigs.checkpoint()
-    return groups(sigs, similar_links(sigs, threshold, num_perm, num_bands))
+    sigs, _ = written(signatures(docs, text, shingles, id, num_perm), "signatures")
+    return groups(sigs.select("id"), similar_pairs(sigs, threshold, num_perm, num_bands))
+
 
+#: Components with more links than this are judged in rounds over the whole cluster instead of one task each.
+GREEDY_LINKS = 100_000
 
-def greedy_near_duplicates(pairs: DataFrame, vertices: DataFrame) -> DataFrame:
+
+def greedy_near_duplicates(sigs: DataFrame, threshold: float | None = None, num_perm: int = 128, num_bands: int = 16) -> DataFrame:
     """Keeps, in order of id, every document that is similar to no document kept before; ``kept`` marks them.
 
-    Works on components: only documents of one component can exclude each other.
+    A copy of an earlier signature never stays: its first document stays, or went because of one that excludes the copy as well.
+    Only documents of one component can exclude each other.  Small components are judged in one task each.  Of large ones, rounds
+    keep the documents without an earlier undecided neighbour and drop the neighbours of those.
     """
+    reps, copies = signature_classes(sigs)
+    pairs, _ = written(class_pairs(reps, threshold, num_perm, num_bands).select("a", "b"), "pairs")
     labels = components(pairs)
     edges = pairs.join(labels, pairs["a"] == labels["id"]).select("label", "a", "b")
+    small = edges.groupBy("label").count().where(F.col("count") <= GREEDY_LINKS).select("label")
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        near: dict[int, list[int]] = {}
+        before: dict[int, list[int]] = {}
         for a, b in zip(group["a"], group["b"]):
-            near.setdefault(max(a, b), []).append(min(a, b))
-            near.setdefault(min(a, b), [])
-        kept: set[int] = set()
-        for d in sorted(near):
-            if not any(o in kept for o in near[d]):
-                kept.add(d)
-        ids = sorted(near)
-        return pd.DataFrame({"id": ids, "stays": [i in kept for i in ids]})
-
-    judged = edges.groupBy("label").applyInPandas(run, "id long, stays boolean")
-    return vertices.join(judged, "id", "left").select("id", F.coalesce("stays", F.lit(True)).alias("kept"))
+            before.setdefault(b, []).append(a)
+        gone: set[int] = set()
+        for d in sorted(before):
+            if any(o not in gone for o in before[d]):
+                gone.add(d)
+        return pd.DataFrame({"id": sorted(gone)}, dtype="int64")
+
+    gone = edges.join(small, "label", "left_semi").groupBy("label").applyInPandas(run, "id long")
+    left, _ = written(edges.join(small, "label", "left_anti").select("a", "b"), "undecided")
+    while not left.isEmpty():
+        kept = left.select("a").distinct().join(left.select(F.col("b").alias("a")), "a", "left_anti")
+        out, _ = written(left.join(kept, "a", "left_semi").select(F.col("b").alias("id")).distinct(), "dropped")
+        gone = gone.unionAll(out)
+        done = kept.select(F.col("a").alias("id")).unionAll(out)
+        left, _ = written(left.join(done.withColumnRenamed("id", "a"), "a", "left_anti").join(done.withColumnRenamed("id", "b"), "b", "left_anti").select("a", "b"), "undecided")
+    gone = gone.unionAll(copies.select(F.col("b").alias("id"))).withColumn("gone", F.lit(True))
+    return sigs.select("id").join(gone, "id", "left").select("id", F.col("gone").isNull().alias("kept"))
 
 
 def query_index(queries: DataFrame, index: DataFrame, k: int | None = None, num_perm: int = 128, num_bands: int = 16) -> DataFrame:
-    """(query_id, id, sim) of index rows that share a bucket with a query, best first, ``k`` at most."""
+    """(query_id, id, sim, rank) of index rows that share a bucket with a query, best first (ties to the smaller id), ``k`` at most.
+
+    A query's own id isn't an answer to it.
+    """
     qb, ib = bands(queries, num_perm, num_bands), bands(index, num_perm, num_bands)
-    hits = qb.select(F.col("id").alias("query_id"), "band", "bucket").join(ib.select("id", "band", "bucket"), ["band", "bucket"]).select("query_id", "id").distinct()
+    hits = qb.select(F.col("id").alias("query_id"), "band", "bucket").join(ib.select("id", "band", "bucket"), ["band", "bucket"]).where("query_id <> id").select("query_id", "id").distinct()
     scored = hits.join(queries.select(F.col("id").alias("query_id"), F.col("sig").alias("qs")), "query_id").join(index.select("id", "sig"), "id")
     out = scored.select("query_id", "id", H.similarity(F.col("qs"), F.col("sig"), num_perm).alias("sim"))
     ranked = out.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("sim"), "id")))

@@ -14,6 +14,7 @@ from gleaner.functions import text as X
 from gleaner.operators import collect as C
 from gleaner.operators import corpus as O
 from gleaner.operators import layout as L
+from gleaner.operators.storage import written
 from gleaner.sources import html, labelstudio
 from gleaner.sources.tables import table
 from gleaner.streaming import streams
@@ -110,16 +111,21 @@ full_sig AS (SELECT w.id, perms.p, coalesce(sig.m, 4294967295) AS m FROM w CROSS
 _BAND_SQL = """bands AS (SELECT id, p // 8 AS band, string_agg(m::VARCHAR, ',' ORDER BY p) AS k FROM full_sig GROUP BY id, p // 8)"""
 _PAIR_SQL = """cand AS (SELECT DISTINCT l.id AS a, r.id AS b FROM bands l JOIN bands r USING (band, k) WHERE l.id < r.id),
 pairs AS (SELECT a, b, count(*) FILTER (WHERE x.m = y.m) / 128 AS sim FROM cand JOIN full_sig x ON x.id = a JOIN full_sig y ON y.id = b AND y.p = x.p GROUP BY a, b HAVING count(*) FILTER (WHERE x.m = y.m) / 128 >= 0.7)"""
+_CLASS_SQL = """rep AS (SELECT id, min(id) OVER (PARTITION BY k) AS rep FROM (SELECT id, string_agg(m::VARCHAR, ',' ORDER BY p) AS k FROM full_sig GROUP BY id))"""
 _CLUSTER_SQL = """reach(id, r) AS (SELECT id, id FROM w UNION SELECT e.y, reach.r FROM reach JOIN (SELECT a AS x, b AS y FROM pairs UNION ALL SELECT b, a FROM pairs) e ON e.x = reach.id),
 clusters AS (SELECT id, min(r) AS label FROM reach GROUP BY id)"""
 
 
-def _shingles() -> Column:
-    return X.word_shingles(X.preprocess(F.col("text")), 3)
+def _shingles(text: Column) -> Column:
+    return X.word_shingles(X.preprocess(text), 3)
 
 
 def _sigs(spark, d) -> DataFrame:
-    return O.signatures(docs(spark, d), _shingles(), "doc_id", PERM)
+    return O.signatures(docs(spark, d), "text", _shingles, "doc_id", PERM)
+
+
+def _written_sigs(spark, d) -> DataFrame:
+    return written(_sigs(spark, d), "signatures")[0]
 
 
 @query("minhash_signature", f"WITH {_sig_sql('documents', 'doc_id')} SELECT id AS doc_id, md5(string_agg(m::VARCHAR, ',' ORDER BY p)) AS signature FROM full_sig GROUP BY id")
@@ -140,14 +146,14 @@ def lsh_index_stats(spark, d):
     return t.withColumn("avg_bucket_size", F.round(F.try_divide("documents", "total_buckets"), 6))
 
 
-@query("lsh_similar_pairs", f"WITH {_sig_sql('documents', 'doc_id')}, {_BAND_SQL}, {_PAIR_SQL} SELECT a, b, sim FROM pairs")
+@query("lsh_similar_pairs", f"WITH {_sig_sql('documents', 'doc_id')}, {_BAND_SQL}, {_PAIR_SQL}, {_CLASS_SQL} SELECT a, b, sim FROM pairs JOIN rep x ON x.id = a AND x.rep = a JOIN rep y ON y.id = b AND y.rep = b UNION ALL SELECT rep, id, 1.0 FROM rep WHERE rep <> id")
 def lsh_similar_pairs(spark, d):
-    return O.similar_pairs(_sigs(spark, d), SIMILAR, PERM, BANDS)
+    return O.similar_pairs(_written_sigs(spark, d), SIMILAR, PERM, BANDS).orderBy(F.desc("sim"), "a", "b")
 
 
 @query("near_dup_clusters", f"WITH RECURSIVE {_sig_sql('documents', 'doc_id')}, {_BAND_SQL}, {_PAIR_SQL}, {_CLUSTER_SQL} SELECT id AS doc_id, label AS cluster_id FROM clusters")
 def near_dup_clusters(spark, d):
-    out = O.near_duplicate_clusters(docs(spark, d), _shingles(), "doc_id", SIMILAR, PERM, BANDS)
+    out = O.near_duplicate_clusters(docs(spark, d), "text", _shingles, "doc_id", SIMILAR, PERM, BANDS)
     return out.select(F.col("id").alias("doc_id"), F.col("label").alias("cluster_id"))
 
 
@@ -156,22 +162,23 @@ def near_dup_keep_first(spark, d):
     return near_dup_clusters(spark, d).groupBy(F.col("cluster_id").alias("doc_id")).agg(F.count("*").alias("cluster_size"))
 
 
-@query("greedy_near_dup")
+@query("greedy_near_dup", f"""WITH RECURSIVE {_sig_sql('documents', 'doc_id')}, {_BAND_SQL}, {_PAIR_SQL}, n AS (SELECT b, list(a) AS earlier FROM pairs GROUP BY b),
+o AS (SELECT w.id, row_number() OVER (ORDER BY w.id) AS r, coalesce(earlier, CAST([] AS BIGINT[])) AS earlier FROM w LEFT JOIN n ON n.b = w.id),
+steps(r, kept) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]) UNION ALL SELECT o.r, CASE WHEN list_has_any(steps.kept, o.earlier) THEN steps.kept ELSE list_append(steps.kept, o.id) END FROM steps JOIN o ON o.r = steps.r + 1)
+SELECT id AS doc_id, list_contains((SELECT kept FROM steps ORDER BY r DESC LIMIT 1), id) AS kept FROM w""")
 def greedy_near_dup(spark, d):
-    O.use_checkpoints(spark)
-    sigs = _sigs(spark, d).checkpoint()
-    return O.greedy_near_duplicates(O.similar_pairs(sigs, SIMILAR, PERM, BANDS), sigs.select("id")).select(F.col("id").alias("doc_id"), "kept")
+    return O.greedy_near_duplicates(_written_sigs(spark, d), SIMILAR, PERM, BANDS).select(F.col("id").alias("doc_id"), "kept")
 
 
-@query("lsh_topk_query", f"""WITH bench AS (SELECT -1 - item_id AS id, text FROM benchmark), both_ AS (SELECT doc_id AS id, text FROM documents UNION ALL SELECT id, text FROM bench), {_sig_sql('both_', 'id')}, {_BAND_SQL},
-hits AS (SELECT DISTINCT q.id AS q, r.id AS id FROM bands q JOIN bands r USING (band, k) WHERE q.id < 0 AND r.id >= 0),
+@query("lsh_topk_query", f"""WITH {_sig_sql('documents', 'doc_id')}, {_BAND_SQL},
+hits AS (SELECT DISTINCT q.id AS q, r.id AS id FROM bands q JOIN bands r USING (band, k) WHERE q.id % 20 = 0 AND q.id <> r.id),
 scored AS (SELECT q, hits.id, count(*) FILTER (WHERE x.m = y.m) / 128 AS sim FROM hits JOIN full_sig x ON x.id = q JOIN full_sig y ON y.id = hits.id AND y.p = x.p GROUP BY q, hits.id),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY sim DESC, id) AS rank FROM scored)
-SELECT -1 - q AS item_id, id AS doc_id, sim, rank FROM ranked WHERE rank <= 3""")
+SELECT q AS query_id, id AS doc_id, sim, rank FROM ranked WHERE rank <= 3""")
 def lsh_topk_query(spark, d):
-    items = O.signatures(table(spark, d, "benchmark"), _shingles(), "item_id", PERM)
-    got = O.query_index(items, _sigs(spark, d), 3, PERM, BANDS)
-    return got.select(F.col("query_id").alias("item_id"), F.col("id").alias("doc_id"), "sim", F.col("rank").cast("long").alias("rank"))
+    sigs = _written_sigs(spark, d)
+    got = O.query_index(sigs.where("id % 20 = 0"), sigs, 3, PERM, BANDS)
+    return got.select("query_id", F.col("id").alias("doc_id"), "sim", F.col("rank").cast("long").alias("rank"))
 
 
 @query("lsh_probability", "SELECT s / 20.0 AS similarity, round(1 - pow(1 - pow(s / 20.0, 8), 16), 9) AS probability FROM range(1, 21) r(s)")

@@ -171,10 +171,24 @@ def test_minhash_kernel_is_exact():
         H.bloom_size(0)
 
 
-def test_greedy_is_not_clusters(spark):
-    pairs = spark.createDataFrame([(1, 2), (2, 3)], "a long, b long")
-    v = spark.createDataFrame([(1,), (2,), (3,), (4,)], "id long")
-    assert {r[0]: r[1] for r in O.greedy_near_duplicates(pairs, v).collect()} == {1: True, 2: False, 3: True, 4: True}
+@pytest.mark.parametrize("links", [100_000, 0])
+def test_greedy_follows_the_loop(spark, monkeypatch, links):
+    monkeypatch.setattr(O, "GREEDY_LINKS", links)  # in one task each, and in rounds
+    rng = random.Random(11)
+    base = [[rng.randrange(1000) for _ in range(16)] for _ in range(4)]
+    sigs = []
+    for i in range(60):
+        s = list(rng.choice(base))
+        for _ in range(rng.randrange(0, 7)):
+            s[rng.randrange(16)] = rng.randrange(1000)
+        sigs.append((i, s if i % 5 else sigs[i // 2][1] if i else s))
+    similar = lambda a, b: sum(x == y for x, y in zip(a, b)) / 16 >= 0.7 and any(a[k : k + 2] == b[k : k + 2] for k in range(0, 16, 2))
+    kept = []
+    for i, s in sigs:
+        if not any(similar(s, sigs[k][1]) for k in kept):
+            kept.append(i)
+    got = O.greedy_near_duplicates(spark.createDataFrame(sigs, "id long, sig array<long>"), 0.7, 16, 8)
+    assert sorted(r["id"] for r in got.where("kept").collect()) == kept and got.count() == 60
 
 
 def test_quota_sample_follows_the_loop(spark):
