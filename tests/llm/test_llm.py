@@ -101,7 +101,10 @@ def test_signature_tree_finds_what_all_pairs_find():
 @pytest.mark.parametrize("hot", [suffix_dedup.HOT, 1])
 def test_suffix_dedup(spark, monkeypatch, hot):
     monkeypatch.setattr(suffix_dedup, "HOT", hot)
-    texts = some_texts()
+    rng = random.Random(12)
+    short = " ".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(60))  # under 400 bytes
+    line = " ".join(str(rng.randrange(9)) for _ in range(30))
+    texts = [*some_texts(), f"one {short} x", f"{short.replace(' ', '  ')}\ttwo", f"{short[:101]}! three", f"{short[:99]} four", f"{line}\n" * 4, f"{line} {line} " + short[4:], ""]
     raw = [(t or "").encode() for t in texts]
     n = Counter(b[s : s + 400] for b in raw for s in range(len(b) - 399))
     got = {r["doc_id"]: r for r in suffix_dedup.report(documents(spark, texts)).collect()}
@@ -114,6 +117,19 @@ def test_suffix_dedup(spark, monkeypatch, hot):
         runs = int((np.diff(np.append(0, gone.astype(int))) == 1).sum())
         r = got[i]
         assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == (len(b), int(gone.sum()), runs, hashlib.sha256(kept).hexdigest())
+    # passages: windows of 51 words that also stand in another document
+    owners = {}
+    tokens = [re.findall(r"[^\x20\x09-\x0d]+", t or "") for t in texts]
+    for i, w in enumerate(tokens):
+        for k in range(len(w) - 50):
+            owners.setdefault(tuple(w[k : k + 51]), set()).add(i)
+    for i, w in enumerate(tokens):
+        inside = np.zeros(len(w), bool)
+        for k in range(len(w) - 50):
+            if len(owners[tuple(w[k : k + 51])]) > 1:
+                inside[k : k + 51] = True
+        want = int((np.diff(np.append(0, inside.astype(int))) == 1).sum())
+        assert (got[i]["n_passages"], got[i]["repeats"]) == (want, want > 0)
 
 
 def test_cover_sample_sorts_windows():
