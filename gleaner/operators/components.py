@@ -29,8 +29,8 @@ def least_labels(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
             label = up
 
 
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Replaces a task's edges, a chunk at a time, by stars around the least vertex of each of their components."""
+def _stars(chunk: int):
+    """Replaces a task's edges, ``chunk`` at a time, by stars around the least vertex of each of their components."""
 
     def close(held: list[pa.RecordBatch]) -> pa.RecordBatch:
         rows = pa.Table.from_batches(held)
@@ -42,15 +42,18 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = np.flatnonzero(label != np.arange(len(values)))
         return pa.RecordBatch.from_arrays([values.take(pa.array(label[out])), values.take(pa.array(out))], ["a", "b"])
 
-    held, n = [], 0
-    for batch in batches:
-        held.append(batch)
-        n += batch.num_rows
-        if n > CHUNK:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n > chunk:
+                yield close(held)
+                held, n = [], 0
+        if n:
             yield close(held)
-            held, n = [], 0
-    if n:
-        yield close(held)
+
+    return run
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -66,7 +69,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     e, e_path = written(e.distinct(), "edges")
     labels = e.select(F.col("a").alias("id")).union(e.select("b")).distinct().select("id", F.col("id").alias("label"))
     schema, paths = e.schema, [e_path]
-    e, e_path = written(e.where("a <> b").mapInArrow(_stars, schema).distinct(), "edges")
+    e, e_path = written(e.where("a <> b").mapInArrow(_stars(CHUNK), schema).distinct(), "edges")
     while not e.isEmpty():
         both = e.union(e.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("label"), F.least("a", "m").alias("to"))
@@ -76,7 +79,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         labels, labels_path = written(labels.join(least, "label", "left").select("id", F.coalesce("to", "label").alias("label")), "labels")
         to_a, to_b = (least.select(F.col("label").alias(x), F.col("to").alias(f"to_{x}")) for x in "ab")
         moved = e.join(to_a, "a").join(to_b, "b").select(F.least("to_a", "to_b").alias("a"), F.greatest("to_a", "to_b").alias("b")).where("a <> b")
-        e, next_path = written(moved.mapInArrow(_stars, schema).distinct(), "edges")
+        e, next_path = written(moved.mapInArrow(_stars(CHUNK), schema).distinct(), "edges")
         remove(spark, *paths, e_path, least_path)
         paths, e_path = [labels_path], next_path
     return labels
