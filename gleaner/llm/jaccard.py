@@ -2,7 +2,8 @@
 
 Exact, in steps that each cut what the next one has to move:
 
-1. Equal sets collapse to one class (a 128-bit sum of mixed hashes identifies a set), so copies travel once.
+1. Equal sets collapse to one class (a 128-bit sum of mixed hashes identifies a set), so copies travel once.  The first 64 bits
+   name a class from then on; the few classes that share them with another one are named by the other 64.
 2. Prefixes: a fixed-size counting sketch orders shingles, frequent ones last.  The first entries of a set in that order are
    shuffled (packed, by shingle).  Two linked sets must share a known number of prefix entries; a class that
    shares too few with all others together is done.
@@ -33,7 +34,7 @@ from pyspark.sql import types as T
 from gleaner.llm import exchange
 from gleaner.llm import textops as X
 from gleaner.operators.components import components
-from gleaner.operators.storage import use_checkpoints
+from gleaner.operators.storage import use_checkpoints, written
 
 WORDS = 5
 #: Links need 100 * intersection >= PERCENT * union.
@@ -44,8 +45,11 @@ PEELS = 2
 #: Shingles with more classes than this link candidates as a star, others pair by pair.
 CROWD = 48
 SKETCH_BITS = 20
-BLOOM_BITS = 23
+#: Filters have 16 bits a key and sizes between these powers of 2; beyond, false positives cost work but change no result.
+BLOOM_BITS = 20, 28
 BLOCK, LEADERS = 128, 12
+#: So many 64-bit names may be shared by different sets (some 3 are to be expected of 10**10 sets).
+MOST_ODD = 10_000
 FLUSH = 1_000_000
 
 
@@ -77,6 +81,11 @@ def identities(sh: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return found[0], found[1]
 
 
+def named(c1: np.ndarray, c2: np.ndarray, odd: np.ndarray) -> np.ndarray:
+    """Names of classes: ``c1``, or ``c2`` for those in ``odd``."""
+    return np.where(np.isin(c1, odd), c2, c1) if len(odd) else c1
+
+
 def _sets(batches: Iterator[pa.RecordBatch], text: str = "text"):
     for batch in X.slices(batches, text):
         sh, at = shingles(*X.string_bytes(batch.column(text)))
@@ -109,7 +118,7 @@ def frequency_levels(docs: DataFrame) -> np.ndarray:
     return level
 
 
-def _prefixes(level: np.ndarray, bits: int, ids: int):
+def _prefixes(level: np.ndarray, odd: np.ndarray, bits: int, ids: int):
     """Entries (shingle, class) of the sets' prefixes."""
 
     def pick(own: np.ndarray) -> np.ndarray:
@@ -121,7 +130,7 @@ def _prefixes(level: np.ndarray, bits: int, ids: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         entries, owners, held, seen = [], [], 0, set()
         for _, sh, at in _sets(batches):
-            c1, _ = identities(sh, at)
+            c1 = named(*identities(sh, at), odd)
             for i, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist())):
                 if b > a and int(c1[i]) not in seen:
                     seen.add(int(c1[i]))
@@ -196,9 +205,10 @@ def _add_tallies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def bloom(rows: DataFrame, key) -> np.ndarray:
-    """Packed bits of a fixed-size Bloom filter with two positions a key."""
-    size = 1 << BLOOM_BITS
-    places = rows.select(F.explode(F.array(F.pmod(key, F.lit(size)), F.pmod(F.shiftright(key, BLOOM_BITS), F.lit(size)))).alias("p")).select((F.col("p") + 1).alias("p"))
+    """Packed bits of a Bloom filter with two positions a key, sized by the number of rows."""
+    power = int(np.clip(np.ceil(np.log2(16 * max(1, rows.count()))), *BLOOM_BITS))
+    size = 1 << power
+    places = rows.select(F.explode(F.array(F.pmod(key, F.lit(size)), F.pmod(F.shiftright(key, power), F.lit(size)))).alias("p")).select((F.col("p") + 1).alias("p"))
     bits = np.zeros(size // 8, np.uint8)
     for bucket, some in places.groupBy(F.bitmap_bucket_number("p").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("m")).collect():
         bits[(bucket - 1) * 4096 : bucket * 4096] = np.frombuffer(bytes(some), np.uint8)
@@ -206,9 +216,9 @@ def bloom(rows: DataFrame, key) -> np.ndarray:
 
 
 def in_bloom(bits: np.ndarray, key: np.ndarray) -> np.ndarray:
-    signed = key.view(np.int64)
+    signed, size = key.view(np.int64), 8 * len(bits)
     ok = np.ones(len(key), bool)
-    for p in (signed & ((1 << BLOOM_BITS) - 1), (signed >> BLOOM_BITS) & ((1 << BLOOM_BITS) - 1)):
+    for p in (signed & (size - 1), (signed >> (size.bit_length() - 1)) & (size - 1)):
         ok &= (bits[p >> 3] >> (p & 7).astype(np.uint8)) & 1 > 0
     return ok
 
@@ -282,12 +292,12 @@ def _stars(bits: np.ndarray, crowded: np.ndarray):
     return run
 
 
-def _chosen_sets(bits: np.ndarray):
+def _chosen_sets(bits: np.ndarray, odd: np.ndarray):
     """The sets of the documents that stand for candidate classes (and a few others, which a join drops)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, sh, at in _sets(batches):
-            c1, _ = identities(sh, at)
+            c1 = named(*identities(sh, at), odd)
             doc = batch.column("doc_id").fill_null(-1).to_numpy().astype(np.int64)
             on = np.flatnonzero(in_bloom(bits, X.mix(c1 * X.U64(3) + doc.view(X.U64))) & (at[1:] > at[:-1]))
             yield pa.RecordBatch.from_arrays([pa.array(c1[on].view(np.int64)), pa.array(doc[on]), pa.array([sh[at[i] : at[i + 1]].tobytes() for i in on], pa.binary())], ["c1", "doc", "set"])
@@ -403,16 +413,24 @@ def _links(rows: DataFrame) -> DataFrame:
     return dealt.transform(X.arrow, _verify, "a long, b long")
 
 
-def classes_and_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, c1, c2, n) of every document, and (c1, label) of the classes that link with another one."""
+def classes_and_links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc_id, c1, c2, n) of every document, (c1, c2, name, doc, n) of every class, and (name, label) of those that link with another one."""
     spark: SparkSession = docs.sparkSession
     use_checkpoints(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     ids = docs.transform(X.arrow, _identify, "doc_id long, c1 long, c2 long, n long").checkpoint()
-    classes = ids.where("n > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"))
+    distinct = ids.where("n > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("doc"), F.first("n").alias("n"))
+    twice = distinct.groupBy("c1").count().where("count > 1").select("c1")
+    odd = np.array([r[0] for r in twice.limit(MOST_ODD + 1).collect()], np.int64)
+    if len(odd) > MOST_ODD:
+        raise ValueError("64-bit names of sets collide too often")
+    name = F.when(F.col("c1").isin(odd.tolist()), F.col("c2")).otherwise(F.col("c1")) if len(odd) else F.col("c1")
+    classes, _ = written(distinct.withColumn("name", name), "classes")
+    odd = odd.view(X.U64)
+    classes_by_name = classes.select(F.col("name").alias("c1"), "doc", "n")
     level = frequency_levels(docs)
     bits, slots = exchange.part_bits(spark), X.shuffle_parts(spark)
-    entries = exchange.send(docs.select("text").transform(X.arrow, _prefixes(level, bits, slots), "part int, h binary, c binary"), slots)
+    entries = exchange.send(docs.select("text").transform(X.arrow, _prefixes(level, odd, bits, slots), "part int, h binary, c binary"), slots)
     shared = entries.transform(X.arrow, _shared, "h binary, c binary").checkpoint()
     # a link's smaller set has at least PERCENT of the size of its larger one, which bounds the extra entries that both share
     least = 1 + F.floor(F.floor(F.col("n") * PERCENT / 100) * EXTRA / 100)
@@ -420,7 +438,7 @@ def classes_and_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     for _ in range(PEELS):  # entries shared with classes that are done count no more
         partial = shared.transform(X.arrow, _tally(None if left is None else bloom(left, F.col("c1")), bits, slots), "part int, c binary, shared binary, fame binary")
         tally = exchange.send(partial, slots).transform(X.arrow, _add_tallies, "c1 long, shared long, fame double")
-        left = tally.join(classes, "c1").where(F.col("shared") >= least).select("c1", F.coalesce("doc", F.lit(-1)).alias("doc"), "n", "fame").checkpoint()
+        left = tally.join(classes_by_name, "c1").where(F.col("shared") >= least).select("c1", F.coalesce("doc", F.lit(-1)).alias("doc"), "n", "fame").checkpoint()
     # of a link's shared entries at least half are crowded or at least half are not
     in_play = bloom(left, F.col("c1"))
     half = lambda n: F.ceil((1 + F.floor(n * EXTRA / 100)) / 2)
@@ -435,9 +453,11 @@ def classes_and_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     members = left.join(groups, "c1")
     sizes = members.groupBy("comp").agg(F.count("*").alias("size")).where("size > 1")
     big = members.join(sizes.where(F.col("size") > BLOCK), "comp", "left_semi")
-    famous = big.select("c1", F.row_number().over(W.partitionBy("comp").orderBy(F.desc("fame"), "c1")).alias("r")).where(F.col("r") <= LEADERS).select("c1", F.lit(True).alias("leads"))
+    # the first of each of many shares of a group, then the first of those: no task ranks a whole group
+    top = lambda rows, *by: rows.withColumn("r", F.row_number().over(W.partitionBy(*by).orderBy(F.desc("fame"), "c1"))).where(F.col("r") <= LEADERS)
+    famous = top(top(big.withColumn("share", F.pmod(F.xxhash64("c1"), F.lit(64))), "comp", "share"), "comp").select("c1", F.lit(True).alias("leads"))
     members = members.join(sizes, "comp").join(famous, "c1", "left").checkpoint()
-    chosen = docs.transform(X.arrow, _chosen_sets(bloom(members.withColumn("k", _mixed("c1", "doc")), F.col("k"))), "c1 long, doc long, set binary")
+    chosen = docs.transform(X.arrow, _chosen_sets(bloom(members.withColumn("k", _mixed("c1", "doc")), F.col("k")), odd), "c1 long, doc long, set binary")
     sets = chosen.join(members, ["c1", "doc"]).checkpoint()
     blocks = F.ceil(F.col("size") / BLOCK)
     own = F.pmod(F.xxhash64("c1"), blocks)
@@ -456,7 +476,7 @@ def classes_and_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             apart = marked.where("apart").withColumn("x", F.pmod(F.xxhash64("c1", F.lit(3)), F.col("rest_blocks"))).withColumn("y", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
             more = _links(everyone.unionByName(apart))
             labels = components(links.unionAll(more))
-    return ids, labels.select(F.col("id").alias("c1"), "label")
+    return ids, classes, labels.select(F.col("id").alias("name"), "label")
 
 
 @F.pandas_udf(T.LongType())
@@ -467,9 +487,8 @@ def _mixed(c1: pd.Series, doc: pd.Series) -> pd.Series:
 
 def clusters(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of every document."""
-    ids, labels = classes_and_links(docs)
-    classes = ids.where("n > 0").groupBy("c1", "c2").agg(F.min("doc_id").alias("doc"))
-    placed = classes.join(labels, "c1", "left").withColumn("label", F.coalesce("label", "c1"))
+    ids, classes, labels = classes_and_links(docs)
+    placed = classes.join(labels, "name", "left").withColumn("label", F.coalesce("label", "name"))
     least = placed.groupBy("label").agg(F.min("doc").alias("component_id"))
     of_class = placed.join(least, "label").select("c1", "c2", "component_id")
     out = ids.join(of_class, ["c1", "c2"], "left")

@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from gleaner.llm import exchange
 from gleaner.llm import textops as X
-from gleaner.llm.jaccard import BLOOM_BITS, bloom, in_bloom
+from gleaner.llm.jaccard import bloom, in_bloom
 from gleaner.operators.storage import use_checkpoints
 
 LENGTH, GRAM = 400, 32
@@ -162,35 +162,39 @@ def _several(head: np.ndarray, new_text: np.ndarray, h: np.ndarray) -> np.ndarra
     return np.repeat(np.where(words, texts, size) > 1, size)
 
 
-def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _judge(hot: int):
     """Decides spans by hash: kind 0 are marks (repeat as a whole), 1 spans to be sorted, 2 those of hot anchors, 3 those of words."""
-    e = exchange.gather(batches, _FIELDS)
-    if not len(e["h"]):
-        return
-    order = np.lexsort((e["first"], e["d"], e["content"], e["h"]))
-    e = {n: v[order] for n, v in e.items()}
-
-    def same(*names: str) -> np.ndarray:
-        return np.append(False, np.logical_and.reduce([e[n][1:] == e[n][:-1] for n in names]))
-
-    copy = same("h", "content", "d", "first")
-    many = np.maximum.reduceat(e["many"], np.flatnonzero(~copy))
-    # a document that was met in two tasks: the least id stands for it
-    doc = np.minimum.reduceat(e["doc"], np.flatnonzero(~copy))
-    e = {n: v[~copy] for n, v in e.items()} | {"many": many, "doc": doc}
-    head = ~same("h", "content")
-    at = np.flatnonzero(head)
-    size = np.diff(np.append(at, len(head)))
-    repeated = _several(head, ~same("h", "content", "d"), e["h"]) | np.repeat(np.add.reduceat(e["many"].astype(np.int64), at) > 0, size)
-    # of anchors with several contents: one entry of each that is decided, all of the others
-    group = np.cumsum(np.append(True, e["h"][1:] != e["h"][:-1])) - 1
-    contents = np.bincount(group, head)[group]
-    chosen = (contents > 1) & (head | ~repeated)
-    kinds = np.where(e["h"] & X.U64(1) > 0, 3, np.where(contents > HOT, 2, 1))
-    out = {n: np.concatenate([e[n][repeated], e[n][chosen]]) for n in ("d", "doc", "first", "pos", "count")}
-    unit = np.concatenate([e["h"][repeated], e["h"][chosen]]) & X.U64(1)
-    kind = np.concatenate([np.zeros(int(repeated.sum()), np.int32), kinds[chosen].astype(np.int32)])
-    yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(out["d"]), pa.array(out["doc"]), pa.array(out["first"]), pa.array(out["pos"]), pa.array(out["count"].astype(np.int64)), pa.array(unit.astype(np.int32))], ["kind", "d", "doc", "first", "pos", "count", "unit"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        e = exchange.gather(batches, _FIELDS)
+        if not len(e["h"]):
+            return
+        order = np.lexsort((e["first"], e["d"], e["content"], e["h"]))
+        e = {n: v[order] for n, v in e.items()}
+
+        def same(*names: str) -> np.ndarray:
+            return np.append(False, np.logical_and.reduce([e[n][1:] == e[n][:-1] for n in names]))
+
+        copy = same("h", "content", "d", "first")
+        many = np.maximum.reduceat(e["many"], np.flatnonzero(~copy))
+        # a document that was met in two tasks: the least id stands for it
+        doc = np.minimum.reduceat(e["doc"], np.flatnonzero(~copy))
+        e = {n: v[~copy] for n, v in e.items()} | {"many": many, "doc": doc}
+        head = ~same("h", "content")
+        at = np.flatnonzero(head)
+        size = np.diff(np.append(at, len(head)))
+        repeated = _several(head, ~same("h", "content", "d"), e["h"]) | np.repeat(np.add.reduceat(e["many"].astype(np.int64), at) > 0, size)
+        # of anchors with several contents: one entry of each that is decided, all of the others
+        group = np.cumsum(np.append(True, e["h"][1:] != e["h"][:-1])) - 1
+        contents = np.bincount(group, head)[group]
+        chosen = (contents > 1) & (head | ~repeated)
+        kinds = np.where(e["h"] & X.U64(1) > 0, 3, np.where(contents > hot, 2, 1))
+        out = {n: np.concatenate([e[n][repeated], e[n][chosen]]) for n in ("d", "doc", "first", "pos", "count")}
+        unit = np.concatenate([e["h"][repeated], e["h"][chosen]]) & X.U64(1)
+        kind = np.concatenate([np.zeros(int(repeated.sum()), np.int32), kinds[chosen].astype(np.int32)])
+        yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(out["d"]), pa.array(out["doc"]), pa.array(out["first"]), pa.array(out["pos"]), pa.array(out["count"].astype(np.int64)), pa.array(unit.astype(np.int32))], ["kind", "d", "doc", "first", "pos", "count", "unit"])
+
+    return run
 
 
 def _span_keys(doc: np.ndarray, pos: np.ndarray) -> np.ndarray:
@@ -465,7 +469,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     bits = exchange.part_bits(spark)
     fields = ", ".join(f"{n} binary" for n in _FIELDS)
     entries = docs.transform(X.arrow, _anchors(bits), f"part int, {fields}").checkpoint()
-    judged = exchange.deal(entries.where("part >= 0")).transform(X.arrow, _judge, "kind int, d long, doc long, first long, pos long, count long, unit int").checkpoint()
+    judged = exchange.deal(entries.where("part >= 0")).transform(X.arrow, _judge(HOT), "kind int, d long, doc long, first long, pos long, count long, unit int").checkpoint()
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
