@@ -19,6 +19,12 @@ def overlap_area(a, b) -> Column:
     return F.when((w > 0) & (h > 0), w * h).otherwise(F.lit(0.0))
 
 
+def intersection(a, b) -> Column:
+    """The common box as a struct, null if the boxes only touch or don't meet."""
+    box = [F.greatest(a[0], b[0]), F.greatest(a[1], b[1]), F.least(a[2], b[2]), F.least(a[3], b[3])]
+    return F.when((box[2] > box[0]) & (box[3] > box[1]), F.struct(*(v.alias(n) for v, n in zip(box, ("x0", "y0", "x1", "y1")))))
+
+
 def iou(a, b) -> Column:
     both = overlap_area(a, b)
     return F.when(both > 0, both / (area(a) + area(b) - both)).otherwise(F.lit(0.0))

@@ -33,7 +33,7 @@ def new_reports(reports: DataFrame, known: DataFrame, url: str = "pdf_url", orde
     """Reports whose URL isn't known yet, each URL once (its first row)."""
     fresh = reports.join(known.select(url).distinct(), url, "left_anti")
     first = fresh.groupBy(url).agg(F.min(order).alias(order))
-    return fresh.join(first, [url, order], "left_semi")
+    return fresh.join(first, [url, order], "left_semi").select(*reports.columns)
 
 
 def content_status(downloads: DataFrame, known: DataFrame, order: str = "ord") -> DataFrame:
@@ -53,22 +53,37 @@ def sequence_names(rows: DataFrame, group: list[str], order: str, taken: DataFra
     return rows.join(top, group, "left").withColumn("file_name", F.concat(F.col(group[-1]), F.lit("_"), F.lpad(text, F.greatest(F.lit(2), F.length(text)), F.lit("0")), F.lit(".pdf"))).drop("_top")
 
 
-def early_stop(pages: DataFrame, order: str, new: str, target: int, factor: float = 1.5) -> DataFrame:
-    """Pages that are read: the first, and others while fewer than ``factor * target`` new rows were seen before."""
-    w = W.orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-    return pages.withColumn("_seen", F.coalesce(F.sum(new).over(w), F.lit(0))).where(F.col("_seen") < int(factor * target)).drop("_seen")
+def early_stop(pages: DataFrame, order: str, new: str, target: int, factor: float = 1.5, buckets: int = 64) -> DataFrame:
+    """Pages that are read: the first, and others while fewer than ``factor * target`` new rows were seen before.
+
+    Sums run inside ranges of pages; those of the ranges before, one row each, are added.
+    """
+    part = pages.repartitionByRange(buckets, order).withColumn("_p", F.spark_partition_id())
+    inner = part.withColumn("_own", F.sum(new).over(W.partitionBy("_p").orderBy(order).rowsBetween(W.unboundedPreceding, -1)))
+    ranges = inner.groupBy("_p").agg(F.sum(new).alias("_sum"))
+    before = ranges.withColumn("_before", F.sum("_sum").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1))).select("_p", "_before")
+    seen = F.coalesce("_own", F.lit(0)) + F.coalesce("_before", F.lit(0))
+    return inner.join(F.broadcast(before), "_p").where(seen < int(factor * target)).select(*pages.columns)
+
+
+def union_distinct(existing: DataFrame, session: DataFrame, column: str) -> DataFrame:
+    """(existing, session, total): distinct values before, in this session, and of both together."""
+    sides = existing.select(column, F.lit(1).alias("e"), F.lit(0).alias("s")).unionAll(session.select(column, F.lit(0), F.lit(1))).where(F.col(column).isNotNull())
+    seen = sides.groupBy(column).agg(F.max("e").alias("e"), F.max("s").alias("s"))
+    return seen.agg(F.coalesce(F.sum("e"), F.lit(0)).alias("existing"), F.coalesce(F.sum("s"), F.lit(0)).alias("session"), F.count("*").alias("total"))
 
 
 def upsert(rows: DataFrame, key: str, order: str) -> DataFrame:
     """The last row of every key."""
     last = rows.groupBy(key).agg(F.max(order).alias(order))
-    return rows.join(last, [key, order], "left_semi")
+    return rows.join(last, [key, order], "left_semi").select(*rows.columns)
 
 
 def distribution(rows: DataFrame, column: str) -> DataFrame:
     """Counts and their percentage of all rows."""
     n = rows.groupBy(column).agg(F.count("*").alias("cnt"))
-    return n.withColumn("percent", F.round(100.0 * F.col("cnt") / F.sum("cnt").over(W.partitionBy()), 4))
+    total = n.agg(F.sum("cnt").alias("_total"))
+    return n.join(F.broadcast(total)).select(column, "cnt", F.round(100.0 * F.col("cnt") / F.col("_total"), 4).alias("percent"))
 
 
 def collection_statistics(pages: DataFrame, file: str, measures: list[str]) -> DataFrame:

@@ -11,11 +11,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from gleaner.functions import hashing as H
+from gleaner.functions import suffixes as S
 from gleaner.functions import text as X
 from gleaner.operators.components import components, groups
-from gleaner.operators.storage import use_checkpoints, written
+from gleaner.operators.storage import written
 
 
 # --- exact duplicates -------------------------------------------------------------------------------------------------
@@ -152,6 +155,22 @@ def query_index(queries: DataFrame, index: DataFrame, k: int | None = None, num_
     return ranked if k is None else ranked.where(F.col("rank") <= k)
 
 
+def accuracy_study(docs: DataFrame, text: str, shingles: Callable[[Column], Column], pair: Column, id: str, sizes: Sequence[int], seeds: Sequence[int]) -> DataFrame:
+    """(num_perm, pairs, mean_error): mean absolute error of estimated similarities, over two documents a pair and all seeds."""
+    out = None
+    sets = docs.select(pair.alias("pair"), id, shingles(F.col(text)).alias("set"))
+    both = sets.groupBy("pair").agg(F.array_sort(F.collect_list(F.struct(id, "set"))).alias("d")).where(F.size("d") == 2)
+    exact = both.select("pair", X.jaccard(F.col("d")[0]["set"], F.col("d")[1]["set"]).alias("exact"))
+    of_pair = docs.select(pair.alias("pair"), F.col(id).cast("long").alias("id"))
+    for n in sizes:
+        for seed in seeds:
+            sigs = signatures(docs, text, shingles, id, n, seed).join(of_pair, "id")
+            met = sigs.groupBy("pair").agg(F.array_sort(F.collect_list(F.struct("id", "sig"))).alias("s")).where(F.size("s") == 2)
+            one = met.select("pair", F.lit(n).alias("num_perm"), H.similarity(F.col("s")[0]["sig"], F.col("s")[1]["sig"], n).alias("estimate"))
+            out = one if out is None else out.unionAll(one)
+    return out.join(exact, "pair").groupBy("num_perm").agg(F.count_distinct("pair").alias("pairs"), F.avg(F.abs(F.col("estimate") - F.col("exact"))).alias("mean_error"))
+
+
 # --- Bloom filters ----------------------------------------------------------------------------------------------------
 
 def bloom_build(items: DataFrame, item: str, m: int, k: int) -> DataFrame:
@@ -171,6 +190,25 @@ def bloom_contains(probes: DataFrame, item: str, bloom: DataFrame, m: int, k: in
     return probes.join(found, probes[item] == found["_item"], "left").drop("_item").withColumn("maybe", F.coalesce("maybe", F.lit(False)))
 
 
+def safe_lookup(probes: DataFrame, item: str, bloom: DataFrame, m: int, k: int, store: DataFrame, key: str) -> DataFrame:
+    """Adds ``maybe`` (the filter's answer) and ``found``: items that the filter doesn't know are absent, only the others are looked up."""
+    asked = bloom_contains(probes, item, bloom, m, k)
+    known = store.select(F.col(key).alias("_key")).distinct()
+    hits = asked.where("maybe").select(item).distinct().join(known, F.col(item) == F.col("_key"), "left_semi").select(F.col(item).alias("_hit"))
+    return asked.join(hits, asked[item] == hits["_hit"], "left").withColumn("found", F.col("_hit").isNotNull()).drop("_hit")
+
+
+def has_capacity(stats: DataFrame, threshold: float = 0.1) -> DataFrame:
+    """Adds ``ok``: whether the estimated false-positive rate is at most the threshold."""
+    return stats.withColumn("ok", F.col("estimated_fpr") <= threshold)
+
+
+def add_once(rows: DataFrame, id: str, order: str) -> DataFrame:
+    """The first row of every id: a second one with an id that is there changes nothing."""
+    first = rows.groupBy(id).agg(F.min(order).alias(order))
+    return rows.join(first, [id, order], "left_semi").dropDuplicates([id]).select(*rows.columns)
+
+
 def bloom_stats(bloom: DataFrame, inserted: int, m: int, k: int) -> DataFrame:
     import math
 
@@ -179,51 +217,88 @@ def bloom_stats(bloom: DataFrame, inserted: int, m: int, k: int) -> DataFrame:
     return bloom.agg(F.lit(m).cast("long").alias("bits"), F.lit(k).cast("long").alias("hashes"), F.lit(inserted).cast("long").alias("inserted"), ones.cast("long").alias("ones"), F.round(ones / m, 6).alias("fill_ratio"), F.lit(round(rate, 6)).alias("estimated_fpr"), F.lit((m + 7) // 8).cast("long").alias("memory_bytes"))
 
 
+def counting_removals(added: DataFrame, removed: DataFrame, item: str, m: int, k: int) -> tuple[DataFrame, DataFrame]:
+    """(pos, cnt) after all additions, and (item, positions, removed): whether each item that is to go was there."""
+    up = added.select(F.explode(H.bloom_positions(F.col(item), m, k)).alias("pos")).groupBy("pos").agg(F.count("*").alias("cnt"))
+    asked = removed.select(F.col(item).alias("item")).withColumn("positions", H.bloom_positions(F.col("item"), m, k))
+    hit = asked.select("item", F.explode(F.array_distinct("positions")).alias("pos")).distinct().join(up, "pos", "left")
+    there = hit.groupBy("item").agg(F.bool_and(F.col("cnt").isNotNull()).alias("removed"))
+    return up, asked.join(there, "item", "left")
+
+
 def counting_bloom(added: DataFrame, removed: DataFrame, item: str, m: int, k: int) -> DataFrame:
     """(pos, cnt) after all additions and then all removals; a removal of an item that isn't there changes nothing."""
-    up = added.select(F.explode(H.bloom_positions(F.col(item), m, k)).alias("pos")).groupBy("pos").agg(F.count("*").alias("cnt"))
-    asked = removed.select(F.col(item).alias("item")).withColumn("p", H.bloom_positions(F.col("item"), m, k))
-    there = asked.select("item", F.explode(F.array_distinct("p")).alias("pos")).distinct().join(up, "pos", "left").groupBy("item").agg(F.bool_and(F.col("cnt").isNotNull()).alias("ok")).where("ok")
-    down = asked.join(there, "item", "left_semi").select(F.explode("p").alias("pos")).groupBy("pos").agg(F.count("*").alias("gone"))
+    up, asked = counting_removals(added, removed, item, m, k)
+    down = asked.where("removed").select(F.explode("positions").alias("pos")).groupBy("pos").agg(F.count("*").alias("gone"))
     return up.join(down, "pos", "left").select("pos", F.greatest(F.lit(0), F.col("cnt") - F.coalesce("gone", F.lit(0))).alias("cnt")).where("cnt > 0")
 
 
+def counting_contains(probes: DataFrame, item: str, counts: DataFrame, m: int, k: int) -> DataFrame:
+    """(item, maybe): whether all of an item's counters are above zero."""
+    asked = probes.select(F.col(item).alias("item")).distinct().select("item", F.explode(F.array_distinct(H.bloom_positions(F.col("item"), m, k))).alias("pos"))
+    return asked.join(counts, "pos", "left").groupBy("item").agg(F.bool_and(F.coalesce(F.col("cnt") > 0, F.lit(False))).alias("maybe"))
+
+
 # --- substrings and suffixes ------------------------------------------------------------------------------------------
 
-def repeated_substrings(docs: DataFrame, id: str, text: str = "text", least: int = 2, most: int | None = None) -> DataFrame:
-    """Every substring of ``least`` to n - 1 characters that occurs twice or more (overlaps count); ``most`` bounds the length."""
-    n = F.length(text)
-    top = n - 1 if most is None else F.least(n - 1, F.lit(most))
-    at = docs.where(n > least).select(id, text, F.explode(F.sequence(F.lit(1), n - least + 1)).alias("pos"))
-    room = F.least(top, n - F.col("pos") + 1)
-    subs = at.where(room >= least).select(id, F.explode(F.transform(F.sequence(F.lit(least), room), lambda k: F.substring(F.col(text), F.col("pos"), k))).alias("substring"))
-    return subs.groupBy(id, "substring").agg(F.count("*").alias("cnt")).where("cnt >= 2")
+def _per_text(docs: DataFrame, columns: list[str], kernel: Callable, schema: T.StructType) -> DataFrame:
+    """Rows that ``kernel`` makes of each row's values; a batch of results ends after some 100,000 of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        target = to_arrow_schema(schema)
+        for batch in batches:
+            held, n = [[] for _ in schema.fields], 0
+            for values in zip(*(batch.column(c).to_pylist() for c in columns)):
+                made = kernel(*values)
+                for column, field, part in zip(held, target, made):
+                    column.append(pa.array(part, field.type))
+                n += len(made[0])
+                if n > 100_000:
+                    yield pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in held], schema=target)
+                    held, n = [[] for _ in schema.fields], 0
+            if n:
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in held], schema=target)
+
+    return spread(docs.select(*columns)).mapInArrow(run, schema)
+
+
+def repeated_substrings(docs: DataFrame, id: str, text: str = "text", least: int = 2) -> DataFrame:
+    """(id, substring, cnt): every substring of ``least`` to n - 1 characters that occurs twice or more; overlaps count.
+
+    Suffix sorting tells how far each position repeats, so only strings that repeat are written out.
+    """
+    reach = F.pandas_udf(lambda t: t.map(lambda s: S.repeated_reach(s or "")), "array<int>")
+    at = spread(docs.select(id, text)).select(id, text, F.posexplode(reach(F.col(text))).alias("at", "reach")).where(F.col("reach") >= least)
+    subs = at.select(id, F.explode(F.transform(F.sequence(F.lit(least), F.col("reach")), lambda k: F.substring(F.col(text), F.col("at") + 1, k))).alias("substring"))
+    return subs.groupBy(id, "substring").agg(F.count("*").alias("cnt"))
 
 
 def suffix_array(docs: DataFrame, id: str, text: str = "text") -> DataFrame:
     """(id, sa_rank, pos, lcp): suffixes in code-point order, 0-based, and the common prefix with the one before."""
-    rows = docs.where(F.length(text) > 0).select(id, F.explode(F.transform(F.sequence(F.lit(1), F.length(text)), lambda i: F.struct(i.alias("p"), F.substring(F.col(text), i, F.length(text)).alias("s")))).alias("x")).select(id, "x.p", "x.s")
-    w = W.partitionBy(id).orderBy("s")
-    before = F.lag("s").over(w)
-    ranked = rows.select(id, (F.row_number().over(w) - 1).alias("sa_rank"), (F.col("p") - 1).alias("pos"), "s", before.alias("b"))
-    common = F.coalesce(F.size(F.filter(F.sequence(F.lit(1), F.greatest(F.least(F.length("s"), F.length("b")), F.lit(1))), lambda k: (F.substring(F.col("s"), F.lit(1), k) == F.substring(F.col("b"), F.lit(1), k)))), F.lit(0))
-    return ranked.select(id, "sa_rank", "pos", F.when(F.col("b").isNull(), 0).otherwise(common).alias("lcp"), F.col("s").alias("suffix"))
+
+    def one(key, value: str | None):
+        order, common = S.sort_suffixes(S.code_points(value or ""))
+        return [[key] * len(order), np.arange(len(order)), order, common]
+
+    schema = T.StructType([docs.schema[id], *(T.StructField(c, T.LongType()) for c in ("sa_rank", "pos", "lcp"))])
+    return _per_text(docs, [id, text], one, schema)
 
 
 def longest_repeated_substring(docs: DataFrame, id: str, text: str = "text") -> DataFrame:
-    sa = suffix_array(docs, id, text)
-    best = sa.groupBy(id).agg(F.max(F.struct("lcp", (-F.col("sa_rank")).alias("r"), "suffix")).alias("b"))
-    return docs.select(id).join(best, id, "left").select(id, F.coalesce(F.expr("substring(b.suffix, 1, b.lcp)"), F.lit("")).alias("lrs"))
+    """(id, lrs) of every row; empty where nothing repeats."""
+    longest = F.pandas_udf(lambda t: t.map(lambda s: S.longest_repeat(s or "")), "string")
+    return spread(docs.select(id, text)).select(id, longest(F.col(text)).alias("lrs"))
+
 
+def common_substrings(pairs: DataFrame, id: str, a: str, b: str, least: int = 10) -> DataFrame:
+    """(id, ord, substring): common substrings of two texts of a row, in suffix order; null counts as empty."""
 
-def common_substrings(a: str, b: str, docs: DataFrame, least: int = 10) -> DataFrame:
-    """Common substrings of two text columns of a row: neighbours of different origin in the suffix order of both."""
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.explode(F.array(*[F.struct(F.lit(i).alias("side"), F.col(c).alias("t")) for i, c in enumerate((a, b))])).alias("x")).select("row", "x.side", "x.t").where(F.length("t") > 0)
-    suffixes = rows.select("row", "side", F.explode(F.transform(F.sequence(F.lit(1), F.length("t")), lambda i: F.substring(F.col("t"), i, F.length("t")))).alias("s"))
-    w = W.partitionBy("row").orderBy("s", "side")
-    near = suffixes.withColumn("b", F.lag("s").over(w)).withColumn("o", F.lag("side").over(w)).where("o <> side")
-    k = F.size(F.filter(F.sequence(F.lit(1), F.greatest(F.least(F.length("s"), F.length("b")), F.lit(1))), lambda k: F.substring(F.col("s"), F.lit(1), k) == F.substring(F.col("b"), F.lit(1), k)))
-    return near.select("row", F.expr("s"), k.alias("k")).where(F.col("k") >= least).select("row", F.expr("substring(s, 1, k)").alias("substring"))
+    def one(key, x: str | None, y: str | None):
+        found = S.common_runs(x or "", y or "", least)
+        return [[key] * len(found), np.arange(len(found)), found]
+
+    schema = T.StructType([pairs.schema[id], T.StructField("ord", T.LongType()), T.StructField("substring", T.StringType())])
+    return _per_text(pairs, [id, a, b], one, schema)
 
 
 def frequent_bigram(docs: DataFrame, id: str, text: str = "text") -> DataFrame:
@@ -244,6 +319,11 @@ def word_table(docs: DataFrame, order: str, text: str = "text") -> DataFrame:
     return counted.select("word", "freq", "first", F.concat(F.filter(F.split("word", ""), lambda c: c != ""), F.array(F.lit("</w>"))).alias("symbols"))
 
 
+def symbol_table(rows: DataFrame, order: str, symbols: str = "symbols") -> DataFrame:
+    """As ``word_table``, for text that is cut into symbols already: every row is one word, with white space between its symbols."""
+    return rows.select(F.col(symbols).alias("word"), F.lit(1).cast("long").alias("freq"), F.struct(F.col(order), F.lit(0).alias("p")).alias("first"), X.words(F.col(symbols)).alias("symbols"))
+
+
 def pair_counts(words: DataFrame) -> DataFrame:
     """Weighted counts of neighbouring symbols, with the first place of each pair for ties."""
     s = F.col("symbols")
@@ -265,8 +345,7 @@ def train_bpe(words: DataFrame, merges: int = 10) -> tuple[list[tuple[str, str,
 
     One aggregation a merge over the distinct words; lineage is cut every few merges.  Stops when no pair occurs twice.
     """
-    use_checkpoints(words.sparkSession)
-    words = words.checkpoint()
+    words, _ = written(words, "words")
     learned = []
     for k in range(merges):
         best = pair_counts(words).orderBy(F.desc("cnt"), "seen").first()
@@ -275,7 +354,7 @@ def train_bpe(words: DataFrame, merges: int = 10) -> tuple[list[tuple[str, str,
         learned.append((best["l"], best["r"], best["cnt"]))
         words = words.withColumn("symbols", merge_pair(F.col("symbols"), best["l"], best["r"]))
         if k % 4 == 3:
-            words = words.checkpoint()
+            words, _ = written(words, "words")
     return learned, words
 
 

@@ -40,16 +40,28 @@ def overlapping(boxes: DataFrame, page: list[str], order: str, least: float = 0.
     return pairs.select(*page, "i", "j", G.iou(a, b).alias("iou")).where(F.col("iou") > least)
 
 
+def overlap_groups(boxes: DataFrame, page: list[str], order: str, threshold: float = 0.5, inclusive: bool = True) -> DataFrame:
+    """Adds ``group``: the least box (by ``order``) of those that overlap, directly or through others, by the threshold or more.
+
+    Boxes alone are their own group; with ``inclusive`` false the overlap must exceed the threshold.
+    """
+    name = lambda c: F.struct(*page, F.col(c).alias("k"))
+    pairs = overlapping(boxes, page, order, 0.0)
+    pairs = pairs.where(F.col("iou") >= threshold if inclusive else F.col("iou") > threshold)
+    edges = pairs.select(F.to_json(name("i")).alias("a"), F.to_json(name("j")).alias("b"))
+    labels = components(edges)
+    of_box = labels.select(F.col("id").alias("_id"), F.col("label").alias("_label"))
+    named = boxes.withColumn("_id", F.to_json(name(order))).join(of_box, "_id", "left").withColumn("_label", F.coalesce("_label", "_id"))
+    first = named.groupBy("_label").agg(F.min(order).alias("group"))
+    return named.join(first, "_label").drop("_id", "_label")
+
+
 def merge_boxes(boxes: DataFrame, page: list[str], order: str, threshold: float = 0.3) -> DataFrame:
     """The largest box (first on ties) of every group that overlaps, directly or through others, by more than the threshold."""
-    key = F.concat_ws("/", *[F.col(p).cast("string") for p in page])
-    name = lambda c: F.concat_ws("#", key, F.lpad(F.col(c).cast("string"), 12, "0"))
-    pairs = overlapping(boxes, page, order, threshold).select(name("i").alias("a"), name("j").alias("b"))
-    labels = components(pairs)
-    named = boxes.withColumn("_id", name(order))
-    grouped = named.join(labels.select(F.col("id").alias("_id"), F.col("label").alias("_group")), "_id", "left").withColumn("_label", F.coalesce("_group", "_id"))
-    first = F.row_number().over(W.partitionBy("_label").orderBy(F.desc(G.area(G.corners())), order))
-    return grouped.withColumn("_r", first).where("_r = 1").drop("_r", "_id", "_group", "_label")
+    grouped = overlap_groups(boxes, page, order, threshold, inclusive=False)
+    best = grouped.groupBy(*page, "group").agg(F.max(F.struct(G.area(G.corners()).alias("area"), (-F.col(order)).alias("at"))).alias("_best"))
+    keyed = best.select(*page, (-F.col("_best.at")).alias(order))
+    return boxes.join(keyed, [*page, order], "left_semi")
 
 
 def inside_table(blocks: DataFrame, tables: DataFrame, page: list[str], id: str, threshold: float = 0.5) -> DataFrame:
@@ -85,7 +97,7 @@ def temporal_evidence(c: Column) -> Column:
 
 
 def classify_tables(candidates: DataFrame, text: str = "text_content", rules=CATEGORIES, density: float = 0.2, temporal: int = 2, size_ok: Column | None = None) -> DataFrame:
-    """Candidates that are financial tables, with category, confidence and keywords, most confident first."""
+    """Candidates that are financial tables, with category, confidence and keywords; candidates without text never are."""
     out = candidates.where(F.length(F.coalesce(text, F.lit(""))) > 0)
     out = out if size_ok is None else out.where(size_ok)
     out = out.withColumn("_k", keyword_score(F.col(text), rules)).where("_k IS NOT NULL").where(X.numeric_density(F.col(text)) >= (density or 0.2))
@@ -93,6 +105,24 @@ def classify_tables(candidates: DataFrame, text: str = "text_content", rules=CAT
     return out.select(*candidates.columns, F.col("_k.category").alias("category"), sure.alias("confidence"), F.col("_k.keywords").alias("keywords")).where("confidence >= 0.3")
 
 
+def text_or_page(candidates: DataFrame, page_texts: DataFrame, page: list[str], text: str = "text_content") -> DataFrame:
+    """Candidates without text take that of their whole page (``page_texts``: page.., page_text)."""
+    out = candidates.join(page_texts.select(*page, "page_text"), page, "left")
+    own = F.when(F.length(F.coalesce(F.col(text), F.lit(""))) > 0, F.col(text)).otherwise(F.col("page_text"))
+    return out.withColumn(text, own).drop("page_text")
+
+
+def financial_tables(candidates: DataFrame, page: list[str], order: str, page_texts: DataFrame | None = None, overlap: float = 0.3, **rules) -> DataFrame:
+    """Financial tables among the candidates of all detectors: overlapping ones merged, texts filled in, classified, most confident first.
+
+    Rows that carry an error take no part; ties go to the earlier page and place.
+    """
+    good = candidates.where("error IS NULL") if "error" in candidates.columns else candidates
+    merged = merge_boxes(good, page, order, overlap)
+    texts = merged if page_texts is None else text_or_page(merged, page_texts, page)
+    return classify_tables(texts, **rules).orderBy(F.desc("confidence"), *page, order)
+
+
 # --- matching and metrics ---------------------------------------------------------------------------------------------
 
 def match_detections(predictions: DataFrame, truths: DataFrame, image: str = "image_id", idx: str = "det_idx", threshold: float = 0.5) -> DataFrame:
@@ -150,6 +180,16 @@ def seed_windows(rows: DataFrame, partition: str, order: list[str], score: str,
     return runs.where(F.col(score) > threshold).select(partition, "island", F.col("pos").alias("seed_pos")).join(bounds, [partition, "island"]).drop("island")
 
 
+def entity_spans(rows: DataFrame, partition: str, order: list[str], probability: str, center: Column, threshold: float = 0.5) -> DataFrame:
+    """For every row that ``center`` marks: first and last position of the run of probabilities of at least the threshold around it.
+
+    Both are null where the centre itself lies below.
+    """
+    runs = islands(rows.withColumn("_center", center), partition, order, F.col(probability) >= threshold)
+    bounds = runs.where("island IS NOT NULL").groupBy(partition, "island").agg(F.min("pos").alias("first_pos"), F.max("pos").alias("last_pos"))
+    return runs.where("_center").select(partition, "island", F.col("pos").alias("center_pos")).join(bounds, [partition, "island"], "left").drop("island")
+
+
 def semantic_chunks(rows: DataFrame, order: str, vector: str, partition: str | None = None, threshold: float = 0.7) -> DataFrame:
     """Adds ``chunk``: a new one starts where the cosine with the row before is below the threshold."""
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)

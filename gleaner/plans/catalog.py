@@ -13,9 +13,10 @@ from gleaner.functions import hashing as H
 from gleaner.functions import text as X
 from gleaner.operators import collect as C
 from gleaner.operators import corpus as O
+from gleaner.operators import documents as D
 from gleaner.operators import layout as L
-from gleaner.operators.storage import written
-from gleaner.sources import html, labelstudio
+from gleaner.operators.storage import shared_folder, written
+from gleaner.sources import files, html, labelstudio
 from gleaner.sources.tables import table
 from gleaner.streaming import streams
 
@@ -181,6 +182,19 @@ def lsh_topk_query(spark, d):
     return got.select("query_id", F.col("id").alias("doc_id"), "sim", F.col("rank").cast("long").alias("rank"))
 
 
+@query("idempotent_add", "SELECT id, text FROM (SELECT user_id AS id, event_type AS text, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events) WHERE r = 1")
+def idempotent_add(spark, d):
+    e = table(spark, d, "events").select(F.col("user_id").alias("id"), F.col("event_type").alias("text"), "event_id")
+    return O.add_once(e, "id", "event_id").select("id", "text")
+
+
+@query("minhash_accuracy")
+def minhash_accuracy(spark, d):
+    """Estimates of neighbouring documents' similarity against the exact one, by signature size; the hash family has no SQL form."""
+    t = docs(spark, d).select("doc_id", "text")
+    return O.accuracy_study(t, "text", _shingles, F.floor(F.col("doc_id") / 2), "doc_id", [16, 64], range(2))
+
+
 @query("lsh_probability", "SELECT s / 20.0 AS similarity, round(1 - pow(1 - pow(s / 20.0, 8), 16), 9) AS probability FROM range(1, 21) r(s)")
 def lsh_probability(spark, d):
     s = F.col("id") / 20.0
@@ -224,6 +238,28 @@ def bloom_stats(spark, d):
     return O.bloom_stats(O.bloom_build(pages, "url", BLOOM_M, BLOOM_K), pages.count(), BLOOM_M, BLOOM_K)
 
 
+@query("safe_lookup", """WITH probes AS (SELECT DISTINCT url AS item FROM pages UNION SELECT DISTINCT lower(url) || '/' FROM pages) SELECT item, item IN (SELECT url FROM pages WHERE page_id % 3 = 0) AS found FROM probes""")
+def safe_lookup(spark, d):
+    pages = table(spark, d, "pages")
+    store = pages.where("page_id % 3 = 0")
+    probes = pages.select(F.col("url").alias("item")).union(pages.select(F.concat(F.lower("url"), F.lit("/")))).distinct()
+    return O.safe_lookup(probes, "item", O.bloom_build(store, "url", BLOOM_M, BLOOM_K), BLOOM_M, BLOOM_K, store, "url").select("item", "found")
+
+
+@query("bloom_capacity", f"SELECT n AS inserted, pow(1 - exp(-{BLOOM_K} * n / {BLOOM_M}), {BLOOM_K}) <= 0.1 AS ok FROM (SELECT count(*) AS n FROM pages)")
+def bloom_capacity(spark, d):
+    pages = table(spark, d, "pages")
+    return O.has_capacity(O.bloom_stats(O.bloom_build(pages, "url", BLOOM_M, BLOOM_K), pages.count(), BLOOM_M, BLOOM_K)).select("inserted", "ok")
+
+
+@query("counting_bloom_results", f"""WITH up_all AS (SELECT DISTINCT {_md5_sql('url', BLOOM_M)} AS pos FROM pages, range(0, {BLOOM_K}) r(i) WHERE page_id % 2 = 0),
+asked AS (SELECT DISTINCT url AS item FROM pages) SELECT item, bool_and(pos IS NOT NULL) AS removed FROM (SELECT item, {_md5_sql('item', BLOOM_M)} AS q FROM asked, range(0, {BLOOM_K}) r(i)) LEFT JOIN up_all ON pos = q GROUP BY item""")
+def counting_bloom_results(spark, d):
+    pages = table(spark, d, "pages")
+    _, asked = O.counting_removals(pages.where("page_id % 2 = 0"), pages.select("url").distinct(), "url", BLOOM_M, BLOOM_K)
+    return asked.select("item", "removed")
+
+
 @query("counting_bloom_remove", f"""WITH up AS (SELECT {_md5_sql('url', BLOOM_M)} AS pos, count(*) AS c FROM pages, range(0, {BLOOM_K}) r(i) GROUP BY 1),
 down AS (SELECT {_md5_sql('url', BLOOM_M)} AS pos, count(*) AS c FROM (SELECT DISTINCT url FROM pages WHERE url LIKE 'https%'), range(0, {BLOOM_K}) r(i) GROUP BY 1)
 SELECT up.pos, greatest(0, up.c - coalesce(down.c, 0)) AS cnt FROM up LEFT JOIN down USING (pos) WHERE up.c - coalesce(down.c, 0) > 0""")
@@ -253,27 +289,44 @@ def bigram_top(spark, d):
     return O.frequent_bigram(docs(spark, d), "doc_id")
 
 
-@query("repeated_substrings", """SELECT item_id, substring(text, i, k) AS substring, count(*) AS cnt FROM benchmark, range(1, 2000) r(i), range(2, 13) q(k)
-WHERE i + k - 1 <= length(text) AND k < length(text) GROUP BY 1, 2 HAVING count(*) >= 2""")
+@query("repeated_substrings", """WITH p AS (SELECT item_id, text, unnest(range(1, length(text))) AS i FROM benchmark WHERE length(text) > 1), q AS (SELECT item_id, text, i, unnest(range(2, least(length(text) - i + 2, length(text)))) AS k FROM p)
+SELECT item_id, substring(text, i, k) AS substring, count(*) AS cnt FROM q GROUP BY 1, 2 HAVING count(*) >= 2""")
 def repeated_substrings(spark, d):
-    return O.repeated_substrings(table(spark, d, "benchmark"), "item_id", "text", 2, 12)
+    got = O.repeated_substrings(table(spark, d, "benchmark"), "item_id", "text", 2)
+    return got.orderBy("item_id", F.desc("cnt"), F.desc(F.length("substring")), "substring")
 
 
-_SA_SQL = """s AS (SELECT item_id, i AS pos, substring(text, i + 1) AS s FROM benchmark, range(0, 2000) r(i) WHERE i < length(text)),
-o AS (SELECT item_id, pos, s, row_number() OVER w - 1 AS sa_rank, lag(s) OVER w AS b FROM s WINDOW w AS (PARTITION BY item_id ORDER BY s)),
-sa AS (SELECT item_id, pos, s, sa_rank, CASE WHEN b IS NULL THEN 0 ELSE len(list_filter(range(1, least(length(s), length(b)) + 1), lambda k: substring(s, 1, k) = substring(b, 1, k))) END AS lcp FROM o)"""
+def _sa_sql(source: str, key: str, text: str) -> str:
+    return f"""s AS (SELECT {key}, {text} AS t, pos, substring({text}, pos + 1) AS s FROM (SELECT *, unnest(range(0, length({text}))) AS pos FROM {source})),
+o AS (SELECT {key}, t, pos, s, row_number() OVER w - 1 AS sa_rank, lag(s) OVER w AS b, lag(pos) OVER w AS before FROM s WINDOW w AS (PARTITION BY {key} ORDER BY s)),
+sa AS (SELECT {key}, t, pos, s, sa_rank, before, CASE WHEN b IS NULL THEN 0 ELSE len(list_filter(range(1, least(length(s), length(b)) + 1), lambda k: substring(s, 1, k) = substring(b, 1, k))) END AS lcp FROM o)"""
 
 
-@query("suffix_array_lcp", f"WITH {_SA_SQL} SELECT item_id, sa_rank, pos, lcp FROM sa")
+@query("suffix_array_lcp", f"WITH {_sa_sql('benchmark', 'item_id', 'text')} SELECT item_id, sa_rank, pos, lcp FROM sa")
 def suffix_array_lcp(spark, d):
-    return O.suffix_array(table(spark, d, "benchmark"), "item_id").select("item_id", *(F.col(c).cast("long").alias(c) for c in ("sa_rank", "pos", "lcp")))
+    return O.suffix_array(table(spark, d, "benchmark"), "item_id")
 
 
-@query("longest_repeated_substring", f"WITH {_SA_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY lcp DESC, sa_rank) AS n FROM sa) SELECT item_id, substring(s, 1, lcp) AS lrs FROM r WHERE n = 1")
+@query("longest_repeated_substring", f"WITH {_sa_sql('benchmark', 'item_id', 'text')}, r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY lcp DESC, sa_rank) AS n FROM sa) SELECT item_id, substring(s, 1, lcp) AS lrs FROM r WHERE n = 1")
 def longest_repeated_substring(spark, d):
     return O.longest_repeated_substring(table(spark, d, "benchmark"), "item_id")
 
 
+@query("longest_repeat_of_documents")
+def longest_repeat_of_documents(spark, d):
+    """Over whole documents SQL would need a row for every suffix with its text; tests compare with brute force."""
+    return O.longest_repeated_substring(docs(spark, d), "doc_id")
+
+
+@query("common_substrings", f"""WITH c AS (SELECT a.item_id, length(a.text) AS n, a.text || '#' || b.text || '$' AS t FROM benchmark a JOIN benchmark b ON b.item_id = a.item_id + 1), {_sa_sql('c', 'item_id, n', 't')},
+f AS (SELECT item_id, substring(s, 1, lcp) AS x, sa_rank FROM sa WHERE lcp >= 6 AND (before < n) <> (pos < n))
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY sa_rank) - 1 AS ord, x AS substring FROM f WHERE NOT contains(x, '#') AND NOT contains(x, '$')""")
+def common_substrings(spark, d):
+    b = table(spark, d, "benchmark")
+    pairs = b.withColumnRenamed("text", "a").join(b.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("b")), "item_id")
+    return O.common_substrings(pairs, "item_id", "a", "b", 6)
+
+
 def _grams_sql(source: str, id: str) -> str:
     later = ", ".join(f"lead(x, {k}) OVER v" for k in range(1, 8))
     return f"""SELECT DISTINCT {id}, g FROM (SELECT {id}, concat_ws(' ', x, {later}) AS g, lead(x, 7) OVER v IS NOT NULL AS whole
@@ -286,13 +339,6 @@ def ngram_containment(spark, d):
     return grams(table(spark, d, "benchmark"), "item_id").join(grams(docs(spark, d), "doc_id"), "g").groupBy("item_id", "doc_id").agg(F.count("*").alias("shared"))
 
 
-@query("common_substrings")
-def common_substrings(spark, d):
-    b = table(spark, d, "benchmark")
-    pairs = b.select(F.col("item_id").alias("i"), F.col("text").alias("a")).join(b.select((F.col("item_id") - 1).alias("i"), F.col("text").alias("b")), "i")
-    return O.common_substrings("a", "b", pairs, 6)
-
-
 @query("bpe_pair_counts", f"""WITH w AS (SELECT w, count(*) AS freq FROM (SELECT unnest({S_WORDS.format('text')}) AS w FROM documents) GROUP BY w),
 s AS (SELECT freq, list_concat(list_transform(range(1, length(w) + 1), lambda i: substring(w, i, 1)), ['</w>']) AS s FROM w),
 p AS (SELECT freq, s[i] AS l, s[i + 1] AS r FROM s, range(1, 200) q(i) WHERE i < len(s))
@@ -307,6 +353,20 @@ def bpe_train(spark, d):
     return spark.createDataFrame([(i, *m) for i, m in enumerate(merges)], "step long, l string, r string, cnt long")
 
 
+@query("bpe_train_documents")
+def bpe_train_documents(spark, d):
+    merges, _ = O.train_bpe(O.word_table(docs(spark, d), "doc_id"), 10)
+    return spark.createDataFrame([(i, *m) for i, m in enumerate(merges)], "step long, l string, r string, cnt long")
+
+
+@query("bpe_pretokenized")
+def bpe_pretokenized(spark, d):
+    """Training on words that come as symbols: the letters of the parts' first words and an underscore."""
+    spaced = F.concat(F.regexp_replace(F.split("p_name", " ")[0], "(.)", "$1 "), F.lit("_"))
+    merges, _ = O.train_bpe(O.symbol_table(table(spark, d, "part").select("p_partkey", spaced.alias("symbols")), "p_partkey"), 10)
+    return spark.createDataFrame([(i, *m) for i, m in enumerate(merges)], "step long, l string, r string, cnt long")
+
+
 _VOCAB_SQL = "vocab AS (SELECT DISTINCT split_part(p_name, ' ', 1) AS token FROM part UNION SELECT DISTINCT p_name FROM part WHERE p_name LIKE 'b%')"
 
 
@@ -340,14 +400,21 @@ def vocab_words(spark, d):
     return _vocab(spark, d)
 
 
-@query("wordpiece_tokens")
+PIECES = ["un", "##able", "play", "##ing", "##er", "th", "##e", "##at", "##in", "##re", "##th", "##on", "o", "##f", "an", "##d", "##s", "a", "##n", "i"]
+
+
+@query("wordpiece_tokens", f"""WITH RECURSIVE v AS (SELECT unnest([{", ".join(f"'{p}'" for p in PIECES)}]) AS p),
+w AS (SELECT w, count(*) AS cnt FROM (SELECT unnest({S_WORDS.format('lower(text)')}) AS w FROM conversations) GROUP BY w),
+t(w, here, pieces) AS (SELECT w, CAST(1 AS BIGINT), CAST([] AS VARCHAR[]) FROM w UNION ALL
+SELECT t.w, t.here + length(p) - CASE WHEN t.here > 1 THEN 2 ELSE 0 END, list_append(pieces, p) FROM t JOIN LATERAL (SELECT p FROM v WHERE (t.here = 1) <> starts_with(p, '##') AND starts_with(substring(t.w, t.here), CASE WHEN t.here > 1 THEN substring(p, 3) ELSE p END) ORDER BY length(p) DESC LIMIT 1) ON true WHERE t.here <= length(t.w))
+SELECT w.w AS word, cnt, coalesce(array_to_string(pieces, ' '), '[UNK]') AS pieces FROM w LEFT JOIN t ON t.w = w.w AND t.here > length(w.w)""")
 def wordpiece_tokens(spark, d):
-    vocab = ["un", "##able", "play", "##ing", "##er", "th", "##e", "##at", "##in", "##re", "##th", "##on", "o", "##f", "an", "##d", "##s", "a", "##n", "i"]
     words = table(spark, d, "conversations").select(F.explode(X.words(F.lower("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("cnt"))
-    return words.select("word", "cnt", F.array_join(O.wordpiece(F.col("word"), vocab), " ").alias("pieces"))
+    return words.select("word", "cnt", F.array_join(O.wordpiece(F.col("word"), PIECES), " ").alias("pieces"))
 
 
-@query("longest_palindrome")
+@query("longest_palindrome", """WITH p AS (SELECT item_id, text, unnest(range(1, length(text) + 1)) AS i FROM benchmark), q AS (SELECT item_id, i, k, substring(text, i, k) AS s FROM (SELECT *, unnest(range(1, length(text) - i + 2)) AS k FROM p)),
+r AS (SELECT item_id, s, row_number() OVER (PARTITION BY item_id ORDER BY k DESC, i) AS n FROM q WHERE s = reverse(s)) SELECT b.item_id, coalesce(s, b.text) AS palindrome FROM benchmark b LEFT JOIN r ON r.item_id = b.item_id AND n = 1""")
 def longest_palindrome(spark, d):
     return table(spark, d, "benchmark").select("item_id", X.longest_palindrome("text").alias("palindrome"))
 
@@ -441,6 +508,20 @@ def metadata_upsert(spark, d):
     return C.upsert(table(spark, d, "events").select("event_id", "user_id", "event_type", "value"), "user_id", "event_id").drop("event_id")
 
 
+@query("union_distinct", "SELECT (SELECT count(DISTINCT s_nationkey) FROM supplier WHERE s_suppkey < 20) AS existing, (SELECT count(DISTINCT c_nationkey) FROM customer WHERE c_custkey < 30) AS session, (SELECT count(*) FROM (SELECT s_nationkey FROM supplier WHERE s_suppkey < 20 UNION SELECT c_nationkey FROM customer WHERE c_custkey < 30)) AS total")
+def union_distinct(spark, d):
+    before = table(spark, d, "supplier").where("s_suppkey < 20").select(F.col("s_nationkey").alias("n"))
+    return C.union_distinct(before, table(spark, d, "customer").where("c_custkey < 30").select(F.col("c_nationkey").alias("n")), "n")
+
+
+@query("store_lookup", "WITH r AS (SELECT lower(url) AS u, min(page_id) AS p FROM pages WHERE page_id % 2 = 0 GROUP BY 1) SELECT page_id, u IS NOT NULL AS known, 'store/' || p AS local_path FROM pages LEFT JOIN r ON u = lower(url)")
+def store_lookup(spark, d):
+    p = table(spark, d, "pages")
+    held = O.add_once(p.where("page_id % 2 = 0").select("page_id", F.lower("url").alias("pdf_url")), "pdf_url", "page_id")
+    store = held.select("pdf_url", F.concat(F.lit("store/"), F.col("page_id").cast("string")).alias("local_path"))
+    return files.lookup(p.select("page_id", F.lower("url").alias("u")), "u", store, "pdf_url").select("page_id", "known", F.col("report.local_path").alias("local_path"))
+
+
 @query("running_count", "SELECT event_id, row_number() OVER (ORDER BY ts, event_id) AS ordinal FROM events")
 def running_count(spark, d):
     return C.running_count(table(spark, d, "events").select("event_id", "ts"), [F.col("ts"), F.col("event_id")]).select("event_id", "ordinal")
@@ -539,6 +620,106 @@ def page_sizes(spark, d):
     return p.groupBy(G.page_size_class(F.col("w"), F.col("h")).alias("kind")).agg(F.count("*").alias("cnt"))
 
 
+@query("box_intersections", f"WITH {_BOX_SQL} SELECT a.page, a.ord AS i, b.ord AS j, least(a.x1, b.x1) > greatest(a.x0, b.x0) AND least(a.y1, b.y1) > greatest(a.y0, b.y0) AS meet, CASE WHEN meet THEN greatest(a.x0, b.x0) END AS x0, CASE WHEN meet THEN greatest(a.y0, b.y0) END AS y0, CASE WHEN meet THEN least(a.x1, b.x1) END AS x1, CASE WHEN meet THEN least(a.y1, b.y1) END AS y1 FROM boxes a JOIN boxes b ON b.page = a.page AND b.ord = a.ord + 1")
+def box_intersections(spark, d):
+    b = boxes(spark, d)
+    cols = ["x0", "y0", "x1", "y1"]
+    l = b.select("page", F.col("ord").alias("i"), *(F.col(c).alias(f"l_{c}") for c in cols))
+    r = b.select("page", F.col("ord").alias("j"), *(F.col(c).alias(f"r_{c}") for c in cols))
+    both = l.join(r, (l["page"] == r["page"]) & (r["j"] == l["i"] + 1)).select(l["page"], "i", "j", G.intersection(G.corners("l_"), G.corners("r_")).alias("box"))
+    return both.select("page", "i", "j", F.col("box").isNotNull().alias("meet"), *(F.col(f"box.{c}").alias(c) for c in cols))
+
+
+@query("overlap_groups", f"""WITH RECURSIVE {_BOX_SQL}, {_IOU_SQL}, e AS (SELECT page, i AS x, j AS y FROM pairs WHERE iou >= 0.5 UNION ALL SELECT page, j, i FROM pairs WHERE iou >= 0.5),
+reach(page, ord, r) AS (SELECT page, ord, ord FROM boxes UNION SELECT e.page, e.y, reach.r FROM reach JOIN e ON e.page = reach.page AND e.x = reach.ord)
+SELECT page, ord, min(r) AS "group" FROM reach GROUP BY 1, 2""")
+def overlap_groups(spark, d):
+    return L.overlap_groups(boxes(spark, d), ["page"], "ord", 0.5).select("page", "ord", "group")
+
+
+# --- documents --------------------------------------------------------------------------------------------------------
+
+def _page_items(spark, d) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Orders as pages (four to a file) and their line items as tables, text blocks and images."""
+    b = boxes(spark, d).select(F.concat(F.lit("f"), F.floor(F.col("page") / 4).cast("string")).alias("file"), "page", "ord", F.col("x1").alias("x0"), "y0", F.col("x0").alias("x1"), "y1", "label")
+    o = table(spark, d, "orders").select(F.concat(F.lit("f"), F.floor(F.col("o_orderkey") / 4).cast("string")).alias("file"), F.col("o_orderkey").alias("page"), F.when(F.col("o_orderkey") % 5 > 0, F.lit(595.0)).alias("width"), F.when(F.col("o_orderkey") % 5 > 0, F.lit(842.0)).alias("height"))
+    blocks = b.where("ord % 3 = 1").select("*", F.concat_ws("-", "page", "ord").alias("id"), F.concat(F.lit("t"), F.col("ord").cast("string")).alias("text")).withColumn("label", F.when(F.col("label") != "A", F.col("label")))
+    return o, b.where("ord % 3 = 0"), blocks, b.where("ord % 3 = 2")
+
+
+_PAGES_SQL = f"""{_BOX_SQL}, tb AS (SELECT * FROM boxes WHERE ord % 3 = 0), bl AS (SELECT b.page, b.ord, coalesce(nullif(b.label, 'A'), 'text') AS label, EXISTS (SELECT 1 FROM tb t WHERE t.page = b.page AND least(b.x1, t.x1) > greatest(b.x0, t.x0) AND least(b.y1, t.y1) > greatest(b.y0, t.y0)
+AND (least(b.x1, t.x1) - greatest(b.x0, t.x0)) * (least(b.y1, t.y1) - greatest(b.y0, t.y0)) / ((b.x1 - b.x0) * (b.y1 - b.y0)) > 0.5) AS in_table FROM boxes b WHERE b.ord % 3 = 1),
+pg AS (SELECT 'f' || o_orderkey // 4 AS file, o_orderkey AS page, CASE WHEN o_orderkey % 5 > 0 THEN 595.0 ELSE 612.0 END::DOUBLE AS width, CASE WHEN o_orderkey % 5 > 0 THEN 842.0 ELSE 792.0 END::DOUBLE AS height, (SELECT count(*) FROM bl WHERE bl.page = o_orderkey) AS texts, (SELECT count(*) FROM boxes b WHERE b.page = o_orderkey AND ord % 3 = 2) AS images FROM orders)"""
+
+
+@query("assembled_pages", f"WITH {_PAGES_SQL} SELECT file, page, width, height, coalesce((SELECT string_agg('t' || ord || ' ' || label || ' ' || in_table, ';' ORDER BY ord) FROM bl WHERE bl.page = pg.page), '') AS blocks, images FROM pg")
+def assembled_pages(spark, d):
+    text = F.array_join(F.transform("text_blocks", lambda b: F.concat_ws(" ", b["text"], b["label"], b["in_table"].cast("string"))), ";")
+    return D.assemble_pages(*_page_items(spark, d)).select("file", "page", "width", "height", text.alias("blocks"), F.size("images").cast("long").alias("images"))
+
+
+@query("document_info", f"WITH {_PAGES_SQL} SELECT file, count(*) AS page_count, string_agg(page || ':' || width::INT || 'x' || height::INT || ':' || texts || ':' || images, ' ' ORDER BY page) AS summaries FROM pg GROUP BY file")
+def document_info(spark, d):
+    text = F.array_join(F.transform("page_summaries", lambda p: F.concat(p["page_number"].cast("string"), F.lit(":"), p["width"].cast("int").cast("string"), F.lit("x"), p["height"].cast("int").cast("string"), F.lit(":"), p["text_block_count"].cast("string"), F.lit(":"), p["image_count"].cast("string"))), " ")
+    return D.document_info(D.assemble_pages(*_page_items(spark, d))).select("file", "page_count", text.alias("summaries"))
+
+
+@query("file_statistics", f"WITH {_PAGES_SQL} SELECT file, count(*) AS page_count, CAST(sum(texts) AS BIGINT) AS text_blocks, CAST(sum(images) AS BIGINT) AS images, (SELECT count(*) FROM tb WHERE 'f' || tb.page // 4 = pg.file) AS tables FROM pg GROUP BY file")
+def file_statistics(spark, d):
+    pages, tables, blocks, images = _page_items(spark, d)
+    return D.file_statistics(D.document_info(D.assemble_pages(pages, tables, blocks, images)), tables)
+
+
+@query("page_filter", f"WITH {_BOX_SQL} SELECT page, ord FROM boxes WHERE page IN (3, 8, 21)")
+def page_filter(spark, d):
+    pages, *_ = _page_items(spark, d)
+    return D.on_pages(boxes(spark, d), [8, 3, 21, 3], pages).select("page", "ord")
+
+
+def _detected(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Orders as files, some of which failed, and their line items as tables."""
+    failed = F.when(F.col("o_orderstatus") == "P", F.concat(F.lit("cannot open a file of priority "), F.col("o_orderpriority")))
+    o = table(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("file"), (F.col("o_orderkey") % 7).cast("int").alias("pages"), failed.alias("error"))
+    b = boxes(spark, d).select(F.col("page").cast("string").alias("file"), (F.col("ord") % 7).cast("int").alias("page"), "ord", F.col("label").alias("category"), F.lit(0.5).alias("confidence"))
+    return o, b
+
+
+_DETECTED_SQL = f"""{_BOX_SQL}, n AS (SELECT page, label, count(*) AS n, min(ord) AS f FROM boxes GROUP BY 1, 2), cat AS (SELECT page, CAST(sum(n) AS BIGINT) AS tables, string_agg(label || ':' || n, ', ' ORDER BY f, label) AS categories, string_agg('"' || label || '":' || n, ',' ORDER BY f, label) AS json FROM n GROUP BY page),
+fl AS (SELECT o_orderkey, o_orderkey % 7 AS pages, CASE WHEN o_orderstatus = 'P' THEN 'cannot open a file of priority ' || o_orderpriority END AS error FROM orders)"""
+
+
+@query("categories_per_file", f"WITH {_DETECTED_SQL} SELECT page::VARCHAR AS file, tables AS tables_detected, categories FROM cat")
+def categories_per_file(spark, d):
+    return D.categories_per_file(_detected(spark, d)[1]).select("file", "tables_detected", D.category_text(F.col("categories")).alias("categories"))
+
+
+@query("detection_summary", f"""WITH {_DETECTED_SQL}, r AS (SELECT CASE WHEN error IS NULL THEN 'file' ELSE 'error' END AS kind, o_orderkey::VARCHAR AS file, CASE WHEN error IS NULL THEN pages END AS pages, CASE WHEN error IS NULL THEN coalesce(tables, 0) END AS tables, CASE WHEN error IS NULL THEN coalesce(categories, '-') ELSE 'Error: ' || substring(error, 1, 30) || '...' END AS categories FROM fl LEFT JOIN cat ON page = o_orderkey)
+SELECT * FROM r UNION ALL SELECT 'total', NULL, CAST(coalesce(sum(pages), 0) AS BIGINT), CAST(coalesce(sum(tables), 0) AS BIGINT), '' FROM r WHERE kind = 'file'""")
+def detection_summary(spark, d):
+    return D.detection_summary(*_detected(spark, d))
+
+
+@query("result_json", f"""WITH {_DETECTED_SQL}, t AS (SELECT page, string_agg('{{"page":' || ord % 7 || ',"category":"' || label || '","confidence":0.5}}', ',' ORDER BY ord) AS tables FROM boxes GROUP BY page)
+SELECT o_orderkey::VARCHAR AS file, '{{"pdf_path":"' || o_orderkey || '","pages":' || pages || ',"tables_detected":' || coalesce(cat.tables, 0) || ',"categories":{{' || coalesce(json, '') || '}},"tables":[' || coalesce(t.tables, '') || ']' || coalesce(',"error":"' || error || '"', '') || '}}' AS json FROM fl LEFT JOIN cat ON cat.page = o_orderkey LEFT JOIN t ON t.page = o_orderkey""")
+def result_json(spark, d):
+    return D.result_json(*_detected(spark, d))
+
+
+@query("page_raster", f"""WITH {_BOX_SQL}, it AS (SELECT page, ord % 3 AS z, least(greatest(floor(x0 / 200 * 20), 0), 19)::BIGINT AS a, least(greatest(floor(x1 / 200 * 20), 0), 19)::BIGINT AS b, least(greatest(floor((200 - y1) / 200 * 10), 0), 9)::BIGINT AS c, least(greatest(floor((200 - y0) / 200 * 10), 0), 9)::BIGINT AS e FROM boxes),
+g AS (SELECT o_orderkey AS page, x, y FROM orders, range(0, 20) r(x), range(0, 10) q(y)), m AS (SELECT g.page, x, y, max(z) AS z FROM g LEFT JOIN it ON it.page = g.page AND x BETWEEN a AND b AND y BETWEEN c AND e GROUP BY 1, 2, 3),
+l AS (SELECT page, y, string_agg(CASE z WHEN 0 THEN '.' WHEN 1 THEN '#' WHEN 2 THEN '@' ELSE ' ' END, '' ORDER BY x) AS s FROM m GROUP BY 1, 2) SELECT page, string_agg(s, chr(10) ORDER BY y) AS raster FROM l GROUP BY page""")
+def page_raster(spark, d):
+    kind = F.element_at(F.array(F.lit("text"), F.lit("table"), F.lit("image")), (F.col("ord") % 3 + 1).cast("int"))
+    items = boxes(spark, d).withColumns({"file": F.lit("f"), "kind": kind})
+    pages = table(spark, d, "orders").select(F.lit("f").alias("file"), F.col("o_orderkey").alias("page"), F.lit(200.0).alias("width"), F.lit(200.0).alias("height"))
+    return D.page_raster(items, pages, 20, 10).select("page", "raster")
+
+
+@query("first_rows", "SELECT user_id, count(*) AS n FROM events GROUP BY 1 ORDER BY n DESC, user_id LIMIT 20")
+def first_rows(spark, d):
+    return D.shown(table(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("n")), [F.desc("n"), F.col("user_id")])
+
+
 def _sides(spark, d) -> tuple[DataFrame, DataFrame]:
     b = boxes(spark, d).select(F.col("page").alias("image_id"), F.col("ord").alias("det_idx"), "label", F.col("x0").alias("x"), F.col("y0").alias("y"), (F.col("x1") - F.col("x0")).alias("width"), (F.col("y1") - F.col("y0")).alias("height"))
     return b.where("det_idx % 2 = 1"), b.where("det_idx % 2 = 0")
@@ -601,10 +782,30 @@ def temporal_evidence(spark, d):
     return docs(spark, d).select("doc_id", L.temporal_evidence(F.col("text")).cast("long").alias("evidence"))
 
 
-@query("classify_tables")
+_CLASS_RULES_SQL = f"""s AS ({_rules_sql()}), k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, place) AS n FROM s),
+t AS (SELECT doc_id, text, {S_WORDS.format('text')} AS w, {" + ".join(f"len(list_distinct(regexp_extract_all(text, '{p}')))" for p in L.TEMPORAL)} AS evidence FROM documents),
+c AS (SELECT doc_id, category, least(score / 6, 1) + CASE WHEN evidence >= 1 THEN 0.1 ELSE 0 END AS c FROM k JOIN t USING (doc_id) WHERE n = 1 AND len(list_filter(w, lambda x: regexp_full_match(x, '[0-9,.\\-+()%]+'))) / len(w) >= 0.001)"""
+
+
+@query("classify_tables", f"WITH {_CLASS_RULES_SQL} SELECT doc_id, category, round(least(c, 1), 9) AS confidence FROM c WHERE least(c, 1) >= 0.3")
 def classify_tables(spark, d):
-    c = docs(spark, d).select("doc_id", F.concat(F.col("text"), F.lit(" 매출액 1,234 영업이익 567 당기순이익 890 2024 2025E")).alias("text_content"))
-    return L.classify_tables(c, density=0.001).drop("text_content")
+    c = docs(spark, d).select("doc_id", F.col("text").alias("text_content"))
+    return L.classify_tables(c, rules=RULES, density=0.001, temporal=1).select("doc_id", "category", F.round("confidence", 9).alias("confidence"))
+
+
+@query("financial_tables", f"""WITH RECURSIVE {_BOX_SQL}, {_IOU_SQL}, e AS (SELECT page, i AS x, j AS y FROM pairs WHERE iou > 0.3 UNION ALL SELECT page, j, i FROM pairs WHERE iou > 0.3),
+reach(page, ord, r) AS (SELECT page, ord, ord FROM boxes UNION SELECT e.page, e.y, reach.r FROM reach JOIN e ON e.page = reach.page AND e.x = reach.ord),
+lab AS (SELECT page, ord, min(r) AS label FROM reach GROUP BY 1, 2),
+m AS (SELECT b.page, b.ord, row_number() OVER (PARTITION BY b.page, l.label ORDER BY (x1 - x0) * (y1 - y0) DESC, b.ord) AS n FROM boxes b JOIN lab l ON l.page = b.page AND l.ord = b.ord),
+{_CLASS_RULES_SQL} SELECT page, ord, category, round(least(c, 1), 9) AS confidence, row_number() OVER (ORDER BY least(c, 1) DESC, page, ord) AS place FROM m JOIN c ON c.doc_id = m.page WHERE n = 1 AND least(c, 1) >= 0.3
+ORDER BY place""")
+def financial_tables(spark, d):
+    """Boxes as candidates without a text of their own: each takes that of the document which is its page."""
+    b = boxes(spark, d).withColumn("text_content", F.lit(None).cast("string"))
+    texts = docs(spark, d).select(F.col("doc_id").alias("page"), F.col("text").alias("page_text"))
+    got = L.financial_tables(b, ["page"], "ord", texts, rules=RULES, density=0.001, temporal=1)
+    w = [F.desc("confidence"), F.col("page"), F.col("ord")]
+    return C.running_count(got, w).select("page", "ord", "category", F.round("confidence", 9).alias("confidence"), F.col("ordinal").alias("place"))
 
 
 # --- sequences --------------------------------------------------------------------------------------------------------
@@ -627,6 +828,15 @@ def seed_windows(spark, d):
     return out.select("user_id", *(F.col(c).cast("long").alias(c) for c in ("seed_pos", "first_pos", "last_pos")))
 
 
+@query("entity_spans", """WITH p AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS pos FROM events), r AS (SELECT user_id, pos, pos - row_number() OVER (PARTITION BY user_id ORDER BY pos) AS island FROM p WHERE value >= 20),
+b AS (SELECT user_id, island, min(pos) AS first_pos, max(pos) AS last_pos FROM r GROUP BY 1, 2)
+SELECT p.user_id, p.pos AS center_pos, first_pos, last_pos FROM p LEFT JOIN r ON r.user_id = p.user_id AND r.pos = p.pos LEFT JOIN b ON b.user_id = r.user_id AND b.island = r.island WHERE event_type = 'click'""")
+def entity_spans(spark, d):
+    e = table(spark, d, "events").select("user_id", "event_id", "value", "event_type")
+    out = L.entity_spans(e, "user_id", ["event_id"], "value", F.col("event_type") == "click", 20.0)
+    return out.select("user_id", *(F.col(c).cast("long").alias(c) for c in ("center_pos", "first_pos", "last_pos")))
+
+
 @query("first_seen_events", "SELECT user_id, event_type, min(event_id) AS first_event FROM events GROUP BY 1, 2")
 def first_seen_events(spark, d):
     return table(spark, d, "events").groupBy("user_id", "event_type").agg(F.min("event_id").alias("first_event"))
@@ -638,10 +848,26 @@ def streaming_first_seen(spark, d):
     return streams.drain(s, "streaming_first_seen")
 
 
-@query("streaming_windowed_counts", "SELECT event_type, count(*) AS cnt FROM events GROUP BY 1")
+@query("streaming_windowed_counts", "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS cnt FROM events GROUP BY 1, 2")
 def streaming_windowed_counts(spark, d):
     s = streams.windowed_counts(streams.read_table(spark, d, "events"), "ts", "event_type")
-    return streams.drain(s, "streaming_windowed_counts", "complete").groupBy("event_type").agg(F.sum("cnt").alias("cnt"))
+    return streams.drain(s, "streaming_windowed_counts", "complete").select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "event_type", "cnt")
+
+
+@query("streaming_upsert", "SELECT user_id, event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events) WHERE r = 1")
+def streaming_upsert(spark, d):
+    path = shared_folder(spark, "upserted")
+    s = streams.read_table(spark, d, "events").select("user_id", "event_id", "event_type", "value")
+    streams.upsert_into(s, path, "user_id", "event_id", f"{path}-progress").awaitTermination()
+    return streams.stored(spark, path)
+
+
+@query("streaming_near_dup", f"SELECT * FROM ({ORACLES['greedy_near_dup']}) WHERE kept")
+def streaming_near_dup(spark, d):
+    """All documents come in one batch here, so the rows are those of the greedy loop; tests use several batches."""
+    path = shared_folder(spark, "kept")
+    streams.keep_distinct(streams.read_table(spark, d, "documents").select("doc_id", "text"), path, f"{path}-progress", "text", _shingles, "doc_id", SIMILAR, PERM, BANDS).awaitTermination()
+    return streams.stored(spark, path).select(F.col("id").alias("doc_id"), F.lit(True).alias("kept"))
 
 
 @query("semantic_chunks", """WITH l AS (SELECT vec_id, label, embedding, lag(embedding) OVER (PARTITION BY label ORDER BY vec_id) AS b FROM embeddings),

@@ -8,8 +8,6 @@ from pyspark.sql import functions as F
 
 _VALUE = "STRUCT<x: DOUBLE, y: DOUBLE, width: DOUBLE, height: DOUBLE, rectanglelabels: ARRAY<STRING>>"
 TASKS = f"ARRAY<STRUCT<data: STRUCT<image: STRING>, predictions: ARRAY<STRUCT<result: ARRAY<STRUCT<type: STRING, value: {_VALUE}>>>>, annotations: ARRAY<STRUCT<result: ARRAY<STRUCT<type: STRING, value: {_VALUE}>>>>>>"
-#: Labels of the annotation interface are checked against a vocabulary that the caller gives.
-
 
 def read_tasks(files: DataFrame, json: str = "value") -> DataFrame:
     """(image_id, task_ord, predictions, annotations); of tasks with the same image the last one counts, tasks without one don't."""
@@ -42,3 +40,8 @@ def export_tasks(pages: DataFrame, tables: DataFrame, dataset: str, version: str
     results = tables.groupBy("image").agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["r"]).alias("result"))
     predictions = F.when(F.col("result").isNotNull(), F.array(F.struct(F.lit(version).alias("model_version"), "result")))
     return pages.join(results, "image", "left").select("image", F.to_json(F.struct(F.struct(path.alias("image")).alias("data"), predictions.alias("predictions"))).alias("task"))
+
+
+def unknown_labels(found: DataFrame, vocabulary: list[str]) -> DataFrame:
+    """(label, cnt) of labels outside the annotation interface's vocabulary."""
+    return found.where(F.col("label").isNotNull() & ~F.col("label").isin(vocabulary)).groupBy("label").agg(F.count("*").alias("cnt"))

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleaner.functions import hashing as H
+from gleaner.operators import corpus
 from gleaner.operators.collect import upsert
+from gleaner.operators.storage import written
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,13 +35,55 @@ def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
     return stream.sparkSession.table(name)
 
 
-def upsert_into(stream: DataFrame, path: str, key: str, order: str, checkpoint: str):
-    """Keeps the last row of every key in a table of versions: each batch writes a new one from the newest and itself."""
+def _newest(spark: SparkSession, path: str) -> int | None:
+    """Number of the newest whole version of a table of versions."""
+    top = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(top):
+        return None
+    numbers = [int(n[1:]) for n in (s.getPath().getName() for s in fs.listStatus(top)) if n[:1] == "v" and n[1:].isdigit()]
+    return max((n for n in numbers if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v{n}/_SUCCESS"))), default=None)
+
+
+def stored(spark: SparkSession, path: str) -> DataFrame | None:
+    """The newest version of a table that a stream keeps."""
+    n = _newest(spark, path)
+    return None if n is None else spark.read.parquet(f"{path}/v{n}")
+
+
+def _keep(stream: DataFrame, path: str, checkpoint: str, merge):
+    """Each batch writes a new version from the newest one and itself; a table that is there already goes on.
+
+    ``merge`` must give the same table if a batch comes again after a failure.
+    """
 
     def batch(rows: DataFrame, number: int) -> None:
         spark = rows.sparkSession
-        old = [] if number == 0 else [spark.read.parquet(f"{path}/v{number - 1}")]
-        merged = old[0].unionByName(rows) if old else rows
-        upsert(merged, key, order).write.mode("overwrite").parquet(f"{path}/v{number}")
+        n = _newest(spark, path)
+        merge(None if n is None else spark.read.parquet(f"{path}/v{n}"), rows).write.mode("overwrite").parquet(f"{path}/v{0 if n is None else n + 1}")
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def upsert_into(stream: DataFrame, path: str, key: str, order: str, checkpoint: str):
+    """Keeps the last row of every key."""
+    return _keep(stream, path, checkpoint, lambda old, rows: upsert(rows if old is None else old.unionByName(rows).distinct(), key, order))
+
+
+def keep_distinct(stream: DataFrame, path: str, checkpoint: str, text: str, shingles, id: str = "doc_id", threshold: float | None = None, num_perm: int = 128, num_bands: int = 16):
+    """Keeps (id, sig) of documents that are similar to none kept before: earlier batches first, then smaller ids.
+
+    Every batch is held against the store by its buckets, so of the store only rows in the batch's buckets are compared.
+    """
+
+    def merge(old: DataFrame | None, rows: DataFrame) -> DataFrame:
+        sigs, _ = written(corpus.signatures(rows, text, shingles, id, num_perm), "signatures")
+        if old is not None:
+            least = H.band_threshold(num_perm, num_bands) if threshold is None else threshold
+            known = corpus.query_index(sigs, old, None, num_perm, num_bands).where(F.col("sim") >= least).select(F.col("query_id").alias("id"))
+            sigs, _ = written(sigs.join(known.distinct(), "id", "left_anti").join(old.select("id"), "id", "left_anti"), "signatures")
+        kept = corpus.greedy_near_duplicates(sigs, threshold, num_perm, num_bands).where("kept").select("id")
+        new = sigs.join(kept, "id", "left_semi")
+        return new if old is None else old.unionByName(new)
+
+    return _keep(stream, path, checkpoint, merge)
