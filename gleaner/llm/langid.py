@@ -6,7 +6,10 @@ frequency over all learning documents, and scaled to length one.  The weights co
 the probabilities.
 
 Bounded parameter: ``rows``, the number of labelled rows that fit the weights and the temperature (all languages share it
-equally).  Document frequencies cover every learning document, and whole texts count everywhere.
+equally; rows that repeat count once).  Document frequencies cover every learning document, and whole texts count everywhere.
+
+``accept`` doesn't rest on the learned classes alone: a text is strange if the mean inverse document frequency of its n-grams is
+well above what learning texts have, which holds for other languages and for letters without language.
 
 Defined results: null, empty and letterless texts give ``und`` with score 0; so does every text if nothing was learned.
 Rows with null lang teach nothing.  Equal probabilities go to the language that sorts first.
@@ -24,12 +27,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gleaner.llm import sampling
 from gleaner.llm import textops as X
 from gleaner.llm.bpe import LETTER, code_classes
 
 BUCKETS = 1 << 14
 UNKNOWN = "und"
+#: A text is strange beyond so many times the highest mean frequency weight of learning texts (without one in a thousand of them) ...
+STRANGE = 1.2
+#: ... if it has so many n-grams.
+LEAST_GRAMS = 12
 
 
 @lru_cache(1)
@@ -114,6 +120,10 @@ class Model:
     weights: np.ndarray
     bias: np.ndarray
     temperature: float
+    strange: float = float("inf")
+
+    def is_strange(self, where: np.ndarray, count: np.ndarray) -> bool:
+        return bool(count.sum() >= LEAST_GRAMS) and mean_weight(self.idf, where, count) > self.strange
 
     def vector(self, where: np.ndarray, count: np.ndarray) -> np.ndarray:
         x = (1 + np.log(count)) * self.idf[where]
@@ -125,6 +135,10 @@ class Model:
         return z / z.sum()
 
 
+def mean_weight(idf: np.ndarray, where: np.ndarray, count: np.ndarray) -> float:
+    return float((count * idf[where]).sum() / max(count.sum(), 1))
+
+
 def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen = np.zeros(BUCKETS + 1, np.int64)
     for batch in X.slices(batches, "text"):
@@ -150,8 +164,8 @@ def fit(learn: DataFrame, rows: int = 4000, epochs: int = 4, alpha: float = 0.5,
         return Model([], np.zeros(BUCKETS), np.zeros((BUCKETS, 0)), np.zeros(0), 1.0)
     each = max(1, rows // len(languages))
     share = F.create_map(*[F.lit(x) for k in languages for x in (k, int(min(1.0, each / sizes[k]) * (1 << 62)))])
-    rank = sampling.rank(F.col("doc_id"), 7)
-    sample = learn.where(rank <= share[F.col("lang")]).select("lang", "text", rank.alias("rank"))
+    rank = F.xxhash64("doc_id", "text", F.lit(7)).bitwiseAND(F.lit((1 << 62) - 1))
+    sample = learn.where(rank <= share[F.col("lang")]).select("lang", "text", rank.alias("rank")).dropDuplicates(["lang", "rank"])
     counts = learn.select("text").transform(X.arrow, _frequencies, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
     df = np.zeros(BUCKETS + 1)
     for b, n in counts:
@@ -160,6 +174,8 @@ def fit(learn: DataFrame, rows: int = 4000, epochs: int = 4, alpha: float = 0.5,
     got = sorted((r["rank"], r["lang"], bytes(r["buckets"]), bytes(r["counts"])) for r in sample.transform(X.arrow, _examples, "lang string, rank long, buckets binary, counts binary").collect())
     model = Model(languages, idf, np.zeros((BUCKETS, len(languages))), np.zeros(len(languages)), 1.0)
     data = [(model.vector(w, c), w, languages.index(k)) for _, k, w, c in ((r, k, np.frombuffer(w, "<u2").astype(np.int64), np.frombuffer(c, "<i4").astype(float)) for r, k, w, c in got) if len(w)]
+    weights = [mean_weight(idf, np.frombuffer(w, "<u2").astype(np.int64), np.frombuffer(c, "<i4").astype(float)) for _, _, w, c in got if len(w)]
+    model.strange = STRANGE * float(np.quantile(weights, 0.999)) if weights else float("inf")
     aside, train = data[::5], [x for i, x in enumerate(data) if i % 5] or data
     _ftrl(model, train, epochs, alpha, beta, l1, l2)
     model.temperature = _temperature(model, aside)
@@ -231,11 +247,14 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep_text: bool =
 
 
 def accept(docs: DataFrame, model: Model, least: float, text: str = "text") -> DataFrame:
-    """The documents whose language is known with a probability of ``least`` or more, unchanged."""
+    """The documents that aren't strange and whose language is known with a probability of ``least`` or more, unchanged."""
+
+    def known(w: np.ndarray, c: np.ndarray) -> bool:
+        return len(w) > 0 and bool(model.languages) and not model.is_strange(w, c) and float(model.probabilities(w, c).max()) >= least
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in X.slices(batches, text):
-            keep = [bool(len(w)) and bool(model.languages) and float(model.probabilities(w, c).max()) >= least for w, c in features(*X.string_bytes(batch.column(text)))]
+            keep = [known(w, c) for w, c in features(*X.string_bytes(batch.column(text)))]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.transform(X.arrow, run, docs.schema)

@@ -116,6 +116,7 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _statistics_of(docs: DataFrame, ids: DataFrame) -> np.ndarray:
     """Statistics of the documents with these (few, bounded) ids, in order of the ids."""
     few = docs.select("doc_id", "text").join(F.broadcast(ids.select("doc_id").distinct()), "doc_id", "left_semi")
+    few = few.groupBy("doc_id").agg(F.min("text").alias("text"))  # of rows with the same id one counts
     got = sorted((r[0], tuple(r[1])) for r in few.transform(X.arrow, _rows, "doc_id long, x array<double>").collect())
     return np.array([x for _, x in got]).reshape(-1, len(NAMES))
 
@@ -123,11 +124,11 @@ def _statistics_of(docs: DataFrame, ids: DataFrame) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, positives: int = 4000, unlabelled: int = 8000) -> Model:
     """``labels``: doc_id and quality of the rows to learn from; only those with label 1 are used."""
     good = sampling.bounded(labels.where("quality = 1").select("doc_id").distinct(), "doc_id", positives, 11)
-    some = sampling.bounded(docs.where("doc_id IS NOT NULL").select("doc_id"), "doc_id", 2 * unlabelled, 12)
+    some = docs.where("doc_id IS NOT NULL").select("doc_id").distinct()
     web = some.join(labels.where("quality IS NOT NULL").select("doc_id"), "doc_id", "left_anti")
-    p, u = _statistics_of(docs, good), _statistics_of(docs, web)[:unlabelled]
-    if len(u) < 50:
-        u = _statistics_of(docs, some)[:unlabelled]
+    p, u = _statistics_of(docs, good), _statistics_of(docs, sampling.bounded(web, "doc_id", unlabelled, 12))
+    if len(u) < 50:  # nearly everything is labelled
+        u = _statistics_of(docs, sampling.bounded(some, "doc_id", unlabelled, 12))
     if not len(p) or not len(u):
         return Model(np.zeros((BINS, len(NAMES))), np.zeros((BINS + 1) * len(NAMES)), 0.0, 0.5)
     edges = np.quantile(np.concatenate([p, u]), np.linspace(0, 1, BINS + 2)[1:-1], axis=0)

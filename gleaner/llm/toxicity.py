@@ -6,7 +6,8 @@ document count once.  The two-state chain has hashed features of the word and it
 exact likelihood (forward-backward) on windows of labelled tokens, and tags whole documents.  A logistic layer on the
 marginals (largest, expected number) turns them into a document score.
 
-Bounded parameters: ``toxic_rows`` and ``clean_rows``, the labelled documents that fit the model.  Whole texts count everywhere.
+Bounded parameters: ``toxic_rows`` and ``clean_rows``, the labelled documents that fit the model (of rows that repeat an id one
+counts).  Whole texts count everywhere.
 
 Defined results: null and empty texts have no spans and get the score of no evidence; without toxic rows every score is 0.
 Null labels and labels of absent documents teach nothing; a document labelled more than once is toxic if any label is 1.
@@ -25,6 +26,7 @@ from pyspark.sql import types as T
 
 from gleaner.llm import sampling
 from gleaner.llm import textops as X
+from gleaner.operators.storage import written
 
 BUCKETS = 1 << 16
 LANES = 512
@@ -160,7 +162,8 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = 3000, clean_rows:
     model = Model(zero, zero.copy(), zero.copy(), -6.0, np.zeros((2, 2)), np.zeros(2), np.zeros(4))
     known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("y"))
     ids = sampling.bounded(known.where("y = 1"), "doc_id", toxic_rows, 21).unionByName(sampling.bounded(known.where("y = 0"), "doc_id", clean_rows, 22))
-    texts = docs.where("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(ids), "doc_id")
+    texts = docs.where("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    texts, _ = written(texts, "labelled")
     evidence = texts.transform(X.arrow, _contexts, "word long, context long, toxic long").groupBy("word", "context").agg(F.max("toxic").alias("toxic"))
     # words with enough distinct contexts; their number is at most the sample's contexts over ``least_contexts``
     counts = evidence.groupBy("word").agg(F.sum("toxic").alias("bad"), F.count("*").alias("all"))
@@ -171,7 +174,7 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = 3000, clean_rows:
     z2 = 1.96**2
     p, n = F.col("bad") / F.col("all"), F.col("all")
     low = (p + z2 / (2 * n) - 1.96 * F.sqrt((p * (1 - p) + z2 / (4 * n)) / n)) / (1 + z2 / n)
-    seeds = counts.where((F.col("bad") >= least_contexts) & (low > 0.5 + 0.5 * share)).orderBy(F.desc("bad"), "word").limit(20_000)
+    seeds = counts.where((F.col("bad") >= least_contexts) & (low > 0.5 + 0.5 * share))
     lexicon = np.array([r[0] for r in seeds.select("word").collect()], np.int64).view(X.U64)
     model.lexicon = len(lexicon)
     if not len(lexicon):
@@ -184,7 +187,7 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = 3000, clean_rows:
 
 
 def _windows(lexicon: np.ndarray, width: int = 24):
-    """Windows of tokens around evidence, and one at a fixed place of each document."""
+    """Windows of tokens around all evidence, overlapping ones put together, and one at a fixed place of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in X.slices(batches, "text"):
@@ -193,9 +196,11 @@ def _windows(lexicon: np.ndarray, width: int = 24):
             ids, ys, out = [], [], []
             for i, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist())):
                 own = h[a:b]
-                hit = np.flatnonzero(np.isin(own, lexicon))[:2] if len(own) else []
-                for c in {*(max(0, int(x) - width // 2) for x in hit), (b - a) // 2}:
-                    window = own[c : c + width]
+                begin = np.unique(np.append(np.maximum(0, np.flatnonzero(np.isin(own, lexicon)) - width // 2), (b - a) // 2))
+                head = np.flatnonzero(np.append(True, np.diff(begin) > width))
+                stop = np.append(begin[head[1:] - 1], begin[-1]) + width
+                for c, e in zip(begin[head].tolist(), stop.tolist()):
+                    window = own[c:e]
                     if len(window) >= 2:
                         ids.append(int(batch.column("doc_id")[i].as_py()))
                         ys.append(int(toxic[i]))

@@ -322,3 +322,23 @@ def test_pipeline_keeps_one_row_of_repeated_ids_and_missing_ids(spark):
     want = {(1, texts[0]), (None, texts[1]), (5, texts[2]), (5, texts[3]), (None, texts[4])}
     assert kept.count() == 5 and {(r["doc_id"], r["text"]) for r in kept.collect()} == want
     assert {(r["doc_id"], r["text"]) for r in corpus_pipeline.cut_repeats(spark, kept.withColumnRenamed("Row", "score"), "").collect()} == want
+
+
+def test_strange_texts_are_rejected_and_known_ones_stay(spark):
+    import corpus_pipeline
+
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rng = random.Random(1)
+    strange = ["Это предложение написано на русском языке", "日本語の文章はここでは認識されません。", "Ten tekst jest napisany w języku polskim i powinien zostać odrzucony", "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(300)), "123 !!", "", None]
+    odd = spark.createDataFrame([(10**9 + i, t, None, "s", 1) for i, t in enumerate(strange)], d.schema)
+    kept = {r["doc_id"] for r in corpus_pipeline.identify_language(spark, d.unionByName(odd), "").select("doc_id").collect()}
+    known = [r["doc_id"] for r in d.where("lang IS NOT NULL AND text RLIKE '\\\\p{L}'").select("doc_id").collect()]
+    assert not {k for k in kept if k >= 10**9} and len(set(known) - kept) <= 0.001 * len(known)
+
+
+def test_repeated_ids_dont_unbound_the_samples(spark):
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    many = d.unionByName(d).unionByName(d)
+    assert len(quality._statistics_of(many, labels.select("doc_id"))) == labels.join(d, "doc_id").select("doc_id").distinct().count()
+    assert np.allclose(langid.fit(langid.learning_rows(many)).bias, langid.fit(langid.learning_rows(d)).bias, atol=0.5)
