@@ -7,7 +7,8 @@ Distinct slices are encoded once: the pair merging of all new slices runs in loc
 slice and round, and its results stay in a bounded cache.  Token end offsets are kept so that any range can be decoded.
 
 Defined results: null or empty text has no tokens and empty bytes; repeated rows and ties give the same ids; the columns
-of the input stay as they are, but columns named ``n_tokens``, ``ids`` or ``ends`` are replaced.
+of the input stay as they are, but columns named ``n_tokens``, ``ids`` or ``ends`` are replaced; an empty table gives no rows.  Slices
+with equal 64-bit hashes count as equal.
 """
 
 from __future__ import annotations

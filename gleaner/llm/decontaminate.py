@@ -6,16 +6,20 @@ are compared word by word along the hit's diagonal, and the best-scoring run dec
 do not end it).  Words are runs of letters and digits, lower-cased.
 
 The benchmark's words are sent to every task only in blocks of at most ``BLOCK_WORDS`` words; a larger benchmark takes more blocks,
-each a further step over the documents, so any size gives all results.
+each a further step over the documents, so any size gives all results.  Of several blocks each one's result is written before the next
+one is read, so the driver holds one block at a time.
 
-Defined results: null and empty texts have no overlap; items under ``LEAST_ITEM`` words never match; repeated
-items and documents each get their own rows; rows with null item_id count as items.
+The last mask has no gaps: it finds items that are too short for a window of the others.
+
+Defined results: null and empty texts have no overlap; items under ``LEAST_ITEM`` words never match; empty documents or an empty
+benchmark give no rows (and keep every document); repeated items and documents each get their own rows; rows with null item_id
+count as items; of overlaps with as many matching words the first one is reported.  ``find`` takes the id and the text of the documents only,
+``clean`` keeps all columns, whatever their names.  A text is kept whole by its task, however long.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gleaner.llm import textops as X
+from gleaner.operators.storage import written
 
 #: Positions of the words that each mask selects.
 MASKS = [(0, 1, 2, 4, 7, 8), (0, 1, 3, 6, 7, 9), (0, 2, 3, 5, 6, 8), (0, 1, 4, 5, 8, 9), (0, 1, 2, 3, 4, 5)]
@@ -105,18 +110,18 @@ class Items:
         return found
 
 
-def blocks(benchmark: DataFrame, most: int = BLOCK_WORDS) -> list[Items]:
-    """The items in blocks of a bounded number of words; block by block, so that the driver holds one at a time while it reads."""
-    sized = benchmark.select("item_id", "text", (F.length("text") / 2 + 1).alias("size"))
-    total = sized.agg(F.sum("size")).first()[0] or 0
-    n = int(total // most) + 1
-    out = []
-    for k in range(n):
-        rows = (sized if n == 1 else sized.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)).select("item_id", "text").collect()
-        rows.sort(key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
-        if rows:
-            out.append(Items([r[0] for r in rows], [r[1] for r in rows]))
-    return out
+def count_blocks(benchmark: DataFrame, most: int) -> int:
+    """Into how many blocks the items have to be cut; a word has two bytes at least, with the space behind it."""
+    total = benchmark.agg(F.sum(F.length("text") / 2 + 1)).first()[0] or 0
+    return int(total // most) + 1
+
+
+def read_block(benchmark: DataFrame, k: int, n: int) -> Items:
+    """The k-th of n blocks."""
+    own = benchmark.select("item_id", "text")
+    rows = (own if n == 1 else own.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)).collect()
+    rows.sort(key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
+    return Items([r[0] for r in rows], [r[1] for r in rows])
 
 
 def find(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -146,8 +151,13 @@ def find(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
 
         return run
 
-    found = [docs.select(key, text).transform(X.arrow, run_with(items), schema) for items in blocks(benchmark)]
-    return reduce(DataFrame.unionAll, found) if found else docs.sparkSession.createDataFrame([], schema)
+    n = count_blocks(benchmark, BLOCK_WORDS)
+    out = None
+    for k in range(n):
+        found = docs.select(key, text).transform(X.arrow, run_with(read_block(benchmark, k, n)), schema)
+        found = found if n == 1 else written(found, "overlaps")[0]
+        out = found if out is None else out.unionAll(found)
+    return out
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
@@ -163,4 +173,8 @@ def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFram
 
         return run
 
-    return reduce(lambda d, items: d.transform(X.arrow, run_with(items), d.schema), blocks(benchmark), docs)
+    n = count_blocks(benchmark, BLOCK_WORDS)
+    for k in range(n):
+        docs = docs.transform(X.arrow, run_with(read_block(benchmark, k, n)), docs.schema)
+        docs = docs if n == 1 else written(docs, "clean")[0]
+    return docs

@@ -16,7 +16,8 @@ Exact, in steps that each cut what the next one has to move:
    block.  What then isn't in the group's main component is compared with the whole group, block by block.
 
 Defined results: texts without words (null and empty ones too) have an empty set and link with nothing; repeated rows link as
-copies; fewer words than a shingle make one shingle of the whole; nulls in doc_id are kept and never become a component's id.
+copies; fewer words than a shingle make one shingle of the whole; nulls in doc_id are kept and never become a component's id; an
+empty table gives no rows; other columns play no part, whatever their names.
 """
 
 from __future__ import annotations

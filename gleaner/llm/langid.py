@@ -12,7 +12,8 @@ equally; rows that repeat count once).  Document frequencies cover every learnin
 well above what learning texts have, which holds for other languages and for letters without language.
 
 Defined results: null, empty and letterless texts give ``und`` with score 0; so does every text if nothing was learned.
-Rows with null lang teach nothing.  Equal probabilities go to the language that sorts first.
+Rows with null lang teach nothing.  Equal probabilities go to the language that sorts first.  An empty table gives no rows; of the
+input's columns only ``lang_pred`` and ``score`` are replaced.
 """
 
 from __future__ import annotations

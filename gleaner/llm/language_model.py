@@ -15,7 +15,8 @@ distinct (context, word) pairs travel once, packed, to where their counts are; p
 and the scoring (an RDD keeps its shuffle files between jobs), and messages between partitions are dealt like it.
 
 Defined results: null and empty texts are one end token; without learning rows all tokens are unknown (N = V = 0, each has
-probability 1); repeated rows are learned from and scored as often as they occur.
+probability 1); repeated rows are learned from and scored as often as they occur; null ids stay null; an empty table gives no rows;
+other columns play no part, whatever their names.
 """
 
 from __future__ import annotations

@@ -6,16 +6,20 @@ inverted index from fingerprints to places in templates gives candidate diagonal
 around them reports the matched words, their share of the template and the span in the text.  Hits inside a reported span are
 done; around all others what is left of the band is aligned again.
 
-The index is sent to every task: its size is that of the template set, of which at most ``MOST_WORDS`` words are allowed.
+The index is sent to every task in blocks of at most ``MOST_WORDS`` words of templates; more templates take more blocks, each a further
+step over the documents, so any number gives all results.
 
-Defined results: null and empty texts have no license; a template that occurs several times in a document gives several rows;
-templates with the same words each report.
+Defined results: null and empty texts have no license, an empty table gives no rows; a template that occurs several times in a document
+gives several rows, repeated rows of documents each their own; templates with the same words each report; of alignments with the same score the
+one that ends first counts.  Other columns of the documents play no part, whatever their names.  A text is kept whole by its task, however
+long.
 """
 
 from __future__ import annotations
 
 import bisect
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -114,8 +118,6 @@ class Index:
         self.names = sorted(templates)
         data, off = X.string_bytes(X.string_array([templates[k] for k in self.names]))
         self.words, _, _, self.at = X.plain_words(data, off)
-        if len(self.words) > MOST_WORDS:
-            raise ValueError(f"templates have {len(self.words)} words; split the set into parts of at most {MOST_WORDS}")
         # all places of the winnowed fingerprints
         n = len(self.words) - GRAM + 1
         g = self.words[:n].copy()
@@ -174,18 +176,34 @@ class Index:
         return sorted(set(out))
 
 
+def blocks(templates: dict[str, str], most: int) -> list[dict[str, str]]:
+    """The templates in parts of at most ``most`` words (a longer template is a part of its own)."""
+    out, size = [{}], 0
+    for name in sorted(templates):
+        words = len(X.plain_words(*X.string_bytes(X.string_array([templates[name]])))[0])
+        if out[-1] and size + words > most:
+            out.append({})
+            size = 0
+        out[-1][name] = templates[name]
+        size += words
+    return out
+
+
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each license found: its name, matched words, share of the template, and the span in bytes."""
-    index = Index(TEMPLATES if templates is None else templates)
+    indexes = [Index(block) for block in blocks(TEMPLATES if templates is None else templates, MOST_WORDS)]
     schema = T.StructType([T.StructField(key, docs.schema[key].dataType), T.StructField("license", T.StringType()), T.StructField("matched", T.LongType()), T.StructField("coverage", T.DoubleType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in X.slices(batches, text):
-            data, off = X.string_bytes(batch.column(text))
-            h, s, e, at = X.plain_words(data, off)
-            found = index.scan(h, at)
-            if found:
-                columns = [batch.column(key).take(pa.array([d for d, *_ in found])), pa.array([index.names[t] for _, t, *_ in found]), pa.array([m for _, _, m, *_ in found]), pa.array([m / int(index.at[t + 1] - index.at[t]) for _, t, m, *_ in found]), pa.array([int(s[f] - off[d]) for d, _, _, f, _ in found]), pa.array([int(e[l - 1] - off[d]) for d, _, _, _, l in found])]
-                yield pa.RecordBatch.from_arrays(columns, [f.name for f in schema.fields])
+    def run_with(index: Index):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in X.slices(batches, text):
+                data, off = X.string_bytes(batch.column(text))
+                h, s, e, at = X.plain_words(data, off)
+                found = index.scan(h, at)
+                if found:
+                    columns = [batch.column(key).take(pa.array([d for d, *_ in found])), pa.array([index.names[t] for _, t, *_ in found]), pa.array([m for _, _, m, *_ in found]), pa.array([m / int(index.at[t + 1] - index.at[t]) for _, t, m, *_ in found]), pa.array([int(s[f] - off[d]) for d, _, _, f, _ in found]), pa.array([int(e[l - 1] - off[d]) for d, _, _, _, l in found])]
+                    yield pa.RecordBatch.from_arrays(columns, [f.name for f in schema.fields])
+
+        return run
 
-    return docs.select(key, text).transform(X.arrow, run, schema)
+    return reduce(DataFrame.unionAll, [docs.select(key, text).transform(X.arrow, run_with(index), schema) for index in indexes])

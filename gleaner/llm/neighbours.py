@@ -10,7 +10,8 @@ Equal vectors are indexed and searched once: their members are cut to as many of
 before the shuffle.  Queries pass each shard in blocks as a stream.
 
 Defined results: vectors that are null, zero or hold null or non-finite components take no part; a query never finds rows
-with its own vec_id; equal cosines rank by smaller vec_id; only vectors of the query's length are candidates.
+with its own vec_id; equal cosines rank by smaller vec_id; only vectors of the query's length are candidates; without vectors or
+queries there are no rows; other columns play no part, whatever their names.
 """
 
 from __future__ import annotations

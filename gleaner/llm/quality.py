@@ -7,7 +7,9 @@ score threshold where its upper confidence bound is least).  Negative labels are
 Bounded parameters: ``positives`` and ``unlabelled``, the rows that fit the model.  Whole texts count, in learning and scoring.
 
 Defined results: null and empty texts get the score of a text without words; without positives or unlabelled rows every score is 0.5.
-Null labels and labels of absent documents teach nothing; a document labelled more than once counts as positive if any label is 1.
+Null labels and labels of absent documents teach nothing; a document labelled more than once counts as positive if any label is 1;
+of rows that share an id the smallest text teaches, and every one is scored.  Scores depend on the text alone, so repeated rows tie;
+a value on a bin's edge belongs to the bin above.  An empty table gives no rows; other columns play no part, whatever their names.
 """
 
 from __future__ import annotations

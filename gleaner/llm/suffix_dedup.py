@@ -15,7 +15,8 @@
 Documents with equal texts are equal strings anywhere: they repeat as a whole, and one of them stands for all in steps 2 to 4.
 
 Defined results: null text counts as empty; texts under ``LENGTH`` bytes repeat nothing; matches don't cross documents; repeated
-rows are copies of each other; nulls in doc_id are kept.
+rows are copies of each other; nulls in doc_id are kept; an empty table gives no rows.  Other columns stay, but those named like the
+added ones (and ``d``, ``marks``, ``whole``) are replaced.
 """
 
 from __future__ import annotations

@@ -1,5 +1,8 @@
 """Vectorised byte-level text kernels shared by the operators.
 
+A text is never cut: its task keeps it whole, in about 80 times its bytes, so the longest text bounds what a worker needs beyond
+``SLICE_BYTES``.
+
 All kernels work on one concatenated ``uint8`` buffer of many documents plus ``int64`` document offsets, taken from
 an Arrow string column without a copy, so no Python code runs per character or per word.
 """

@@ -10,7 +10,9 @@ Bounded parameters: ``toxic_rows`` and ``clean_rows``, the labelled documents th
 counts).  Whole texts count everywhere.
 
 Defined results: null and empty texts have no spans and get the score of no evidence; without toxic rows every score is 0.
-Null labels and labels of absent documents teach nothing; a document labelled more than once is toxic if any label is 1.
+Null labels and labels of absent documents teach nothing; a document labelled more than once is toxic if any label is 1.  Scores
+depend on the text alone, so repeated rows tie; a probability of exactly ``SPAN_FROM`` belongs to a span.  An empty table gives no rows; of the
+input's columns only ``score`` and ``spans`` are replaced.
 """
 
 from __future__ import annotations
