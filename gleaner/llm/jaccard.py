@@ -111,11 +111,12 @@ def _count_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def frequency_levels(docs: DataFrame) -> np.ndarray:
     """For each cell of the sketch how many times (as a power of 2) it exceeds what is usual; a fixed-size table."""
     rows = docs.select("text").transform(X.arrow, _count_cells, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-    total = (rows.where("cell < 0").first() or [0, 0])[1]
-    usual = max(16, 4 * total >> SKETCH_BITS)
+    got = rows.toArrow()  # at most one row for each cell
+    cell, n = (got.column(c).to_numpy() for c in ("cell", "n"))
+    usual = max(16, 4 * int(n[cell < 0].sum()) >> SKETCH_BITS)
     level = np.zeros(1 << SKETCH_BITS, np.uint8)
-    for cell, n in rows.where((F.col("cell") >= 0) & (F.col("n") > usual)).collect():
-        level[cell] = int(np.log2(n / usual)) + 1
+    on = (cell >= 0) & (n > usual)
+    level[cell[on]] = np.log2(n[on] / usual).astype(np.uint8) + 1
     return level
 
 
