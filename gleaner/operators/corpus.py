@@ -173,6 +173,10 @@ def accuracy_study(docs: DataFrame, text: str, shingles: Callable[[Column], Colu
 
 # --- Bloom filters ----------------------------------------------------------------------------------------------------
 
+#: Bits of the largest filter that is broadcast (32 MB).
+BROADCAST_BITS = 1 << 28
+
+
 def bloom_build(items: DataFrame, item: str, m: int, k: int) -> DataFrame:
     """Bit array as (bucket, bitmap) rows of 32768 bits."""
     at = items.select(F.explode(H.bloom_positions(F.col(item), m, k)).alias("p"))
@@ -180,13 +184,20 @@ def bloom_build(items: DataFrame, item: str, m: int, k: int) -> DataFrame:
 
 
 def bloom_contains(probes: DataFrame, item: str, bloom: DataFrame, m: int, k: int) -> DataFrame:
-    """Adds ``maybe``: whether all k bits of the item are set."""
+    """Adds ``maybe``: whether all k bits of the item are set.
+
+    A filter of up to ``BROADCAST_BITS`` bits goes to every task; a larger one is cut into pieces of 2048 bits, so that probes meet many keys.
+    """
     asked = probes.select(F.col(item).alias("_item")).distinct()
     bits = asked.select("_item", F.explode(F.array_distinct(H.bloom_positions(F.col("_item"), m, k))).alias("p"))
     bits = bits.withColumn("bucket", F.bitmap_bucket_number(F.col("p") + 1)).withColumn("bit", F.bitmap_bit_position(F.col("p") + 1))
-    # one bitmap row a bucket: of 4 KB, so the join moves k small rows an item
+    if m <= BROADCAST_BITS:
+        met = bits.join(F.broadcast(bloom), "bucket", "left")
+    else:
+        cut = bloom.select("bucket", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.substring("bitmap", i * 256 + 1, F.lit(256)))).alias("piece", "bitmap"))
+        met = bits.withColumn("piece", F.floor(F.col("bit") / 2048).cast("int")).withColumn("bit", F.col("bit") % 2048).join(cut, ["bucket", "piece"], "left")
     byte = F.conv(F.hex(F.substring(F.col("bitmap"), (F.col("bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    found = bits.join(bloom, "bucket", "left").groupBy("_item").agg(F.bool_and(F.coalesce(F.expr("1 << CAST(bit % 8 AS INT)").bitwiseAND(byte) != 0, F.lit(False))).alias("maybe"))
+    found = met.groupBy("_item").agg(F.bool_and(F.coalesce(F.expr("1 << CAST(bit % 8 AS INT)").bitwiseAND(byte) != 0, F.lit(False))).alias("maybe"))
     return probes.join(found, probes[item] == found["_item"], "left").drop("_item").withColumn("maybe", F.coalesce("maybe", F.lit(False)))
 
 

@@ -223,13 +223,20 @@ def test_text_of_the_page_and_order_of_tables(spark):
     assert [(r["page"], r["ord"], r["category"]) for r in got] == [(2, 1, "balance_sheet"), (1, 1, "cash_flow"), (1, 2, "cash_flow")]
 
 
-def test_unknown_labels_and_counting_filters(spark):
+def test_unknown_labels_and_filters(spark, monkeypatch):
     f = spark.createDataFrame([("i", "oak"), ("i", "elm"), ("j", "elm"), ("k", None)], "image_id string, label string")
     assert [tuple(r) for r in labelstudio.unknown_labels(f, ["oak", "ash"]).collect()] == [("elm", 2)]
     items = spark.createDataFrame([("a",), ("b",), ("b",)], "x string")
     counts = O.counting_bloom(items, spark.createDataFrame([("b",), ("nowhere",)], "x string"), "x", 10_007, 4)
     asked = spark.createDataFrame([("a",), ("b",), ("c",)], "x string")
     assert {r["item"]: r["maybe"] for r in O.counting_contains(asked, "x", counts, 10_007, 4).collect()} == {"a": True, "b": True, "c": False}
+    some = spark.range(300).select(F.concat(F.lit("item"), F.col("id").cast("string")).alias("x"))
+    bloom = O.bloom_build(some, "x", 70_001, 5)
+    probes = spark.range(250, 400).select(F.concat(F.lit("item"), F.col("id").cast("string")).alias("x"))
+    whole = {r["x"]: r["maybe"] for r in O.bloom_contains(probes, "x", bloom, 70_001, 5).collect()}
+    monkeypatch.setattr(O, "BROADCAST_BITS", 1)  # in pieces
+    assert whole == {r["x"]: r["maybe"] for r in O.bloom_contains(probes, "x", bloom, 70_001, 5).collect()}
+    assert all(whole[f"item{k}"] for k in range(250, 300)) and sum(whole.values()) < 60
     stats = spark.createDataFrame([(0.1,), (0.11,)], "estimated_fpr double")
     assert [r["ok"] for r in O.has_capacity(stats).collect()] == [True, False]
 
