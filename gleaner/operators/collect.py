@@ -7,16 +7,22 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def running_count(rows: DataFrame, order: list[Column], buckets: int = 64) -> DataFrame:
-    """Adds ``ordinal`` (from 1) over the whole table without sending all rows to one task.
+def running_total(rows: DataFrame, order: list[Column], value: Column, into: str, buckets: int | None = None) -> DataFrame:
+    """Adds ``into``: the sum of ``value`` over the whole table up to each row, without sending all rows to one task.
 
-    Rows are sorted by range into partitions; their sizes, one row each, are summed up and added to the numbers inside.
+    Rows are sorted by range into partitions; the sums of these, one row each, are added to those inside.
     """
-    part = rows.repartitionByRange(buckets, *order).withColumn("_p", F.spark_partition_id())
-    inner = part.withColumn("_n", F.row_number().over(W.partitionBy("_p").orderBy(*order)))
-    sizes = inner.groupBy("_p").agg(F.count("*").alias("_size"))
+    buckets = buckets or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    part = rows.withColumn("_v", value).repartitionByRange(buckets, *order).withColumn("_p", F.spark_partition_id())
+    inner = part.withColumn("_n", F.sum("_v").over(W.partitionBy("_p").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)))
+    sizes = inner.groupBy("_p").agg(F.sum("_v").alias("_size"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("_p", "_before")
-    return inner.join(F.broadcast(before), "_p").withColumn("ordinal", F.col("_n") + F.col("_before")).drop("_p", "_n", "_before")
+    return inner.join(F.broadcast(before), "_p").withColumn(into, F.col("_n") + F.col("_before")).select(*rows.columns, into)
+
+
+def running_count(rows: DataFrame, order: list[Column], buckets: int | None = None) -> DataFrame:
+    """Adds ``ordinal``: the place of each row, from 1."""
+    return running_total(rows, order, F.lit(1).cast("long"), "ordinal", buckets)
 
 
 def quota_sample(rows: DataFrame, group: str, order: str, minimum: int, target: int) -> DataFrame:
@@ -53,17 +59,10 @@ def sequence_names(rows: DataFrame, group: list[str], order: str, taken: DataFra
     return rows.join(top, group, "left").withColumn("file_name", F.concat(F.col(group[-1]), F.lit("_"), F.lpad(text, F.greatest(F.lit(2), F.length(text)), F.lit("0")), F.lit(".pdf"))).drop("_top")
 
 
-def early_stop(pages: DataFrame, order: str, new: str, target: int, factor: float = 1.5, buckets: int = 64) -> DataFrame:
-    """Pages that are read: the first, and others while fewer than ``factor * target`` new rows were seen before.
-
-    Sums run inside ranges of pages; those of the ranges before, one row each, are added.
-    """
-    part = pages.repartitionByRange(buckets, order).withColumn("_p", F.spark_partition_id())
-    inner = part.withColumn("_own", F.sum(new).over(W.partitionBy("_p").orderBy(order).rowsBetween(W.unboundedPreceding, -1)))
-    ranges = inner.groupBy("_p").agg(F.sum(new).alias("_sum"))
-    before = ranges.withColumn("_before", F.sum("_sum").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1))).select("_p", "_before")
-    seen = F.coalesce("_own", F.lit(0)) + F.coalesce("_before", F.lit(0))
-    return inner.join(F.broadcast(before), "_p").where(seen < int(factor * target)).select(*pages.columns)
+def early_stop(pages: DataFrame, order: str, new: str, target: int, factor: float = 1.5) -> DataFrame:
+    """Pages that are read: the first, and others while fewer than ``factor * target`` new rows were seen before."""
+    seen = running_total(pages, [F.col(order)], F.coalesce(F.col(new), F.lit(0)), "_seen")
+    return seen.where(F.col("_seen") - F.coalesce(F.col(new), F.lit(0)) < int(factor * target)).drop("_seen")
 
 
 def union_distinct(existing: DataFrame, session: DataFrame, column: str) -> DataFrame:

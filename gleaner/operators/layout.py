@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from gleaner.functions import geometry as G
 from gleaner.functions import text as X
+from gleaner.operators.collect import running_count, running_total
 from gleaner.operators.components import components
 
 #: Rules of the five statement categories, in order of preference on ties (fixed values).
@@ -191,11 +192,20 @@ def entity_spans(rows: DataFrame, partition: str, order: list[str], probability:
 
 
 def semantic_chunks(rows: DataFrame, order: str, vector: str, partition: str | None = None, threshold: float = 0.7) -> DataFrame:
-    """Adds ``chunk``: a new one starts where the cosine with the row before is below the threshold."""
+    """Adds ``cosine`` and ``chunk``: a new one starts where the cosine with the row before is below the threshold.
+
+    Without a partition the whole table is one sequence: rows are numbered over all tasks and meet their neighbour in a join.
+    """
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    by = F.lit(0) if partition is None else F.col(partition)
-    w = W.partitionBy(by).orderBy(order)
-    before = F.lag(vector).over(w)
-    out = rows.withColumn("_b", before)
+    if partition is None:
+        placed = running_count(rows, [F.col(order)])
+        out = placed.join(placed.select((F.col("ordinal") + 1).alias("ordinal"), F.col(vector).alias("_b")), "ordinal", "left").drop("ordinal")
+    else:
+        w = W.partitionBy(partition).orderBy(order)
+        out = rows.withColumn("_b", F.lag(vector).over(w))
     cosine = dot(F.col("_b"), F.col(vector)) / (F.sqrt(dot(F.col("_b"), F.col("_b"))) * F.sqrt(dot(F.col(vector), F.col(vector))))
-    return out.withColumn("cosine", cosine).withColumn("chunk", F.sum(F.when(F.col("_b").isNotNull() & (F.col("cosine") < threshold), 1).otherwise(0)).over(w)).drop("_b")
+    out = out.withColumn("cosine", cosine)
+    cut = F.when(F.col("_b").isNotNull() & (F.col("cosine") < threshold), 1).otherwise(0).cast("long")
+    if partition is None:
+        return running_total(out, [F.col(order)], cut, "chunk").drop("_b")
+    return out.withColumn("chunk", F.sum(cut).over(w)).drop("_b")

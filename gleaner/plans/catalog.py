@@ -118,7 +118,7 @@ clusters AS (SELECT id, min(r) AS label FROM reach GROUP BY id)"""
 
 
 def _shingles(text: Column) -> Column:
-    return X.word_shingles(X.preprocess(text), 3)
+    return X.word_shingles(X.preprocess(text), 3, distinct=False)  # minima of a set don't need its items once
 
 
 def _sigs(spark, d) -> DataFrame:

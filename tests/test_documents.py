@@ -241,6 +241,14 @@ def test_unknown_labels_and_filters(spark, monkeypatch):
     assert [r["ok"] for r in O.has_capacity(stats).collect()] == [True, False]
 
 
+def test_chunks_of_one_sequence(spark):
+    rng = random.Random(1)
+    rows = [(i, [rng.choice([0.0, 1.0]), 1.0, rng.choice([0.0, 3.0])], 1) for i in range(80)]
+    df = spark.createDataFrame(rows, "id long, v array<double>, p int").repartition(5)
+    whole = {r["id"]: r["chunk"] for r in L.semantic_chunks(df, "id", "v", None, 0.6).collect()}
+    assert whole == {r["id"]: r["chunk"] for r in L.semantic_chunks(df, "id", "v", "p", 0.6).collect()} and len(set(whole.values())) > 5
+
+
 def test_queries_without_sql(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
