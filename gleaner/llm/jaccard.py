@@ -495,3 +495,45 @@ def clusters(docs: DataFrame) -> DataFrame:
     of_class = placed.join(least, "label").select("c1", "c2", "component_id")
     out = ids.join(of_class, ["c1", "c2"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def with_identities(docs: DataFrame, text: str, names: tuple[str, str]) -> DataFrame:
+    """Adds the two numbers that identify each text's set, null for texts without words."""
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(n, T.LongType()) for n in names)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, sh, at in _sets(batches, text):
+            none = at[1:] == at[:-1]
+            found = [pa.array(c.view(np.int64), mask=none) for c in identities(sh, at)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *found], [f.name for f in schema.fields])
+
+    return docs.transform(X.arrow, run, schema)
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents, with one row of every component: the one of the smallest key, a row without a key only if none has one.
+
+    Rows are told apart by their key and their set; of several rows with the same both, one stays.  Rows without words all stay.
+    """
+    ids, classes, labels = classes_and_links(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")))
+    placed = classes.join(labels, "name", "left").select("c1", "c2", F.coalesce("label", "name").alias("label"))
+    rows = ids.where("n > 0").groupBy("doc_id", "c1", "c2").agg(F.count("*").alias("copies")).join(placed, ["c1", "c2"])
+    rows, _ = written(rows, "placed")
+    first = rows.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "c1", "c2")).alias("first"))
+    same = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("c1") == F.col("first.c1")) & (F.col("c2") == F.col("first.c2"))
+    judged = rows.join(first, "label").select("doc_id", "c1", "c2", "copies", same.alias("stays")).where("NOT stays OR copies > 1")
+    names = ("c1", "c2")
+    while {c.lower() for c in docs.columns} & set(names):
+        names = tuple(f"{n}_" for n in names)
+    marked = with_identities(docs, text, names)
+
+    def meets(left: DataFrame, right: DataFrame):
+        return left[f"`{key}`"].cast("long").eqNullSafe(right["the_id"]) & (left[names[0]] == right["the_c1"]) & (left[names[1]] == right["the_c2"])
+
+    gone, twice = (judged.where(w).select(*(F.col(c).alias(f"the_{c.removeprefix('doc_')}") for c in ("doc_id", "c1", "c2"))) for w in ("NOT stays", "stays"))
+    kept = marked.join(gone, meets(marked, gone), "left_anti")
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    if twice.isEmpty():
+        return kept.select(*own)
+    again = kept.join(twice, meets(kept, twice), "left_semi").groupBy(F.col(f"`{key}`").alias("the_id"), *names).agg(F.first(F.struct(*own)).alias("row"))
+    return kept.join(twice, meets(kept, twice), "left_anti").select(*own).unionAll(again.select("row.*"))
