@@ -18,7 +18,7 @@ from gleaner.functions import hashing as H
 from gleaner.functions import suffixes as S
 from gleaner.functions import text as X
 from gleaner.operators.components import components, groups
-from gleaner.operators.storage import written
+from gleaner.operators.storage import remove, written
 
 
 # --- exact duplicates -------------------------------------------------------------------------------------------------
@@ -354,18 +354,19 @@ def merge_pair(symbols: Column, left: str, right: str) -> Column:
 def train_bpe(words: DataFrame, merges: int = 10) -> tuple[list[tuple[str, str, int]], DataFrame]:
     """Learned merges (left, right, count) in order, and the words with their last symbols.
 
-    One aggregation a merge over the distinct words; lineage is cut every few merges.  Stops when no pair occurs twice.
+    One aggregation a merge over the distinct words, which are written anew after each.  Stops when no pair occurs twice.
     """
-    words, _ = written(words, "words")
+    spark = words.sparkSession
+    words, path = written(words, "words")
     learned = []
-    for k in range(merges):
+    for _ in range(merges):
         best = pair_counts(words).orderBy(F.desc("cnt"), "seen").first()
         if best is None or best["cnt"] < 2:
             break
         learned.append((best["l"], best["r"], best["cnt"]))
-        words = words.withColumn("symbols", merge_pair(F.col("symbols"), best["l"], best["r"]))
-        if k % 4 == 3:
-            words, _ = written(words, "words")
+        words, now = written(words.withColumn("symbols", merge_pair(F.col("symbols"), best["l"], best["r"])), "words")
+        remove(spark, path)
+        path = now
     return learned, words
 
 
