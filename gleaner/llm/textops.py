@@ -10,7 +10,6 @@ an Arrow string column without a copy, so no Python code runs per character or p
 from __future__ import annotations
 
 import ctypes
-import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -186,7 +185,6 @@ def give_back() -> None:
     """
     if len(_powers[0]) > 1 << 21:
         _powers[:] = [np.ones(1, U64), np.ones(1, U64)]
-    gc.collect()
     pa.default_memory_pool().release_unused()
     if _trim is not None:
         _trim(0)
