@@ -102,7 +102,9 @@ def minhash_kernel(words: np.ndarray, num_perm: int, seed: int) -> np.ndarray:
 
 
 def similarity(a: Column, b: Column, num_perm: int = 128) -> Column:
-    return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda z: z)) / num_perm
+    """Share of equal values; signatures of different lengths raise an error."""
+    same = F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda z: z)) / num_perm
+    return F.when(F.size(a) == F.size(b), same).otherwise(F.raise_error(F.lit("signatures have different lengths")).cast("double"))
 
 
 def band_threshold(num_perm: int = 128, bands: int = 16) -> float:

@@ -171,6 +171,12 @@ def greedy_near_dup(spark, d):
     return O.greedy_near_duplicates(_written_sigs(spark, d), SIMILAR, PERM, BANDS).select(F.col("id").alias("doc_id"), "kept")
 
 
+@query("near_dup_metrics", f"SELECT count(*) AS processed, count(*) FILTER (WHERE NOT kept) AS duplicates_found, round(count(*) FILTER (WHERE NOT kept) / count(*), 6) AS dedup_ratio FROM ({ORACLES['greedy_near_dup']})")
+def near_dup_metrics(spark, d):
+    gone = F.count_if(~F.col("kept"))
+    return greedy_near_dup(spark, d).agg(F.count("*").alias("processed"), gone.alias("duplicates_found"), F.round(F.coalesce(F.try_divide(gone, F.count("*")), F.lit(0.0)), 6).alias("dedup_ratio"))
+
+
 @query("lsh_topk_query", f"""WITH {_sig_sql('documents', 'doc_id')}, {_BAND_SQL},
 hits AS (SELECT DISTINCT q.id AS q, r.id AS id FROM bands q JOIN bands r USING (band, k) WHERE q.id % 20 = 0 AND q.id <> r.id),
 scored AS (SELECT q, hits.id, count(*) FILTER (WHERE x.m = y.m) / 128 AS sim FROM hits JOIN full_sig x ON x.id = q JOIN full_sig y ON y.id = hits.id AND y.p = x.p GROUP BY q, hits.id),

@@ -6,6 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from gleaner.functions import geometry as G
 from gleaner.functions import hashing as H
 from gleaner.functions import suffixes as S
 from gleaner.functions import text as X
@@ -249,6 +250,29 @@ def test_chunks_of_one_sequence(spark):
     assert whole == {r["id"]: r["chunk"] for r in L.semantic_chunks(df, "id", "v", "p", 0.6).collect()} and len(set(whole.values())) > 5
 
 
+def test_annotations_labels_and_pages_without_tables(spark):
+    task = '[{"data": {"image": "p/7.png"}, "annotations": [{"result": [{"type": "rectanglelabels", "value": {"x": 5, "y": 6, "width": 7, "height": 8, "rectanglelabels": ["chart"]}}, {"type": "rectanglelabels", "value": {"x": 5, "y": 6, "width": -7, "height": 8}}]}]}]'
+    read = labelstudio.read_tasks(spark.createDataFrame([(task,)], "value string"))
+    got = labelstudio.detections(read, "annotations").collect()
+    assert [(r["image_id"], r["det_idx"], r["source"], r["label"], r["width"]) for r in got] == [("p/7.png", 0, "ground_truth", "chart", 7.0)]
+    with pytest.raises(Exception, match="negative size"):
+        labelstudio.detections(read, "annotations", strict=True).collect()
+    pages = spark.createDataFrame([("d/1.png",), ("d/2.png",)], "image string")
+    boxes = spark.createDataFrame([("d/2.png", 1, "t", 1.0, 2.0, 3.0, 4.0)], "image string, ord int, label string, x double, y double, width double, height double")
+    tasks = {r["image"]: r["task"] for r in labelstudio.export_tasks(pages, boxes, "own").collect()}
+    assert tasks["d/1.png"] == '{"data":{"image":"/data/local-files/?d=own/1.png"}}' and '"rectanglelabels":["t"]' in tasks["d/2.png"]
+
+
+def test_small_functions(spark):
+    urls = spark.createDataFrame([("WWW.Oak.org/a//",), ("http://www.oak.org",), ("wwwoak.org/",)], "u string")
+    assert [r[0] for r in urls.select(X.normalize_url(F.col("u"), www=True)).collect()] == ["oak.org/a", "http://www.oak.org", "wwwoak.org"]
+    boxes = spark.createDataFrame([(0.0, 0.0, 50.0, 50.0, 3, 2), (0.0, 0.0, 50.0, 50.0, 2, 2), (0.0, 0.0, 50.0, 50.0, 3, 1), (0.0, 0.0, 20.0, 20.0, 3, 2), (0.0, 0.0, 100.0, 96.0, 3, 2)], "x0 double, y0 double, x1 double, y1 double, r int, c int")
+    assert [r[0] for r in boxes.select(G.valid_table_size(G.corners(), F.lit(100.0), F.lit(100.0), F.col("r"), F.col("c"))).collect()] == [True, False, False, False, False]
+    sigs = spark.createDataFrame([([1, 2], [1, 2, 3])], "a array<long>, b array<long>")
+    with pytest.raises(Exception, match="different lengths"):
+        sigs.select(H.similarity(F.col("a"), F.col("b"), 2)).collect()
+
+
 def test_queries_without_sql(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
