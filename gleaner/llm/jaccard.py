@@ -174,8 +174,8 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a = b
 
 
-def _tally(bits: np.ndarray | None, parts: int, ids: int):
-    """By class, how many of its entries another class that is still in play (by the filter ``bits``) shares, packed by class."""
+def _tally(bits: np.ndarray | None, parts: int, ids: int, over: int = 1):
+    """By class, how many of its entries more than ``over`` classes that are still in play (by the filter ``bits``) have, packed by class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = []
@@ -188,7 +188,7 @@ def _tally(bits: np.ndarray | None, parts: int, ids: int):
                 at = np.flatnonzero(np.append(True, h[1:] != h[:-1])[: len(h)])
                 size = np.diff(np.append(at, len(h)))
                 df = np.repeat(size, size)
-                found.append((c[df > 1], df[df > 1]))
+                found.append((c[df > over], df[df > over]))
         if found:
             c, back = np.unique(np.concatenate([x for x, _ in found]), return_inverse=True)
             df = np.concatenate([x for _, x in found])
@@ -267,17 +267,6 @@ def _add_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(k)], ["a", "b", "k"])
 
 
-def _crowds(bits: np.ndarray):
-    """By class, its entries of shingles with more classes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, c, df in _groups(batches, bits):
-            keys, n = np.unique(c[df > CROWD], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], ["c1", "crowded"])
-
-    return run
-
-
 def _stars(bits: np.ndarray, crowded: np.ndarray):
     """Links from the first class of each crowded shingle to its others, among classes with enough such entries."""
 
@@ -447,8 +436,9 @@ def classes_and_links(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]
     pairs = exchange.send(shared.transform(X.arrow, _pairs(in_play, bits, slots), "part int, a binary, b binary, n binary"), slots).transform(X.arrow, _add_pairs, "a long, b long, k long")
     n_a, n_b = (left.select(F.col("c1").alias(x), F.col("n").alias(f"n_{x}")) for x in "ab")
     edges = pairs.join(n_a, "a").join(n_b, "b").where(F.col("k") >= half(F.least("n_a", "n_b"))).select("a", "b")
-    crowds = shared.transform(X.arrow, _crowds(in_play), "c1 long, crowded long").groupBy("c1").agg(F.sum("crowded").alias("crowded")).join(left, "c1")
-    crowded = bloom(crowds.where(F.col("crowded") >= half(F.floor(F.col("n") * PERCENT / 100))), F.col("c1"))
+    partial = shared.transform(X.arrow, _tally(in_play, bits, slots, CROWD), "part int, c binary, shared binary, fame binary")
+    crowds = exchange.send(partial, slots).transform(X.arrow, _add_tallies, "c1 long, shared long, fame double").join(left.select("c1", "n"), "c1")
+    crowded = bloom(crowds.where(F.col("shared") >= half(F.floor(F.col("n") * PERCENT / 100))), F.col("c1"))
     if crowded.any():
         edges = edges.unionAll(shared.transform(X.arrow, _stars(in_play, crowded), "a long, b long"))
     groups = components(edges).select(F.col("id").alias("c1"), F.col("label").alias("comp"))

@@ -278,3 +278,30 @@ def test_names_of_colliding_sets():
     c1, c2 = np.array([1, 1, 2], np.uint64), np.array([7, 8, 9], np.uint64)
     assert jaccard.named(c1, c2, np.array([1], np.uint64)).tolist() == [7, 8, 2]
     assert jaccard.named(c1, c2, np.zeros(0, np.uint64)).tolist() == [1, 1, 2]
+
+
+def test_components_in_a_crowd(spark):
+    """Shingles that more than ``CROWD`` sets have link them as stars."""
+    rng = random.Random(14)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+    texts = []
+    for _ in range(3 * jaccard.CROWD):
+        w = list(base)
+        for _ in range(rng.randrange(0, 4)):
+            w[rng.randrange(60)] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(w))
+    texts += [" ".join(base[:30] + [f"y{rng.randrange(10**6)}" for _ in range(30)]) for _ in range(60)]
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    up = list(range(len(texts)))
+
+    def find(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i in range(len(sets)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                up[max(a, b)] = min(a, b)
+    assert {r["doc_id"]: r["component_id"] for r in jaccard.clusters(documents(spark, list(enumerate(texts)))).collect()} == {i: find(i) for i in range(len(texts))}
