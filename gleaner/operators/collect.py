@@ -2,22 +2,38 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from gleaner.operators.storage import written
+
+
+def join_same(rows: DataFrame, other: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Joins rows whose keys are equal, null being equal to null; the keys come once."""
+    renamed = other.withColumnsRenamed({k: f"_same_{k}" for k in keys})
+    same = reduce(Column.__and__, (F.col(k).eqNullSafe(F.col(f"_same_{k}")) for k in keys))
+    return rows.join(renamed, same, how).drop(*(f"_same_{k}" for k in keys))
+
 
 def running_total(rows: DataFrame, order: list[Column], value: Column, into: str, buckets: int | None = None) -> DataFrame:
     """Adds ``into``: the sum of ``value`` over the whole table up to each row, without sending all rows to one task.
 
-    Rows are sorted by range into partitions; the sums of these, one row each, are added to those inside.
+    Rows are sorted by range into partitions and written with the number of theirs: each plan over a range partitioning samples bounds of
+    its own, so the sums inside the partitions and the sums of whole partitions (one row each) must come from one and the same table.
+    Rows that tie by ``order`` come by a hash of their columns, which also spreads many ties over partitions.
     """
     buckets = buckets or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    part = rows.withColumn("_v", value).repartitionByRange(buckets, *order).withColumn("_p", F.spark_partition_id())
-    inner = part.withColumn("_n", F.sum("_v").over(W.partitionBy("_p").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)))
-    sizes = inner.groupBy("_p").agg(F.sum("_v").alias("_size"))
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("_p", "_before")
-    return inner.join(F.broadcast(before), "_p").withColumn(into, F.col("_n") + F.col("_before")).select(*rows.columns, into)
+    ties = F.xxhash64(*(F.col(f"`{f.name}`") for f in rows.schema if "map" not in f.dataType.simpleString()))
+    placed = rows.withColumn("_v", value).repartitionByRange(buckets, *order, ties).withColumn("_p", F.spark_partition_id())
+    part, _ = written(placed, "ranges")
+    inner = part.withColumn("_n", F.sum("_v").over(W.partitionBy("_p").orderBy(*order, ties).rowsBetween(W.unboundedPreceding, 0)))
+    sizes = part.groupBy("_p").agg(F.sum("_v").alias("_size"))
+    before = sizes.select("_p", F.coalesce(F.sum("_size").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    # one row a partition
+    return inner.join(F.broadcast(before), "_p").withColumn(into, F.col("_n") + F.col("_before")).select(*(f"`{c}`" for c in rows.columns), into)
 
 
 def running_count(rows: DataFrame, order: list[Column], buckets: int | None = None) -> DataFrame:
@@ -26,27 +42,33 @@ def running_count(rows: DataFrame, order: list[Column], buckets: int | None = No
 
 
 def quota_sample(rows: DataFrame, group: str, order: str, minimum: int, target: int) -> DataFrame:
-    """``minimum`` rows of every group in turn, then round-robin, ``target`` rows in all; groups in order of their first row."""
+    """``minimum`` rows of every group in turn, then round-robin, ``target`` rows in all; groups in order of their first row.
+
+    Rows without a group are a group.
+    """
     first = rows.groupBy(group).agg(F.min(order).alias("_g"))
     # no group can give more than the target, which bounds what the window has to rank
-    ranked = rows.withColumn("_r", F.row_number().over(W.partitionBy(group).orderBy(order))).where(F.col("_r") <= target).join(first, group)
+    ranked = rows.withColumn("_r", F.row_number().over(W.partitionBy(group).orderBy(order))).where(F.col("_r") <= target).transform(join_same, first, [group])
     early = F.col("_r") <= minimum
     key = [F.when(early, 0).otherwise(1), F.when(early, F.col("_g")).otherwise(F.col("_r")), F.when(early, F.col("_r")).otherwise(F.col("_g"))]
     return ranked.orderBy(*key).limit(target).select(*rows.columns)
 
 
 def new_reports(reports: DataFrame, known: DataFrame, url: str = "pdf_url", order: str = "ord") -> DataFrame:
-    """Reports whose URL isn't known yet, each URL once (its first row)."""
+    """Reports whose URL isn't known yet, each URL once (its first row); reports without a URL can't be fetched and go."""
     fresh = reports.join(known.select(url).distinct(), url, "left_anti")
     first = fresh.groupBy(url).agg(F.min(order).alias(order))
     return fresh.join(first, [url, order], "left_semi").select(*reports.columns)
 
 
 def content_status(downloads: DataFrame, known: DataFrame, order: str = "ord") -> DataFrame:
-    """Adds ``status``: new, or duplicate_content:<path> of the stored or earlier file with the same hash."""
+    """Adds ``status``: new, or duplicate_content:<path> of the stored or earlier file with the same hash.
+
+    A file without a hash is new: nothing says that it equals another.
+    """
     stored = known.groupBy("file_hash").agg(F.max("local_path").alias("_stored"))
     first = downloads.groupBy("file_hash").agg(F.min(F.struct(order, "local_path")).alias("_f"))
-    out = downloads.join(stored, "file_hash", "left").join(first, "file_hash")
+    out = downloads.join(stored, "file_hash", "left").join(first, "file_hash", "left")
     path = F.coalesce("_stored", F.when(F.col(order) > F.col(f"_f.{order}"), F.col("_f.local_path")))
     return out.withColumn("status", F.when(path.isNull(), "new").otherwise(F.concat(F.lit("duplicate_content:"), path))).drop("_stored", "_f")
 
@@ -73,9 +95,9 @@ def union_distinct(existing: DataFrame, session: DataFrame, column: str) -> Data
 
 
 def upsert(rows: DataFrame, key: str, order: str) -> DataFrame:
-    """The last row of every key."""
+    """The last row of every key; rows without a key share one."""
     last = rows.groupBy(key).agg(F.max(order).alias(order))
-    return rows.join(last, [key, order], "left_semi").select(*rows.columns)
+    return join_same(rows, last, [key, order], "left_semi").select(*rows.columns)
 
 
 def distribution(rows: DataFrame, column: str) -> DataFrame:

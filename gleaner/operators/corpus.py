@@ -17,6 +17,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from gleaner.functions import hashing as H
 from gleaner.functions import suffixes as S
 from gleaner.functions import text as X
+from gleaner.operators.collect import join_same
 from gleaner.operators.components import components, groups
 from gleaner.operators.storage import remove, written
 
@@ -24,10 +25,13 @@ from gleaner.operators.storage import remove, written
 # --- exact duplicates -------------------------------------------------------------------------------------------------
 
 def first_of_equal(rows: DataFrame, key: Column, order: str) -> DataFrame:
-    """Adds ``kept``: the first row (by ``order``) with the same key.  Aggregated before the join, so a hot key costs one row a task."""
+    """Adds ``kept``: the first row (by ``order``) with the same key; rows without a key share one.
+
+    Aggregated before the join, so a hot key costs one row a task.
+    """
     keyed = rows.withColumn("_key", key)
     first = keyed.groupBy("_key").agg(F.min(order).alias("kept"))
-    return keyed.join(first, "_key").drop("_key")
+    return join_same(keyed, first, ["_key"]).drop("_key")
 
 
 def content_key(text: Column) -> Column:
@@ -201,6 +205,31 @@ def bloom_contains(probes: DataFrame, item: str, bloom: DataFrame, m: int, k: in
     return probes.join(found, probes[item] == found["_item"], "left").drop("_item").withColumn("maybe", F.coalesce("maybe", F.lit(False)))
 
 
+def _is_set(bitmap: Column, bit: Column) -> Column:
+    """Whether a bit of a bitmap is set; not where the bitmap is null."""
+    byte = F.conv(F.hex(F.substring(bitmap, (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    mask = F.element_at(F.array(*(F.lit(1 << i) for i in range(8))), (bit % 8 + 1).cast("int"))
+    return F.coalesce(mask.bitwiseAND(byte) != 0, F.lit(False))
+
+
+def bloom_first_seen(items: DataFrame, item: str, order: str, m: int, k: int, bloom: DataFrame | None = None) -> DataFrame:
+    """Adds ``seen``: what a filter answers if every item is probed in turn and added if it wasn't seen, false positives included.
+
+    Adding an item whose bits are all set changes nothing, so before each item the filter holds the bits of all earlier ones, whether
+    they were added or not.  An item is therefore new exactly if it is the first one with one of its bits, which is one minimum for
+    each bit; no step waits for the one before.  ``order`` is unique; ``bloom`` is a filter that holds items already (as from
+    ``bloom_build``).  A null item is never looked at: ``seen`` is null.
+    """
+    first = items.where(F.col(item).isNotNull()).groupBy(F.col(item).alias("_item")).agg(F.min(order).alias("_at"))
+    bits = first.select("_at", F.explode(F.array_distinct(H.bloom_positions(F.col("_item"), m, k))).alias("p"))
+    if bloom is not None:
+        asked = bits.withColumns({"bucket": F.bitmap_bucket_number(F.col("p") + 1), "bit": F.bitmap_bit_position(F.col("p") + 1)})
+        held = F.broadcast(bloom) if m <= BROADCAST_BITS else bloom
+        bits = asked.join(held.select("bucket", "bitmap"), "bucket", "left").where(~_is_set(F.col("bitmap"), F.col("bit"))).select("_at", "p")
+    new = bits.groupBy("p").agg(F.min("_at").alias("_new")).select("_new").distinct()
+    return items.join(new, items[order] == new["_new"], "left").withColumn("seen", F.when(F.col(item).isNotNull(), F.col("_new").isNull())).drop("_new")
+
+
 def safe_lookup(probes: DataFrame, item: str, bloom: DataFrame, m: int, k: int, store: DataFrame, key: str) -> DataFrame:
     """Adds ``maybe`` (the filter's answer) and ``found``: items that the filter doesn't know are absent, only the others are looked up."""
     asked = bloom_contains(probes, item, bloom, m, k)
@@ -215,9 +244,9 @@ def has_capacity(stats: DataFrame, threshold: float = 0.1) -> DataFrame:
 
 
 def add_once(rows: DataFrame, id: str, order: str) -> DataFrame:
-    """The first row of every id: a second one with an id that is there changes nothing."""
+    """The first row of every id: a second one with an id that is there changes nothing; rows without an id share one."""
     first = rows.groupBy(id).agg(F.min(order).alias(order))
-    return rows.join(first, [id, order], "left_semi").dropDuplicates([id]).select(*rows.columns)
+    return join_same(rows, first, [id, order], "left_semi").dropDuplicates([id]).select(*rows.columns)
 
 
 def bloom_stats(bloom: DataFrame, inserted: int, m: int, k: int) -> DataFrame:

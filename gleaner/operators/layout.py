@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,7 +13,8 @@ from pyspark.sql import functions as F
 from gleaner.functions import geometry as G
 from gleaner.functions import text as X
 from gleaner.operators.collect import running_count, running_total
-from gleaner.operators.components import components
+from gleaner.operators.components import components, least_labels
+from gleaner.operators.storage import written
 
 #: Rules of the five statement categories, in order of preference on ties (fixed values).
 CATEGORIES = [
@@ -26,43 +31,92 @@ TEMPORAL = [r"20\d{2}[EFef]?", r"[1-4][Qq]\d{2}", r"\d{1,2}[분반]기", r"FY\d{
 def overlapping(boxes: DataFrame, page: list[str], order: str, least: float = 0.0) -> DataFrame:
     """(page.., i, j, iou) with i < j for pairs of boxes on a page whose IoU exceeds ``least``.
 
-    Boxes are spread over the cells of a grid as wide as the page's mean box, and a pair is made only in the cell that holds the
-    upper left corner of its intersection, so crowded pages don't need all pairs and no pair comes twice.
+    Every box lies on the grid whose cells are the least power of two that is as wide and high as the box, so it touches four cells at
+    most, whatever sizes the other boxes have.  It looks for larger boxes in the grids of their sizes, where it touches four cells too.
+    A pair is made only in the cell with the upper left corner of its intersection, so no pair comes twice.  Boxes without an area
+    overlap nothing; boxes without a page share one.
     """
-    size = boxes.groupBy(*page).agg(F.greatest(F.avg(F.col("x1") - F.col("x0")), F.lit(1.0)).alias("gw"), F.greatest(F.avg(F.col("y1") - F.col("y0")), F.lit(1.0)).alias("gh"))
-    cell = lambda v, g: F.floor(F.col(v) / F.col(g))
-    spread = boxes.join(size, page).withColumn("cx", F.explode(F.sequence(cell("x0", "gw"), cell("x1", "gw")))).withColumn("cy", F.explode(F.sequence(cell("y0", "gh"), cell("y1", "gh"))))
     cols = ["x0", "y0", "x1", "y1"]
-    l = spread.select(*page, "cx", "cy", "gw", "gh", F.col(order).alias("i"), *(F.col(c).alias(f"l_{c}") for c in cols))
-    r = spread.select(*page, "cx", "cy", F.col(order).alias("j"), *(F.col(c).alias(f"r_{c}") for c in cols))
+    sized = boxes.where("x1 > x0 AND y1 > y0").withColumn("_page", F.struct(*page))
+    sized = sized.select("_page", F.col(order).alias("k"), *cols, F.ceil(F.log2(F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")))).cast("int").alias("level"))
+    levels = sized.groupBy("_page").agg(F.collect_set("level").alias("levels"))
+
+    def on_grid(rows: DataFrame) -> DataFrame:
+        cell = lambda v: F.floor(F.col(v) / F.pow(F.lit(2.0), "grid"))
+        return rows.withColumn("cx", F.explode(F.sequence(cell("x0"), cell("x1")))).withColumn("cy", F.explode(F.sequence(cell("y0"), cell("y1"))))
+
+    home = on_grid(sized.withColumn("grid", F.col("level"))).select("_page", "grid", "cx", "cy", F.col("k").alias("r_k"), *(F.col(c).alias(f"r_{c}") for c in cols))
+    asks = sized.join(levels, "_page").withColumn("grid", F.explode(F.filter("levels", lambda g: g >= F.col("level"))))
+    asks = on_grid(asks).select("_page", "grid", "cx", "cy", "level", F.col("k").alias("l_k"), *(F.col(c).alias(f"l_{c}") for c in cols))
     a, b = G.corners("l_"), G.corners("r_")
-    home = (F.floor(F.greatest("l_x0", "r_x0") / F.col("gw")) == F.col("cx")) & (F.floor(F.greatest("l_y0", "r_y0") / F.col("gh")) == F.col("cy"))
-    pairs = l.join(r, [*page, "cx", "cy"]).where((F.col("i") < F.col("j")) & home & (G.overlap_area(a, b) > 0))
-    return pairs.select(*page, "i", "j", G.iou(a, b).alias("iou")).where(F.col("iou") > least)
+    corner = lambda c: F.floor(F.greatest(f"l_{c}", f"r_{c}") / F.pow(F.lit(2.0), "grid"))
+    once = (F.col("level") < F.col("grid")) | (F.col("l_k") < F.col("r_k"))
+    pairs = asks.join(home, ["_page", "grid", "cx", "cy"]).where(once & (corner("x0") == F.col("cx")) & (corner("y0") == F.col("cy")) & (G.overlap_area(a, b) > 0))
+    pairs = pairs.withColumn("iou", G.iou(a, b)).where(F.col("iou") > least)
+    return pairs.select(*(F.col(f"_page.{p}").alias(p) for p in page), F.least("l_k", "r_k").alias("i"), F.greatest("l_k", "r_k").alias("j"), "iou")
+
+
+#: Edges of one page that a task links at once; pages with more are linked by rounds over all tasks.
+PAGE_EDGES = 1_000_000
+
+
+def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(page hash, box, least box linked with it) of a task's edges, which come page by page."""
+
+    def close(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(held)
+        page, i, j = (rows[c].to_numpy() for c in ("_h", "i", "j"))
+        ends = np.stack([np.append(page, page), np.append(i, j)], 1)
+        # by page and box, so the least vertex of a group is its least box
+        vertices, at = np.unique(ends, axis=0, return_inverse=True)
+        at = at.reshape(-1)
+        label = least_labels(at[: len(page)], at[len(page) :], len(vertices))
+        return pa.RecordBatch.from_arrays([pa.array(vertices[:, 0]), pa.array(vertices[:, 1]), pa.array(vertices[label, 1])], ["_h", "_k", "group"])
+
+    held, n = [], 0
+    for batch in batches:
+        page = batch.column("_h").to_numpy()
+        if n + len(page) > PAGE_EDGES and len(page):
+            # up to the last page that ends for sure
+            cut = int(np.flatnonzero(page != page[-1])[-1]) + 1 if (page != page[-1]).any() else 0
+            if cut or (held and held[-1].column("_h")[-1].as_py() != page[0]):
+                yield close([*held, batch.slice(0, cut)] if cut else held)
+                held, n, batch = [], 0, batch.slice(cut)
+        held.append(batch)
+        n += batch.num_rows
+    if n:
+        yield close(held)
 
 
 def overlap_groups(boxes: DataFrame, page: list[str], order: str, threshold: float = 0.5, inclusive: bool = True) -> DataFrame:
-    """Adds ``group``: the least box (by ``order``) of those that overlap, directly or through others, by the threshold or more.
+    """Adds ``group``: the least box (by ``order``, a whole number) of those that overlap, directly or through others, by the threshold or more.
 
-    Boxes alone are their own group; with ``inclusive`` false the overlap must exceed the threshold.
+    Boxes alone are their own group; with ``inclusive`` false the overlap must exceed the threshold.  Links never leave a page, so pages
+    are dealt over the tasks, which link each at once; only pages with more than ``PAGE_EDGES`` overlaps take rounds over all tasks.
     """
-    name = lambda c: F.struct(*page, F.col(c).alias("k"))
     pairs = overlapping(boxes, page, order, 0.0)
     pairs = pairs.where(F.col("iou") >= threshold if inclusive else F.col("iou") > threshold)
-    edges = pairs.select(F.to_json(name("i")).alias("a"), F.to_json(name("j")).alias("b"))
-    labels = components(edges)
-    of_box = labels.select(F.col("id").alias("_id"), F.col("label").alias("_label"))
-    named = boxes.withColumn("_id", F.to_json(name(order))).join(of_box, "_id", "left").withColumn("_label", F.coalesce("_label", "_id"))
-    first = named.groupBy("_label").agg(F.min(order).alias("group"))
-    return named.join(first, "_label").drop("_id", "_label")
+    edges, _ = written(pairs.select(F.xxhash64(*page).alias("_h"), F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j")), "edges")
+    large = edges.groupBy("_h").count().where(F.col("count") > PAGE_EDGES).select("_h")
+    few = edges.join(large, "_h", "left_anti").repartition("_h").sortWithinPartitions("_h")
+    linked = few.mapInArrow(_linked, "_h long, _k long, group long")
+    many = edges.join(large, "_h", "left_semi")
+    if not many.isEmpty():
+        # structs of page and box, as text whose order is that of the numbers within a page
+        name = lambda c: F.concat_ws(":", F.col("_h").cast("string"), F.lpad(F.conv(F.col(c).cast("string"), 10, 16), 16, "0"))
+        labels = components(many.select(name("i").alias("a"), name("j").alias("b")))
+        part = lambda c, at: F.element_at(F.split(c, ":"), at)
+        number = lambda c: F.conv(part(c, 2), 16, -10).cast("long")
+        linked = linked.unionByName(labels.select(part("id", 1).cast("long").alias("_h"), number("id").alias("_k"), number("label").alias("group")))
+    named = boxes.withColumns({"_h": F.xxhash64(*page), "_k": F.col(order).cast("long")}).join(linked, ["_h", "_k"], "left")
+    return named.select(*boxes.columns, F.coalesce("group", "_k").cast(boxes.schema[order].dataType).alias("group"))
 
 
 def merge_boxes(boxes: DataFrame, page: list[str], order: str, threshold: float = 0.3) -> DataFrame:
     """The largest box (first on ties) of every group that overlaps, directly or through others, by more than the threshold."""
     grouped = overlap_groups(boxes, page, order, threshold, inclusive=False)
-    best = grouped.groupBy(*page, "group").agg(F.max(F.struct(G.area(G.corners()).alias("area"), (-F.col(order)).alias("at"))).alias("_best"))
-    keyed = best.select(*page, (-F.col("_best.at")).alias(order))
-    return boxes.join(keyed, [*page, order], "left_semi")
+    best = grouped.groupBy(*page, "group").agg(F.max_by(F.struct(*boxes.columns), F.struct(G.area(G.corners()).alias("area"), (-F.col(order)).alias("at"))).alias("_best"))
+    return best.select("_best.*").select(*boxes.columns)
 
 
 def inside_table(blocks: DataFrame, tables: DataFrame, page: list[str], id: str, threshold: float = 0.5) -> DataFrame:

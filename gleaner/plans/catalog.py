@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,6 +16,7 @@ from gleaner.operators import collect as C
 from gleaner.operators import corpus as O
 from gleaner.operators import documents as D
 from gleaner.operators import layout as L
+from gleaner.operators.components import connected, unions
 from gleaner.operators.storage import shared_folder, written
 from gleaner.sources import files, html, labelstudio
 from gleaner.sources.tables import table
@@ -35,9 +37,10 @@ def query(name: str, sql: str | None = None):
 
 
 #: Text functions in DuckDB's dialect.
-S_STRIP = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
-S_PREP = "regexp_replace(regexp_replace(regexp_replace(lower({}), '\\s+', ' ', 'g'), '[^\\p{{L}}\\p{{N}}_\\s]', '', 'g'), '^\\s+|\\s+$', '', 'g')"
-S_WORDS = "list_filter(string_split_regex({}, '\\s+'), lambda w: w <> '')"
+S_SPACE = re.sub(r"\\u([0-9a-f]{4})", r"\\x{{\1}}", X.SPACE).replace("\\x85\\xa0", "\\x{{85}}\\x{{a0}}")
+S_STRIP = f"regexp_replace({{}}, '^[{S_SPACE}]+|[{S_SPACE}]+$', '', 'g')"
+S_PREP = f"regexp_replace(regexp_replace(regexp_replace(lower({{}}), '[{S_SPACE}]+', ' ', 'g'), '[^\\p{{{{L}}}}\\p{{{{N}}}}_ ]', '', 'g'), '^ +| +$', '', 'g')"
+S_WORDS = f"list_filter(string_split_regex({{}}, '[{S_SPACE}]+'), lambda w: w <> '')"
 S_WORD3 = f"""CASE WHEN len({{w}}) = 0 THEN CAST([] AS VARCHAR[]) WHEN len({{w}}) < 3 THEN [array_to_string({{w}}, ' ')]
   ELSE list_distinct(list_transform(range(1, len({{w}}) - 1), lambda i: array_to_string(list_slice({{w}}, i, i + 2), ' '))) END"""
 
@@ -73,7 +76,7 @@ def preprocess_text(spark, d):
     return docs(spark, d).select("doc_id", F.md5(X.preprocess(F.col("text"))).alias("prepared"))
 
 
-@query("char_shingle_count", f"""WITH t AS (SELECT doc_id, {S_STRIP.format('lower(text)')} AS s FROM documents)
+@query("char_shingle_count", f"""WITH t AS MATERIALIZED (SELECT doc_id, {S_STRIP.format('lower(text)')} AS s FROM documents)
 SELECT doc_id, CAST(CASE WHEN length(s) = 0 THEN 0 WHEN length(s) < 5 THEN 1 ELSE (SELECT count(DISTINCT substring(s, i, 5)) FROM range(1, length(s) - 3) r(i)) END AS BIGINT) AS n FROM t""")
 def char_shingle_count(spark, d):
     return docs(spark, d).select("doc_id", F.size(X.char_shingles(F.col("text"), 5)).cast("long").alias("n"))
@@ -274,6 +277,20 @@ def counting_bloom_remove(spark, d):
     return O.counting_bloom(pages, pages.where("url LIKE 'https%'").select("url").distinct(), "url", BLOOM_M, BLOOM_K)
 
 
+SMALL_M, SMALL_K = H.bloom_size(150, 0.1)
+
+
+@query("bloom_first_seen", f"""WITH RECURSIVE u AS MATERIALIZED (SELECT page_id, row_number() OVER (ORDER BY page_id) AS r, list_distinct(list_transform(range({SMALL_K}), lambda i: {_md5_sql("regexp_replace(lower(url), '/+$', '')", SMALL_M)})) AS q FROM (SELECT page_id, url FROM pages UNION ALL SELECT page_id + 1000000000, upper(url) || '/' FROM pages)),
+steps(r, bits, page_id, seen) AS (SELECT CAST(0 AS BIGINT), list_transform(range({SMALL_M}), lambda i: 0), CAST(NULL AS BIGINT), false
+UNION ALL SELECT u.r, CASE WHEN list_min(list_transform(u.q, lambda p: s.bits[p + 1])) = 1 THEN s.bits ELSE list_transform(s.bits, lambda x, i: CASE WHEN list_contains(u.q, i - 1) THEN 1 ELSE x END) END, u.page_id, list_min(list_transform(u.q, lambda p: s.bits[p + 1])) = 1 FROM steps s JOIN u ON u.r = s.r + 1)
+SELECT page_id, seen FROM steps WHERE r > 0""")
+def bloom_first_seen(spark, d):
+    """Probe, then add: a filter too small for its items, so that some new ones count as seen."""
+    p = table(spark, d, "pages")
+    u = p.select("page_id", "url").union(p.select(F.col("page_id") + 1000000000, F.concat(F.upper("url"), F.lit("/"))))
+    return O.bloom_first_seen(u.withColumn("url", X.normalize_url(F.col("url"))), "url", "page_id", SMALL_M, SMALL_K).select("page_id", "seen")
+
+
 @query("url_dedup", "WITH u AS (SELECT page_id AS ord, url FROM pages UNION ALL SELECT page_id + 1000000000, upper(url) || '/' FROM pages) SELECT regexp_replace(lower(url), '/+$', '') AS url, min(ord) AS first_ord, count(*) AS seen FROM u GROUP BY 1")
 def url_dedup(spark, d):
     p = table(spark, d, "pages")
@@ -425,6 +442,12 @@ def longest_palindrome(spark, d):
     return table(spark, d, "benchmark").select("item_id", X.longest_palindrome("text").alias("palindrome"))
 
 
+@query("longest_palindrome_documents")
+def longest_palindrome_documents(spark, d):
+    """Over whole documents; SQL would need every substring of them.  Tests compare with brute force."""
+    return docs(spark, d).select("doc_id", X.longest_palindrome("text").alias("palindrome"))
+
+
 # --- statistics and collection ----------------------------------------------------------------------------------------
 
 @query("lang_distribution", "SELECT lang, count(*) AS cnt, round(100.0 * count(*) / sum(count(*)) OVER (), 4) AS percent FROM documents GROUP BY lang")
@@ -503,10 +526,35 @@ def content_status(spark, d):
     return got.select("doc_id", "status")
 
 
+@query("union_merged", f"""WITH RECURSIVE {_sig_sql('documents', 'doc_id')}, {_BAND_SQL}, {_PAIR_SQL}, {_CLASS_SQL},
+e AS MATERIALIZED (SELECT a, b, row_number() OVER (ORDER BY sim DESC, a, b) AS r FROM (SELECT a, b, sim FROM pairs JOIN rep x ON x.id = a AND x.rep = a JOIN rep y ON y.id = b AND y.rep = b UNION ALL SELECT rep, id, 1.0 FROM rep WHERE rep <> id)),
+ends AS (SELECT list(i ORDER BY i) AS ids FROM (SELECT a AS i FROM e UNION SELECT b FROM e)),
+steps(r, label, a, b, merged) AS (SELECT CAST(0 AS BIGINT), ids, CAST(NULL AS BIGINT), CAST(NULL AS BIGINT), false FROM ends
+UNION ALL SELECT e.r, list_transform(s.label, lambda x: CASE WHEN x = s.label[list_position(ends.ids, e.b)] THEN s.label[list_position(ends.ids, e.a)] ELSE x END), e.a, e.b, s.label[list_position(ends.ids, e.a)] <> s.label[list_position(ends.ids, e.b)] FROM steps s JOIN e ON e.r = s.r + 1, ends)
+SELECT a, b, merged FROM steps WHERE r > 0""")
+def union_merged(spark, d):
+    """Similar pairs united one after the other, the most similar first: which of them join two sets."""
+    pairs = O.similar_pairs(_written_sigs(spark, d), SIMILAR, PERM, BANDS)
+    ordered = pairs.withColumn("at", F.struct((-F.col("sim")).alias("less"), "a", "b"))
+    return unions(ordered, "at").select("a", "b", "merged")
+
+
+@query("connected_pairs", f"""WITH RECURSIVE {_sig_sql('documents', 'doc_id')}, {_BAND_SQL}, {_PAIR_SQL}, {_CLUSTER_SQL}, p AS (SELECT doc_id AS a, lag(doc_id) OVER (PARTITION BY lang, substring(text, 1, 20) ORDER BY doc_id) AS b FROM documents)
+SELECT p.a, p.b, x.label = y.label AS connected FROM p JOIN clusters x ON x.id = p.a JOIN clusters y ON y.id = p.b""")
+def connected_pairs(spark, d):
+    """Whether a document is in one cluster with the one before it that begins alike."""
+    w = W.partitionBy("lang", F.substring("text", 1, 20)).orderBy("doc_id")
+    pairs = docs(spark, d).select(F.col("doc_id").alias("a"), F.lag("doc_id").over(w).alias("b")).where("b IS NOT NULL")
+    labels = O.near_duplicate_clusters(docs(spark, d), "text", _shingles, "doc_id", SIMILAR, PERM, BANDS)
+    return connected(pairs, labels).select("a", "b", "connected")
+
+
 @query("collector_counters", """WITH s AS (SELECT source, doc_id > min(doc_id) OVER (PARTITION BY md5(text)) AS dup FROM documents)
 SELECT source, count(*) FILTER (WHERE NOT dup) AS downloaded, count(*) FILTER (WHERE dup) AS skipped FROM s GROUP BY source""")
 def collector_counters(spark, d):
-    return exact_dedup(spark, d).join(docs(spark, d).select("doc_id", "source"), "doc_id").groupBy("source").agg(F.count_if(~F.col("dropped")).alias("downloaded"), F.count_if("dropped").alias("skipped"))
+    rows = O.first_of_equal(docs(spark, d).select("doc_id", "source", "text"), O.content_key(F.col("text")), "doc_id")
+    again = F.col("doc_id") > F.col("kept")
+    return rows.groupBy("source").agg(F.count_if(~again).alias("downloaded"), F.count_if(again).alias("skipped"))
 
 
 @query("metadata_upsert", "SELECT user_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events) WHERE r = 1")

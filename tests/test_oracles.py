@@ -36,4 +36,4 @@ def test_same_rows(spark, duck, name):
 
 
 def test_every_query_without_sql_is_a_known_one():
-    assert set(catalog.QUERIES) - set(catalog.ORACLES) == {"bpe_train", "bpe_train_documents", "bpe_pretokenized", "longest_repeat_of_documents", "minhash_accuracy"}
+    assert set(catalog.QUERIES) - set(catalog.ORACLES) == {"bpe_train", "bpe_train_documents", "bpe_pretokenized", "longest_palindrome_documents", "longest_repeat_of_documents", "minhash_accuracy"}
