@@ -18,7 +18,7 @@ from gleaner.operators import documents as D
 from gleaner.operators import layout as L
 from gleaner.operators.components import connected, unions
 from gleaner.operators.storage import shared_folder, written
-from gleaner.sources import files, html, labelstudio
+from gleaner.sources import files, html, labelstudio, layouts, versions
 from gleaner.sources.tables import table
 from gleaner.streaming import streams
 
@@ -769,6 +769,42 @@ def page_raster(spark, d):
     return D.page_raster(items, pages, 20, 10).select("page", "raster")
 
 
+def _layouts(spark, d) -> str:
+    """Layout documents of 500 orders each as JSON files: orders are pages, line items their tables, some of them without an area."""
+    b = boxes(spark, d).select("page", "ord", F.when(F.col("ord") == 4, F.col("x0")).otherwise(F.col("x1")).alias("x1"), "x0", "y0", "y1", F.when(F.col("label") != "A", F.col("label")).alias("label"))
+    t = F.struct(F.array("x1", "y0", "x0", "y1").alias("box"), F.col("ord").alias("rows"), F.col("label").alias("text"))
+    tables = b.groupBy("page").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", t.alias("t")))), lambda x: x["t"]).alias("tables"))
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("page")).join(tables, "page", "left")
+    page = F.struct((F.col("page") % 500 + 1).alias("number"), F.lit(595).alias("width"), F.lit(842).alias("height"), "tables")
+    files_ = o.groupBy(F.floor(F.col("page") / 500).alias("part")).agg(F.sort_array(F.collect_list(page)).alias("pages"))
+    path = shared_folder(spark, "layouts")
+    files_.select("part", F.to_json(F.struct("pages")).alias("value")).write.partitionBy("part").text(path)
+    return path
+
+
+@query("layout_scan", f"""WITH {_BOX_SQL}, t AS (SELECT page // 500 AS part, page % 500 + 1 AS number, x0, y0, x1, y1, ord AS row_count, nullif(label, 'A') AS text_content, row_number() OVER (PARTITION BY page ORDER BY ord) - 1 AS place FROM boxes WHERE ord <> 4)
+SELECT part, number AS page, place AS ord, x0, y0, x1, y1, row_count, text_content FROM t WHERE number BETWEEN 100 AND 300""")
+def layout_scan(spark, d):
+    """Tables on some pages of layout files; the page filter reaches the scan."""
+    found = layouts.scan(spark, _layouts(spark, d), suffix=".txt").where("page BETWEEN 100 AND 300 AND error IS NULL")
+    part = F.regexp_extract("file", "part=([0-9]+)", 1).cast("long")
+    return found.select(part.alias("part"), F.col("page").cast("long").alias("page"), F.col("ord").cast("long").alias("ord"), "x0", "y0", "x1", "y1", F.col("row_count").cast("long").alias("row_count"), "text_content")
+
+
+@query("versioned_store", "SELECT user_id, event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events) WHERE r = 1")
+def versioned_store(spark, d):
+    """A store that takes the first half of the events, then rows appended, then the upserted whole in place of them."""
+    versions.register(spark)
+    path = shared_folder(spark, "store")
+    e = table(spark, d, "events").select("user_id", "event_id", "event_type", "value")
+    stored = lambda: spark.read.format("versions").schema(e.schema).load(path)
+    save = lambda rows, mode: rows.write.format("versions").mode(mode).save(path)
+    save(C.upsert(e.where("event_id % 2 = 0"), "user_id", "event_id"), "append")
+    save(C.upsert(e.where("event_id % 2 = 1"), "user_id", "event_id"), "append")
+    save(C.upsert(stored(), "user_id", "event_id"), "overwrite")
+    return stored()
+
+
 @query("first_rows", "SELECT user_id, count(*) AS n FROM events GROUP BY 1 ORDER BY n DESC, user_id LIMIT 20")
 def first_rows(spark, d):
     return D.shown(table(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("n")), [F.desc("n"), F.col("user_id")])
