@@ -42,6 +42,8 @@ def content_key(text: Column) -> Column:
 
 def spread(rows: DataFrame) -> DataFrame:
     """The rows over all cores if their scan has fewer partitions (a single file is one); else as they are, without a shuffle."""
+    if rows.isStreaming:
+        return rows
     cores = rows.sparkSession.sparkContext.defaultParallelism
     return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
@@ -115,11 +117,21 @@ def greedy_near_duplicates(sigs: DataFrame, threshold: float | None = None, num_
     """Keeps, in order of id, every document that is similar to no document kept before; ``kept`` marks them.
 
     A copy of an earlier signature never stays: its first document stays, or went because of one that excludes the copy as well.
-    Only documents of one component can exclude each other.  Small components are judged in one task each.  Of large ones, rounds
-    keep the documents without an earlier undecided neighbour and drop the neighbours of those.
+    Only documents of one component can exclude each other (``excluded``).
     """
     reps, copies = signature_classes(sigs)
-    pairs, _ = written(class_pairs(reps, threshold, num_perm, num_bands).select("a", "b"), "pairs")
+    gone = excluded(class_pairs(reps, threshold, num_perm, num_bands).select("a", "b"))
+    gone = gone.unionAll(copies.select(F.col("b").alias("id"))).withColumn("gone", F.lit(True))
+    return sigs.select("id").join(gone, "id", "left").select("id", F.col("gone").isNull().alias("kept"))
+
+
+def excluded(pairs: DataFrame) -> DataFrame:
+    """(id) of what goes if, in order of the numbers, everything stays that is in no pair (a, b), a < b, with an ``a`` that stays.
+
+    Small components of the pairs are judged in one task each, large ones in rounds: who has no undecided one before it stays, and those
+    after it go.
+    """
+    pairs, _ = written(pairs, "pairs")
     labels = components(pairs)
     edges = pairs.join(labels, pairs["a"] == labels["id"]).select("label", "a", "b")
     small = edges.groupBy("label").count().where(F.col("count") <= GREEDY_LINKS).select("label")
@@ -142,8 +154,7 @@ def greedy_near_duplicates(sigs: DataFrame, threshold: float | None = None, num_
         gone = gone.unionAll(out)
         done = kept.select(F.col("a").alias("id")).unionAll(out)
         left, _ = written(left.join(done.withColumnRenamed("id", "a"), "a", "left_anti").join(done.withColumnRenamed("id", "b"), "b", "left_anti").select("a", "b"), "undecided")
-    gone = gone.unionAll(copies.select(F.col("b").alias("id"))).withColumn("gone", F.lit(True))
-    return sigs.select("id").join(gone, "id", "left").select("id", F.col("gone").isNull().alias("kept"))
+    return gone
 
 
 def query_index(queries: DataFrame, index: DataFrame, k: int | None = None, num_perm: int = 128, num_bands: int = 16) -> DataFrame:

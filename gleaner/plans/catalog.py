@@ -934,29 +934,33 @@ def first_seen_events(spark, d):
 
 @query("streaming_first_seen", "SELECT DISTINCT user_id, event_type FROM events")
 def streaming_first_seen(spark, d):
-    s = streams.first_seen(streams.read_table(spark, d, "events").select("user_id", "event_type"), ["user_id", "event_type"])
-    return streams.drain(s, "streaming_first_seen")
+    s = streams.in_files(table(spark, d, "events").select("event_id", "user_id", "event_type"), "event_id")
+    return streams.drain(streams.first_seen(s.select("user_id", "event_type"), ["user_id", "event_type"]), "first_seen")
 
 
 @query("streaming_windowed_counts", "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS cnt FROM events GROUP BY 1, 2")
 def streaming_windowed_counts(spark, d):
-    s = streams.windowed_counts(streams.read_table(spark, d, "events"), "ts", "event_type")
-    return streams.drain(s, "streaming_windowed_counts", "complete").select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "event_type", "cnt")
+    """Three batches by time; windows that a cut divides are counted on."""
+    e = table(spark, d, "events").withColumn("second", F.unix_timestamp(F.col("ts").cast("timestamp")))
+    s = streams.windowed_counts(streams.in_files(e, "second"), "ts", "event_type")
+    got = streams.drain(s, "windowed_counts", ["window_start", "event_type"])
+    return got.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "event_type", "cnt")
 
 
 @query("streaming_upsert", "SELECT user_id, event_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events) WHERE r = 1")
 def streaming_upsert(spark, d):
     path = shared_folder(spark, "upserted")
-    s = streams.read_table(spark, d, "events").select("user_id", "event_id", "event_type", "value")
+    s = streams.in_files(table(spark, d, "events").select("user_id", "event_id", "event_type", "value"), "event_id")
     streams.upsert_into(s, path, "user_id", "event_id", f"{path}-progress").awaitTermination()
-    return streams.stored(spark, path)
+    return streams.stored(spark, path, "user_id", "event_id")
 
 
 @query("streaming_near_dup", f"SELECT * FROM ({ORACLES['greedy_near_dup']}) WHERE kept")
 def streaming_near_dup(spark, d):
-    """All documents come in one batch here, so the rows are those of the greedy loop; tests use several batches."""
+    """Documents arrive in three batches, in order of their ids, so the rows are those of the greedy loop."""
     path = shared_folder(spark, "kept")
-    streams.keep_distinct(streams.read_table(spark, d, "documents").select("doc_id", "text"), path, f"{path}-progress", "text", _shingles, "doc_id", SIMILAR, PERM, BANDS).awaitTermination()
+    s = streams.in_files(docs(spark, d).select("doc_id", "text"), "doc_id")
+    streams.keep_distinct(s, path, f"{path}-progress", "text", _shingles, "doc_id", SIMILAR, PERM, BANDS).awaitTermination()
     return streams.stored(spark, path).select(F.col("id").alias("doc_id"), F.lit(True).alias("kept"))
 
 

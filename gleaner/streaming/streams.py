@@ -1,14 +1,29 @@
-"""Streaming forms of the incremental loops: deduplicated streams, an upserted store, windowed counts."""
+"""Streaming forms of the incremental loops: deduplicated streams, an upserted store, windowed counts, near duplicates."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from gleaner.functions import hashing as H
 from gleaner.operators import corpus
 from gleaner.operators.collect import upsert
-from gleaner.operators.storage import written
+from gleaner.operators.storage import shared_folder, written
+
+
+def in_files(rows: DataFrame, order: str, n: int = 3) -> DataFrame:
+    """A table as a stream of ``n`` batches by ranges of ``order``, the smallest first."""
+    path = shared_folder(rows.sparkSession, "arrivals")
+    cuts = rows.approxQuantile(order, [i / n for i in range(1, n)], 0.01)
+    part = sum((F.when(F.col(order) > c, 1).otherwise(0) for c in cuts), F.lit(0))
+    for i in range(n):
+        rows.where(part == i).coalesce(1).write.mode("append").parquet(path)
+    return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,62 +43,130 @@ def windowed_counts(stream: DataFrame, time: str, group: str, width: str = "1 ho
     return timed.groupBy(F.window(time, width).alias("w"), group).count().select(F.col("w.start").alias("window_start"), group, F.col("count").alias("cnt"))
 
 
-def drain(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Runs a stream over all input that is there and returns its result as a table."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
-
-
-def _newest(spark: SparkSession, path: str) -> int | None:
-    """Number of the newest whole version of a table of versions."""
+def _folder(spark: SparkSession, path: str):
+    """A path of the cluster's file systems, and the file system."""
     top = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(top):
-        return None
-    numbers = [int(n[1:]) for n in (s.getPath().getName() for s in fs.listStatus(top)) if n[:1] == "v" and n[1:].isdigit()]
-    return max((n for n in numbers if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/v{n}/_SUCCESS"))), default=None)
+    return top, top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def stored(spark: SparkSession, path: str) -> DataFrame | None:
-    """The newest version of a table that a stream keeps."""
-    n = _newest(spark, path)
-    return None if n is None else spark.read.parquet(f"{path}/v{n}")
+def batches(spark: SparkSession, path: str, but: str | None = None) -> list[str]:
+    """Folders of a table's whole batches, ``but`` one."""
+    top, fs = _folder(spark, path)
+    if not fs.exists(top):
+        return []
+    names = sorted(s.getPath().getName() for s in fs.listStatus(top) if s.isDirectory())
+    whole = lambda n: fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{n}/_SUCCESS"))
+    return [f"{path}/{n}" for n in names if n != but and not n.startswith(("_", ".")) and whole(n)]
 
 
-def _keep(stream: DataFrame, path: str, checkpoint: str, merge):
-    """Each batch writes a new version from the newest one and itself; a table that is there already goes on.
+def add_batches(stream: DataFrame, path: str, checkpoint: str, make=None, mode: str = "append"):
+    """Runs a stream over all input that is there; every batch adds a folder to the table and touches no other.
 
-    ``merge`` must give the same table if a batch comes again after a failure.
+    The folder is named by the stream's identity and the batch's number: a batch that comes again after a failure replaces its own
+    folder, another stream's batches lie beside.  ``make(rows, name)`` gives what a batch adds, the rows themselves without it.
     """
 
     def batch(rows: DataFrame, number: int) -> None:
         spark = rows.sparkSession
-        n = _newest(spark, path)
-        merge(None if n is None else spark.read.parquet(f"{path}/v{n}"), rows).write.mode("overwrite").parquet(f"{path}/v{0 if n is None else n + 1}")
+        meta, fs = _folder(spark, f"{checkpoint}/metadata")
+        name = f"{spark.read.text(meta.toString()).first()[0].split('"')[3]}-{number:010d}"
+        (rows if make is None else make(rows, name)).withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/{name}")
 
-    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.foreachBatch(batch).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def stored(spark: SparkSession, path: str, key: str | None = None, order: str | None = None) -> DataFrame | None:
+    """All rows of a table of batches; with ``key`` the last row by ``order`` of each.  None before the first batch."""
+    known = batches(spark, path)
+    if not known:
+        return None
+    rows = spark.read.parquet(*known)
+    return rows.drop("batch") if key is None else upsert(rows.drop("batch").distinct(), key, order)
+
+
+def drain(stream: DataFrame, name: str, keys: list[str] | None = None) -> DataFrame:
+    """Runs a stream over all input that is there and returns its result as a written table.
+
+    With ``keys`` the stream gives updates, and the last one of each key counts.
+    """
+    path = shared_folder(stream.sparkSession, name)
+    add_batches(stream, path, f"{path}-progress", mode="append" if keys is None else "update").awaitTermination()
+    known = batches(stream.sparkSession, path)
+    rows = stream.sparkSession.read.parquet(*known) if known else stream.sparkSession.createDataFrame([], stream.schema.add("batch", "int"))
+    if keys is None:
+        return rows.drop("batch")
+    values = [c for c in stream.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("_last")).select(*keys, "_last.*")
 
 
 def upsert_into(stream: DataFrame, path: str, key: str, order: str, checkpoint: str):
-    """Keeps the last row of every key."""
-    return _keep(stream, path, checkpoint, lambda old, rows: upsert(rows if old is None else old.unionByName(rows).distinct(), key, order))
+    """Keeps the last row of every key: a batch adds its own last rows, ``stored`` with the key takes the last of all."""
+    return add_batches(stream, path, checkpoint, lambda rows, _: upsert(rows.distinct(), key, order))
+
+
+class Buckets(StatefulProcessor):
+    """State of one bucket of one band: the different signatures that came into it.  Gives each new one's similar ones before it."""
+
+    def __init__(self, threshold: float, num_perm: int):
+        self.threshold, self.num_perm = threshold, num_perm
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.members = handle.getListState("members", "id long, mark long, sig binary")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+        new = pd.concat(list(rows)).drop_duplicates(["id", "mark"]).sort_values(["id", "mark"])
+        held = list(self.members.get()) if self.members.exists() else []
+        docs = [(h[0], h[1]) for h in held]
+        signs = np.frombuffer(b"".join(bytes(h[2]) for h in held), np.uint32).reshape(-1, self.num_perm)
+        known, pairs, fresh = set(docs), [], []
+        for id, mark, sig in zip(new["id"].tolist(), new["mark"].tolist(), new["sig"]):
+            if (id, mark) in known:
+                continue  # the same document came before
+            own = np.asarray(sig, np.int64).astype(np.uint32)
+            # a share of equal values, as the similarity of whole signatures
+            share = (signs == own).sum(1) / self.num_perm
+            pairs += [(id, mark, *docs[o]) for o in np.flatnonzero(share >= self.threshold).tolist()]
+            if not (share == 1).any():
+                # copies of a signature never stay, so nothing is held against them
+                docs.append((id, mark))
+                signs = np.vstack([signs, own])
+                fresh.append((id, mark, own.tobytes()))
+        if fresh:
+            self.members.appendList(fresh)
+        # one band also tells which documents there are
+        pairs += [x * 2 for x in zip(new["id"].tolist(), new["mark"].tolist())] if key[0] == 0 else []
+        yield pd.DataFrame(pairs, columns=["id", "mark", "other", "other_mark"], dtype="int64")
+
+    def close(self) -> None:
+        pass
 
 
 def keep_distinct(stream: DataFrame, path: str, checkpoint: str, text: str, shingles, id: str = "doc_id", threshold: float | None = None, num_perm: int = 128, num_bands: int = 16):
-    """Keeps (id, sig) of documents that are similar to none kept before: earlier batches first, then smaller ids.
+    """Keeps the ids of documents that are similar to none kept before: earlier batches first, then smaller ids.
 
-    Every batch is held against the store by its buckets, so of the store only rows in the batch's buckets are compared.
+    Signatures are state by band and bucket, so a batch meets those in its own buckets only.  What a batch finds are the similar pairs of
+    its documents with earlier ones; of these, links with documents that stayed decide at once, and those inside the batch in order.  A
+    batch adds its kept ids to the table and rewrites nothing.  A document whose id is kept already is passed over; a mark of its
+    signature tells documents with one id apart.  Of those of one batch, one counts.  Documents without an id aren't kept.
     """
-
-    def merge(old: DataFrame | None, rows: DataFrame) -> DataFrame:
-        sigs, _ = written(corpus.signatures(rows, text, shingles, id, num_perm), "signatures")
-        if old is not None:
-            least = H.band_threshold(num_perm, num_bands) if threshold is None else threshold
-            known = corpus.query_index(sigs, old, None, num_perm, num_bands).where(F.col("sim") >= least).select(F.col("query_id").alias("id"))
-            sigs, _ = written(sigs.join(known.distinct(), "id", "left_anti").join(old.select("id"), "id", "left_anti"), "signatures")
-        kept = corpus.greedy_near_duplicates(sigs, threshold, num_perm, num_bands).where("kept").select("id")
-        new = sigs.join(kept, "id", "left_semi")
-        return new if old is None else old.unionByName(new)
-
-    return _keep(stream, path, checkpoint, merge)
+    spark = stream.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    least = H.band_threshold(num_perm, num_bands) if threshold is None else threshold
+    cut = corpus.bands(corpus.signatures(stream, text, shingles, id, num_perm).where("id IS NOT NULL"), num_perm, num_bands)
+    cut = cut.withColumn("mark", F.xxhash64("sig"))
+    found = cut.groupBy("band", "bucket").transformWithStateInPandas(Buckets(least, num_perm), "id long, mark long, other long, other_mark long", "append", "none")
+
+    def decide(rows: DataFrame, name: str) -> DataFrame:
+        pairs, _ = written(rows.distinct(), "similar")
+        known = batches(rows.sparkSession, path, but=name)
+        before = rows.sparkSession.read.parquet(*known).select("id", "mark") if known else rows.sparkSession.createDataFrame([], "id long, mark long")
+        itself = (F.col("id") == F.col("other")) & (F.col("mark") == F.col("other_mark"))
+        new = pairs.where(itself).groupBy("id").agg(F.min("mark").alias("mark")).join(before, "id", "left_anti")
+        links = pairs.where(~itself)
+        of_other = lambda docs: docs.withColumnsRenamed({"id": "other", "mark": "other_mark"})
+        gone = links.join(of_other(before), ["other", "other_mark"], "left_semi").select("id", "mark").distinct()
+        open_, _ = written(new.join(gone, ["id", "mark"], "left_anti"), "open")
+        inside = links.join(open_, ["id", "mark"], "left_semi").join(of_other(open_), ["other", "other_mark"], "left_semi")
+        return open_.join(corpus.excluded(inside.select(F.col("other").alias("a"), F.col("id").alias("b"))), "id", "left_anti")
+
+    return add_batches(found, path, checkpoint, decide)

@@ -167,24 +167,84 @@ def test_streams_go_on_from_what_is_stored(spark, tmp_path):
     streams.upsert_into(read(), f"{tmp_path}/t", "k", "o", f"{tmp_path}/c").awaitTermination()
     spark.createDataFrame([(1, "z", 2), (3, "c", 2)], "k long, v string, o long").write.mode("append").parquet(str(source))
     streams.upsert_into(read(), f"{tmp_path}/t", "k", "o", f"{tmp_path}/c").awaitTermination()
-    assert sorted(tuple(r) for r in streams.stored(spark, f"{tmp_path}/t").collect()) == [(1, "z", 2), (2, "b", 1), (3, "c", 2)]
+    assert sorted(tuple(r) for r in streams.stored(spark, f"{tmp_path}/t", "k", "o").collect()) == [(1, "z", 2), (2, "b", 1), (3, "c", 2)]
     # without its progress the stream starts at batch 0, and the table goes on all the same
     streams.upsert_into(read(), f"{tmp_path}/t", "k", "o", f"{tmp_path}/other").awaitTermination()
-    assert sorted(tuple(r) for r in streams.stored(spark, f"{tmp_path}/t").collect()) == [(1, "z", 2), (2, "b", 1), (3, "c", 2)]
+    assert sorted(tuple(r) for r in streams.stored(spark, f"{tmp_path}/t", "k", "o").collect()) == [(1, "z", 2), (2, "b", 1), (3, "c", 2)]
 
 
 def test_stream_of_near_duplicates(spark, tmp_path):
     rng = random.Random(6)
     base = [" ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(60)) for _ in range(4)]
     batches = [[(10, base[0]), (11, base[1]), (12, base[0])], [(3, base[1]), (4, base[2]), (5, base[2] + " more")], [(20, base[3]), (21, None)]]
-    source = tmp_path / "in"
+    source, held = tmp_path / "in", {}
     for b in batches:
         spark.createDataFrame(b, "doc_id long, text string").write.mode("append").parquet(str(source))
         stream = spark.readStream.schema("doc_id long, text string").parquet(str(source))
         streams.keep_distinct(stream, f"{tmp_path}/t", f"{tmp_path}/c", "text", lambda c: X.word_shingles(c, 3), threshold=0.7).awaitTermination()
+        # one folder a batch, the others stay as they are
+        now = {p.name: p.stat().st_mtime_ns for p in (tmp_path / "t").rglob("*.parquet")}
+        assert len(list((tmp_path / "t").iterdir())) == batches.index(b) + 1 and all(now[k] == v for k, v in held.items())
+        held = now
     assert sorted(r["id"] for r in streams.stored(spark, f"{tmp_path}/t").collect()) == [4, 10, 11, 20, 21]
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_batches_of_near_duplicates_equal_the_loop(spark, tmp_path, seed):
+    """Chains of similar texts in random order, copies, ids that come again; decided one after the other."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    texts = []
+    for _ in range(6):
+        w = [word() for _ in range(60)]
+        for _ in range(rng.randint(2, 9)):
+            texts.append(" ".join(w))
+            w[rng.randrange(60)] = word()
+            w[rng.randrange(60)] = rng.choice([word(), w[0]])
+    texts += texts[::4] + ["", None, "one two"]
+    rng.shuffle(texts)
+    ids = rng.sample(range(1000), len(texts))
+    rows = list(zip(ids, texts)) + [(ids[0], "another text with an id that was there")]
+    cuts = [0, len(rows) // 3, len(rows) // 2, len(rows)]
+    sigs = {}
+    for r in O.signatures(spark.createDataFrame([(i, t) for i, t in enumerate(t for _, t in rows)], "doc_id long, text string"), "text", lambda c: X.word_shingles(c, 3)).collect():
+        sigs[r["id"]] = r["sig"]
+    kept = []
+    for a, b in zip(cuts, cuts[1:]):
+        for n in sorted(range(a, b), key=lambda n: rows[n][0]):
+            share = lambda o: sum(x == y for x, y in zip(sigs[n], sigs[o])) / 128  # noqa: B023, E731
+            bucket = lambda o: any(sigs[n][k : k + 8] == sigs[o][k : k + 8] for k in range(0, 128, 8))  # noqa: B023, E731
+            if rows[n][0] not in {rows[o][0] for o in kept} and not any(bucket(o) and share(o) >= 0.6 for o in kept):
+                kept.append(n)
+    source = tmp_path / "in"
+    for a, b in zip(cuts, cuts[1:]):
+        spark.createDataFrame(rows[a:b], "doc_id long, text string").coalesce(1).write.mode("append").parquet(str(source))
+    stream = spark.readStream.schema("doc_id long, text string").option("maxFilesPerTrigger", 1).parquet(str(source))
+    streams.keep_distinct(stream, f"{tmp_path}/t", f"{tmp_path}/c", "text", lambda c: X.word_shingles(c, 3), threshold=0.6).awaitTermination()
+    assert sorted(r["id"] for r in streams.stored(spark, f"{tmp_path}/t").collect()) == sorted(rows[n][0] for n in kept)
+
+
+def arriving(spark, path, batches, schema):
+    for b in batches:
+        spark.createDataFrame(b, schema).coalesce(1).write.mode("append").parquet(str(path))
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(path))
+
+
+def test_windows_are_counted_over_batches_and_late_rows_go(spark, tmp_path):
+    batches = [[("2024-01-01 10:10:00", "a"), ("2024-01-01 10:50:00", "a")], [("2024-01-01 10:59:00", "a"), ("2024-01-01 14:00:00", "b")], [("2024-01-01 14:10:00", "b")], [("2024-01-01 10:20:00", "a"), ("2024-01-01 14:30:00", "b"), (None, "a")]]
+    counts = streams.windowed_counts(arriving(spark, tmp_path / "in", batches, "ts string, g string"), "ts", "g")
+    got = {(str(r["window_start"])[11:13], r["g"]): r["cnt"] for r in streams.drain(counts, "counts", ["window_start", "g"]).collect()}
+    # the watermark after the second batch (13:00) has passed the window of 10 o'clock when the fourth one's row comes
+    assert got == {("10", "a"): 3, ("14", "b"): 3}
+
+
+def test_first_seen_with_a_watermark(spark, tmp_path):
+    batches = [[("2024-01-01 10:00:00", "a"), ("2024-01-01 10:00:00", "a")], [("2024-01-01 10:30:00", "a"), ("2024-01-01 20:00:00", "b")], [("2024-01-01 20:05:00", "b")], [("2024-01-01 20:10:00", "a"), ("2024-01-01 20:20:00", "b"), ("2024-01-01 09:00:00", "c")]]
+    seen = streams.first_seen(arriving(spark, tmp_path / "in", batches, "ts string, g string"), ["g"], "ts")
+    # the second a was forgotten by then, c is too late
+    assert sorted((r["g"], str(r["ts"])[11:16]) for r in streams.drain(seen, "seen").collect()) == [("a", "10:00"), ("a", "20:10"), ("b", "20:00")]
+
+
 def test_pages_without_items_and_numbers_out_of_range(spark):
     pages = spark.createDataFrame([("f", 1, None, None), ("f", 2, 300.0, 400.0)], "file string, page int, width double, height double")
     box = "file string, page int, ord int, x0 double, y0 double, x1 double, y1 double"
