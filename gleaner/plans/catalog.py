@@ -204,10 +204,11 @@ def minhash_accuracy(spark, d):
     return O.accuracy_study(t, "text", _shingles, F.floor(F.col("doc_id") / 2), "doc_id", [16, 64], range(2))
 
 
-@query("lsh_probability", "SELECT s / 20.0 AS similarity, round(1 - pow(1 - pow(s / 20.0, 8), 16), 9) AS probability FROM range(1, 21) r(s)")
+@query("lsh_probability", f"SELECT a, b, round(1 - pow(1 - pow(jaccard, 8), 16), 6) AS probability FROM ({ORACLES['jaccard_pairs']})")
 def lsh_probability(spark, d):
-    s = F.col("id") / 20.0
-    return spark.range(1, 21).select(s.cast("double").alias("similarity"), F.round(1 - F.pow(1 - F.pow(s, F.lit(8)), F.lit(16)), 9).alias("probability"))
+    """How likely it is that neighbouring documents, by their exact similarity, share a bucket."""
+    s = F.col("jaccard")
+    return jaccard_pairs(spark, d).select("a", "b", F.round(1 - F.pow(1 - F.pow(s, F.lit(8)), F.lit(16)), 6).alias("probability"))
 
 
 # --- Bloom ------------------------------------------------------------------------------------------------------------
@@ -423,17 +424,29 @@ def vocab_words(spark, d):
     return _vocab(spark, d)
 
 
-PIECES = ["un", "##able", "play", "##ing", "##er", "th", "##e", "##at", "##in", "##re", "##th", "##on", "o", "##f", "an", "##d", "##s", "a", "##n", "i"]
+#: Words and endings that the vocabulary takes from the documents, besides all their letters.
+MOST_PIECES = 2000
 
 
-@query("wordpiece_tokens", f"""WITH RECURSIVE v AS (SELECT unnest([{", ".join(f"'{p}'" for p in PIECES)}]) AS p),
-w AS (SELECT w, count(*) AS cnt FROM (SELECT unnest({S_WORDS.format('lower(text)')}) AS w FROM conversations) GROUP BY w),
-t(w, here, pieces) AS (SELECT w, CAST(1 AS BIGINT), CAST([] AS VARCHAR[]) FROM w UNION ALL
-SELECT t.w, t.here + length(p) - CASE WHEN t.here > 1 THEN 2 ELSE 0 END, list_append(pieces, p) FROM t JOIN LATERAL (SELECT p FROM v WHERE (t.here = 1) <> starts_with(p, '##') AND starts_with(substring(t.w, t.here), CASE WHEN t.here > 1 THEN substring(p, 3) ELSE p END) ORDER BY length(p) DESC LIMIT 1) ON true WHERE t.here <= length(t.w))
-SELECT w.w AS word, cnt, coalesce(array_to_string(pieces, ' '), '[UNK]') AS pieces FROM w LEFT JOIN t ON t.w = w.w AND t.here > length(w.w)""")
+@query("wordpiece_tokens", f"""WITH RECURSIVE f AS MATERIALIZED (SELECT w, count(*) AS cnt FROM (SELECT unnest({S_WORDS.format('lower(text)')}) AS w FROM documents) GROUP BY w),
+v AS MATERIALIZED (SELECT p FROM (SELECT w AS p FROM f WHERE length(w) < 20 ORDER BY cnt DESC, w LIMIT {MOST_PIECES}) UNION SELECT p FROM (SELECT '##' || substring(w, -3) AS p FROM f WHERE length(w) > 3 GROUP BY 1 ORDER BY sum(cnt) DESC, 1 LIMIT {MOST_PIECES})
+UNION SELECT substring(w, i, 1) FROM f, range(1, 20) r(i) WHERE i <= length(w) UNION SELECT '##' || substring(w, i, 1) FROM f, range(1, 20) r(i) WHERE i <= length(w)),
+c AS MATERIALIZED (SELECT w, count(*) AS cnt FROM (SELECT unnest({S_WORDS.format('lower(text)')}) AS w FROM conversations) GROUP BY w),
+m AS MATERIALIZED (SELECT w, i, max(k) AS k FROM (SELECT w, i, k, CASE WHEN i > 1 THEN '##' ELSE '' END || substring(w, i, k) AS p FROM (SELECT w, unnest(range(1, length(w) + 1)) AS i FROM c), range(1, 20) r(k) WHERE i + k <= length(w) + 1) JOIN v USING (p) GROUP BY w, i),
+t(w, here, pieces) AS (SELECT w, CAST(1 AS BIGINT), CAST([] AS VARCHAR[]) FROM c UNION ALL
+SELECT t.w, t.here + m.k, list_append(t.pieces, CASE WHEN t.here > 1 THEN '##' ELSE '' END || substring(t.w, t.here, m.k)) FROM t JOIN m ON m.w = t.w AND m.i = t.here)
+SELECT c.w AS word, cnt, coalesce(array_to_string(pieces, ' '), '[UNK]') AS pieces FROM c LEFT JOIN t ON t.w = c.w AND t.here > length(c.w)""")
 def wordpiece_tokens(spark, d):
+    """The words of conversations in pieces: frequent words and endings of the documents, and their letters."""
+    f = docs(spark, d).select(F.explode(X.words(F.lower("text"))).alias("w")).groupBy("w").agg(F.count("*").alias("cnt"))
+    f, _ = written(f, "frequencies")
+    whole = f.where("length(w) < 20").orderBy(F.desc("cnt"), "w").limit(MOST_PIECES).select(F.col("w").alias("p"))
+    ends = f.where("length(w) > 3").groupBy(F.concat(F.lit("##"), F.substring("w", -3, 3)).alias("p")).agg(F.sum("cnt").alias("cnt")).orderBy(F.desc("cnt"), "p").limit(MOST_PIECES).select("p")
+    letters = f.select(F.explode(X.characters(F.substring("w", 1, 19))).alias("p")).distinct()
+    vocab = whole.union(ends).union(letters).union(letters.select(F.concat(F.lit("##"), "p"))).distinct()
     words = table(spark, d, "conversations").select(F.explode(X.words(F.lower("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("cnt"))
-    return words.select("word", "cnt", F.array_join(O.wordpiece(F.col("word"), PIECES), " ").alias("pieces"))
+    # a few thousand pieces, bounded by the parameter and the alphabet
+    return words.select("word", "cnt", F.array_join(O.wordpiece(F.col("word"), [r[0] for r in vocab.collect()]), " ").alias("pieces"))
 
 
 @query("longest_palindrome", """WITH p AS (SELECT item_id, text, unnest(range(1, length(text) + 1)) AS i FROM benchmark), q AS (SELECT item_id, i, k, substring(text, i, k) AS s FROM (SELECT *, unnest(range(1, length(text) - i + 2)) AS k FROM p)),

@@ -256,3 +256,10 @@ def test_one_large_box_among_small_ones_stays_linear(spark):
     assert plan.where("j = 5000").select("i").distinct().count() == 3000
     shares = small.selectExpr("page", "ord", "x0 / 3025 AS x0", "y0 / 3025 AS y0", "x1 / 3025 AS x1", "y1 / 3025 AS y1")
     assert L.overlapping(shares, ["page"], "ord").count() == 0
+
+
+# --- vocabularies -----------------------------------------------------------------------------------------------------
+
+def test_vocabulary_tree():
+    tree = O.vocabulary_tree(["an", "and", "ant", "b", "", "abcdefgh"], depth=3)
+    assert tree.split("\n") == ["a", "  b", "    c", "  n*", "    d*", "    t*", "b*"]
