@@ -1,10 +1,14 @@
 """Toxicity: a linear-chain conditional random field tags toxic spans; its marginals give document scores.
 
-Tokens are words of letters, ASCII lower-cased.  Token labels for learning come from labelled documents: a word is evidence
-of toxicity if the distinct contexts (neighbours) in which it stands are mostly in toxic documents, so that copies of one
-document count once.  The two-state chain has hashed features of the word and its two neighbours, is fitted by
-exact likelihood (forward-backward) on windows of labelled tokens, and tags whole documents.  A logistic layer on the
-marginals (largest, expected number) turns them into a document score.
+Tokens are words of letters, ASCII lower-cased.  The two-state chain has hashed features of the word and its two neighbours
+and is fitted by exact likelihood (forward-backward) on windows of tokens around all evidence, and one at a fixed place of each
+document; it tags whole documents.  Tokens have no labels of their own.  A word is evidence of toxicity if the distinct contexts
+(neighbours) in which it stands are mostly in toxic documents, so that copies of one document count once.  All tokens of a
+clean document are labelled 0, evidence included, so that the words around it can decide; evidence in a toxic document is
+labelled 1.  A toxic document without evidence only says that at least one of its tokens is 1, unless its label is wrong
+(chance ``NOISE``); its gradient comes from the probability that all are 0.  A logistic layer on the marginals (probability
+of no toxic token, expected number, expected share of the text) turns them into a document score; there both labels weigh the
+same in total, however rare toxic documents are.
 
 Bounded parameters: ``toxic_rows`` and ``clean_rows``, the labelled documents that fit the model (of rows that repeat an id one
 counts).  Whole texts count everywhere.
@@ -34,6 +38,8 @@ BUCKETS = 1 << 16
 LANES = 512
 #: Marginal probability from which a token belongs to a reported span.
 SPAN_FROM = 0.5
+#: Chance that a document's label is wrong.
+NOISE = 0.02
 WORD_BYTE = np.zeros(256, bool)
 WORD_BYTE[[*range(65, 91), *range(97, 123), *range(128, 256), 39]] = True
 
@@ -81,13 +87,12 @@ class Model:
         return chain_marginals(e, opens, self.chain, self.first)
 
     def document_features(self, p: np.ndarray, at: np.ndarray) -> np.ndarray:
-        n = len(at) - 1
-        most = np.zeros(n)
-        own = X.doc_of(at)
-        np.maximum.at(most, own, p)
+        """Per document: 1, minus the log-probability of no toxic token, their expected number, and their share, damped for short texts."""
+        n, own = len(at) - 1, X.doc_of(at)
         strong = np.where(p > 0.05, p, 0.0)
         expected = np.bincount(own, strong, minlength=n)
-        return np.column_stack([np.ones(n), most, np.log1p(expected), np.minimum(expected, 3.0)])
+        none = np.bincount(own, -np.log1p(-np.minimum(strong, 1 - 1e-6)), minlength=n)
+        return np.column_stack([np.ones(n), np.minimum(none, 6.0), np.minimum(expected, 3.0), 100 * expected / (np.diff(at) + 100)])
 
     def scores(self, p: np.ndarray, at: np.ndarray) -> np.ndarray:
         if not self.lexicon:
@@ -158,7 +163,7 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(h[one].view(np.int64)), pa.array(context[one].view(np.int64)), pa.array(toxic[one])], ["word", "context", "toxic"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = 3000, clean_rows: int = 5000, least_contexts: int = 4) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = 3000, clean_rows: int = 5000, least_contexts: int = 3) -> Model:
     """``labels``: doc_id and toxic of the rows to learn from."""
     zero = np.zeros(BUCKETS)
     model = Model(zero, zero.copy(), zero.copy(), -6.0, np.zeros((2, 2)), np.zeros(2), np.zeros(4))
@@ -173,9 +178,9 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = 3000, clean_rows:
     if not totals[0]:
         return model
     share = totals[0] / totals[1]
-    z2 = 1.96**2
+    # one standard error below the share of toxic contexts (Wilson): enough to start from, the likelihood decides
     p, n = F.col("bad") / F.col("all"), F.col("all")
-    low = (p + z2 / (2 * n) - 1.96 * F.sqrt((p * (1 - p) + z2 / (4 * n)) / n)) / (1 + z2 / n)
+    low = (p + 1 / (2 * n) - F.sqrt((p * (1 - p) + 1 / (4 * n)) / n)) / (1 + 1 / n)
     seeds = counts.where((F.col("bad") >= least_contexts) & (low > 0.5 + 0.5 * share))
     lexicon = np.array([r[0] for r in seeds.select("word").collect()], np.int64).view(X.U64)
     model.lexicon = len(lexicon)
@@ -183,7 +188,8 @@ def fit(docs: DataFrame, labels: DataFrame, toxic_rows: int = 3000, clean_rows:
         return model
     lexicon = np.sort(lexicon)
     got = sorted((r[0], r[1], bytes(r[2])) for r in texts.transform(X.arrow, _windows(lexicon), "doc_id long, y int, words binary").collect())
-    _likelihood(model, [np.frombuffer(w, X.U64) for _, _, w in got], lexicon)
+    _, owners = np.unique([g[0] for g in got], return_inverse=True)
+    _likelihood(model, [np.frombuffer(w, X.U64) for _, _, w in got], owners, np.array([g[1] for g in got]), lexicon)
     _layer(model, texts)
     return model
 
@@ -212,16 +218,25 @@ def _windows(lexicon: np.ndarray, width: int = 24):
     return run
 
 
-def _likelihood(model: Model, windows: list[np.ndarray], lexicon: np.ndarray, steps: int = 120, rate: float = 0.3, l2: float = 1e-4) -> None:
-    """Adam on the mean log-likelihood of the labelled windows."""
+def _likelihood(model: Model, windows: list[np.ndarray], owners: np.ndarray, toxic: np.ndarray, lexicon: np.ndarray, steps: int = 120, rate: float = 0.3, l2: float = 1e-4) -> None:
+    """Adam on the mean log-likelihood of the windows' token labels; from half of the steps on, toxic documents without evidence take part.
+
+    ``owners`` numbers the document of each window from 0, ``toxic`` is that document's label.
+    """
     h = np.concatenate(windows)
-    at = np.append(0, np.cumsum([len(w) for w in windows]))
-    y = np.isin(h, lexicon).astype(float)
+    sizes = [len(w) for w in windows]
+    at = np.append(0, np.cumsum(sizes))
+    owner = np.repeat(owners, sizes)
+    bad = np.zeros(owners.max() + 1, bool)
+    bad[owners] = toxic == 1
+    y = (np.isin(h, lexicon) & bad[owner]).astype(float)
     before, after = (buckets(x) for x in neighbours(h, at))
     word = buckets(h)
     opens = np.zeros(len(h), bool)
     opens[at[:-1]] = True
-    inner = np.flatnonzero(~opens)
+    inner, begin = np.flatnonzero(~opens), at[:-1]
+    unmarked = (bad & (np.bincount(owner, y) == 0))[owner]
+    real, all_0 = pair_table(y[inner - 1], y[inner], y[inner - 1] * y[inner]), np.array([[1.0], [0], [0], [0]])
     parts = [model.word, model.before, model.after]
     state = [np.zeros((2, BUCKETS)) for _ in range(3)] + [np.zeros((2, 1)), np.zeros((2, 4)), np.zeros((2, 2))]
     seen = [np.bincount(i, minlength=BUCKETS) > 0 for i in (word, before, after)]
@@ -229,14 +244,17 @@ def _likelihood(model: Model, windows: list[np.ndarray], lexicon: np.ndarray, st
     for step in range(1, steps + 1):
         e = model.word[word] + model.before[before] + model.after[after] + model.bias
         p = chain_marginals(e, opens, model.chain, model.first)
-        pair = _pair_marginals(e, p, inner, model.chain)
+        pairs = pair_marginals(p[inner - 1], p[inner], model.chain)
         g = p - y
+        tables = pairs - real
+        if step > steps // 2:
+            weight = document_weights(none_toxic(p, pairs, begin, inner, owner))[owner]
+            g = np.where(unmarked, weight * p, g)
+            tables = np.where(unmarked[inner], weight[inner] * (pairs - all_0), tables)
         grads = [(np.bincount(i, g, minlength=BUCKETS) * scale + l2 * w) * on for i, w, on in zip((word, before, after), parts, seen)]
         grads.append(np.array([g.sum() * scale]))
-        real = np.array([((1 - y[inner - 1]) * (1 - y[inner])).sum(), ((1 - y[inner - 1]) * y[inner]).sum(), (y[inner - 1] * (1 - y[inner])).sum(), (y[inner - 1] * y[inner]).sum()])
-        grads.append((pair - real) * scale + l2 * model.chain.ravel())
-        begin = np.flatnonzero(opens)
-        grads.append(np.array([-(p[begin] - y[begin]).sum(), (p[begin] - y[begin]).sum()]) * scale + l2 * model.first)
+        grads.append(tables.sum(1) * scale + l2 * model.chain.ravel())
+        grads.append(np.array([-g[begin].sum(), g[begin].sum()]) * scale + l2 * model.first)
         moves = []
         for s, grad in zip(state, grads):
             s[0] = 0.9 * s[0] + 0.1 * grad
@@ -249,19 +267,41 @@ def _likelihood(model: Model, windows: list[np.ndarray], lexicon: np.ndarray, st
         model.first -= moves[5]
 
 
-def _pair_marginals(e: np.ndarray, p: np.ndarray, inner: np.ndarray, chain: np.ndarray) -> np.ndarray:
-    """Expected numbers of the four transitions, from neighbouring marginals and the chain's potentials.
+def pair_table(a: np.ndarray, b: np.ndarray, both: np.ndarray) -> np.ndarray:
+    """Probabilities of 00, 01, 10 and 11 (rows) of neighbours that are 1 with ``a`` and ``b``, and together with ``both``."""
+    return np.stack([1 - a - b + both, b - both, a - both, both])
+
+
+def pair_marginals(a: np.ndarray, b: np.ndarray, chain: np.ndarray) -> np.ndarray:
+    """The pair table of neighbouring tokens from their single marginals.
+
+    The messages from both sides multiply rows and columns of the potentials, so the table keeps the potentials' odds ratio;
+    with the two margins that leaves one root of a quadratic equation.
+    """
+    ratio = np.exp(chain[0, 0] + chain[1, 1] - chain[0, 1] - chain[1, 0])
+    x = 1 + (a + b) * (ratio - 1)
+    root = np.sqrt(np.maximum(x * x - 4 * ratio * (ratio - 1) * a * b, 0))
+    # x can only be negative if the ratio is below 1; the other form of the root has no cancellation there
+    both = np.where(x > 0, 2 * ratio * a * b / np.maximum(x + root, 1e-300), (x - root) / (2 * min(ratio - 1, -1e-300)))
+    return np.maximum(pair_table(a, b, np.minimum(both, np.minimum(a, b))), 0)
+
+
+def none_toxic(p: np.ndarray, pairs: np.ndarray, begin: np.ndarray, inner: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Log-probability of each document that all tokens of its windows are 0."""
+    least = 1e-12
+    first = np.log1p(-np.minimum(p[begin], 1 - least))
+    rest = np.log1p(-np.minimum(pairs[1] / np.maximum(pairs[0] + pairs[1], 1e-300), 1 - least))
+    return np.bincount(owner[begin], first, minlength=owner.max() + 1) + np.bincount(owner[inner], rest, minlength=owner.max() + 1)
+
 
-    Given the two single marginals, the pair's table is found by iterative scaling of the potentials.
+def document_weights(none: np.ndarray) -> np.ndarray:
+    """The factor of each toxic document's expected features in the gradient of minus its label's log-likelihood.
+
+    With q the probability that all tokens are 0, the label has (1 - NOISE) (1 - q) + NOISE q.  That depends on the parameters
+    through log q alone, whose gradient is the features of the all-0 sequence less the expected ones.
     """
-    a, b = p[inner - 1], p[inner]
-    t = np.exp(chain)
-    table = np.broadcast_to(t, (len(inner), 2, 2)).copy()
-    rows, cols = np.stack([1 - a, a], 1), np.stack([1 - b, b], 1)
-    for _ in range(8):
-        table *= (rows / np.maximum(table.sum(2), 1e-300))[:, :, None]
-        table *= (cols / np.maximum(table.sum(1), 1e-300))[:, None, :]
-    return table.sum(0).ravel()
+    q, some = np.exp(none), -np.expm1(none)
+    return -(1 - 2 * NOISE) * q / ((1 - NOISE) * some + NOISE * q)
 
 
 def _layer(model: Model, texts: DataFrame) -> None:
@@ -273,12 +313,19 @@ def _layer(model: Model, texts: DataFrame) -> None:
 
     got = sorted((r[0], r[1], tuple(r[2])) for r in texts.transform(X.arrow, run, "doc_id long, y int, x array<double>").collect())
     x, y = np.array([r[2] for r in got]), np.array([r[1] for r in got], float)
-    w = np.zeros(4)
-    for _ in range(50):  # Newton steps with a small ridge
+    model.layer = balanced_logistic(x, y)
+
+
+def balanced_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 5e-5) -> np.ndarray:
+    """Weights of a logistic regression in which both labels weigh the same in total; the first column is 1 and has no ridge."""
+    share = np.maximum(np.bincount(y.astype(int), minlength=2), 1)
+    each = len(y) / (2 * share[y.astype(int)])
+    pull = ridge * len(y) * np.append(0, np.ones(x.shape[1] - 1))
+    w = np.zeros(x.shape[1])
+    for _ in range(50):  # Newton steps
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        ridge = 1e-3 * len(y) * np.array([0, 1, 1, 1]) * 0.05
-        w -= np.linalg.solve(x.T @ (x * (p * (1 - p) + 1e-9)[:, None]) + np.diag(ridge + 1e-9), x.T @ (p - y) + ridge * w)
-    model.layer = w
+        w -= np.linalg.solve(x.T @ (x * (each * p * (1 - p) + 1e-9)[:, None]) + np.diag(pull + 1e-9), x.T @ (each * (p - y)) + pull * w)
+    return w
 
 
 def tag(docs: DataFrame, model: Model, text: str = "text", keep_text: bool = True) -> DataFrame:

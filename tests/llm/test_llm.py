@@ -244,6 +244,82 @@ def test_chain_marginals_match_enumeration():
         assert np.allclose(got[a:b], ones / total)
 
 
+def sequences(e, chain, first):
+    """Probability of each labelling of one short sequence."""
+    import itertools
+
+    weight = {y: math.exp(first[y[0]] + sum(a * b for a, b in zip(e, y)) + sum(chain[i, j] for i, j in zip(y, y[1:]))) for y in itertools.product((0, 1), repeat=len(e))}
+    return {y: w / sum(weight.values()) for y, w in weight.items()}
+
+
+def test_pairs_and_document_labels_match_enumeration():
+    rng = np.random.default_rng(5)
+    sizes, owner = [4, 3, 5, 2], np.repeat([0, 1, 0, 1], [4, 3, 5, 2])
+    begin = np.append(0, np.cumsum(sizes))[:-1]
+    opens = np.zeros(14, bool)
+    opens[begin] = True
+    inner = np.flatnonzero(~opens)
+    for strength in (0.1, 1.0, 4.0):  # odds ratios on both sides of 1
+        for chain in (np.array([[strength, 0.2], [0, strength]]), np.array([[0, strength], [strength, 0.3]])):
+            e, first = rng.standard_normal(14) * 2, rng.standard_normal(2)
+            p = toxicity.chain_marginals(e, opens, chain, first)
+            pairs = toxicity.pair_marginals(p[inner - 1], p[inner], chain)
+            each = [sequences(e[b : b + n], chain, first) for b, n in zip(begin, sizes)]
+            want = [[sum(w for y, w in s.items() if (y[k], y[k + 1]) == ij) for ij in ((0, 0), (0, 1), (1, 0), (1, 1))] for s in each for k in range(len(next(iter(s))) - 1)]
+            assert np.allclose(pairs.T, want, atol=1e-9)
+            none = toxicity.none_toxic(p, pairs, begin, inner, owner)
+            logs = [math.log(s[(0,) * n]) for s, n in zip(each, sizes)]
+            assert np.allclose(none, [logs[0] + logs[2], logs[1] + logs[3]])
+
+            def loss(e):
+                q = [math.prod(sequences(e[b : b + n], chain, first)[(0,) * n] for b, n, own in zip(begin, sizes, (0, 1, 0, 1)) if own == d) for d in (0, 1)]
+                return [-math.log((1 - toxicity.NOISE) * (1 - x) + toxicity.NOISE * x) for x in q]
+
+            got = toxicity.document_weights(none)[owner] * p
+            for t in range(14):
+                step = np.eye(14)[t] * 1e-5
+                assert abs((sum(loss(e + step)) - sum(loss(e - step))) / 2e-5 - got[t]) < 1e-5
+
+
+def test_balanced_layer_is_stationary():
+    rng = np.random.default_rng(6)
+    x = np.column_stack([np.ones(300), rng.standard_normal((300, 2))])
+    y = (x[:, 1] + rng.standard_normal(300) > 1.2).astype(float)
+    w = toxicity.balanced_logistic(x, y)
+    each = np.where(y == 1, 150 / y.sum(), 150 / (300 - y.sum()))
+    slope = x.T @ (each * (1 / (1 + np.exp(-x @ w)) - y)) + 5e-5 * 300 * np.array([0, 1, 1]) * w
+    assert np.abs(slope).max() < 1e-6
+
+
+def test_toxic_documents_and_spans(spark):
+    d, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    got = toxicity.report(d, labels).join(labels, "doc_id").where("held_out AND toxic IS NOT NULL").toPandas()
+    assert got.predicted[got.toxic == 1].mean() >= 0.85 and got.predicted[got.toxic == 0].mean() <= 0.02
+    rng = np.random.default_rng(8)
+    model = toxicity.Model(*(rng.standard_normal(toxicity.BUCKETS) for _ in range(3)), -0.5, rng.standard_normal((2, 2)), rng.standard_normal(2), np.array([-1.0, 0.5, 0.2, 0.1]), 1)
+    texts = [None, "", "..", "one", "Ünder the sea, don't go there again", "a b c d e f g h", "a a a a a"]
+    for r in toxicity.tag(documents(spark, texts), model).collect():
+        raw = (r["text"] or "").encode()
+        at = [m.span() for m in re.finditer(rb"[A-Za-z\x80-\xff']+", raw)]
+        if not at:
+            assert r["spans"] == []
+            continue
+        h = toxicity.tokens(*X.string_bytes(pa.array([r["text"]])))[0]
+        before, after = np.append(X.U64(1), h[:-1]), np.append(h[1:], X.U64(1))
+        e = model.word[toxicity.buckets(h)] + model.before[toxicity.buckets(before)] + model.after[toxicity.buckets(after)] + model.bias
+        p = [sum(w for y, w in sequences(e, model.chain, model.first).items() if y[k]) for k in range(len(at))]
+        spans, k = [], 0
+        while k < len(p):
+            j = k
+            while j < len(p) and p[j] >= toxicity.SPAN_FROM:
+                j += 1
+            if j > k:
+                spans.append((at[k][0], at[j - 1][1], max(p[k:j])))
+            k = max(j, k + 1)
+        assert [(s["start"], s["end"]) for s in r["spans"]] == [s[:2] for s in spans]
+        assert np.allclose([s["probability"] for s in r["spans"]], [s[2] for s in spans])
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
