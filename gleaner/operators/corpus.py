@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -391,23 +394,186 @@ def merge_pair(symbols: Column, left: str, right: str) -> Column:
     return F.aggregate(symbols, F.array().cast("array<string>"), step)
 
 
+def _merged(symbols: list[str], steps: dict[tuple[str, str], list[int]], begin: int = 0) -> list[str]:
+    """One word's symbols after the merges from number ``begin`` on, in order; ``steps`` has the numbers of each pair's merges."""
+    while True:
+        coming = [steps[p][bisect_left(steps[p], begin)] for p in set(zip(symbols, symbols[1:])) if p in steps and steps[p][-1] >= begin]
+        if not coming:
+            return symbols
+        begin = min(coming)
+        pair = next(p for p in zip(symbols, symbols[1:]) if begin in steps.get(p, ()))
+        out, k = [], 0
+        while k < len(symbols):
+            wide = 2 if k + 1 < len(symbols) and (symbols[k], symbols[k + 1]) == pair else 1
+            out.append("".join(symbols[k : k + wide]))
+            k += wide
+        symbols, begin = out, begin + 1
+
+
+def _steps(merges: Sequence[tuple]) -> dict[tuple[str, str], list[int]]:
+    out: dict[tuple[str, str], list[int]] = {}
+    for k, m in enumerate(merges):
+        out.setdefault((m[0], m[1]), []).append(k)
+    return out
+
+
+def _per_word(words: DataFrame, results: Callable[[list[str], int], list[tuple]], columns: str) -> DataFrame:
+    """``results`` of each word's first symbols and frequency, beside the word."""
+    schema = T.StructType([*words.schema.fields, *T.StructType.fromDDL(columns).fields])
+    added = [f.name for f in schema.fields[len(words.schema.fields) :]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = [f.type for f in to_arrow_schema(schema)][-len(added) :]
+        for batch in batches:
+            for start in range(0, batch.num_rows, 1000):
+                part = batch.slice(start, 1000)
+                rows = [(i, *r) for i, (s, f) in enumerate(zip(part.column("symbols").to_pylist(), part.column("freq").to_pylist())) for r in results(s, f)]
+                own = part.take(pa.array([r[0] for r in rows], pa.int64()))
+                new = [pa.array([r[k + 1] for r in rows], t) for k, t in enumerate(types)]
+                yield pa.RecordBatch.from_arrays([*own.columns, *new], [f.name for f in schema.fields])
+
+    return words.mapInArrow(run, schema)
+
+
+def _any_of(pairs: Sequence[tuple]) -> Column:
+    return functools.reduce(Column.__or__, [(F.col("l") == p[0]) & (F.col("r") == p[1]) for p in pairs])
+
+
+class _PairIndex:
+    """Which words have had a pair, and how often each pair occurs now.
+
+    Entries (pair, word as it was cut at first) are written in order of the pair, so that a filter on pairs reads few row
+    groups.  They are never taken back: what a word looks like now follows from its first symbols and the merges so far.
+    Words of more than ``INLINE`` symbols are kept beside the entries.  A merge reads the entries of its pair, adds entries
+    for the pairs that it makes and the changes to the counts; the other words aren't read.
+    """
+
+    INLINE = 64
+    HEAD = 64
+
+    def __init__(self, words: DataFrame):
+        self.spark = words.sparkSession
+        words, path = written(words.where(F.size("symbols") > 1).groupBy("first", "symbols").agg(F.sum("freq").alias("freq")), "words")
+        s, short = F.col("symbols"), F.size("symbols") <= self.INLINE
+        both = F.transform(F.slice(s, 2, F.size(s)), lambda r, i: F.struct(F.get(s, i).alias("l"), r.alias("r")))
+        entries = words.withColumn("pair", F.explode(F.array_distinct(both))).withColumn("symbols", F.when(short, s))
+        counts, counts_path = written(pair_counts(words).select("l", "r", "cnt"), "pairs")
+        entries = entries.select("pair.*", "freq", "first", "symbols", F.lit(0).cast("long").alias("change"), F.lit(True).alias("fresh"))
+        entries, entries_path = written(entries.transform(self.sorted), "entries")
+        self.long, long_path = written(words.where(~short).select("freq", "first", "symbols"), "words")
+        self.counts, self.counts_path, self.entries, self.paths = counts, counts_path, [entries_path], [path, counts_path, entries_path, long_path]
+        self.schema = entries.schema
+        self.learned: list[tuple[str, str, int]] = []
+
+    @staticmethod
+    def sorted(entries: DataFrame) -> DataFrame:
+        """In order of the pair; a pair of very many words is cut by their places."""
+        return entries.repartitionByRange("l", "r", "first").sortWithinPartitions("l", "r")
+
+    def words_of(self, entries: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        """The words of some entries, each once, with their first symbols."""
+        now = self.spark.read.schema(self.schema).parquet(*self.entries).where("fresh")
+        hits = entries(now).select("freq", "first", "symbols").distinct()
+        far = hits.where("symbols IS NULL").select("first")
+        return hits.where("symbols IS NOT NULL").unionByName(self.long.join(far, "first", "left_semi"))
+
+    def by_place(self, tied: DataFrame, found: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        """The pairs with the place where each stands first now: the word's first place, then the character in it."""
+        steps = _steps(self.learned)
+
+        def places(symbols: list[str], _: int) -> list[tuple]:
+            first, at = {}, 0
+            now = _merged(symbols, steps)
+            for left, right in zip(now, now[1:]):
+                first.setdefault((left, right), at)
+                at += len(left)
+            return [(*pair, at) for pair, at in first.items()]
+
+        seen = _per_word(self.words_of(found), places, "l string, r string, at long").join(tied, ["l", "r"], "left_semi")
+        return seen.groupBy("l", "r").agg(F.min(F.struct("first", "at")).alias("seen"))
+
+    def ranking(self) -> list[tuple[str, str, int]]:
+        """The first pairs by count, then place: all of them or at least one, at most ``HEAD``."""
+        often = self.counts.where("cnt >= 2")
+        head = [tuple(r) for r in often.orderBy(F.desc("cnt"), "l", "r").limit(self.HEAD + 1).collect()]
+        if len(head) > self.HEAD:
+            least = head[-1][2]
+            if head[0][2] == least:  # more ties than fit: place them all as a table
+                tied = often.where(F.col("cnt") == least)
+                placed = self.by_place(tied, lambda e: e.join(tied, ["l", "r"], "left_semi"))
+                return [(r["l"], r["r"], least) for r in placed.orderBy("seen").limit(self.HEAD).collect()]
+            head = [h for h in head if h[2] > least]
+        ties = Counter(h[2] for h in head)
+        tied = [h for h in head if ties[h[2]] > 1]
+        if tied:
+            rows = self.by_place(self.spark.createDataFrame(tied, "l string, r string, cnt long"), lambda e: e.where(_any_of(tied))).orderBy("seen").collect()
+            order = {(r["l"], r["r"]): k for k, r in enumerate(rows)}
+            head.sort(key=lambda h: (-h[2], order.get(h[:2], 0)))
+        return head
+
+    def next_merges(self, most: int) -> list[tuple[str, str, int]]:
+        """The next merges, as many as the present counts decide.
+
+        While the first pairs of the ranking share no symbol, merging one neither changes the next one's count nor makes a pair
+        that goes before it: a new pair occurs at most as often as one that ranks behind, and not before its place.  That ends
+        with a merge that makes a symbol which exists already.
+        """
+        out, used = [], set()
+        for h in self.ranking()[:most]:
+            symbols = {h[0], h[1], h[0] + h[1]}
+            if symbols & used:
+                break
+            out.append(h)
+            used |= symbols
+        made = [h[0] + h[1] for h in out]
+        there = {r[0] for r in self.counts.where(F.col("l").isin(made)).select("l").union(self.counts.where(F.col("r").isin(made)).select("r")).distinct().collect()}
+        stop = next((k + 1 for k, m in enumerate(made) if m in there), len(out))
+        return out[:stop]
+
+    def merge(self, batch: list[tuple[str, str, int]]) -> None:
+        begin, self.learned = len(self.learned), self.learned + batch
+        before, after = _steps(self.learned[:begin]), _steps(self.learned)
+
+        def changes(symbols: list[str], freq: int) -> list[tuple]:
+            old = _merged(symbols, before)
+            new = _merged(old, after, begin)
+            had, has = Counter(zip(old, old[1:])), Counter(zip(new, new[1:]))
+            return [(*p, (has[p] - had[p]) * freq, p not in had) for p in had | has if has[p] != had[p]]
+
+        changed = _per_word(self.words_of(lambda e: e.where(_any_of(batch))), changes, "l string, r string, change long, fresh boolean")
+        changed = changed.withColumn("symbols", F.when(F.size("symbols") <= self.INLINE, F.col("symbols")))
+        changed, path = written(changed.select(*self.schema.names).sortWithinPartitions("l", "r"), "entries")
+        moved = self.counts.unionByName(changed.select("l", "r", F.col("change").alias("cnt"))).groupBy("l", "r").agg(F.sum("cnt").alias("cnt")).where("cnt > 0")
+        counts, counts_path = written(moved, "pairs")
+        remove(self.spark, self.counts_path)
+        self.counts, self.counts_path = counts, counts_path
+        self.entries.append(path)
+        self.paths += [path, counts_path]
+        if len(self.entries) > 16:  # put the small tables of past merges together
+            _, path = written(self.spark.read.schema(self.schema).parquet(*self.entries[1:]).where("fresh").transform(self.sorted), "entries")
+            self.entries = [self.entries[0], path]
+            self.paths.append(path)
+
+
 def train_bpe(words: DataFrame, merges: int = 10) -> tuple[list[tuple[str, str, int]], DataFrame]:
     """Learned merges (left, right, count) in order, and the words with their last symbols.
 
-    One aggregation a merge over the distinct words, which are written anew after each.  Stops when no pair occurs twice.
+    Counts are kept from merge to merge: a round reads the words of the pairs that it merges and adds up what changes.
+    A round takes all merges that the counts decide.  Stops when no pair occurs twice; of equally frequent pairs the one met
+    first is taken.  The merges travel with the tasks: their number is a parameter.
     """
-    spark = words.sparkSession
-    words, path = written(words, "words")
-    learned = []
-    for _ in range(merges):
-        best = pair_counts(words).orderBy(F.desc("cnt"), "seen").first()
-        if best is None or best["cnt"] < 2:
+    index = _PairIndex(words)
+    while len(index.learned) < merges:
+        batch = index.next_merges(merges - len(index.learned))
+        if not batch:
             break
-        learned.append((best["l"], best["r"], best["cnt"]))
-        words, now = written(words.withColumn("symbols", merge_pair(F.col("symbols"), best["l"], best["r"])), "words")
-        remove(spark, path)
-        path = now
-    return learned, words
+        index.merge(batch)
+    steps = _steps(index.learned)
+    kept = words.withColumnRenamed("symbols", "_cut").withColumn("symbols", F.col("_cut"))
+    last = _per_word(kept, lambda s, _: [(_merged(s, steps) if s else s,)], "_last array<string>")
+    learned = index.learned
+    remove(index.spark, *index.paths)
+    return learned, last.select(*[F.col("_last").alias(c) if c == "symbols" else c for c in words.columns])
 
 
 def tokenize_bpe(word: Column, merges: Sequence[tuple[str, str]]) -> Column:

@@ -333,6 +333,32 @@ def test_small_functions(spark):
         sigs.select(H.similarity(F.col("a"), F.col("b"), 2)).collect()
 
 
+def test_bpe_counts_stay_right_from_merge_to_merge(spark, monkeypatch):
+    """Ties beyond the head, words beside the entries, repeated and null rows, merges that make a symbol that exists already."""
+    monkeypatch.setattr(O._PairIndex, "HEAD", 3)
+    monkeypatch.setattr(O._PairIndex, "INLINE", 6)
+    rng = random.Random(4)
+    cut = [" ".join(rng.choice(["a", "b", "c", "ab", "bc", "</w>"]) for _ in range(rng.randrange(1, 12))) for _ in range(14)]
+    rows = [(k, c) for k, c in enumerate(cut)] + [(13, cut[13]), (20, None), (21, "")]
+    got, words = O.train_bpe(O.symbol_table(spark.createDataFrame(rows, "id int, symbols string"), "id"), 9)
+    assert got == learned([(c.split(), 1) for c in [*cut, cut[13]]], 9)
+    last = {r["word"]: r["symbols"] for r in words.collect()}
+    for c in cut:
+        symbols = c.split()
+        for left, right, _ in got:
+            out = []
+            for x in symbols:
+                if out and not out[-1][1] and (out[-1][0], x) == (left, right):
+                    out[-1] = (left + right, True)
+                else:
+                    out.append((x, False))
+            symbols = [x for x, _ in out]
+        assert last[c] == symbols
+    assert last[None] is None and last[""] == []
+    none = O.train_bpe(O.word_table(spark.createDataFrame([(1, None), (2, "a b")], "id int, text string"), "id"), 3)
+    assert none[0] == [] and none[1].count() == 2
+
+
 def test_queries_without_sql(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
