@@ -263,3 +263,26 @@ def test_one_large_box_among_small_ones_stays_linear(spark):
 def test_vocabulary_tree():
     tree = O.vocabulary_tree(["an", "and", "ant", "b", "", "abcdefgh"], depth=3)
     assert tree.split("\n") == ["a", "  b", "    c", "  n*", "    d*", "    t*", "b*"]
+
+
+def test_merged_boxes_of_small_large_and_missing_pages(spark):
+    """Small pages are compared as they are, large ones and boxes without a page on grids; all give the plain loop's boxes."""
+    rng = random.Random(3)
+    rows = random_boxes() + [(page, n, float(x := rng.randint(0, 30)), float(y := rng.randint(0, 30)), x + 9.0, y + 9.0) for page in (None, 7, 8, 9) for n in range(12)]
+    links = {k for k, v in plain_overlaps(rows).items() if v > 0.1}
+    group = {(p, i): i for p, i, *_ in rows}
+    for _ in rows:
+        for p, i, j in links:
+            group[p, i] = group[p, j] = min(group[p, i], group[p, j])
+    best = {}
+    for p, i, x0, y0, x1, y1 in rows:
+        best[p, group[p, i]] = max(best.get((p, group[p, i]), (-1, 0)), ((x1 - x0) * (y1 - y0), -i))
+    df = spark.createDataFrame(rows, BOXES)
+    assert {(r["page"], r["ord"]) for r in L.merge_boxes(df, ["page"], "ord", 0.1).collect()} == {(p, -at) for (p, _), (_, at) in best.items()}
+
+
+def test_boxes_of_small_pages_are_not_copied(spark):
+    """One row a box and side instead of one for each of four cells and each size."""
+    df = spark.range(4000).selectExpr("CAST(id / 8 AS INT) AS page", "CAST(id AS INT) AS ord", "id % 8 * 3.0D AS x0", "0.0D AS y0", "id % 8 * 3.0D + 5 AS x1", "5.0D AS y1")
+    pairs = L.overlapping(df, ["page"], "ord", 0.1)
+    assert pairs.count() == 7 * 500 and "Generate" not in pairs._jdf.queryExecution().toString()
