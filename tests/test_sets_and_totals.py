@@ -286,3 +286,15 @@ def test_boxes_of_small_pages_are_not_copied(spark):
     df = spark.range(4000).selectExpr("CAST(id / 8 AS INT) AS page", "CAST(id AS INT) AS ord", "id % 8 * 3.0D AS x0", "0.0D AS y0", "id % 8 * 3.0D + 5 AS x1", "5.0D AS y1")
     pairs = L.overlapping(df, ["page"], "ord", 0.1)
     assert pairs.count() == 7 * 500 and "Generate" not in pairs._jdf.queryExecution().toString()
+
+
+def test_tables_of_pages_without_text_are_not_merged(spark, monkeypatch):
+    rows = [(p, k, 10.0 * k, 0.0, 10.0 * k + 5, 5.0, "자본금 1 유동부채 2 부채총계 3 4" if p == 3 and k == 1 else None) for p in (None, 1, 2, 3, 4) for k in range(3)]
+    rows.append((None, 9, 90.0, 0.0, 95.0, 5.0, "FCF 1 CAPEX 2 3 4"))
+    c = spark.createDataFrame(rows, f"{BOXES}, text_content string")
+    texts = spark.createDataFrame([(1, "FCF 1 CAPEX 2 3 4"), (2, "nothing of the kind"), (None, "FCF 1 CAPEX 2 3 4"), (3, "FCF 1 CAPEX 2 3 4")], "page int, page_text string")
+    seen, merge = [], L.merge_boxes
+    monkeypatch.setattr(L, "merge_boxes", lambda boxes, *more: seen.append({r["page"] for r in boxes.collect()}) or merge(boxes, *more))
+    got = [(r["page"], r["ord"], r["category"]) for r in L.financial_tables(c, ["page"], "ord", texts, size_ok=F.col("x0") < 95).collect()]
+    assert sorted(got, key=repr) == sorted([(None, 9, "cash_flow"), (3, 1, "balance_sheet"), *((p, k, "cash_flow") for p in (1, 3) for k in range(3) if (p, k) != (3, 1))], key=repr)
+    assert seen == [{None, 1, 3}]
