@@ -1,6 +1,7 @@
 """Stores, streams, documents and suffix kernels on small inputs with known answers."""
 
 import random
+import time
 from collections import Counter
 
 import pytest
@@ -224,6 +225,33 @@ def test_batches_of_near_duplicates_equal_the_loop(spark, tmp_path, seed):
     assert sorted(r["id"] for r in streams.stored(spark, f"{tmp_path}/t").collect()) == sorted(rows[n][0] for n in kept)
 
 
+def test_text_that_was_passed_over_is_kept_once(spark, tmp_path):
+    """A text comes first with an id that is kept already, then with new ids: one of these stays."""
+    a, b = ("".join(random.Random(s).choice("abcdefgh ") for _ in range(400)) for s in (1, 2))
+    source = tmp_path / "in"
+    for rows in ([(5, a)], [(5, b)], [(9, b), (10, b)], [(11, b)]):
+        spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.mode("append").parquet(str(source))
+    stream = spark.readStream.schema("doc_id long, text string").option("maxFilesPerTrigger", 1).parquet(str(source))
+    streams.keep_distinct(stream, f"{tmp_path}/t", f"{tmp_path}/c", "text", lambda c: X.word_shingles(c, 3), threshold=0.7).awaitTermination()
+    assert sorted(r["id"] for r in streams.stored(spark, f"{tmp_path}/t").collect()) == [5, 9]
+
+
+def test_stream_of_many_different_texts_ends_soon(spark, tmp_path):
+    """Work for each bucket by itself took minutes here."""
+    rng = random.Random(8)
+    rows = [(i, " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(30))) for i in range(4000)]
+    source = tmp_path / "in"
+    for some in (rows[:2000], rows[2000:]):
+        spark.createDataFrame(some, "doc_id long, text string").coalesce(1).write.mode("append").parquet(str(source))
+    stream = spark.readStream.schema("doc_id long, text string").option("maxFilesPerTrigger", 1).parquet(str(source))
+    began = time.time()
+    query = streams.keep_distinct(stream, f"{tmp_path}/t", f"{tmp_path}/c", "text", lambda c: X.word_shingles(c, 3), threshold=0.7)
+    ended = query.awaitTermination(90)
+    query.stop()
+    assert ended and time.time() - began < 90
+    assert streams.stored(spark, f"{tmp_path}/t").count() == 4000
+
+
 def arriving(spark, path, batches, schema):
     for b in batches:
         spark.createDataFrame(b, schema).coalesce(1).write.mode("append").parquet(str(path))
