@@ -5,8 +5,11 @@ import os
 import random
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F
 
 from gleaner.llm import jaccard
+from gleaner.llm import textops as X
 from gleaner.operators.storage import freed_shuffles, written
 
 
@@ -52,3 +55,15 @@ def test_shuffles_are_freed_only_inside(spark):
         assert spark.conf.get(key) == "true"
         rows, _ = written(spark.range(100).repartition(3), "rows")
     assert spark.conf.get(key) == before and rows.count() == 100
+
+
+def test_batches_of_long_texts_are_bounded(spark):
+    """Rows count little for memory where texts are long: 200 texts of 100 KB came as one batch of 20 MB."""
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes]), pa.array([batch.num_rows])], ["bytes", "rows"])
+
+    texts = spark.range(0, 200, 1, 1).select(F.repeat(F.lit("x"), 100_000).alias("text"))
+    got = X.arrow(texts, sizes, "bytes long, rows long").collect()
+    assert sum(r["rows"] for r in got) == 200 and max(r["bytes"] for r in got) < X.BATCH_BYTES + 200_000
